@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueloom.llm import decontamination, mixing, sharding, url_filter
+from cueloom.llm import decontamination, mixing, sharding, simhash, url_filter
 
 #: The rule list of op1.
 URL_RULES = [
@@ -25,6 +25,11 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return simhash.near_duplicates(docs, shingle=4, distance=4).select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), keep_text=False)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -52,7 +57,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, source_weights(docs, MIX_WEIGHTS))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op3_decontamination, op8_sharding, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_decontamination, op8_sharding, op9_mixing)}
 
 ORACLES: dict[str, str] = {
     "op1_url_filters": r"""
