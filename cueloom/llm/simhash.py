@@ -4,174 +4,208 @@ A fingerprint is cut into segments, few enough that two fingerprints within the
 have one segment in which at most one bit differs. Each segment is indexed once for each of its
 bits with that bit wiped out (a one-wildcard variant); fingerprints with an equal variant meet, and
 the full distance is verified.
+
+That is certain up to 2 x segments - 1 differing bits. Beyond, it holds with the chance that some
+segment happens to differ by at most one bit; ``found_share`` gives it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import acos, comb, pi
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueloom.llm.common import materialize, quoted
 from cueloom.llm.components import connected_components
 
 SHINGLE_WORDS = 5
-#: Similarity 0.8 of the contract's default, as bits that may differ: an angle of 0.2 pi x 64 / pi.
-DISTANCE = 12
+#: The general operator's fingerprint: 128 bits, of which 21 may differ (share of equal shingles
+#: about 0.8 or more), cut into 8 segments.
+BITS, DISTANCE, SEGMENTS = 128, 21, 8
+#: The first 64 bits are those of XXH64 with this seed, the next 64 those with the next seed.
 SEED = 42
 #: Fingerprints of one variant that one task compares with each other at a time.
 BUCKET = 4_096
+#: Up to this many, a bucket's verified pairs are all reported; beyond, a spanning forest of them.
+SMALL = 32
 #: Shingles whose hashes are held at a time.
 _CHUNK = 1 << 16
 
 
-def segments(distance: int, bits: int = 64) -> list[tuple[int, int]]:
-    """(first bit, width) of the fewest segments of which one differs in at most one bit."""
-    n = distance // 2 + 1
-    cuts = [bits * i // n for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+def cut(bits: int, segments: int) -> list[tuple[int, int]]:
+    """(first bit, width) of the segments; none crosses a 64-bit word."""
+    words = bits // 64
+    each = segments // words
+    at = [64 * i // each for i in range(each + 1)]
+    return [(64 * w + a, b - a) for w in range(words) for a, b in zip(at, at[1:], strict=False)]
+
+
+def needed_segments(distance: int) -> int:
+    """The fewest segments of which one surely differs in at most one bit."""
+    return distance // 2 + 1
+
 
+def found_share(similarity: float, bits: int = BITS, segments: int = SEGMENTS) -> float:
+    """The chance that two texts with this share of equal shingles meet in some variant."""
+    p = acos(2 * similarity / (1 + similarity)) / pi
+    miss = 1.0
+    for _, w in cut(bits, segments):
+        miss *= 1 - (1 - p) ** w - comb(w, 1) * p * (1 - p) ** (w - 1)
+    return 1 - miss
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE_WORDS) -> int:
-    """The 64-bit SimHash of the lower-cased text's word shingles, repeats included."""
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE_WORDS, bits: int = 64) -> np.ndarray:
+    """The SimHash of the lower-cased text's word shingles, repeats included, as 64-bit words."""
     words = text.lower().split() if text else []
+    out = np.zeros(bits // 64, np.uint64)
     if not words:
-        return 0
+        return out
     n = max(1, len(words) - shingle + 1)
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros((len(out), 64), np.int64)
     hashed = xxhash.xxh64_intdigest
     for lo in range(0, n, _CHUNK):
         hi = min(n, lo + _CHUNK)
         runs = [words[lo + j : hi + j] for j in range(min(shingle, len(words)))]
-        h = np.array([hashed(b" ".join(x), SEED) for x in zip(*runs, strict=False)], np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+        grams = [b" ".join(x) for x in zip(*runs, strict=False)]
+        for k in range(len(out)):
+            h = np.array([hashed(g, SEED + k) for g in grams], np.uint64)
+            ones[k] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view(np.uint64).reshape(-1)
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS, bits: int = BITS) -> DataFrame:
+    """(doc_id, f0, f1, ...) of every row; the fingerprint's 64-bit words as signed longs."""
+    words = [f"f{k}" for k in range(bits // 64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
-            fps = np.array([fingerprint(t.as_py(), shingle) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), shingle, bits) for t in batch.column(1)], np.uint64).reshape(-1, len(words)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(fps[:, k])) for k in range(len(words))]], names=["doc_id", *words])
 
     rows = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).cast("binary").alias("body"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(run, ", ".join([f"doc_id {rows.schema['doc_id'].dataType.simpleString()}", *[f"{w} long" for w in words]]))
+
 
+def hex_of(*words: str) -> Column:
+    """A fingerprint as lower-case hex digits, 16 for each word."""
+    return F.concat(*[F.lpad(F.lower(F.hex(F.col(w))), 16, "0") for w in words])
 
-def _bits(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
-def _first_variant(differ: np.ndarray, cut: list[tuple[int, int]]) -> np.ndarray:
+
+def _reported_by(differ: np.ndarray, parts: list[tuple[int, int]]) -> np.ndarray:
     """The one variant by which a pair is reported: in the first segment with at most one
     differing bit, the wildcard at that bit, or at the segment's first bit if none differs."""
     out = np.full(len(differ), -1, np.int64)
-    for first, width in reversed(cut):
-        part = differ & np.uint64(((1 << width) - 1) << first)
-        low = part & (~part + np.uint64(1))
-        out = np.where(_bits(part) == 0, first, np.where(_bits(part) == 1, _bits(low - np.uint64(1)), out))
+    for first, width in reversed(parts):
+        part = differ[:, first // 64] & np.uint64(((1 << width) - 1) << first % 64)
+        ones = np.bitwise_count(part)
+        out = np.where(ones == 0, first, np.where(ones == 1, first // 64 * 64 + np.bitwise_count(part - np.uint64(1)), out))
     return out
 
 
-def _spanning(fps: np.ndarray, other: np.ndarray | None, variant: int, distance: int, cut: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
-    """Links that connect whatever this bucket's verified pairs connect, fewer than its members.
+class _Buckets:
+    """Compares the members of each bucket; what it reports connects all its verified pairs."""
+
+    def __init__(self, bits: int, distance: int, segments: int):
+        self.distance, self.parts, self.words = distance, cut(bits, segments), bits // 64
+
+    def links(self, keys: np.ndarray, fps: np.ndarray) -> np.ndarray:
+        """keys: (bit, value, block, other block, side) of each row, sorted; returns pairs."""
+        change = np.concatenate([[True], (keys[1:, :4] != keys[:-1, :4]).any(axis=1)])
+        begins = np.flatnonzero(change)
+        sizes = np.diff(np.append(begins, len(keys)))
+        size, out = np.repeat(sizes, sizes), []
+        end = np.repeat(begins + sizes, sizes)
+        at = np.flatnonzero((size > 1) & (size <= SMALL) & (keys[:, 2] == keys[:, 3]))
+        for step in range(1, SMALL):
+            at = at[at + step < end[at]]
+            if not len(at):
+                break
+            near = at[_apart(fps[at], fps[at + step]) <= self.distance]
+            near = near[_reported_by(fps[near] ^ fps[near + step], self.parts) == keys[near, 0]]
+            out.append(np.concatenate([fps[near], fps[near + step]], 1))
+        for a, n in zip(begins, sizes, strict=True):
+            if n > SMALL or n > 1 and keys[a, 2] != keys[a, 3]:
+                out.append(self._forest(fps[a : a + n], int(np.searchsorted(keys[a : a + n, 4], 1)), int(keys[a, 0])))
+        return np.concatenate(out) if out else np.zeros((0, 2 * self.words), np.uint64)
+
+    def _forest(self, fps: np.ndarray, split: int, variant: int) -> np.ndarray:
+        """split < len(fps): only pairs across two blocks of a bucket, first and second side."""
+        n, seen, links = len(fps), np.zeros(len(fps), bool), []
+        for root in range(n):
+            if seen[root]:
+                continue
+            seen[root], todo = True, [root]
+            while todo:
+                i = todo.pop()
+                lo, hi = (0, n) if split == n else (split, n) if i < split else (0, split)
+                at = np.flatnonzero(~seen[lo:hi] & (_apart(fps[lo:hi], fps[i]) <= self.distance)) + lo
+                at = at[_reported_by(fps[at] ^ fps[i], self.parts) == variant]
+                seen[at] = True
+                todo += at.tolist()
+                links.append(np.concatenate([np.repeat(fps[i : i + 1], len(at), 0), fps[at]], 1))
+        return np.concatenate(links)
+
+    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches sorted by key; a bucket may go on in the next batch."""
+        keys, fps = np.zeros((0, 5), np.int64), np.zeros((0, self.words), np.uint64)
+        for batch in batches:
+            rows = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+            keys = np.concatenate([keys, np.stack(rows[:5], 1)])
+            fps = np.concatenate([fps, np.stack(rows[5:], 1).view(np.uint64)])
+            other = np.flatnonzero((keys[:, :4] != keys[-1:, :4]).any(axis=1)) if len(keys) else []
+            if len(other):
+                whole = other[-1] + 1
+                yield self._batch(self.links(keys[:whole], fps[:whole]))
+                keys, fps = keys[whole:], fps[whole:]
+        if len(keys):
+            yield self._batch(self.links(keys, fps))
 
-    ``other``: pairs across two blocks of a bucket instead of within ``fps``.
-    """
-    nodes = fps if other is None else np.concatenate([fps, other])
-    n, split = len(nodes), 0 if other is None else len(fps)
-    seen, left, right = np.zeros(n, bool), [], []
-    for root in range(n):
-        if seen[root]:
-            continue
-        seen[root], todo = True, [root]
-        while todo:
-            i = todo.pop()
-            lo, hi = (0, n) if other is None else ((split, n) if i < split else (0, split))
-            differ = nodes[lo:hi] ^ nodes[i]
-            near = ~seen[lo:hi] & (_bits(differ) <= distance)
-            at = np.flatnonzero(near)
-            at = at[_first_variant(differ[at], cut) == variant] + lo
-            seen[at] = True
-            todo += at.tolist()
-            left += [i] * len(at)
-            right += at.tolist()
-    return nodes[left].view(np.int64).tolist(), nodes[right].view(np.int64).tolist()
-
-
-def _links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
-    """Batches sorted by (bit, value, x, y, side): compare what has all but the side in common."""
-    cut = segments(distance)
-    held: list[np.ndarray] = []
-
-    def done(rows: np.ndarray) -> tuple[list[int], list[int]]:
-        left: list[int] = []
-        right: list[int] = []
-        key = rows[:, :4]
-        ends = np.flatnonzero(np.concatenate([(key[1:] != key[:-1]).any(axis=1), [True]])) + 1
-        begins = np.concatenate([[0], ends[:-1]])
-        fps = np.ascontiguousarray(rows[:, 5]).view(np.uint64)
-        pairs = ends - begins == 2  # most buckets that matter hold two, taken together
-        i, j = begins[pairs], begins[pairs] + 1
-        differ = fps[i] ^ fps[j]
-        good = (_bits(differ) <= distance) & (_first_variant(differ, cut) == rows[i, 0])
-        left += rows[i[good], 5].tolist()
-        right += rows[j[good], 5].tolist()
-        for a, b in zip(begins[ends - begins > 2], ends[ends - begins > 2], strict=True):
-            second = rows[a:b, 4] == 1
-            f = fps[a:b]
-            x, y = _spanning(f[~second], f[second] if second.any() else None, int(rows[a, 0]), distance, cut)
-            left += x
-            right += y
-        return left, right
-
-    def out(rows: np.ndarray) -> pa.RecordBatch:
-        left, right = done(rows)
-        return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-
-    for batch in batches:
-        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], 1)
-        if not len(rows):
-            continue
-        last = np.flatnonzero((rows[:, :4] != rows[-1, :4]).any(axis=1))
-        keep = last[-1] + 1 if len(last) else 0
-        if keep:
-            yield out(np.concatenate([*held, rows[:keep]]))
-            held = []
-        held.append(rows[keep:])
-    if held:
-        yield out(np.concatenate(held))
-
-
-def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints in ``fps`` (fp) that connect all those
-    within ``distance`` bits of each other; each is verified.
+    def _batch(self, links: np.ndarray) -> pa.RecordBatch:
+        cols = [np.ascontiguousarray(links[:, k]).view(np.int64) for k in range(2 * self.words)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=self.names())
+
+    def names(self) -> list[str]:
+        return [f"{end}{k}" for end in "ab" for k in range(self.words)]
+
+
+def fingerprint_links(fps: DataFrame, bits: int = BITS, distance: int = DISTANCE, segments: int = SEGMENTS, bucket: int = BUCKET) -> DataFrame:
+    """Links (a, b), as hex digits, between the distinct fingerprints in ``fps`` (f0, f1, ...)
+    that connect all those which meet and are within ``distance`` bits; each link is verified.
 
     A variant shared by more than ``bucket`` fingerprints is split into blocks, and every two of
-    its blocks meet in a task of their own. Within a task, a bucket yields a spanning forest of
-    its pairs, never all pairs.
+    its blocks meet in a task of their own. Within a task, a large bucket yields a spanning forest
+    of its pairs, never all pairs.
     """
-    cut = segments(distance)
-    wide = F.array(*[F.lit(_signed(((1 << w) - 1) << a)) for a, w in cut for _ in range(w)])
-    variants = (fps.select("fp").distinct().withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(63))))
-                .withColumn("value", F.col("fp").bitwiseAND(F.element_at(wide, F.col("bit") + 1)).bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))))))
+    words = [f"f{k}" for k in range(bits // 64)]
+    wide = F.array(*[F.lit(_signed(((1 << w) - 1) << a % 64)) for a, w in cut(bits, segments) for _ in range(w)])
+    word = F.element_at(F.array(*words), F.floor(F.col("bit") / 64).cast("int") + 1)
+    wildcard = F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit") % 64))
+    variants = (fps.select(*words).distinct().withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
+                .withColumn("value", word.bitwiseAND(F.element_at(wide, F.col("bit") + 1)).bitwiseAND(wildcard)))
     large = (variants.groupBy("bit", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket)
              .select("bit", "value", F.ceil(F.col("n") / bucket).cast("int").alias("blocks")))
     large = materialize(large, "large-variants")
-    few = large.limit(10_001).count() <= 10_000
-    rows = variants.join(F.broadcast(large) if few else large, ["bit", "value"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bit", "value", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), (F.col("own") > F.col("with")).cast("int").alias("side"), "fp")
+    n = large.limit(10_001).count()
+    if n:
+        rows = variants.join(F.broadcast(large) if n <= 10_000 else large, ["bit", "value"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        rows = rows.withColumn("own", F.pmod(F.xxhash64(*words), F.col("blocks")).cast("int"))
+        rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    else:
+        rows = variants.withColumns({"own": F.lit(0), "with": F.lit(0)})
+    rows = rows.select("bit", "value", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), (F.col("own") > F.col("with")).cast("int").alias("side"), *words)
     dealt = rows.repartition("bit", "value", "x", "y").sortWithinPartitions("bit", "value", "x", "y", "side")
-    return dealt.mapInArrow(lambda batches: _links(batches, distance), "a long, b long")
+    buckets = _Buckets(bits, distance, segments)
+    found = dealt.mapInArrow(buckets.run, ", ".join(f"{n} long" for n in buckets.names()))
+    return found.select(hex_of(*buckets.names()[: len(words)]).alias("a"), hex_of(*buckets.names()[len(words) :]).alias("b"))
 
 
 def _signed(x: int) -> int:
@@ -179,35 +213,30 @@ def _signed(x: int) -> int:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS,
-                    distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, fp, component_id) for every row: rows whose fingerprints are linked, directly or
-    through others, by ``distance`` or fewer differing bits share the smallest doc_id of them.
+                    bits: int = BITS, distance: int = DISTANCE, segments: int = SEGMENTS, bucket: int = BUCKET) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row: rows whose fingerprints are linked,
+    directly or through others, by ``distance`` or fewer differing bits share the smallest doc_id
+    of them.
 
     Texts of fewer words than a shingle are one shingle; null and empty texts have the
     fingerprint zero, which is linked like any other. Repeated rows keep their number. Null ids
     are kept but never give a component its id unless it has no other (then it is null).
     """
-    fps = materialize(fingerprints(docs, doc_id, text, shingle), "fingerprints")
-    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(fingerprint_links(fps, distance, bucket))
-    classes = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    classes = materialize(classes, "classes")
-    named = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    words = [f"f{k}" for k in range(bits // 64)]
+    fps = materialize(fingerprints(docs, doc_id, text, shingle, bits), "fingerprints")
+    roots = connected_components(fingerprint_links(fps, bits, distance, segments, bucket))
+    least = fps.groupBy(*words).agg(F.min("doc_id").alias("least")).select(hex_of(*words).alias("fingerprint"), "least")
+    classes = materialize(least.join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")), "classes")
+    named = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fingerprint", "component_id")
+    return fps.select("doc_id", hex_of(*words).alias("fingerprint")).join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def hex_of(fp):
-    """A fingerprint column as 16 lower-case hex digits."""
-    return F.lpad(F.lower(F.hex(fp)), 16, "0")
-
-
-def keep_representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS, distance: int = DISTANCE) -> DataFrame:
+def keep_representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how: int) -> DataFrame:
     """One row of each near-duplicate group: that with the smallest id.
 
     Rows with a null id are kept. Of rows that repeat an id, all that carry the group's smallest
-    id stay.
+    id stay, unless one of them is dropped for another text.
     """
-    groups = near_duplicates(docs, doc_id, text, shingle, distance)
+    groups = near_duplicates(docs, doc_id, text, **how)
     dropped = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__dropped")).distinct()
     return docs.join(dropped, F.col(quoted(doc_id)) == F.col("__dropped"), "left_anti")
-
