@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueloom.llm import decontamination, mixing, sharding, simhash, url_filter
+from cueloom.llm import decontamination, mixing, sharding, simhash, url_filter, warc
+from cueloom.llm.common import scratch_path
 
 #: The rule list of op1.
 URL_RULES = [
@@ -36,10 +37,16 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.capture_histories(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    rows = sharding.shard_documents(docs).select(
-        "doc_id", sharding.text_size(F.col("text")).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), "shard", "group_start")
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", sharding.text_size(F.col("text")).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
+    rows = sharding.shard_documents(docs).select("doc_id", "size", "text_crc32", "shard", "group_start")
     return sharding.number_slots(rows, ["doc_id"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
@@ -57,7 +64,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, source_weights(docs, MIX_WEIGHTS))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_decontamination, op8_sharding, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_decontamination, op4_warc, op8_sharding, op9_mixing)}
 
 ORACLES: dict[str, str] = {
     "op1_url_filters": r"""
@@ -73,5 +80,15 @@ j AS (
                WHERE (host = rule_host OR host LIKE '%.' || rule_host) AND starts_with(path, rule_path)) AS best
   FROM p)
 SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM j
+""",
+    "op4_warc": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS latest FROM pages)
+SELECT page_id, strlen(body) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((('0x' || substr(hex, CAST(1 + 5 * (i // 4) AS BIGINT), 5))::BIGINT >> (15 - 5 * (i % 4))::BIGINT) & 31), 1)), '') AS payload_digest,
+       CASE WHEN page_id IS NULL AND latest IS NOT NULL OR page_id < latest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS NULL OR page_id < latest THEN latest END AS refers_to
+FROM p
 """,
 }
