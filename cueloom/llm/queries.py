@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueloom.llm import decontamination, mixing, sharding, simhash, url_filter, warc
+from cueloom.llm import decontamination, mixing, secrets, sharding, simhash, url_filter, warc
 from cueloom.llm.common import scratch_path
 
 #: The rule list of op1.
@@ -64,7 +64,14 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, source_weights(docs, MIX_WEIGHTS))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_decontamination, op4_warc, op8_sharding, op9_mixing)}
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.train(secrets.samples_from(docs))).select("doc_id", "spans")
+    counts = [secrets.count_kind(F.col("spans"), kind).alias(f"n_{kind}") for kind in secrets.KINDS[:3]]
+    return found.select("doc_id", *counts, F.sha2(secrets.joined(F.col("spans"), base_only=True), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_decontamination, op4_warc, op8_sharding, op9_mixing, op10_secrets)}
 
 ORACLES: dict[str, str] = {
     "op1_url_filters": r"""
