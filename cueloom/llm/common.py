@@ -78,3 +78,9 @@ def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     first = spark.createDataFrame(starts or [(0, 0)], f"{part} int, __first long")
     place = F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1 + F.col("__first")
     return kept.join(F.broadcast(first), part).withColumn(name, place.cast("long")).drop(part, "__first")
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once for the row, however often it is used, also
+    inside a higher-order function of the body."""
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -13,7 +13,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cueloom.llm.common import quoted, replace_columns
+from cueloom.llm.common import let, quoted, replace_columns
 
 # The base patterns and the least lengths of what they keep.
 _KEY = r"(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"
@@ -49,20 +49,23 @@ def _spans(marked: Column) -> Column:
 
     Sums of the pieces' lengths go by blocks, so a text with very many matches costs no square.
     """
-    def of(pieces: Column) -> Column:
-        sizes = F.transform(pieces, F.length)
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / _BLOCK).cast("int")), lambda b: F.aggregate(F.slice(sizes, b * _BLOCK + 1, _BLOCK), F.lit(0), lambda n, x: n + x))
-
+    def of(pieces: Column, sizes: Column, blocks: Column) -> Column:
         def start(i: Column) -> Column:
             b = F.floor(i / _BLOCK).cast("int")
             return (F.aggregate(F.slice(blocks, F.lit(1), b), F.lit(0), lambda n, x: n + x)
                     + F.aggregate(F.slice(sizes, b * _BLOCK + 1, i - b * _BLOCK), F.lit(0), lambda n, x: n + x))
 
         matches = F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2))
-        return F.transform(matches, lambda i: F.struct(start(i).alias("start"), (start(i) + F.element_at(sizes, i + 1)).alias("end"), F.element_at(pieces, i + 1).alias("token")))
+        return F.transform(matches, lambda i: let(start(i), lambda s: F.struct(s.alias("start"), (s + F.get(sizes, i)).alias("end"), F.get(pieces, i).alias("token"))))
+
+    def blocks_of(sizes: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / _BLOCK).cast("int")), lambda b: F.aggregate(F.slice(sizes, b * _BLOCK + 1, _BLOCK), F.lit(0), lambda n, x: n + x))
+
+    def bound(pieces: Column) -> Column:
+        return let(F.transform(pieces, lambda x: F.length(x)), lambda sizes: let(blocks_of(sizes), lambda blocks: of(pieces, sizes, blocks)))
 
     none = F.array().cast("array<struct<start:int,end:int,token:string>>")
-    return F.when(F.contains(marked, F.lit(_OPEN)), of(F.split(marked, f"[{_OPEN}{_CLOSE}]"))).otherwise(none)
+    return let(marked, lambda m: F.when(F.contains(m, F.lit(_OPEN)), let(F.split(m, f"[{_OPEN}{_CLOSE}]"), bound)).otherwise(none))
 
 
 def find_base(text: Column) -> dict[str, Column]:
