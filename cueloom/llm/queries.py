@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueloom.llm import decontamination, mixing, quality, secrets, sharding, simhash, toxicity, url_filter, warc
+from cueloom.llm import decontamination, mixing, quality, repeats, secrets, sharding, simhash, toxicity, url_filter, warc
 from cueloom.llm.common import scratch_path
 
 #: The rule list of op1.
@@ -43,6 +43,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.capture_histories(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = repeats.remove_repeats(table(spark, sf_dir, "documents"), keep=False)
+    return cleaned.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     stated = quality.base_statistics(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).drop("text")
     return quality.judge(stated).select("doc_id", *quality.STATISTICS, "base_failed", "kept")
@@ -82,7 +87,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.joined(F.col("spans"), base_only=True), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_decontamination, op4_warc, op6_quality, op7_toxicity, op8_sharding, op9_mixing, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_decontamination, op4_warc, op5_repeats, op6_quality, op7_toxicity, op8_sharding, op9_mixing, op10_secrets)}
 
 ORACLES: dict[str, str] = {
     "op1_url_filters": r"""
