@@ -13,11 +13,13 @@ DataFrame arithmetic.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cueloom.llm.common import quoted, ranked
+from cueloom.llm.common import quoted, ranked, replace_columns
 
 #: Slots of one period; a weight is rounded to a multiple of its inverse.
 PERIOD = 1_000
@@ -59,11 +61,11 @@ def pattern(shares: Mapping[str | None, int]) -> list[tuple[str | None, int, int
 
 def mix(docs: DataFrame, weights: Mapping[str | None, float], source: str = "source", order: tuple[str, ...] = ("doc_id",),
         period: int = PERIOD, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Every row's place in the mixture: (source, *order) plus block, release, deadline, slot and
-    place (row within the block).
+    """Every row's place in the mixture: adds block, release, deadline, slot and place (row within
+    the block); input columns of these names give way.
 
-    Rows of a source form blocks of ``block_rows`` in the given order (null ids first; repeated
-    rows stand beside each other). While every source has blocks left, any run of whole slots
+    Rows of a source form blocks of ``block_rows`` in the given order (null ids first). Rows with
+    equal source and order columns share one place. While every source has blocks left, any run of whole slots
     from the start deviates from the weights by less than one block; a source that has run out
     leaves its slots empty, so the others keep their proportions and no row is lost. Sources
     without a positive weight, null among them unless it is given one, follow after all others by
@@ -74,10 +76,9 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float], source: str = "sou
     table = spark.createDataFrame([(s, s is None, k, r, d, t) for s, k, r, d, t in period_rows], "w_source string, w_null boolean, w_k int, w_release long, w_deadline long, w_slot long")
     share = spark.createDataFrame([(s, s is None, n) for s, n in shares_of(weights, period).items()] if period_rows else [], "s_source string, s_null boolean, share int")
     names = [source, *order]
-    rows = docs.select(*[F.col(quoted(c)) for c in names])
     if len(set(names)) != len(names):
         raise ValueError("the source may not be part of the order")
-    at = ranked(rows, [F.col(quoted(c)) for c in names], "__rank")
+    at = ranked(docs.select(*[F.col(quoted(c)) for c in names]).distinct(), [F.col(quoted(c)) for c in names], "__rank")
     first = at.groupBy(source).agg(F.min("__rank").alias("__first"), F.count(F.lit(1)).alias("__n"))
     # At most one row for each source, and a period has at most ``period`` weighted ones; the others
     # are joined without a hint.
@@ -89,5 +90,9 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float], source: str = "sou
     at = at.join(F.broadcast(table), F.col(quoted(source)).eqNullSafe(F.col("w_source")) & (F.col("__k") == F.col("w_k")), "left")
     turn = (F.floor(F.col("block") / F.col("share")) * period).cast("long")
     last = at.agg(F.max(turn + period)).first()[0] or 0
-    return at.select(*[F.col(quoted(c)) for c in names], "block", (turn + F.col("w_release")).alias("release"), (turn + F.col("w_deadline")).alias("deadline"),
-                     F.coalesce(turn + F.col("w_slot"), F.lit(last) + F.floor(F.col("__rank") / block_rows)).cast("long").alias("slot"), "place")
+    slot = F.coalesce(turn + F.col("w_slot"), F.lit(last) + F.floor(F.col("__rank") / block_rows)).cast("long")
+    placed = at.select(*[F.col(quoted(c)).alias(f"__k{i}") for i, c in enumerate(names)], F.struct(
+        "block", (turn + F.col("w_release")).alias("release"), (turn + F.col("w_deadline")).alias("deadline"), slot.alias("slot"), "place").alias("__at"))
+    same = [F.col(quoted(c)).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(names)]
+    out = docs.join(placed, reduce(and_, same), "left")
+    return replace_columns(out.drop(*[f"__k{i}" for i in range(len(names))]), {c: F.col(f"__at.{c}") for c in ("block", "release", "deadline", "slot", "place")}).drop("__at")
