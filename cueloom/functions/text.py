@@ -13,6 +13,8 @@ BLOCKLIST = [
 ]
 EXTRA_DIRS = ["behind the scenes", "deleted scenes", "featurettes", "interviews", "scenes", "shorts", "trailers", "other", "extras"]
 VIDEO_EXTS = (".mkv", ".mp4", ".m4v")
+NAMED_PROMPT = ("This is ", ", a Japanese anime (English dub). Transcribe the spoken English accurately, with natural punctuation.")
+NEUTRAL_PROMPT = "Japanese anime, English dub. Transcribe the spoken English accurately, with natural punctuation."
 ALLPAGES_QUERY = "?action=query&list=allpages&apnamespace=0&aplimit=500&apfilterredir=nonredirects&format=json"
 
 
@@ -23,9 +25,8 @@ def let(value: Column, body) -> Column:
 
 def fmt_srt_ts(seconds: Column) -> Column:
     """Seconds -> HH:MM:SS,mmm; the seconds part is rounded by itself (59.9996 gives 60,000)."""
-    whole = F.floor(seconds)
-    rest = seconds - F.floor(whole / 60) * 60
-    return F.translate(F.format_string("%02d:%02d:%06.3f", F.floor(whole / 3600), F.floor(whole / 60) % 60, rest.cast("double")), ".", ",")
+    minutes = F.floor(seconds / 60).cast("long")
+    return F.translate(F.format_string("%02d:%02d:%06.3f", F.floor(minutes / 60).cast("long"), minutes % 60, (seconds - minutes * 60).cast("double")), ".", ",")
 
 
 def fmt_srt_ms(ms: Column) -> Column:
@@ -176,8 +177,8 @@ def glossary_term_list(terms: Column, cap: int = 1000) -> Column:
 
 def initial_prompt(curated: Column, show: Column) -> Column:
     """The curated prompt, or else a neutral one that names the show if it is known."""
-    named = F.concat(F.lit("English dub of "), F.nullif(show, F.lit("")), F.lit("."))
-    return F.coalesce(F.nullif(curated, F.lit("")), named, F.lit("English dub dialogue."))
+    named = F.concat(F.lit(NAMED_PROMPT[0]), F.nullif(show, F.lit("")), F.lit(NAMED_PROMPT[1]))
+    return F.coalesce(F.nullif(curated, F.lit("")), named, F.lit(NEUTRAL_PROMPT))
 
 
 def build_repair_prompt(line: Column, ref: Column, terms: Column, before: Column, after: Column) -> Column:
