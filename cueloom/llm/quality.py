@@ -27,8 +27,10 @@ STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_wor
 #: Share of a group's rows that an estimate covers, concentration steps, rows of the least group.
 COVERED, STEPS, LEAST_ROWS = 0.75, 4, 40
 #: Standard deviation that every transformed statistic has at least: where most rows of a group
-#: have the same value (no symbols, no repeated lines), its spread alone says nothing.
-FLOORS = (0.05, 0.4, 0.4, 0.6)
+#: have the same value (no symbols, no repeated lines), its spread alone says nothing. With these,
+#: repeats within the base limit, or a short text's odd word lengths, do not make an outlier by
+#: themselves.
+FLOORS = (0.08, 0.4, 0.7, 0.8)
 #: Median and the 0.99999 quantile of a chi-squared variable with four degrees of freedom.
 CHI2_MEDIAN, CHI2_CUTOFF = 3.3567, 28.473
 #: Width of the bins in which medians and distances (as logarithms) are counted.
