@@ -1,0 +1,422 @@
+"""Each operator against brute force, with nulls, empty and long texts, repeated rows, empty tables
+and clashing columns."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cueloom.llm import (
+    common, components, decontamination, mixing, quality, repeats, secrets, sharding, simhash, suffixes, toxicity, url_filter, warc,
+)
+
+rng = random.Random(7)
+WORDS = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "ëta", "theta", "iota", "kappa"]
+
+
+def words(n):
+    return " ".join(rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(n))
+
+
+LONG = words(30_000)
+TEXTS = [None, "", " ", "one two", words(40), words(40), words(200), LONG, "x" * 5_000, "tab\tand\nline\x0b" * 30]
+
+
+def documents(spark, rows, extra=""):
+    return spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string{extra}")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(i, t, "en", "s") for i, t in enumerate(TEXTS)] + [(4, TEXTS[4], "en", "s"), (None, TEXTS[5], None, None), (99, TEXTS[6], "de", None)]
+    return documents(spark, rows)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return documents(spark, [])
+
+
+# ---- shared helpers ------------------------------------------------------------------------------
+def test_scratch_dir_is_the_sessions(spark):
+    assert common.scratch_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_ranked(spark):
+    df = spark.createDataFrame([(i % 3, i) for i in range(100)], "a int, b int")
+    got = sorted((r["n"], r["a"], r["b"]) for r in common.ranked(df, [F.col("a"), F.col("b")], "n").collect())
+    assert [g[0] for g in got] == list(range(100)) and [g[1:] for g in got] == sorted((i % 3, i) for i in range(100))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components(spark, seed):
+    r = random.Random(seed)
+    pairs = [(r.randrange(60), r.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)] + [(None, 3), (5, 5)]
+    root = {}
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    for a, b in pairs:
+        if a is not None and a != b and find(a) != find(b):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    got = {x["node"]: x["root"] for x in components.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root}
+
+
+def test_components_of_nothing(spark):
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# ---- 1 -------------------------------------------------------------------------------------------
+RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/fr/", "block"), ("Example.ORG", "/a", "block"), (None, "/", "block")]
+URLS = ["http://www.Example.com/en/1", "https://example.com/en/x?q#f", "http://example.com/EN/", "ftp://a.b.net/fr/2", "http://net", "http://xnet/fr/", None, "no scheme", "http://", "http://a..com/x", "http://x.example.org/abc", "http://example.org?/a", "a://b://c.net/fr/", "http://www.Example.com/en/1"]
+
+
+def judge(url):
+    m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+    host, path = (m[1].translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")), m[2]) if m else ("", "")
+    hits = [(len(h + p), h.lower() + p, v) for h, p, v in RULES if h and (host == h.lower() or host.endswith("." + h.lower())) and path.startswith(p)]
+    return (host, path, *(max(hits)[1:] if hits else (None, "allow")))
+
+
+@pytest.mark.parametrize("limit", [1000, 0])
+def test_url_filter(spark, limit):
+    pages = spark.createDataFrame([(i, u, "x", 1) for i, u in enumerate(URLS)], "page_id int, url string, Verdict string, `a.b` int")
+    out = url_filter.filter_urls(pages, url_filter.rules_frame(spark, RULES), broadcast_rules=limit)
+    assert sorted(out.columns) == ["a.b", "host", "page_id", "path", "rule", "url", "verdict"]
+    assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in out.collect()} == {i: judge(u) for i, u in enumerate(URLS)}
+
+
+def test_url_filter_without_rules(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/")], "page_id int, url string")
+    assert url_filter.filter_urls(pages, url_filter.rules_frame(spark, [])).first()["verdict"] == "allow"
+    assert url_filter.filter_urls(pages.limit(0), url_filter.rules_frame(spark, RULES)).count() == 0
+
+
+# ---- 2 -------------------------------------------------------------------------------------------
+def brute_components(fps, distance):
+    root = {f: f for f in fps}
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a in fps:
+        for b in fps:
+            if a != b and bin(int(a, 16) ^ int(b, 16)).count("1") <= distance:
+                root[find(a)] = find(b)
+    return {f: frozenset(g for g in fps if find(g) == find(f)) for f in fps}
+
+
+@pytest.mark.parametrize("bucket", [4096, 2])
+def test_links_connect_all_within_distance(spark, bucket):
+    r = random.Random(3)
+    base = [r.getrandbits(64) for _ in range(12)]
+    near = [b ^ sum(1 << k for k in r.sample(range(64), r.randrange(6))) for b in base for _ in range(12)]
+    fps = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in {*base, *near, 0}], "f0 long")
+    links = simhash.fingerprint_links(fps, 64, 4, simhash.needed_segments(4), bucket).collect()
+    assert all(bin(int(x["a"], 16) ^ int(x["b"], 16)).count("1") <= 4 for x in links)
+    got = {x["node"]: x["root"] for x in components.connected_components(spark.createDataFrame(links, "a string, b string")).collect()}
+    want = brute_components([format(x, "016x") for x in {*base, *near, 0}], 4)
+    assert all((got.get(a, a) == got.get(b, b)) == (b in want[a]) for a in want for b in want)
+
+
+def test_near_duplicates_of_odd_rows(spark, odd, none):
+    got = [tuple(r) for r in simhash.near_duplicates(odd, shingle=4, bits=64, distance=4, segments=3).collect()]
+    assert len(got) == odd.count()
+    assert {r[2] for r in got if r[1] == "0" * 16} == {0} and (None, 5) in {(r[0], r[2]) for r in got}
+    assert simhash.near_duplicates(none).count() == 0
+
+
+def test_representatives(spark):
+    text = words(300)
+    changed = text.replace(text.split()[150], "other")
+    docs = documents(spark, [(3, text, "en", "s"), (1, changed, "en", "s"), (2, text, "en", "s"), (4, words(300), "en", "s"), (None, text, "en", "s")])
+    assert sorted(str(r["doc_id"]) for r in simhash.keep_representatives(docs).collect()) == ["1", "4", "None"]
+
+
+def test_found_share():
+    assert simhash.found_share(0.9) > 0.99 and 0.9 < simhash.found_share(0.8) < 0.95
+
+
+# ---- 3 -------------------------------------------------------------------------------------------
+def brute_contamination(docs, items):
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(low))
+    windows = {}
+    for i, t in items:
+        w = split(t)
+        n = min(13, len(w))
+        for k in range(len(w) - n + 1 if w else 0):
+            windows.setdefault(tuple(w[k : k + n]), set()).add("" if i is None else str(i))
+    out = []
+    for d, t in docs:
+        w, hit, names = split(t), set(), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in windows:
+                    hit |= set(range(k, k + n))
+                    names |= windows[tuple(w[k : k + n])]
+        out.append((d, len(w), len(hit), sorted(names), bool(hit) and 20 * len(hit) >= len(w)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize(("block", "shard"), [(32 << 20, 1_000_000), (400, 50)])
+def test_contamination(spark, monkeypatch, block, shard):
+    monkeypatch.setattr(decontamination, "SHARD_WORDS", shard)
+    items = [(1, words(30)), (2, words(14)), (3, "Short item"), (4, None), (None, words(13)), (5, ""), (6, words(30) + "é"), (1, words(20))]
+    plant = [t for _, t in items if t]
+    docs = [(i, f"{words(rng.randrange(60))} {rng.choice(plant)} {words(rng.randrange(60))}. {rng.choice(plant).upper()}") for i in range(40)]
+    docs += [(100, None), (101, ""), (102, words(300)), (103, plant[0][: len(plant[0]) // 2]), (1, docs[1][1]), (None, plant[0])]
+    frame = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, N_Hit string")
+    # one part, so that the changed constant holds: tasks read it where the module is imported
+    got = decontamination.find_contamination(frame, spark.createDataFrame(items, "item_id int, text string"), block_bytes=block)
+    assert sorted([(r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in got.collect()], key=str) == brute_contamination(docs, items)
+
+
+def test_contamination_in_small_shards():
+    items = [(str(i), words(20).encode()) for i in range(5)]
+    test = decontamination.TestSet(items)
+    text = b" ".join([items[0][1], words(50).encode(), items[1][1]] * 3)
+    ids = np.concatenate([test.ids(text), [0]]).astype(np.int32)
+    whole = sorted(zip(*[x.tolist() for x in test.find(ids)[:2]], strict=True))
+    parts = [(p + lo, w) for lo in range(0, len(ids), 25) for p, w in zip(*[x.tolist() for x in test.find(ids[lo : lo + 37])[:2]], strict=True) if p < 25]
+    assert sorted(parts) == whole and test.find(ids)[2].max() == 20
+
+
+def test_contamination_of_nothing(spark, odd, none):
+    items = spark.createDataFrame([], "item_id int, text string")
+    assert {r["n_hit"] for r in decontamination.find_contamination(odd, items).collect()} == {0}
+    assert decontamination.find_contamination(none, items).count() == 0
+
+
+# ---- 4 -------------------------------------------------------------------------------------------
+def test_archives(spark, tmp_path):
+    html = ["<p>a</p>", "<p>a</p>", None, "", "é" * 50, "WARC/1.1\r\n\r\n" * 3, "<p>a</p>", "big" * 100_000]
+    rows = [(i, f"http://h{i % 3}.example.com/p?{i}", h) for i, h in enumerate(html)] + [(None, None, "<p>a</p>"), (50, "http://x\n.org", "q"), (50, "http://x\n.org", "q")]
+    path = f"file://{tmp_path}/archives"
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path, archive_records=3)
+    got = warc.capture_histories(spark, path).collect()
+    latest = {}
+    for i, _, h in rows:
+        latest[h or ""] = max(latest.get(h or "", -1), -1 if i is None else i)
+    import base64
+
+    want = [(i, len((h or "").encode()), base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode(), *(("response", None) if i == latest[h or ""] else ("revisit", latest[h or ""]))) for i, _, h in rows]
+    assert sorted([(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got], key=str) == sorted(want, key=str)
+    order = [(r["urlkey"], r["timestamp"]) for r in got]
+    assert order == sorted(order)
+
+
+@pytest.mark.parametrize("k", [0, 1, 2, 3, 7, 16])
+def test_loser_tree(k):
+    runs = [sorted((rng.randrange(50),) for _ in range(rng.randrange(9))) for _ in range(k)]
+    got = [runs[r][i] for r, i in warc.LoserTree(runs)]
+    assert got == sorted(x for run in runs for x in run)
+
+
+# ---- 5 -------------------------------------------------------------------------------------------
+def brute_repeats(rows):
+    seen, out = set(), []
+    for d, t in sorted(rows):
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - 99):
+            if b[i : i + 100] in seen:
+                gone[i : i + 100] = b"\1" * 100
+            seen.add(b[i : i + 100])
+        spans = sum(1 for i in range(len(gone)) if gone[i] and (i == 0 or not gone[i - 1]))
+        out.append((d, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("most", [8192, 1])
+def test_repeats(spark, most):
+    passages = [words(30), words(60), "the " * 100, "é" * 120, "z" * 150]
+    rows = [(i, words(rng.randrange(50)) + rng.choice(passages) + words(rng.randrange(50)) + rng.choice(passages)) for i in range(60)]
+    rows += [(100, None), (101, ""), (102, rows[3][1]), (103, passages[0][:99]), (104, passages[0][:100])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = repeats.remove_repeats(docs, most_contexts=most).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for r in got) == brute_repeats(rows)
+    assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in got)
+
+
+def test_repeats_of_odd_rows(spark, odd, none):
+    got = {(r["doc_id"], r["n_bytes"]): r["n_removed"] for r in repeats.remove_repeats(odd).collect()}
+    # the null id comes first, so its copy in 5 goes; the two equal rows 4 are one document
+    assert got[5, len(TEXTS[5].encode())] == len(TEXTS[5].encode()) and got[None, len(TEXTS[5].encode())] == 0
+    assert got[4, len(TEXTS[4].encode())] == 0 and got[99, len(TEXTS[6].encode())] > 0
+    assert repeats.remove_repeats(none).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_two_stage_array(seed):
+    r = np.random.default_rng(seed)
+    texts = [bytes(r.integers(97, 97 + r.integers(1, 4), r.integers(0, 60)).astype(np.uint8)) for _ in range(r.integers(1, 5))]
+    data = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8) + np.uint8(1)
+    ends = np.flatnonzero(data == 0)
+    array, _ = repeats.two_stage_array(data, ends)
+    suffix = lambda i: bytes(data[i : ends[np.searchsorted(ends, i)] + 1])
+    assert array.tolist() == sorted(range(len(data)), key=lambda i: (suffix(i), i))
+
+
+def test_sort_suffixes_levels():
+    values = np.array([[1, 2], [1, 1], [0, 9], [1, 2]])
+    order, tied = suffixes.sort_suffixes(np.arange(4), lambda s, k: values[s, k].astype(np.uint64), 2)
+    assert order.tolist() == [2, 1, 0, 3] and tied.tolist() == [False, False, False, True]
+
+
+# ---- 6 -------------------------------------------------------------------------------------------
+def brute_statistics(t):
+    t = t or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    at = {}
+    for i in range(len(w) - 7):
+        at.setdefault(tuple(w[i : i + 8]), []).append(i)
+    hit = {j for v in at.values() if len(v) > 1 for i in v for j in range(i, i + 8)}
+    return len(w), sum(map(len, w)), sum(c in quality.SYMBOLS for c in t), len(lines) - len(set(lines)), len(hit)
+
+
+def test_statistics(spark):
+    texts = [*TEXTS, "a b c d e f g h " * 5, "x\ny\nx\n\n \n x", "#*$%&|<> é", words(30) + " " + words(9) * 2, "a " * 100]
+    out = quality.base_statistics(documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]).withColumn("n_WORDS", F.lit("x")))
+    for r in out.collect():
+        assert tuple(r[c] for c in quality.STATISTICS) == brute_statistics(texts[r["doc_id"]])
+
+
+def test_outliers_go_and_clean_rows_stay(spark):
+    rows = [(i, words(rng.randrange(30, 300)), "en", "s") for i in range(300)] + [(1000 + i, " ".join("#$%" + w for w in words(60).split()), "en", "s") for i in range(20)]
+    rows += [(2000, None, None, None), (2001, words(50), None, "tiny"), (2002, "few words", "en", "s")]
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge(quality.base_statistics(documents(spark, rows)).drop("text")).collect()}
+    assert all(kept[i] for i in range(300)) and not any(kept[1000 + i] for i in range(20))
+    assert not kept[2000] and kept[2001] and not kept[2002]
+
+
+def test_quality_of_nothing(spark, none):
+    assert quality.judge(quality.base_statistics(none)).count() == 0
+
+
+def test_covariance_is_that_of_numpy(spark):
+    x = np.random.default_rng(1).normal(size=(500, 4)) @ np.array([[1, 0.5, 0, 0], [0, 1, 0.3, 0], [0, 0, 1, 0.2], [0, 0, 0, 1.5]])
+    rows = spark.createDataFrame([("g", *map(float, v)) for v in x], "g string, x0 double, x1 double, x2 double, x3 double")
+    r = quality._estimate(rows, ["g"], 4).first()
+    low = np.zeros((4, 4))
+    low[np.tril_indices(4)] = r["root"]
+    assert np.allclose(low @ low.T, np.cov(x.T, bias=True) + np.diag(np.square(quality.FLOORS))) and np.allclose(r["center"], x.mean(0))
+
+
+# ---- 7 -------------------------------------------------------------------------------------------
+def test_toxicity(spark):
+    bad = ["wretch", "vermin", "scoundrel"]
+    rows = [(i, words(60) + (" " + rng.choice(bad) + " " + words(5) if i % 4 == 0 else ""), "en", "s") for i in range(800)]
+    docs = documents(spark, rows + [(None, None, "en", "s"), (9001, "", "en", "s"), (9002, LONG, "en", "s")])
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(800)] + [(None, 1), (3, None), (8, 1)], "doc_id long, toxic int")
+    model = toxicity.train(toxicity.labelled_rows(docs, labels))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    held = {r["doc_id"] for r in docs.where(toxicity.held_out(F.col("doc_id"))).collect()} - {None, 9001, 9002}
+    assert len(held) > 100 and np.mean([(got[i] >= 0.5) == (i % 4 == 0) for i in held]) > 0.97
+    assert all(0 <= s <= 1 for s in got.values()) and got[9001] == got[None] and got[9002] < 0.5
+
+
+def test_toxicity_without_labels(spark, odd, none):
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    model = toxicity.train(toxicity.labelled_rows(odd, labels))
+    assert {r["score"] for r in toxicity.score(odd, model).collect()} == {0.5}
+    assert toxicity.score(none, model).count() == 0
+
+
+def test_features_of_a_long_text_do_not_depend_on_the_chunk(monkeypatch):
+    mark = np.zeros(1 << toxicity.BITS, bool)
+    whole = toxicity.features(LONG, mark)
+    monkeypatch.setattr(toxicity, "_CHUNK", 1000)
+    assert (toxicity.features(LONG, mark) == whole).all() and not mark.any()
+
+
+# ---- 8 -------------------------------------------------------------------------------------------
+def need(sizes, capacity):
+    n, held = 1, 0
+    for s in sizes:
+        if held + s > capacity:
+            n, held = n + 1, 0
+        held += s
+    return n
+
+
+@pytest.mark.parametrize("cells", [65_536, 40])
+def test_shards_are_minimax(spark, cells):
+    rows = [(i, words(rng.randrange(1, 80)), "en", "s") for i in range(300)]
+    rows += [(400 + i, rows[7][1], "en", "s") for i in range(20)] + [(500, None, "en", "s"), (501, "", "en", "s"), (502, None, "en", "s")]
+    got = sharding.shard_documents(documents(spark, rows), 7, cells=cells).collect()
+    first, size = {}, {}
+    for i, t, *_ in rows:
+        first[t] = min(first.get(t, i), i)
+        size[t] = size.get(t, 0) + len((t or "").encode()) + 1
+    sizes = [size[t] for t in sorted(first, key=first.get)]
+    least = next(c for c in range(max(sizes), sum(sizes) + 1) if need(sizes, c) <= 7)
+    by, group = {}, {}
+    for r in got:
+        by[r["shard"]] = by.get(r["shard"], 0) + len((r["text"] or "").encode()) + 1
+        assert group.setdefault(r["text"], r["shard"]) == r["shard"]
+    assert max(by.values()) == least and len(got) == len(rows)
+
+
+def test_slots_have_no_gap(spark, odd, none):
+    rows = sharding.shard_documents(odd, 3).select("doc_id", "shard", "group_start")
+    by = {}
+    for r in sharding.number_slots(rows, ["doc_id"]).collect():
+        by.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert sharding.shard_documents(none).count() == 0
+
+
+# ---- 9 -------------------------------------------------------------------------------------------
+@pytest.mark.parametrize("seed", range(5))
+def test_pattern_deviates_by_less_than_a_block(seed):
+    r = random.Random(seed)
+    shares = mixing.shares_of({f"s{i}": r.random() ** 3 + 0.001 for i in range(r.randrange(1, 30))}, 500)
+    assert sum(shares.values()) == 500
+    count = dict.fromkeys(shares, 0)
+    for source, k, release, deadline, slot in mixing.pattern(shares):
+        assert release <= slot < deadline and k == count[source]
+        count[source] += 1
+        assert all(abs(count[s] - shares[s] * (slot + 1) / 500) < 1 for s in shares)
+
+
+def test_mix_keeps_all_rows(spark, odd, none):
+    weights = {"s": 3.0, "t": 1.0}
+    docs = odd.unionByName(documents(spark, [(200 + i, "x", "en", "t") for i in range(40)])).withColumn("SLOT", F.lit("x"))
+    got = mixing.mix(docs, weights, block_rows=2, period=4).collect()
+    assert len(got) == docs.count()
+    slots = {}
+    for r in got:
+        slots.setdefault(r["slot"], set()).add((r["source"], r["block"]))
+    assert all(len(v) == 1 for v in slots.values()) and max(r["slot"] for r in got if r["source"]) < min(r["slot"] for r in got if not r["source"])
+    assert mixing.mix(none, weights).count() == 0 and mixing.mix(odd, {}).count() == odd.count()
+
+
+# ---- 10 ------------------------------------------------------------------------------------------
+def brute_spans(t):
+    t = t or ""
+    found = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    return [(s, e, secrets.KINDS[k]) for s, k, e in sorted(found)]
+
+
+SECRETS = ["token=abc", "PassWord: 'abc+/9='", 'token: "token":abcdefgh', "api_key = secret=abcdefgh", "apikey:short", "AKIA" + "Z9" * 9, "AKIA12AKIA" + "Q" * 17, "0123456789abcdef" * 3, "é token=éabcdefg x\u0001y\u0002 secret:123456", "token=aaaaaa " * 700, "ſecret=abcdefgh", "toKen=abcdefgh"]
+
+
+def test_spans(spark, odd, none):
+    texts = [*TEXTS, *SECRETS, words(10).join(SECRETS)]
+    docs = documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]).withColumn("Spans", F.lit(1))
+    for r in secrets.scan(docs, [0.0] * len(secrets.ALPHABET) ** 2).collect():
+        assert [(s["start"], s["end"], s["kind"]) for s in r["spans"]] == brute_spans(texts[r["doc_id"]])
+    assert secrets.scan(none, secrets.train(secrets.samples_from(none))).count() == 0
+
+
+def test_markov_finds_a_bare_random_string(spark):
+    r = random.Random(5)
+    chars = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    samples = [("".join(r.choices(chars, k=32)), True, 1) for _ in range(300)] + [(re.sub("[^a-z]", "", words(6)), False, 1) for _ in range(300)]
+    model = secrets.train(spark.createDataFrame(samples, "token string, random boolean, n long"))
+    texts = ["see " + "".join(r.choices(chars, k=40)), "see " + re.sub("[^a-z]", "", words(8))]
+    out = {x["doc_id"]: [s["kind"] for s in x["spans"]] for x in secrets.scan(documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), model).collect()}
+    assert out == {0: ["markov"], 1: []}
