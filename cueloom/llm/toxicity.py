@@ -119,16 +119,22 @@ def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
         return none
     sets = [np.frombuffer(r[2], np.int32) for r in got]
     y = np.array([r[1] for r in got], float)
+    del got, totals
     return _fit(sets, y, np.where(y == 1, 1 / share[True], 1 / share[False]), scale)
 
 
 def _fit(sets: list[np.ndarray], y: np.ndarray, weight: np.ndarray, scale: np.ndarray) -> Model:
     """Weighted ridge logistic regression by accelerated gradient descent."""
-    names, column = np.unique(np.concatenate(sets), return_inverse=True)
+    used = np.concatenate(sets)
+    names = np.flatnonzero(np.bincount(used, minlength=len(scale)))
     if not len(names):
         return Model(np.zeros(len(scale)), float(np.log((weight[y == 1].sum() + 1) / (weight[y == 0].sum() + 1))))
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    x = scale[names][column]
+    place = np.zeros(len(scale), np.int32)
+    place[names] = np.arange(len(names))
+    column = place[used]
+    row = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+    x = scale[used].astype(np.float32)
+    del used
     weight = weight / weight.sum()
     # A step that no direction overshoots: the largest squared norm of a row bounds the curvature.
     norm = np.bincount(row, x * x, len(sets))
