@@ -235,11 +235,11 @@ def stream_mine(spark, sf_dir):
 
 @query()
 def stream_spans(spark, sf_dir):
-    w = A.v_words(spark, sf_dir).select(*KEYS, "pos", (F.col("start") / 1000).alias("start"), (F.col("end") / 1000).alias("end"), F.timestamp_seconds(F.col("start") / 1000).alias("ts"))
+    w = A.v_words(spark, sf_dir).select(*KEYS, "pos", (F.col("start") / 1000).alias("start"), (F.col("end") / 1000).alias("end"), F.timestamp_seconds(3600 + F.col("start") / 1000).alias("ts"))
     return _drain(streams.stream_spans(_landed(w, spark, "words", 1), delay="100000 days"), spark, "spans-out")
 
 
 @query()
 def stream_collapse(spark, sf_dir):
-    c = A.v_repeat_cards(spark, sf_dir).withColumns({"start": F.col("start") / 1000, "end": F.col("end") / 1000, "ts": F.timestamp_seconds(F.col("start") / 1000)})
+    c = A.v_repeat_cards(spark, sf_dir).withColumns({"start": F.col("start") / 1000, "end": F.col("end") / 1000, "ts": F.timestamp_seconds(3600 + F.col("start") / 1000)})
     return _drain(streams.stream_collapse(_landed(c, spark, "cards", 1), delay="100000 days"), spark, "runs-out")

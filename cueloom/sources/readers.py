@@ -34,10 +34,11 @@ def read_conf(spark: SparkSession, path: str, episodes: DataFrame) -> tuple[Data
     """(status, cards) of files <episode>.dubtitles.conf.json, each a JSON list. Status is no-conf,
     bad-conf or ok; rows without a valid span are left out."""
     files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^(.*)\.dubtitles\.conf\.json$", 1).alias("episode"), F.trim("value").alias("body"))
-    parsed = files.withColumn("rows", F.when(F.startswith("body", F.lit("[")), F.from_json("body", f"array<struct<{CONF_ROW.replace(' ', ':').replace(',:', ',')}>>")))
+    # Element by element, so that one that is no object spoils no other.
+    parsed = files.withColumn("rows", F.when(F.startswith("body", F.lit("[")), F.from_json("body", "array<string>")))
     status = episodes.join(parsed.select("episode", F.lit(True).alias("__there"), "rows"), "episode", "left")
     status = status.select("episode", F.when(F.col("__there").isNull(), "no-conf").when(F.col("rows").isNull(), "bad-conf").otherwise("ok").alias("status"))
-    cards = parsed.select("episode", F.posexplode("rows").alias("card_no", "r")).where("r is not null")
+    cards = parsed.select("episode", F.posexplode("rows").alias("card_no", "r")).where("startswith(r, '{')").withColumn("r", F.from_json("r", CONF_ROW))
     cards = cards.select("episode", "card_no", F.col("r.start").try_cast("double").alias("start"), F.col("r.end").try_cast("double").alias("end"), "r.text", "r.avg_logprob", "r.no_speech_prob", "r.flag", "r.word_probs")
     return status, cards.where("start >= 0 and end > start")
 
@@ -86,8 +87,7 @@ def read_wordlist(spark: SparkSession, path: str | None, fallback: list[str] | N
     if drop_apostrophe:
         words = words.where("not contains(word, \"'\")")
     words = words.distinct()
-    spare = spark.createDataFrame([(w,) for w in fallback or EXTRA_DIRS], "word string")
-    return words.unionByName(spare.join(words.limit(1).select(F.lit(1).alias("__one")), F.lit(True), "left_anti"))
+    return words if words.take(1) else spark.createDataFrame([(w,) for w in fallback or EXTRA_DIRS], "word string")
 
 
 def wordlist_union(*lists: DataFrame) -> DataFrame:
