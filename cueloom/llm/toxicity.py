@@ -28,6 +28,7 @@ PENALTY, ROUNDS = 1e-4, 200
 #: Label rows (16 bytes each) up to this number are broadcast; more are joined by shuffle.
 BROADCAST_LABELS = 2_000_000
 _CHUNK = 1 << 18
+_FIT_ROWS = 512
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -129,29 +130,36 @@ def _fit(sets: list[np.ndarray], y: np.ndarray, weight: np.ndarray, scale: np.nd
     names = np.flatnonzero(np.bincount(used, minlength=len(scale)))
     if not len(names):
         return Model(np.zeros(len(scale)), float(np.log((weight[y == 1].sum() + 1) / (weight[y == 0].sum() + 1))))
+    del used
     place = np.zeros(len(scale), np.int32)
     place[names] = np.arange(len(names))
-    column = place[used]
-    row = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
-    x = scale[used].astype(np.float32)
-    del used
     weight = weight / weight.sum()
+    # Blocks of rows, so that what a round makes besides stays small.
+    blocks = []
+    for lo in range(0, len(sets), _FIT_ROWS):
+        part = sets[lo : lo + _FIT_ROWS]
+        flat = np.concatenate(part)
+        blocks.append((place[flat], scale[flat].astype(np.float32), np.repeat(np.arange(len(part), dtype=np.int32), [len(f) for f in part]), y[lo : lo + _FIT_ROWS], weight[lo : lo + _FIT_ROWS]))
     # A step that no direction overshoots: the largest squared norm of a row bounds the curvature.
-    norm = np.bincount(row, x * x, len(sets))
-    step = 4 / (1 + np.average(norm, weights=weight) * 2)
+    norm = sum(float(q @ np.bincount(r, x * x, len(q))) for _, x, r, _, q in blocks)
+    step = 4 / (1 + norm * 2)
     w, b = np.zeros(len(names)), float(np.log(weight[y == 1].sum() / weight[y == 0].sum()))
     v, c, before = w, b, np.inf
     for k in range(ROUNDS):
-        z = np.bincount(row, x * v[column], len(sets)) + c
-        off = weight * (1 / (1 + np.exp(-z)) - y)
-        loss = float((weight * (np.logaddexp(0, z) - y * z)).sum() + PENALTY / 2 * (v * v).sum())
+        slope, lean, loss = PENALTY * v, 0.0, PENALTY / 2 * float(v @ v)
+        for column, x, row, t, q in blocks:
+            z = np.bincount(row, x * v[column], len(t)) + c
+            off = q * (1 / (1 + np.exp(-z)) - t)
+            loss += float(q @ (np.logaddexp(0, z) - t * z))
+            slope += np.bincount(column, x * off[row], len(names))
+            lean += float(off.sum())
         if loss > before * 1.0001:
             step /= 2
             v, c = w, b
             before = np.inf
             continue
         before = loss
-        new, new_b = v - step * (np.bincount(column, x * off[row], len(names)) + PENALTY * v), c - step * off.sum()
+        new, new_b = v - step * slope, c - step * lean
         v, c = new + k / (k + 3) * (new - w), new_b + k / (k + 3) * (new_b - b)
         w, b = new, new_b
     full = np.zeros(len(scale))
