@@ -113,5 +113,36 @@ SELECT page_id, strlen(body) AS payload_bytes,
        CASE WHEN page_id IS NULL AND latest IS NOT NULL OR page_id < latest THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN page_id IS NULL OR page_id < latest THEN latest END AS refers_to
 FROM p
+""",
+    "op3_decontamination": r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+hit AS (SELECT doc_id, i, n, item_id FROM dw JOIN bw USING (n, g)),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+""",
+    "op9_mixing": """
+WITH RECURSIVE w AS (
+  SELECT source, (CASE source WHEN 'src0' THEN 4 WHEN 'src1' THEN 3 WHEN 'src2' THEN 2 ELSE 1 END)::DOUBLE AS w FROM (SELECT DISTINCT source FROM documents)),
+e AS (SELECT source, w / (SELECT sum(w) FROM w) * 1000 AS x FROM w),
+f AS (SELECT source, x, greatest(1, floor(x))::BIGINT AS base FROM e),
+s AS (SELECT source, base + CASE WHEN row_number() OVER (ORDER BY base - x, source) <= 1000 - (SELECT sum(base) FROM f) THEN 1 ELSE 0 END AS share FROM f),
+l AS (SELECT list(source ORDER BY source) AS names, list(share ORDER BY source) AS shares FROM s),
+run(slot, done, pick) AS (
+  SELECT -1::BIGINT, list_transform(names, lambda x: 0::BIGINT), 0::BIGINT FROM l
+  UNION ALL
+  SELECT slot, list_transform(done, lambda d, i: d + CASE WHEN i = pick THEN 1 ELSE 0 END), pick FROM (
+    SELECT slot + 1 AS slot, done, list_min(list_filter(list_transform(range(1, len(names) + 1), lambda i: {
+      'due': ((done[i] + 1) * 1000 + shares[i] - 1) // shares[i], 'next': ((done[i] + 2) * 1000)::DOUBLE / shares[i], 'name': names[i], 'i': i,
+      'ready': done[i] < shares[i] AND done[i] * 1000 // shares[i] <= slot + 1}), lambda c: c.ready)).i AS pick
+    FROM run, l WHERE slot < 999)),
+p AS (SELECT names[pick] AS source, done[pick] - 1 AS k, slot FROM run, l WHERE slot >= 0),
+r AS (SELECT doc_id, source, (n // 16)::BIGINT AS block, (n % 16)::INT AS place FROM (SELECT *, dense_rank() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n FROM documents))
+SELECT doc_id, source, block, block // share * 1000 + p.k * 1000 // share AS release, block // share * 1000 + ((p.k + 1) * 1000 + share - 1) // share AS deadline, block // share * 1000 + p.slot AS slot, place
+FROM r JOIN s USING (source) JOIN p ON p.source = r.source AND p.k = r.block % share
 """,
 }
