@@ -191,7 +191,7 @@ def fingerprint_links(fps: DataFrame, bits: int = BITS, distance: int = DISTANCE
     wildcard = F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit") % 64))
     # Each distinct fingerprint makes ``bits`` rows, so they are spread before that.
     spread = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    variants = (fps.select(*words).distinct().repartition(spread, *words).withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
+    variants = (fps.select(*words).distinct().repartition(spread, F.xxhash64(*words)).withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
                 .withColumn("value", word.bitwiseAND(F.element_at(wide, F.col("bit") + 1)).bitwiseAND(wildcard)))
     large = (variants.groupBy("bit", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket)
              .select("bit", "value", F.ceil(F.col("n") / bucket).cast("int").alias("blocks")))
