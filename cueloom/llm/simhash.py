@@ -5,8 +5,9 @@ have one segment in which at most one bit differs. Each segment is indexed once
 bits with that bit wiped out (a one-wildcard variant); fingerprints with an equal variant meet, and
 the full distance is verified.
 
-That is certain up to 2 x segments - 1 differing bits. Beyond, it holds with the chance that some
-segment happens to differ by at most one bit; ``found_share`` gives it.
+That is certain up to 2 x segments - 1 differing bits, so the number of segments follows from the
+distance. With fewer, it holds with the chance that some segment happens to differ by at most one
+bit; ``found_share`` gives it.
 """
 
 from __future__ import annotations
@@ -25,16 +26,18 @@ from cueloom.llm.components import connected_components
 
 SHINGLE_WORDS = 5
 #: The general operator's fingerprint: 128 bits, of which 21 may differ (share of equal shingles
-#: about 0.8 or more), cut into 8 segments.
-BITS, DISTANCE, SEGMENTS = 128, 21, 8
+#: about 0.8 or more), cut into as many segments as make it certain that such a pair meets.
+BITS, DISTANCE = 128, 21
 #: The first 64 bits are those of XXH64 with this seed, the next 64 those with the next seed.
 SEED = 42
 #: Fingerprints of one variant that one task compares with each other at a time.
-BUCKET = 4_096
+BUCKET = 32_768
 #: Up to this many, a bucket's verified pairs are all reported; beyond, a spanning forest of them.
 SMALL = 32
 #: Shingles whose hashes are held at a time.
 _CHUNK = 1 << 16
+#: Pairs of fingerprints that are compared in one step.
+_PAIRS = 1 << 17
 
 
 def cut(bits: int, segments: int) -> list[tuple[int, int]]:
@@ -50,8 +53,22 @@ def needed_segments(distance: int) -> int:
     return distance // 2 + 1
 
 
-def found_share(similarity: float, bits: int = BITS, segments: int = SEGMENTS) -> float:
-    """The chance that two texts with this share of equal shingles meet in some variant."""
+def certain_segments(distance: int, bits: int) -> int:
+    """``needed_segments``, raised to as many for each 64-bit word, since ``cut`` deals them evenly."""
+    words = bits // 64
+    return -(-needed_segments(distance) // words) * words
+
+
+def linked_share(similarity: float, bits: int = BITS, distance: int = DISTANCE) -> float:
+    """The chance that two texts with this share of equal shingles are within ``distance`` bits,
+    which links them if they surely meet."""
+    p = acos(2 * similarity / (1 + similarity)) / pi
+    return sum(comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(distance + 1))
+
+
+def found_share(similarity: float, bits: int = BITS, segments: int = 8) -> float:
+    """The chance that two texts with this share of equal shingles meet in some variant of so many
+    segments, however many bits differ."""
     p = acos(2 * similarity / (1 + similarity)) / pi
     miss = 1.0
     for _, w in cut(bits, segments):
@@ -139,7 +156,9 @@ class _Buckets:
 
     def _forest(self, fps: np.ndarray, split: int, variant: int) -> np.ndarray:
         """split < len(fps): only pairs across two blocks of a bucket, first and second side."""
-        n, seen, links = len(fps), np.zeros(len(fps), bool), []
+        near = self._near(fps, split)
+        split, fps = len(near) if split == len(fps) else int(np.searchsorted(near, split)), fps[near]
+        n, seen, links = len(fps), np.zeros(len(fps), bool), [np.zeros((0, 2 * self.words), np.uint64)]
         for root in range(n):
             if seen[root]:
                 continue
@@ -154,6 +173,20 @@ class _Buckets:
                 links.append(np.concatenate([np.repeat(fps[i : i + 1], len(at), 0), fps[at]], 1))
         return np.concatenate(links)
 
+    def _near(self, fps: np.ndarray, split: int) -> np.ndarray:
+        """The rows, in order, that have another within the distance; pairs as in ``_forest``."""
+        n, near, words = len(fps), np.zeros(len(fps), bool), np.ascontiguousarray(fps.T)
+        step, end = max(1, _PAIRS // n), min(n, split)
+        for lo in range(0, end, step):
+            hi, to = min(end, lo + step), lo if split == n else split
+            apart = sum((np.bitwise_count(w[lo:hi, None] ^ w[None, to:]) for w in words[1:]), np.bitwise_count(words[0][lo:hi, None] ^ words[0][None, to:]))
+            close = apart <= self.distance
+            if split == n:
+                np.fill_diagonal(close, False)
+            i, j = np.nonzero(close)
+            near[lo + i] = near[to + j] = True
+        return np.flatnonzero(near)
+
     def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches sorted by key; a bucket may go on in the next batch."""
         keys, fps = np.zeros((0, 5), np.int64), np.zeros((0, self.words), np.uint64)
@@ -177,14 +210,16 @@ class _Buckets:
         return [f"{end}{k}" for end in "ab" for k in range(self.words)]
 
 
-def fingerprint_links(fps: DataFrame, bits: int = BITS, distance: int = DISTANCE, segments: int = SEGMENTS, bucket: int = BUCKET) -> DataFrame:
+def fingerprint_links(fps: DataFrame, bits: int = BITS, distance: int = DISTANCE, segments: int | None = None, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b), as hex digits, between the distinct fingerprints in ``fps`` (f0, f1, ...)
     that connect all those which meet and are within ``distance`` bits; each link is verified.
+    All within the distance meet, unless fewer ``segments`` are asked for.
 
     A variant shared by more than ``bucket`` fingerprints is split into blocks, and every two of
     its blocks meet in a task of their own. Within a task, a large bucket yields a spanning forest
     of its pairs, never all pairs.
     """
+    segments = segments or certain_segments(distance, bits)
     words = [f"f{k}" for k in range(bits // 64)]
     wide = F.array(*[F.lit(_signed(((1 << w) - 1) << a % 64)) for a, w in cut(bits, segments) for _ in range(w)])
     word = F.element_at(F.array(*words), F.floor(F.col("bit") / 64).cast("int") + 1)
@@ -215,7 +250,7 @@ def _signed(x: int) -> int:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS,
-                    bits: int = BITS, distance: int = DISTANCE, segments: int = SEGMENTS, bucket: int = BUCKET) -> DataFrame:
+                    bits: int = BITS, distance: int = DISTANCE, segments: int | None = None, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row: rows whose fingerprints are linked,
     directly or through others, by ``distance`` or fewer differing bits share the smallest doc_id
     of them.

@@ -136,6 +136,33 @@ def test_found_share():
     assert simhash.found_share(0.9) > 0.99 and 0.9 < simhash.found_share(0.8) < 0.95
 
 
+@pytest.mark.parametrize("bucket", [32_768, 40])
+def test_all_pairs_within_the_default_distance_meet(spark, bucket):
+    r = random.Random(5)
+    base = [r.getrandbits(128) for _ in range(60)]
+    # 21 bits: two in each eighth of the fingerprint, so none of eight segments differs in fewer, and five more
+    flips = [{16 * i + k for i in range(8) for k in r.sample(range(16), 2)} for _ in base]
+    near = [b ^ sum(1 << k for k in {*f, *r.sample(sorted({*range(128)} - f), 5)}) for b, f in zip(base, flips, strict=True)]
+    far = [b ^ sum(1 << k for k in r.sample(range(128), 22)) for b in base]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    fps = spark.createDataFrame([(signed(x & (1 << 64) - 1), signed(x >> 64)) for x in base + near + far], "f0 long, f1 long")
+    text = lambda x: format(x & (1 << 64) - 1, "016x") + format(x >> 64, "016x")
+    links = {frozenset((x["a"], x["b"])) for x in simhash.fingerprint_links(fps, bucket=bucket).collect()}
+    assert links >= {frozenset((text(a), text(b))) for a, b in zip(base, near, strict=True)}
+    assert not links & {frozenset((text(a), text(b))) for a, b in zip(base, far, strict=True)}
+
+
+def test_linked_share_is_that_of_fingerprints():
+    pairs, n = 300, 400
+    r, linked = random.Random(9), 0
+    for _ in range(pairs):
+        # single-word shingles: n common ones and n / 8 of each text's own make a share of 0.8
+        common = [str(r.random()) for _ in range(n)]
+        a, b = (simhash.fingerprint(" ".join(common + [str(r.random()) for _ in range(n // 8)]).encode(), 1, 128) for _ in range(2))
+        linked += int(simhash._apart(a, b)) <= simhash.DISTANCE
+    assert abs(linked / pairs - simhash.linked_share(0.8)) < 0.1
+
+
 # ---- 3 -------------------------------------------------------------------------------------------
 def brute_contamination(docs, items):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
