@@ -5,15 +5,19 @@ before slot floor(k / w) and has to be placed by slot ceil((k + 1) / w); in ever
 earliest deadline among the released blocks wins. With weights that sum to 1 every block meets its
 window, so after t slots a source has more than w t - 1 and fewer than w t + 1 blocks.
 
-Weights are whole shares of one period, so the pattern of a period repeats for ever. Only this
-pattern, whose length is a parameter, is worked out on the driver; blocks find their slots with
-DataFrame arithmetic.
+Weights are taken as exact fractions, that is as whole shares of a period that is their sum, so the
+pattern of a period repeats for ever and no deviation adds up. Only this pattern is worked out on the
+driver (of a very long period, as much as the table needs); blocks find their slots with DataFrame
+arithmetic. A given period rounds the weights to its shares, and that rounding adds up.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Mapping
+from fractions import Fraction
 from functools import reduce
+from math import gcd, lcm
 from operator import and_
 
 from pyspark.sql import DataFrame
@@ -21,8 +25,12 @@ from pyspark.sql import functions as F
 
 from cueloom.llm.common import quoted, ranked, replace_columns
 
-#: Slots of one period; a weight is rounded to a multiple of its inverse.
+#: Slots of op9's period; a weight is rounded to a multiple of its inverse.
 PERIOD = 1_000
+#: A longer exact period is worked out only as far as the table's blocks go.
+LONG_PERIOD = 100_000
+#: Sources, or slots of a pattern, up to which their table is sent to every task.
+_SMALL = 100_000
 #: Rows of a block.
 BLOCK_ROWS = 16
 
@@ -44,23 +52,40 @@ def shares_of(weights: Mapping[str | None, float], period: int = PERIOD) -> dict
     return shares
 
 
-def pattern(shares: Mapping[str | None, int]) -> list[tuple[str | None, int, int, int, int]]:
-    """One period: (source, block within the period, release, deadline, slot), a row for each slot.
+def exact_shares(weights: Mapping[str | None, float]) -> dict[str | None, int]:
+    """The least whole numbers in the proportion of the positive weights, each as it is written in
+    decimals."""
+    good = {s: Fraction(str(w)) for s, w in weights.items() if w and w > 0}
+    scale = lcm(*[w.denominator for w in good.values()])
+    whole = {s: int(w * scale) for s, w in good.items()}
+    common = gcd(*whole.values())
+    return {s: n // common for s, n in whole.items()}
+
+
+def pattern(shares: Mapping[str | None, int], slots: int | None = None) -> list[tuple[str | None, int, int, int, int]]:
+    """One period, or its first ``slots``: (source, block within the period, release, deadline,
+    slot), a row for each slot.
 
     Ties of the deadline go to the block whose successor is due first, then by name.
     """
-    period, done, rows = sum(shares.values()), dict.fromkeys(shares, 0), []
-    for slot in range(period):
-        ready = [s for s, k in done.items() if k < shares[s] and k * period // shares[s] <= slot]
-        s = min(ready, key=lambda s: (-(-(done[s] + 1) * period // shares[s]), (done[s] + 2) * period / shares[s], str(s)))
-        k = done[s]
-        rows.append((s, k, k * period // shares[s], -(-(k + 1) * period // shares[s]), slot))
-        done[s] += 1
+    period, rows = sum(shares.values()), []
+    names = list(shares)
+    waiting, ready = [(0, i, 0) for i in range(len(names))], []  # (release, source, block)
+    for slot in range(period if slots is None else min(slots, period)):
+        while waiting and waiting[0][0] <= slot:
+            _, i, k = heapq.heappop(waiting)
+            share = shares[names[i]]
+            heapq.heappush(ready, (-(-(k + 1) * period // share), (k + 2) * period / share, str(names[i]), i, k))
+        deadline, _, _, i, k = heapq.heappop(ready)
+        share = shares[names[i]]
+        rows.append((names[i], k, k * period // share, deadline, slot))
+        if k + 1 < share:
+            heapq.heappush(waiting, ((k + 1) * period // share, i, k + 1))
     return rows
 
 
 def mix(docs: DataFrame, weights: Mapping[str | None, float], source: str = "source", order: tuple[str, ...] = ("doc_id",),
-        period: int = PERIOD, block_rows: int = BLOCK_ROWS) -> DataFrame:
+        period: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Every row's place in the mixture: adds block, release, deadline, slot and place (row within
     the block); input columns of these names give way.
 
@@ -70,24 +95,35 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float], source: str = "sou
     leaves its slots empty, so the others keep their proportions and no row is lost. Sources
     without a positive weight, null among them unless it is given one, follow after all others by
     source, in blocks with null release and deadline. An empty table stays empty.
+
+    Weights are exact unless a ``period`` is given; then they are rounded to its slots, and the
+    deviation grows from period to period.
     """
     spark = docs.sparkSession
-    period_rows = pattern(shares_of(weights, period)) if any(w and w > 0 for w in weights.values()) else []
-    table = spark.createDataFrame([(s, s is None, k, r, d, t) for s, k, r, d, t in period_rows], "w_source string, w_null boolean, w_k int, w_release long, w_deadline long, w_slot long")
-    share = spark.createDataFrame([(s, s is None, n) for s, n in shares_of(weights, period).items()] if period_rows else [], "s_source string, s_null boolean, share int")
     names = [source, *order]
     if len(set(names)) != len(names):
         raise ValueError("the source may not be part of the order")
+    weighted = any(w and w > 0 for w in weights.values())
+    shares = (exact_shares(weights) if period is None else shares_of(weights, period)) if weighted else {}
+    slots = period = sum(shares.values())
+    if period > LONG_PERIOD:
+        rows = docs.select(*[F.col(quoted(c)) for c in names]).distinct().groupBy(F.col(quoted(source)).alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()
+        slots = max([1, *[-(-(-(-r["n"] // block_rows)) * period // shares[r["s"]]) for r in rows if r["s"] in shares]])
+    period_rows = pattern(shares, slots) if weighted else []
+    # Where the pattern ends within the first period, no block is beyond that.
+    held = shares if slots >= period else dict.fromkeys(shares, 1 << 62)
+    period = min(slots, period)
+    table = spark.createDataFrame([(s, s is None, k, r, d, t) for s, k, r, d, t in period_rows], "w_source string, w_null boolean, w_k long, w_release long, w_deadline long, w_slot long")
+    share = spark.createDataFrame([(s, s is None, n) for s, n in held.items()], "s_source string, s_null boolean, share long")
+    sent = lambda df, n: F.broadcast(df) if n <= _SMALL else df
     at = ranked(docs.select(*[F.col(quoted(c)) for c in names]).distinct(), [F.col(quoted(c)) for c in names], "__rank")
     first = at.groupBy(source).agg(F.min("__rank").alias("__first"), F.count(F.lit(1)).alias("__n"))
-    # At most one row for each source, and a period has at most ``period`` weighted ones; the others
-    # are joined without a hint.
-    first = first.join(F.broadcast(share), F.col(quoted(source)).eqNullSafe(F.col("s_source")), "left").drop("s_source", "s_null")
+    first = first.join(sent(share, len(shares)), F.col(quoted(source)).eqNullSafe(F.col("s_source")), "left").drop("s_source", "s_null")
     first = first.withColumnRenamed(source, "__source")
     at = at.join(first, F.col(quoted(source)).eqNullSafe(F.col("__source"))).withColumn("__i", F.col("__rank") - F.col("__first"))
     at = at.withColumns({"block": F.floor(F.col("__i") / block_rows).cast("long"), "place": (F.col("__i") % block_rows).cast("int")})
-    at = at.withColumn("__k", (F.col("block") % F.col("share")).cast("int"))
-    at = at.join(F.broadcast(table), F.col(quoted(source)).eqNullSafe(F.col("w_source")) & (F.col("__k") == F.col("w_k")), "left")
+    at = at.withColumn("__k", F.col("block") % F.col("share"))
+    at = at.join(sent(table, len(period_rows)), F.col(quoted(source)).eqNullSafe(F.col("w_source")) & (F.col("__k") == F.col("w_k")), "left")
     turn = (F.floor(F.col("block") / F.col("share")) * period).cast("long")
     last = at.agg(F.max(turn + period)).first()[0] or 0
     slot = F.coalesce(turn + F.col("w_slot"), F.lit(last) + F.floor(F.col("__rank") / block_rows)).cast("long")

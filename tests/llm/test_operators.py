@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cueloom.llm import (
     common, components, decontamination, mixing, quality, repeats, secrets, sharding, simhash, suffixes, toxicity, url_filter, warc,
 )
+from cueloom.llm.queries import QUERIES
 
 rng = random.Random(7)
 WORDS = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "ëta", "theta", "iota", "kappa"]
@@ -419,6 +420,32 @@ def test_mix_keeps_all_rows(spark, odd, none):
     assert mixing.mix(none, weights).count() == 0 and mixing.mix(odd, {}).count() == odd.count()
 
 
+def test_exact_weights_never_drift(spark):
+    weights = {f"s{i}": w for i, w in enumerate([4.0, 3.0, 2.0] + [1.0] * 17)}
+    docs = spark.range(26 * 100).selectExpr("id as doc_id", "concat('s', case when id % 26 < 4 then 0 when id % 26 < 7 then 1 when id % 26 < 9 then 2 else id % 26 - 6 end) as source")
+    got = sorted((r["slot"], r["source"]) for r in mixing.mix(docs, weights, block_rows=1).collect())
+    assert [slot for slot, _ in got] == list(range(2600))
+    done = dict.fromkeys(weights, 0)
+    for slot, source in got:
+        done[source] += 1
+        assert all(abs(n - weights[s] / 26 * (slot + 1)) < 1 for s, n in done.items())
+
+
+def test_more_sources_than_thousand(spark, tmp_path):
+    docs = spark.range(3_000).selectExpr("id as doc_id", "concat('s', id % 1500) as source")
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = QUERIES["op9_mixing"](spark, f"file://{tmp_path}").collect()
+    assert len(got) == 3_000 and {r["place"] for r in got} == {0, 1} and len({r["slot"] for r in got}) == 1_500
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+
+
+def test_weights_of_a_long_period(spark):
+    weights = {"a": 0.1234567890123, "b": 0.31415926535, "c": 1e-9}
+    docs = spark.range(300).selectExpr("id as doc_id", "case when id = 0 then 'c' when id % 4 = 0 then 'a' else 'b' end as source").where("source <> 'c'")
+    got = mixing.mix(docs, weights, block_rows=1).collect()
+    assert len(got) == 299 and len({r["slot"] for r in got}) == 299 and all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+
+
 # ---- 10 ------------------------------------------------------------------------------------------
 def brute_spans(t):
     t = t or ""
