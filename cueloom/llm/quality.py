@@ -6,6 +6,9 @@ starts are followed and the one with the smaller determinant wins. A row is an o
 distance, scaled so that the median row of its group has the median of a chi-squared variable, is
 beyond a high quantile of that variable.
 
+A group too small for an estimate of its own is judged by that of its language, or, where that is
+small too, by that of all rows, so every row is judged.
+
 All of it is aggregation: a step counts binned distances to find the h-th and then adds up sums and
 products, so no group is ever gathered.
 """
@@ -24,7 +27,8 @@ MOST_REPEATED_PERCENT = 30
 SYMBOLS = "#*$%&|<>"
 
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Share of a group's rows that an estimate covers, concentration steps, rows of the least group.
+#: Share of a group's rows that an estimate covers, concentration steps, rows of the least group with
+#: an estimate of its own.
 COVERED, STEPS, LEAST_ROWS = 0.75, 4, 40
 #: Standard deviation that every transformed statistic has at least: where most rows of a group
 #: have the same value (no symbols, no repeated lines), its spread alone says nothing. With these,
@@ -118,13 +122,25 @@ def _estimate(rows: DataFrame, keys: list[str], d: int) -> DataFrame:
 
 
 def fit(rows: DataFrame) -> DataFrame:
-    """(g, center, root, scale) of every group of ``rows`` (g, x0 to x3) with at least LEAST_ROWS
-    rows; smaller groups have no estimate."""
+    """(g, center, root, scale) of every group of ``rows`` (g, its parent p, x0 to x3): the group's
+    own estimate if it has at least LEAST_ROWS rows, else the parent's by the same rule, else that of
+    all rows, however few. A parent's estimate is over all its rows, those of large groups too."""
+    sizes = materialize(rows.groupBy("g", "p").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    parents = sizes.groupBy("p").agg(F.sum("n").alias("of_parent"))
+    own, parent, all_ = F.concat(F.lit("g"), "g"), F.concat(F.lit("p"), "p"), F.lit("all")
+    level = F.when(F.col("n") >= LEAST_ROWS, own).when(F.col("of_parent") >= LEAST_ROWS, parent).otherwise(all_)
+    judged_by = materialize(sizes.join(parents, "p").select("g", level.alias("level")), "levels")
+    used = judged_by.select("level").distinct()
+    members = rows.select(F.explode(F.array(own, parent, all_)).alias("level"), *[f"x{i}" for i in range(len(FLOORS))]).join(used, "level", "left_semi")
+    model = _fit(materialize(members.withColumnRenamed("level", "g"), "members")).withColumnRenamed("g", "level")
+    return judged_by.join(model, "level").drop("level")
+
+
+def _fit(rows: DataFrame) -> DataFrame:
+    """(g, center, root, scale) of every group of ``rows`` (g, x0 to x3)."""
     d = len(FLOORS)
     x = [F.col(f"x{i}") for i in range(d)]
     log_of = lambda v: F.log(v + 1e-9)
-    big = rows.groupBy("g").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= LEAST_ROWS).select("g")
-    rows = rows.join(big, "g")
     long = rows.select("g", F.posexplode(F.array(*x)).alias("k", "v"))
     middle = _quantile(long, ["g", "k"], F.col("v"), 0.5).withColumnRenamed("q", "middle")
     far = _quantile(long.join(middle, ["g", "k"]), ["g", "k"], F.abs(F.col("v") - F.col("middle")), 0.5)
@@ -151,15 +167,16 @@ def judge(stated: DataFrame, lang: str = "lang", source: str = "source", cutoff:
 
     Rows that fail the base rules are not kept and not part of any estimate. The others are kept
     unless they are outliers of their (lang, source) group; null is a language or source like any
-    other. Where a group has too few rows for an estimate they are kept. Repeated rows count as
-    often as they stand. An empty table stays empty.
+    other. Where a group has too few rows for an estimate, that of its language or of all rows
+    judges them (see ``fit``). Repeated rows count as often as they stand. An empty table stays empty.
     """
     names = [f"__x{i}" for i in range(len(FLOORS))]
     group = F.to_json(F.struct(F.col(quoted(lang)).alias("lang"), F.col(quoted(source)).alias("source")))
-    table = materialize(stated.withColumns({"__g": group, **dict(zip(names, _vector(), strict=True))}), "statistics")
-    model = fit(table.where("not base_failed").select(F.col("__g").alias("g"), *[F.col(n).alias(n[2:]) for n in names]))
+    parent = F.to_json(F.struct(F.col(quoted(lang)).alias("lang")))
+    table = materialize(stated.withColumns({"__g": group, "__p": parent, **dict(zip(names, _vector(), strict=True))}), "statistics")
+    model = fit(table.where("not base_failed").select(F.col("__g").alias("g"), F.col("__p").alias("p"), *[F.col(n).alias(n[2:]) for n in names]))
     known = model.select(F.col("g").alias("__model_g"), F.col("center").alias("__center"), F.col("root").alias("__root"), F.col("scale").alias("__scale"))
     out = table.join(known, F.col("__g") == F.col("__model_g"), "left")
     odd = _distance([F.col(n) for n in names], "__center", "__root") > cutoff * F.col("__scale")
     kept = ~F.col("base_failed") & ~F.coalesce(odd, F.lit(False))
-    return replace_columns(out, {"kept": kept}).drop("__g", "__model_g", "__center", "__root", "__scale", *names)
+    return replace_columns(out, {"kept": kept}).drop("__g", "__p", "__model_g", "__center", "__root", "__scale", *names)

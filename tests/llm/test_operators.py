@@ -318,6 +318,36 @@ def test_outliers_go_and_clean_rows_stay(spark):
     assert not kept[2000] and kept[2001] and not kept[2002]
 
 
+def brute_verdicts(x):
+    """Whether each row of ``x`` is an outlier of all: exact concentration steps from two starts."""
+    floors, h, best = np.array(quality.FLOORS), -(-int(100 * quality.COVERED) * len(x) // 100), None
+    middle = np.median(x, 0)
+    z = (x - middle) / np.maximum(1.4826 * np.median(np.abs(x - middle), 0), floors)
+    for dist in ((z * z).sum(1), np.abs(z).max(1)):
+        for _ in range(quality.STEPS):
+            inside = x[dist <= np.sort(dist)[h - 1]]
+            center, cov = inside.mean(0), np.cov(inside.T, bias=True) + np.diag(floors**2)
+            dist = np.einsum("ni,ij,nj->n", x - center, np.linalg.inv(cov), x - center)
+        if best is None or np.linalg.slogdet(cov)[1] < best[0]:
+            best = np.linalg.slogdet(cov)[1], dist
+    return best[1] > quality.CHI2_CUTOFF * max(1, np.median(best[1]) / quality.CHI2_MEDIAN)
+
+
+@pytest.mark.parametrize("sources", [1, 20, 400])
+def test_verdicts_do_not_depend_on_the_size_of_groups(spark, sources):
+    # 1: one large group; 20: small sources of one large language; 400: small languages as well
+    r = random.Random(11)
+    clean = lambda i: " ".join(("#" if r.random() < 0.05 else "") + "w" * r.randrange(3, 9) + str(r.randrange(10**6)) for _ in range(60 + i % 50))
+    texts = [clean(i) for i in range(380)] + [" ".join("#$%" + "w" * r.randrange(3, 9) for _ in range(60)) for _ in range(20)]
+    rows = [(i, t, "en" if sources < 400 else f"l{i % 20}", f"s{i % sources}") for i, t in enumerate(texts)]
+    stated = quality.base_statistics(documents(spark, rows)).where("not base_failed")
+    x = {v["doc_id"]: [v[f"x{k}"] for k in range(4)] for v in stated.select("doc_id", *[c.alias(f"x{k}") for k, c in enumerate(quality._vector())]).collect()}
+    want = dict(zip(x, brute_verdicts(np.array(list(x.values()))), strict=True))
+    kept = {v["doc_id"]: v["kept"] for v in quality.judge(stated).collect()}
+    assert {i for i, k in kept.items() if not k} == {i for i, odd in want.items() if odd} >= set(range(380, 400)) & set(x)
+    assert set(x) >= set(range(380, 400))
+
+
 def test_quality_of_nothing(spark, none):
     assert quality.judge(quality.base_statistics(none)).count() == 0
 
