@@ -180,6 +180,10 @@ def read_wiki_titles(spark, sf_dir):
 
 
 # ---- streams: run over what has landed until nothing is left, then read the sink -------------------
+#: Disorder that the streams below allow for: no row of the given tables is late.
+DELAY = "1000 days"
+
+
 def _drain(stream, spark, name: str, mode: str = "append"):
     path, state = folder(spark, name), folder(spark, f"{name}-state")
     q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", state).outputMode(mode).trigger(availableNow=True).start()
@@ -193,6 +197,15 @@ def _landed(df, spark, name: str, files: int = 4):
     return spark.readStream.schema(df.schema).parquet(path)
 
 
+def _landed_and_closed(df, spark, name: str, files: int = 4):
+    """``df`` and one more row, of show 'end', that moves a watermark of up to DELAY past every timeout."""
+    path = folder(spark, name)
+    df.repartition(files).write.parquet(path)
+    last = spark.read.schema(df.schema).parquet(path).orderBy(F.desc("ts")).limit(1)
+    last.withColumns({"show": F.lit("end"), "ts": F.col("ts") + F.expr(f"interval {DELAY} + interval 1 day")}).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path)
+
+
 @query(sql("SELECT count(*) AS episodes, sum(n)::BIGINT AS segments FROM (SELECT episode, count(DISTINCT seg) AS n FROM v_words GROUP BY episode)", "v_words"))
 def stream_new_episodes(spark, sf_dir):
     source, sink = _transcripts(spark, sf_dir), folder(spark, "seen")
@@ -222,7 +235,8 @@ def stream_quality(spark, sf_dir):
 @query()
 def stream_sessions(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("show"), F.col("ts").cast("timestamp").alias("ts"))
-    return _drain(streams.stream_sessions(_landed(e, spark, "sessions"), "1 hour", "1 hour"), spark, "sessions-out").select("show", F.unix_timestamp("session_window.start").alias("start"), "cards")
+    out = _drain(streams.stream_sessions(_landed_and_closed(e, spark, "sessions"), "1 hour", DELAY), spark, "sessions-out")
+    return out.where("show <> 'end'").select("show", F.unix_timestamp("session_window.start").alias("start"), "cards")
 
 
 @query(sql("SELECT 'all' AS show, term, n FROM mined WHERE inside AND n >= 3", mined=Q.MINED))
@@ -237,10 +251,10 @@ def stream_mine(spark, sf_dir):
 @query()
 def stream_spans(spark, sf_dir):
     w = A.v_words(spark, sf_dir).select(*KEYS, "pos", (F.col("start") / 1000).alias("start"), (F.col("end") / 1000).alias("end"), F.timestamp_seconds(3600 + F.col("start") / 1000).alias("ts"))
-    return _drain(streams.stream_spans(_landed(w, spark, "words", 1), delay="100000 days"), spark, "spans-out")
+    return _drain(streams.stream_spans(_landed_and_closed(w, spark, "words", 1), delay=DELAY), spark, "spans-out").where("show <> 'end'")
 
 
 @query()
 def stream_collapse(spark, sf_dir):
     c = A.v_repeat_cards(spark, sf_dir).withColumns({"start": F.col("start") / 1000, "end": F.col("end") / 1000, "ts": F.timestamp_seconds(3600 + F.col("start") / 1000)})
-    return _drain(streams.stream_collapse(_landed(c, spark, "cards", 1), delay="100000 days"), spark, "runs-out")
+    return _drain(streams.stream_collapse(_landed_and_closed(c, spark, "cards", 1), delay=DELAY), spark, "runs-out").where("show <> 'end'")

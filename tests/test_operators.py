@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from cueloom.functions import text as T
 from cueloom.functions.similarity import metaphone_code
 from cueloom.operators import gate, glossary, joins, library, reflow, repair, timing, tracks
+from cueloom.plans import adaptors
+from cueloom.plans.registry import QUERIES
 from cueloom.sources import readers, writers
 from cueloom.streaming import streams
 
@@ -350,3 +352,34 @@ def test_stream_collapse(spark, tmp_path):
     c.coalesce(1).write.parquet(f"{tmp_path}/in")
     out = drain(spark, streams.stream_collapse(spark.readStream.schema(c.schema).parquet(f"{tmp_path}/in")), tmp_path, "out")
     assert [(r["card_no"], r["end"], r["n"]) for r in out.orderBy("card_no").collect()] == [(0, 3.5, 4), (4, 5.5, 2)]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def same(got, want):
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    assert key(got) == key(want) and want.count()
+
+
+def test_drained_spans_are_those_of_the_whole_table(spark):
+    w = adaptors.v_words(spark, SF)
+    spans = reflow.split_spans(w, 500).groupBy("show", "episode", "span_id").agg(F.min("pos"), F.max("pos"), F.min("start") / 1000, F.max("end") / 1000, F.count(F.lit(1)))
+    same(QUERIES["stream_spans"](spark, SF), spans.drop("span_id"))
+
+
+def test_drained_runs_are_those_of_the_whole_table(spark):
+    c = adaptors.v_repeat_cards(spark, SF)
+    out = QUERIES["stream_collapse"](spark, SF)
+    assert out.agg(F.sum("n")).first()[0] == c.count()
+    # runs of four or more are what the batch operator makes of the table; shorter ones stay as they are
+    short = out.where("n < 4").select("show", "episode", F.explode(F.expr("sequence(card_no, card_no + n - 1)")).alias("card_no"), "text")
+    long = out.where("n >= 4").select("show", "episode", "card_no", "text", (F.col("end") * 1000).cast("long").alias("end"))
+    batch = gate.collapse_runs(c).select("show", "episode", "card_no", "text", "end")
+    same(short.withColumn("end", F.col("card_no") * 1000 + 900).union(long), batch)
+
+
+def test_drained_sessions_are_those_of_the_whole_table(spark):
+    e = spark.read.parquet(f"{SF}/events.parquet").select(F.col("user_id").cast("string").alias("show"), F.col("ts").cast("timestamp").alias("ts"))
+    batch = e.groupBy(F.session_window("ts", "1 hour"), "show").agg(F.count(F.lit(1)).alias("cards"))
+    same(QUERIES["stream_sessions"](spark, SF), batch.select("show", F.unix_timestamp("session_window.start"), "cards"))
