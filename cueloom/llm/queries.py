@@ -28,7 +28,7 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return simhash.near_duplicates(docs, shingle=4, bits=64, distance=4, segments=simhash.needed_segments(4)).select("doc_id", "fingerprint", "component_id")
+    return simhash.near_duplicates(docs, shingle=4, bits=64, distance=4, segments=simhash.needed_segments(4), similarity=None).select("doc_id", "fingerprint", "component_id")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

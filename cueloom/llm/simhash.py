@@ -6,8 +6,13 @@ bits with that bit wiped out (a one-wildcard variant); fingerprints with an equa
 the full distance is verified.
 
 That is certain up to 2 x segments - 1 differing bits, so the number of segments follows from the
-distance. With fewer, it holds with the chance that some segment happens to differ by at most one
-bit; ``found_share`` gives it.
+distance. With fewer, wider segments less fingerprints share a variant, and pairs beyond the
+certain distance meet with the chance that some segment happens to differ by at most one bit;
+``found_share`` gives it.
+
+The general operator asks for a share of equal word shingles. Fingerprints within a wide distance
+then only form families, and the texts of a family are compared by their shingles themselves, in
+blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -25,25 +30,36 @@ from cueloom.llm.common import materialize, quoted
 from cueloom.llm.components import connected_components
 
 SHINGLE_WORDS = 5
-#: The general operator's fingerprint: 128 bits, of which 21 may differ (share of equal shingles
-#: about 0.8 or more), cut into as many segments as make it certain that such a pair meets.
-BITS, DISTANCE = 128, 21
-#: The first 64 bits are those of XXH64 with this seed, the next 64 those with the next seed.
+#: Share of equal shingles (the number in both over the number in either) of near-duplicates.
+SIMILARITY = 0.8
+#: The general operator's fingerprint, the differing bits within which two of them are candidates,
+#: and its segments of 16 bits. At the least similarity 29 of the bits differ on average, with a
+#: deviation of 5; up to 23 bits surely meet.
+BITS, DISTANCE, SEGMENTS = 192, 38, 12
+#: The first 64 bits are those of XXH64 with this seed; the next ones are mixed from them.
 SEED = 42
 #: Fingerprints of one variant that one task compares with each other at a time.
 BUCKET = 32_768
 #: Up to this many, a bucket's verified pairs are all reported; beyond, a spanning forest of them.
 SMALL = 32
+#: Texts and bytes of shingle hashes in one block of a family; every two blocks meet in a task.
+BLOCK_TEXTS, BLOCK_BYTES = 256, 4 << 20
+#: Texts whose family members are looked up (60 bytes each) that are broadcast; more are joined by
+#: shuffle.
+BROADCAST_TEXTS = 200_000
 #: Shingles whose hashes are held at a time.
 _CHUNK = 1 << 16
 #: Pairs of fingerprints that are compared in one step.
 _PAIRS = 1 << 17
+#: Shingles that one step of a block's comparison takes.
+_COLUMNS = 4_096
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def cut(bits: int, segments: int) -> list[tuple[int, int]]:
-    """(first bit, width) of the segments; none crosses a 64-bit word."""
+    """(first bit, width) of the segments; none crosses a 64-bit word, each word has two at least."""
     words = bits // 64
-    each = segments // words
+    each = max(2, segments // words)
     at = [64 * i // each for i in range(each + 1)]
     return [(64 * w + a, b - a) for w in range(words) for a, b in zip(at, at[1:], strict=False)]
 
@@ -60,13 +76,12 @@ def certain_segments(distance: int, bits: int) -> int:
 
 
 def linked_share(similarity: float, bits: int = BITS, distance: int = DISTANCE) -> float:
-    """The chance that two texts with this share of equal shingles are within ``distance`` bits,
-    which links them if they surely meet."""
+    """The chance that two texts with this share of equal shingles are within ``distance`` bits."""
     p = acos(2 * similarity / (1 + similarity)) / pi
     return sum(comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(distance + 1))
 
 
-def found_share(similarity: float, bits: int = BITS, segments: int = 8) -> float:
+def found_share(similarity: float, bits: int = BITS, segments: int = SEGMENTS) -> float:
     """The chance that two texts with this share of equal shingles meet in some variant of so many
     segments, however many bits differ."""
     p = acos(2 * similarity / (1 + similarity)) / pi
@@ -76,6 +91,13 @@ def found_share(similarity: float, bits: int = BITS, segments: int = 8) -> float
     return 1 - miss
 
 
+def _hashes(words: list[bytes], shingle: int, lo: int, hi: int) -> np.ndarray:
+    """XXH64 of the shingles lo to hi - 1; fewer words than a shingle are one."""
+    runs = [words[lo + j : hi + j] for j in range(min(shingle, len(words)))]
+    hashed = xxhash.xxh64_intdigest
+    return np.array([hashed(b" ".join(x), SEED) for x in zip(*runs, strict=False)], np.uint64)
+
+
 def fingerprint(text: bytes | None, shingle: int = SHINGLE_WORDS, bits: int = 64) -> np.ndarray:
     """The SimHash of the lower-cased text's word shingles, repeats included, as 64-bit words."""
     words = text.lower().split() if text else []
@@ -84,28 +106,43 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE_WORDS, bits: int = 64
         return out
     n = max(1, len(words) - shingle + 1)
     ones = np.zeros((len(out), 64), np.int64)
-    hashed = xxhash.xxh64_intdigest
     for lo in range(0, n, _CHUNK):
-        hi = min(n, lo + _CHUNK)
-        runs = [words[lo + j : hi + j] for j in range(min(shingle, len(words)))]
-        grams = [b" ".join(x) for x in zip(*runs, strict=False)]
+        h = _hashes(words, shingle, lo, min(n, lo + _CHUNK))
         for k in range(len(out)):
-            h = np.array([hashed(g, SEED + k) for g in grams], np.uint64)
+            if k:  # the next words' hashes
+                h = (h + _STEP) * _MIX
+                h ^= h >> np.uint64(32)
             ones[k] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return np.packbits(2 * ones > n, axis=1, bitorder="little").view(np.uint64).reshape(-1)
 
 
+def shingles(text: bytes | None, shingle: int = SHINGLE_WORDS) -> np.ndarray:
+    """The distinct shingles' hashes, sorted; none without words."""
+    words = text.lower().split() if text else []
+    n = max(1, len(words) - shingle + 1) if words else 0
+    found = np.zeros(0, np.uint64)
+    for lo in range(0, n, _CHUNK):
+        found = np.union1d(found, _hashes(words, shingle, lo, min(n, lo + _CHUNK)))
+    return found
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS, bits: int = BITS) -> DataFrame:
-    """(doc_id, f0, f1, ...) of every row; the fingerprint's 64-bit words as signed longs."""
+    """(doc_id, digest, f0, f1, ...) of every row; digest is the text's MD5 in hex (null: of no
+    bytes), then come the fingerprint's 64-bit words as signed longs."""
     words = [f"f{k}" for k in range(bits // 64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), shingle, bits) for t in batch.column(1)], np.uint64).reshape(-1, len(words)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(fps[:, k])) for k in range(len(words))]], names=["doc_id", *words])
+            fps = np.array([fingerprint(t.as_py(), shingle, bits) for t in batch.column(2)], np.uint64).reshape(-1, len(words)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(np.ascontiguousarray(fps[:, k])) for k in range(len(words))]], names=["doc_id", "digest", *words])
+
+    rows = _bodies(docs, doc_id, text)
+    return rows.mapInArrow(run, ", ".join([f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest string", *[f"{w} long" for w in words]]))
+
 
-    rows = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).cast("binary").alias("body"))
-    return rows.mapInArrow(run, ", ".join([f"doc_id {rows.schema['doc_id'].dataType.simpleString()}", *[f"{w} long" for w in words]]))
+def _bodies(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    body = F.coalesce(F.col(quoted(text)).cast("binary"), F.lit(b""))
+    return docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.md5(body).alias("digest"), body.alias("body"))
 
 
 def hex_of(*words: str) -> Column:
@@ -135,23 +172,24 @@ class _Buckets:
         self.distance, self.parts, self.words = distance, cut(bits, segments), bits // 64
 
     def links(self, keys: np.ndarray, fps: np.ndarray) -> np.ndarray:
-        """keys: (bit, value, block, other block, side) of each row, sorted; returns pairs."""
-        change = np.concatenate([[True], (keys[1:, :4] != keys[:-1, :4]).any(axis=1)])
-        begins = np.flatnonzero(change)
+        """keys: (bit and value, two blocks and side) of each row, sorted; returns pairs."""
+        same = np.stack([keys[:, 0], keys[:, 1] >> 1], 1)
+        begins = np.flatnonzero(np.concatenate([[True], (same[1:] != same[:-1]).any(axis=1)]))
         sizes = np.diff(np.append(begins, len(keys)))
-        size, out = np.repeat(sizes, sizes), []
+        size, out, bit = np.repeat(sizes, sizes), [], keys[:, 0] >> 32
         end = np.repeat(begins + sizes, sizes)
-        at = np.flatnonzero((size > 1) & (size <= SMALL) & (keys[:, 2] == keys[:, 3]))
+        across = keys[:, 1] >> 32 != (keys[:, 1] & 0xFFFFFFFF) >> 1
+        at = np.flatnonzero((size > 1) & (size <= SMALL) & ~across)
         for step in range(1, SMALL):
             at = at[at + step < end[at]]
             if not len(at):
                 break
             near = at[_apart(fps[at], fps[at + step]) <= self.distance]
-            near = near[_reported_by(fps[near] ^ fps[near + step], self.parts) == keys[near, 0]]
+            near = near[_reported_by(fps[near] ^ fps[near + step], self.parts) == bit[near]]
             out.append(np.concatenate([fps[near], fps[near + step]], 1))
-        for a, n in zip(begins, sizes, strict=True):
-            if n > SMALL or n > 1 and keys[a, 2] != keys[a, 3]:
-                out.append(self._forest(fps[a : a + n], int(np.searchsorted(keys[a : a + n, 4], 1)), int(keys[a, 0])))
+        large = (sizes > SMALL) | (sizes > 1) & across[begins]
+        for a, n in zip(begins[large], sizes[large], strict=True):
+            out.append(self._forest(fps[a : a + n], int(np.searchsorted(keys[a : a + n, 1] & 1, 1)), int(bit[a])))
         return np.concatenate(out) if out else np.zeros((0, 2 * self.words), np.uint64)
 
     def _forest(self, fps: np.ndarray, split: int, variant: int) -> np.ndarray:
@@ -189,12 +227,13 @@ class _Buckets:
 
     def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches sorted by key; a bucket may go on in the next batch."""
-        keys, fps = np.zeros((0, 5), np.int64), np.zeros((0, self.words), np.uint64)
+        keys, fps = np.zeros((0, 2), np.int64), np.zeros((0, self.words), np.uint64)
         for batch in batches:
-            rows = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
-            keys = np.concatenate([keys, np.stack(rows[:5], 1)])
-            fps = np.concatenate([fps, np.stack(rows[5:], 1).view(np.uint64)])
-            other = np.flatnonzero((keys[:, :4] != keys[-1:, :4]).any(axis=1)) if len(keys) else []
+            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            blocks = rows[1] if len(rows) == self.words + 2 else np.zeros(len(rows[0]), np.int64)
+            keys = np.concatenate([keys, np.stack([rows[0], blocks], 1)])
+            fps = np.concatenate([fps, np.stack(rows[-self.words :], 1).view(np.uint64)])
+            other = np.flatnonzero((keys[:, 0] != keys[-1, 0]) | (keys[:, 1] >> 1 != keys[-1, 1] >> 1)) if len(keys) else []
             if len(other):
                 whole = other[-1] + 1
                 yield self._batch(self.links(keys[:whole], fps[:whole]))
@@ -221,54 +260,160 @@ def fingerprint_links(fps: DataFrame, bits: int = BITS, distance: int = DISTANCE
     """
     segments = segments or certain_segments(distance, bits)
     words = [f"f{k}" for k in range(bits // 64)]
-    wide = F.array(*[F.lit(_signed(((1 << w) - 1) << a % 64)) for a, w in cut(bits, segments) for _ in range(w)])
+    parts = cut(bits, segments)
+    # Of each bit: where its segment begins and the segment's mask there.
+    first = F.array(*[F.lit(a % 64) for a, w in parts for _ in range(w)])
+    mask = F.array(*[F.lit((1 << w) - 1).cast("long") for _, w in parts for _ in range(w)])
     word = F.element_at(F.array(*words), F.floor(F.col("bit") / 64).cast("int") + 1)
-    wildcard = F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit") % 64))
+    begin = F.element_at(first, F.col("bit") + 1)
+    wildcard = F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit") % 64 - begin))
+    value = F.call_function("shiftrightunsigned", word, begin).bitwiseAND(F.element_at(mask, F.col("bit") + 1)).bitwiseAND(wildcard)
     # Each distinct fingerprint makes ``bits`` rows, so they are spread before that.
     spread = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     variants = (fps.select(*words).distinct().repartition(spread, F.xxhash64(*words)).withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
-                .withColumn("value", word.bitwiseAND(F.element_at(wide, F.col("bit") + 1)).bitwiseAND(wildcard)))
-    large = (variants.groupBy("bit", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket)
-             .select("bit", "value", F.ceil(F.col("n") / bucket).cast("int").alias("blocks")))
+                .select((F.call_function("shiftleft", F.col("bit").cast("long"), F.lit(32)) + value).alias("key"), *words))
+    large = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket).select("key", F.ceil(F.col("n") / bucket).cast("long").alias("blocks"))
     large = materialize(large, "large-variants")
-    n = large.limit(10_001).count()
+    n, deal = large.limit(10_001).count(), ["key"]
     if n:
-        rows = variants.join(F.broadcast(large) if n <= 10_000 else large, ["bit", "value"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        rows = rows.withColumn("own", F.pmod(F.xxhash64(*words), F.col("blocks")).cast("int"))
-        rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    else:
-        rows = variants.withColumns({"own": F.lit(0), "with": F.lit(0)})
-    rows = rows.select("bit", "value", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), (F.col("own") > F.col("with")).cast("int").alias("side"), *words)
-    dealt = rows.repartition("bit", "value", "x", "y").sortWithinPartitions("bit", "value", "x", "y", "side")
+        rows = variants.join(F.broadcast(large) if n <= 10_000 else large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        rows = rows.withColumn("own", F.pmod(F.xxhash64(*words), F.col("blocks")))
+        rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        pair = F.call_function("shiftleft", F.least("own", "with"), F.lit(31)) + F.greatest("own", "with")
+        variants = rows.select("key", (2 * pair + (F.col("own") > F.col("with")).cast("long")).alias("block"), *words)
+        deal = ["key", F.call_function("shiftright", F.col("block"), F.lit(1))]
+    dealt = variants.repartition(*deal).sortWithinPartitions("key", *(["block"] if n else []))
     buckets = _Buckets(bits, distance, segments)
     found = dealt.mapInArrow(buckets.run, ", ".join(f"{n} long" for n in buckets.names()))
     return found.select(hex_of(*buckets.names()[: len(words)]).alias("a"), hex_of(*buckets.names()[len(words) :]).alias("b"))
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def similar(sets: list[np.ndarray], split: int, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of places in ``sets`` (distinct sorted numbers each) that connect all pairs with at
+    least this share of equal numbers; with ``split`` < len(sets) of those across it only. Two
+    empty sets are equal."""
+    m = len(sets)
+    size = np.array([len(x) for x in sets], np.int64)
+    flat = np.concatenate(sets)
+    _, number, times = np.unique(flat, return_inverse=True, return_counts=True)
+    often = times > 1
+    place = np.cumsum(often) - 1
+    shared = often[number]
+    row, column = np.repeat(np.arange(m), size)[shared], place[number[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    left = slice(0, m) if split == m else slice(0, split)
+    right = slice(0, m) if split == m else slice(split, m)
+    common = np.zeros((m, m), np.int64)
+    for lo in range(0, int(often.sum()), _COLUMNS):
+        a, b = np.searchsorted(column, (lo, lo + _COLUMNS))
+        there = np.zeros((m, _COLUMNS), np.float32)
+        there[row[a:b], column[a:b] - lo] = 1
+        common[left, right] += (there[left] @ there[right].T).astype(np.int64)
+    if split < m:
+        common[right, left] = common[left, right].T
+    either = size[:, None] + size[None] - common
+    near = common >= similarity * either - 1e-9
+    if split < m:
+        near[:split, :split] = near[split:, split:] = False
+    out, seen = [], np.zeros(m, bool)
+    for root in range(m):
+        todo = [] if seen[root] else [root]
+        seen[root] = True
+        while todo:
+            i = todo.pop()
+            new = np.flatnonzero(near[i] & ~seen)
+            seen[new] = True
+            out += [(i, int(j)) for j in new]
+            todo += new.tolist()
+    return out
+
+
+def _text_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """(family, x, y, side, digest, found), sorted -> links (a, b) between digests."""
+    at, digests, sets, split = None, [], [], 0
 
+    def links() -> pa.RecordBatch:
+        pairs = similar(sets, split if at[1] != at[2] else len(sets), similarity)
+        return pa.RecordBatch.from_arrays([pa.array([digests[p[k]] for p in pairs], pa.string()) for k in (0, 1)], names=["a", "b"])
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS,
-                    bits: int = BITS, distance: int = DISTANCE, segments: int | None = None, bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row: rows whose fingerprints are linked,
-    directly or through others, by ``distance`` or fewer differing bits share the smallest doc_id
-    of them.
+    for batch in batches:
+        for *own, side, digest, found in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if own != at:
+                if len(sets) > 1:
+                    yield links()
+                at, digests, sets, split = own, [], [], 0
+            digests.append(digest)
+            sets.append(np.frombuffer(found, np.uint64))
+            split += side == 0
+    if len(sets) > 1:
+        yield links()
 
-    Texts of fewer words than a shingle are one shingle; null and empty texts have the
-    fingerprint zero, which is linked like any other. Repeated rows keep their number. Null ids
-    are kept but never give a component its id unless it has no other (then it is null).
+
+def shingle_links(docs: DataFrame, families: DataFrame, doc_id: str, text: str, shingle: int, similarity: float,
+                  block_texts: int = BLOCK_TEXTS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Links (a, b) between the digests in ``families`` (digest, least, family) that connect all
+    pairs of a family with at least this share of equal shingles.
+
+    A family larger than a block is dealt over blocks; every two of them meet in a task of their
+    own, which yields a spanning forest of what it finds.
+    """
+    sizes = materialize(families.groupBy("family").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("family"), "families")
+    asked = materialize(families.join(sizes, "family").select("digest", "least", F.xxhash64("family").alias("family")), "family-members")
+    few = asked.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS
+    other = asked.withColumnsRenamed({"digest": "__digest"})
+    met = _bodies(docs, doc_id, text).join(F.broadcast(other) if few else other, (F.col("digest") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("least")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t.as_py(), shingle).tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["family", "digest", "found"])
+
+    sets = materialize(met.select("family", "digest", "body").mapInArrow(run, "family long, digest string, found binary"), "shingles")
+    blocks = sets.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_texts), F.ceil(F.sum(F.octet_length("found")) / block_bytes)).cast("int").alias("blocks")).where("blocks > 1")
+    blocks = materialize(blocks, "family-blocks")
+    n = blocks.limit(10_001).count()
+    rows = sets.join(F.broadcast(blocks) if n <= 10_000 else blocks, "family", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("family", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), (F.col("own") > F.col("with")).cast("int").alias("side"), "digest", "found")
+    dealt = rows.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y", "side")
+    return dealt.mapInArrow(lambda batches: _text_links(batches, similarity), "a string, b string").where("a <> b")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS, bits: int = BITS, distance: int = DISTANCE,
+                    segments: int | None = SEGMENTS, bucket: int = BUCKET, similarity: float | None = SIMILARITY) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row; linked rows, directly or through others,
+    share the smallest doc_id of them.
+
+    Texts are linked if their share of equal shingles is at least ``similarity`` and their
+    fingerprints are in one family, that is within ``distance`` bits directly or through others.
+    Without a similarity, fingerprints within the distance link by themselves. ``segments``: None
+    for as many as let all pairs within the distance meet.
+
+    Texts of fewer words than a shingle are one shingle; null and empty texts have the fingerprint
+    zero and no shingles, and are linked with each other (without a similarity, like any other).
+    Repeated rows keep their number. Null ids are kept but never give a component its id unless it
+    has no other (then it is null).
     """
     words = [f"f{k}" for k in range(bits // 64)]
     fps = materialize(fingerprints(docs, doc_id, text, shingle, bits), "fingerprints")
-    roots = connected_components(fingerprint_links(fps, bits, distance, segments, bucket))
-    least = fps.groupBy(*words).agg(F.min("doc_id").alias("least")).select(hex_of(*words).alias("fingerprint"), "least")
-    classes = materialize(least.join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")), "classes")
-    named = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fingerprint", "component_id")
-    return fps.select("doc_id", hex_of(*words).alias("fingerprint")).join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
-
-
-def keep_representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how: int) -> DataFrame:
+    node = ["digest", *words] if similarity is not None else words
+    own = materialize(fps.groupBy(*node).agg(F.min("doc_id").alias("least")).withColumn("fingerprint", hex_of(*words)), "classes")
+    roots = connected_components(fingerprint_links(own, bits, distance, segments, bucket))
+    name = "fingerprint"
+    classes = own.join(roots, F.col("fingerprint") == F.col("node"), "left").select(*(["digest"] if similarity is not None else []), "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
+    if similarity is not None:
+        name, classes = "digest", materialize(classes, "classes")
+        links = shingle_links(docs, classes.select("digest", "least", F.col("root").alias("family")), doc_id, text, shingle, similarity)
+        classes = classes.drop("root").join(connected_components(links), F.col("digest") == F.col("node"), "left").select("digest", "least", F.coalesce("root", "digest").alias("root"))
+    classes = materialize(classes, "classes")
+    # Written before it is joined, so that a large component's rows can be split between tasks.
+    least = materialize(classes.groupBy("root").agg(F.min("least").alias("component_id")), "components")
+    named = classes.join(least, "root").select(name, "component_id")
+    return fps.withColumn("fingerprint", hex_of(*words)).join(materialize(named, "named"), name).select("doc_id", "fingerprint", "component_id")
+
+
+def keep_representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how: float) -> DataFrame:
     """One row of each near-duplicate group: that with the smallest id.
 
     Rows with a null id are kept. Of rows that repeat an id, all that carry the group's smallest

@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from cueloom.llm import (
@@ -120,7 +121,7 @@ def test_links_connect_all_within_distance(spark, bucket):
 
 
 def test_near_duplicates_of_odd_rows(spark, odd, none):
-    got = [tuple(r) for r in simhash.near_duplicates(odd, shingle=4, bits=64, distance=4, segments=3).collect()]
+    got = [tuple(r) for r in simhash.near_duplicates(odd, shingle=4, bits=64, distance=4, segments=3, similarity=None).collect()]
     assert len(got) == odd.count()
     assert {r[2] for r in got if r[1] == "0" * 16} == {0} and (None, 5) in {(r[0], r[2]) for r in got}
     assert simhash.near_duplicates(none).count() == 0
@@ -133,35 +134,93 @@ def test_representatives(spark):
     assert sorted(str(r["doc_id"]) for r in simhash.keep_representatives(docs).collect()) == ["1", "4", "None"]
 
 
-def test_found_share():
-    assert simhash.found_share(0.9) > 0.99 and 0.9 < simhash.found_share(0.8) < 0.95
+def plain_fingerprint(text, shingle, bits=64):
+    """The contract's fingerprint, bit by bit."""
+    w = text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).encode()
+    w = [x for x in re.split(rb"[\x20\x09-\x0d]+", w) if x]
+    hs = [xxhash.xxh64(b" ".join(w[i : i + shingle]), seed=42).intdigest() for i in range(max(1, len(w) - shingle + 1))] if w else []
+    return format(sum(1 << k for k in range(bits) if 2 * sum(h >> k & 1 for h in hs) > len(hs)), "016x") if hs else "0" * 16
 
 
-@pytest.mark.parametrize("bucket", [32_768, 40])
-def test_all_pairs_within_the_default_distance_meet(spark, bucket):
+def test_fingerprint_against_plain_counting(spark, odd):
+    got = {r["doc_id"]: r["fingerprint"] for r in simhash.near_duplicates(odd, shingle=4, bits=64, distance=4, segments=3, similarity=None).where("doc_id is not null").collect()}
+    assert got == {i: plain_fingerprint(t or "", 4) for i, t in [*enumerate(TEXTS), (99, TEXTS[6])]}
+
+
+def shingle_set(text, k=5):
+    w = text.lower().split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def share(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def copies(seed, groups, each, edits):
+    """Texts of about 200 words; every group's are edited copies of one base."""
+    r, out = random.Random(seed), []
+    for g in range(groups):
+        base = [f"{r.choice(WORDS)}{r.randrange(500)}" for _ in range(200)]
+        for _ in range(each):
+            t = list(base)
+            for p in r.sample(range(200), r.randrange(edits)):
+                t[p] = f"new{r.random()}"
+            out.append(" ".join(t))
+    return out
+
+
+@pytest.mark.parametrize("blocks", [{}, {"block_texts": 8}, {"block_bytes": 20_000}])
+def test_near_duplicates_against_shingles(spark, monkeypatch, blocks):
+    for name, value in blocks.items():
+        monkeypatch.setattr(simhash.shingle_links, "__defaults__", tuple(value if n == name else d for n, d in (("block_texts", simhash.BLOCK_TEXTS), ("block_bytes", simhash.BLOCK_BYTES))))
+    texts = copies(1, 25, 12, 9) + ["", "a b", "A b", "c d"]
+    rows = documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(rows).collect()}
+    sets = [shingle_set(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if share(sets[i], sets[j]) >= 0.8]
+    root = list(range(len(texts)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for i, j in pairs:
+        root[max(find(i), find(j))] = min(find(i), find(j))
+    assert all(find(i) == find(c) for i, c in got.items())  # nothing else is linked
+    assert sum(got[i] == got[j] for i, j in pairs) > 0.95 * len(pairs) > 100
+
+
+def test_similar_against_sets():
     r = random.Random(5)
-    base = [r.getrandbits(128) for _ in range(60)]
-    # 21 bits: two in each eighth of the fingerprint, so none of eight segments differs in fewer, and five more
-    flips = [{16 * i + k for i in range(8) for k in r.sample(range(16), 2)} for _ in base]
-    near = [b ^ sum(1 << k for k in {*f, *r.sample(sorted({*range(128)} - f), 5)}) for b, f in zip(base, flips, strict=True)]
-    far = [b ^ sum(1 << k for k in r.sample(range(128), 22)) for b in base]
+    sets = [np.unique(np.array([r.randrange(60) for _ in range(r.randrange(1, 60))], np.uint64)) for _ in range(40)] + [np.zeros(0, np.uint64)] * 2
+    for split in (len(sets), 17):
+        near = {(i, j) for i in range(len(sets)) for j in range(len(sets)) if i != j and (split == len(sets) or (i < split) != (j < split)) and share(set(sets[i].tolist()), set(sets[j].tolist())) >= 0.5}
+        pairs = simhash.similar(sets, split, 0.5)
+        root = list(range(len(sets)))
+        find = lambda x: x if root[x] == x else find(root[x])
+        for i, j in pairs:
+            assert (i, j) in near
+            root[find(i)] = find(j)
+        assert all(find(i) == find(j) for i, j in near)
+
+
+def test_shares():
+    assert simhash.found_share(0.9) > 0.99 and simhash.found_share(0.8) > 0.97
+    assert simhash.linked_share(0.8) > 0.95 and simhash.linked_share(0.5) < 0.02
+
+
+def test_wide_fingerprints_meet(spark):
+    """All pairs within the certain distance meet, whatever the bucket size."""
+    r = random.Random(4)
+    base = [r.getrandbits(192) for _ in range(8)]
+    near = [b ^ sum(1 << k for k in r.sample(range(192), r.randrange(24))) for b in base for _ in range(10)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    fps = spark.createDataFrame([(signed(x & (1 << 64) - 1), signed(x >> 64)) for x in base + near + far], "f0 long, f1 long")
-    text = lambda x: format(x & (1 << 64) - 1, "016x") + format(x >> 64, "016x")
-    links = {frozenset((x["a"], x["b"])) for x in simhash.fingerprint_links(fps, bucket=bucket).collect()}
-    assert links >= {frozenset((text(a), text(b))) for a, b in zip(base, near, strict=True)}
-    assert not links & {frozenset((text(a), text(b))) for a, b in zip(base, far, strict=True)}
-
-
-def test_linked_share_is_that_of_fingerprints():
-    pairs, n = 300, 400
-    r, linked = random.Random(9), 0
-    for _ in range(pairs):
-        # single-word shingles: n common ones and n / 8 of each text's own make a share of 0.8
-        common = [str(r.random()) for _ in range(n)]
-        a, b = (simhash.fingerprint(" ".join(common + [str(r.random()) for _ in range(n // 8)]).encode(), 1, 128) for _ in range(2))
-        linked += int(simhash._apart(a, b)) <= simhash.DISTANCE
-    assert abs(linked / pairs - simhash.linked_share(0.8)) < 0.1
+    all_ = sorted({*base, *near})
+    fps = spark.createDataFrame([tuple(signed(x >> 64 * k & (1 << 64) - 1) for k in range(3)) for x in all_], "f0 long, f1 long, f2 long")
+    name = {"".join(format(x >> 64 * k & (1 << 64) - 1, "016x") for k in range(3)): x for x in all_}
+    for bucket in (4096, 3):
+        links = simhash.fingerprint_links(fps, 192, 23, 12, bucket).collect()
+        got = {x["node"]: x["root"] for x in components.connected_components(spark.createDataFrame(links, "a string, b string")).collect()}
+        for a, x in name.items():
+            for b, y in name.items():
+                if (x ^ y).bit_count() <= 23:
+                    assert got.get(a, a) == got.get(b, b)
 
 
 # ---- 3 -------------------------------------------------------------------------------------------
