@@ -75,9 +75,7 @@ def source_weights(docs: DataFrame, weights: dict[str, float]) -> dict[str | Non
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    weights = source_weights(docs, MIX_WEIGHTS)
-    # Its SQL rounds weights to thousandths, which has no schedule for more sources than slots.
-    return mixing.mix(docs, weights, period=mixing.PERIOD if len(weights) <= mixing.PERIOD else None)
+    return mixing.mix(docs, source_weights(docs, MIX_WEIGHTS))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,23 +124,20 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """,
     "op9_mixing": """
-WITH RECURSIVE w AS (
-  SELECT source, (CASE source WHEN 'src0' THEN 4 WHEN 'src1' THEN 3 WHEN 'src2' THEN 2 ELSE 1 END)::DOUBLE AS w FROM (SELECT DISTINCT source FROM documents)),
-e AS (SELECT source, w / (SELECT sum(w) FROM w) * 1000 AS x FROM w),
-f AS (SELECT source, x, greatest(1, floor(x))::BIGINT AS base FROM e),
-s AS (SELECT source, base + CASE WHEN row_number() OVER (ORDER BY base - x, source) <= 1000 - (SELECT sum(base) FROM f) THEN 1 ELSE 0 END AS share FROM f),
-l AS (SELECT list(source ORDER BY source) AS names, list(share ORDER BY source) AS shares FROM s),
+WITH RECURSIVE s AS (
+  SELECT source, (CASE source WHEN 'src0' THEN 4 WHEN 'src1' THEN 3 WHEN 'src2' THEN 2 ELSE 1 END)::BIGINT AS share FROM (SELECT DISTINCT source FROM documents)),
+l AS (SELECT list(source ORDER BY source) AS names, list(share ORDER BY source) AS shares, sum(share)::BIGINT AS period FROM s),
 run(slot, done, pick) AS (
   SELECT -1::BIGINT, list_transform(names, lambda x: 0::BIGINT), 0::BIGINT FROM l
   UNION ALL
   SELECT slot, list_transform(done, lambda d, i: d + CASE WHEN i = pick THEN 1 ELSE 0 END), pick FROM (
     SELECT slot + 1 AS slot, done, list_min(list_filter(list_transform(range(1, len(names) + 1), lambda i: {
-      'due': ((done[i] + 1) * 1000 + shares[i] - 1) // shares[i], 'next': ((done[i] + 2) * 1000)::DOUBLE / shares[i], 'name': names[i], 'i': i,
-      'ready': done[i] < shares[i] AND done[i] * 1000 // shares[i] <= slot + 1}), lambda c: c.ready)).i AS pick
-    FROM run, l WHERE slot < 999)),
+      'due': ((done[i] + 1) * period + shares[i] - 1) // shares[i], 'next': ((done[i] + 2) * period)::DOUBLE / shares[i], 'name': names[i], 'i': i,
+      'ready': done[i] < shares[i] AND done[i] * period // shares[i] <= slot + 1}), lambda c: c.ready)).i AS pick
+    FROM run, l WHERE slot < period - 1)),
 p AS (SELECT names[pick] AS source, done[pick] - 1 AS k, slot FROM run, l WHERE slot >= 0),
 r AS (SELECT doc_id, source, (n // 16)::BIGINT AS block, (n % 16)::INT AS place FROM (SELECT *, dense_rank() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n FROM documents))
-SELECT doc_id, source, block, block // share * 1000 + p.k * 1000 // share AS release, block // share * 1000 + ((p.k + 1) * 1000 + share - 1) // share AS deadline, block // share * 1000 + p.slot AS slot, place
-FROM r JOIN s USING (source) JOIN p ON p.source = r.source AND p.k = r.block % share
+SELECT doc_id, source, block, block // share * period + p.k * period // share AS release, block // share * period + ((p.k + 1) * period + share - 1) // share AS deadline, block // share * period + p.slot AS slot, place
+FROM r JOIN s USING (source) JOIN p ON p.source = r.source AND p.k = r.block % share, l
 """,
 }

@@ -1,8 +1,9 @@
 """URL filters: host and path rules looked up by hashed expressions.
 
-Every url is expanded into its host suffixes times its path prefixes. Each expression meets the
-rules through an equality join on a short prefix of its SHA-256 digest; the full digest then
-confirms the match, and the longest rule wins.
+Every url is expanded into its host suffixes times its path prefixes. The rules are listed by a short
+prefix of their SHA-256 digest. Each expression meets such a list through an equality join on its own
+digest's prefix alone; the full digest then confirms the match within the list, and the longest rule
+wins.
 """
 
 from __future__ import annotations
@@ -68,12 +69,16 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
                    .withColumn("__q", F.explode(F.filter(prefix, lambda x: x.isNotNull())))
                    .select("__u", _digest(F.col("__s"), F.col("__q")).alias("__d"))
                    .withColumn("__d_short", F.substring("__d", 1, PREFIX_DIGITS)))
+    # Rules that share a short prefix are few: of n rules, n / 2 ** 32 on average besides the first.
+    listed = known.groupBy("short").agg(F.collect_list(F.struct("digest", "r_host", "r_path", "r_verdict")).alias("rules"))
     if shape["n"] <= broadcast_rules:
-        met = expressions.join(F.broadcast(known), (F.col("__d_short") == F.col("short")) & (F.col("__d") == F.col("digest")))
+        near = expressions.join(F.broadcast(listed), F.col("__d_short") == F.col("short"))
     else:
-        spread = known.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(RULE_COPIES - 1))))
-        met = (expressions.withColumn("__u_copy", F.pmod(F.xxhash64("__u"), F.lit(RULE_COPIES)).cast("int"))
-               .join(spread, (F.col("__d_short") == F.col("short")) & (F.col("__u_copy") == F.col("copy")) & (F.col("__d") == F.col("digest"))))
+        spread = listed.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(RULE_COPIES - 1))))
+        near = (expressions.withColumn("__u_copy", F.pmod(F.xxhash64("__u"), F.lit(RULE_COPIES)).cast("int"))
+                .join(spread, (F.col("__d_short") == F.col("short")) & (F.col("__u_copy") == F.col("copy"))))
+    confirmed = F.filter("rules", lambda r: r["digest"] == F.col("__d"))
+    met = near.select("__u", F.inline(confirmed))
     best = met.groupBy("__u").agg(F.max(F.struct(
         (F.length("r_host") + F.length("r_path")).alias("size"), F.length("r_host").alias("host_size"), F.col("r_verdict").alias("verdict"),
         F.concat("r_host", "r_path").alias("rule"))).alias("__best"))

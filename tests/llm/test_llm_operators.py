@@ -90,6 +90,18 @@ def test_url_filter(spark, limit):
     assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in out.collect()} == {i: judge(u) for i, u in enumerate(URLS)}
 
 
+@pytest.mark.parametrize("limit", [1000, 0])
+def test_the_short_prefix_alone_joins(spark, limit, monkeypatch):
+    """The plan joins on the prefix, and digests that share one are told apart."""
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id int, url string")
+    plan = url_filter.filter_urls(pages, url_filter.rules_frame(spark, RULES), broadcast_rules=limit)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join Inner" in x]
+    assert joins and all("short" in x and "digest" not in x for x in joins)
+    monkeypatch.setattr(url_filter, "PREFIX_DIGITS", 0)  # all rules in one list
+    out = url_filter.filter_urls(pages, url_filter.rules_frame(spark, RULES), broadcast_rules=limit)
+    assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in out.collect()} == {i: judge(u) for i, u in enumerate(URLS)}
+
+
 def test_url_filter_without_rules(spark):
     pages = spark.createDataFrame([(1, "http://a.com/")], "page_id int, url string")
     assert url_filter.filter_urls(pages, url_filter.rules_frame(spark, [])).first()["verdict"] == "allow"
