@@ -1,20 +1,25 @@
 """Quality rules: base rules, then robust multivariate outliers for each language and source.
 
 Every group's minimum-covariance-determinant estimate comes from concentration steps: take the h
-rows with the smallest Mahalanobis distances, estimate their mean and covariance, and again. Two
-starts are followed and the one with the smaller determinant wins. A row is an outlier if its
-distance, scaled so that the median row of its group has the median of a chi-squared variable, is
-beyond a high quantile of that variable.
+rows with the smallest Mahalanobis distances, estimate their mean and covariance, and again until no
+determinant falls any more. Two starts are followed and the one with the smaller determinant wins.
 
-A group too small for an estimate of its own is judged by that of its language, or, where that is
-small too, by that of all rows, so every row is judged.
+Languages and all rows together get such estimates too. A group's estimate is drawn towards that of
+its language, and this towards that of all rows, as if the parent's were some rows more; so a small
+group has a sound estimate, a large one its own, and no size is treated otherwise than another.
+
+A row is an outlier if its distance, scaled so that the median row of its group has the median of a
+chi-squared variable, is beyond a high quantile of that variable.
 
 All of it is aggregation: a step counts binned distances to find the h-th and then adds up sums and
-products, so no group is ever gathered.
+products, so no group is ever gathered. A group has as many bins as logarithms of distances span,
+a few thousand at most, however many rows it has.
 """
 
 from __future__ import annotations
 
+from math import log1p, sqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,16 +32,18 @@ MOST_REPEATED_PERCENT = 30
 SYMBOLS = "#*$%&|<>"
 
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Share of a group's rows that an estimate covers, concentration steps, rows of the least group with
-#: an estimate of its own.
-COVERED, STEPS, LEAST_ROWS = 0.75, 4, 40
-#: Standard deviation that every transformed statistic has at least: where most rows of a group
-#: have the same value (no symbols, no repeated lines), its spread alone says nothing. With these,
-#: repeats within the base limit, or a short text's odd word lengths, do not make an outlier by
-#: themselves.
-FLOORS = (0.08, 0.4, 0.7, 0.8)
+#: Share of a group's rows that an estimate covers; rows for which a parent's estimate counts.
+COVERED, PRIOR_ROWS = 0.75, 40
+#: A concentration step goes on while some logarithm of a determinant falls by more than this.
+LEAST_FALL, MOST_STEPS = 0.01, 40
 #: Median and the 0.99999 quantile of a chi-squared variable with four degrees of freedom.
 CHI2_MEDIAN, CHI2_CUTOFF = 3.3567, 28.473
+#: Where most rows of a group have the same value (no symbols, no repeats), their spread says nothing,
+#: and a standard deviation is at least this. It follows from what may not be an outlier by itself: one
+#: symbol among the 100 characters of a shortest text; and one repeated line in such a text together
+#: with as many repeated words as the base rules allow. That of the mean word length is read off
+#: the data: the spread of all rows.
+FLOORS = (None, log1p(1) / sqrt(CHI2_CUTOFF), *(log1p(x) * sqrt(2 / CHI2_CUTOFF) for x in (100 / LEAST_WORDS, MOST_REPEATED_PERCENT)))
 #: Width of the bins in which medians and distances (as logarithms) are counted.
 BIN = 1 / 128
 
@@ -106,60 +113,104 @@ def _distance(x: list[Column], center: str, root: str) -> Column:
     return sum((v * v for v in z[1:]), z[0] * z[0])
 
 
-def _estimate(rows: DataFrame, keys: list[str], d: int) -> DataFrame:
-    """keys, center, root and spread (log determinant) of each group's rows (x0, x1, ...)."""
-    sums = [F.avg(f"x{i}").alias(f"m{i}") for i in range(d)] + [F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i in range(d) for j in range(i + 1)]
-    out = rows.groupBy(*keys).agg(*sums)
+def _cov(i: int, j: int) -> int:
+    """Place of an entry in the rows of a lower triangle, one after the other."""
+    return max(i, j) * (max(i, j) + 1) // 2 + min(i, j)
+
+
+def _root(df: DataFrame, cov: str, floor: str) -> DataFrame:
+    """Adds root, the Cholesky factor of ``cov`` with a least diagonal, and spread, the logarithm of
+    its determinant. ``floor``: the least standard deviation of the first statistic."""
+    d, kept = len(FLOORS), df.columns
     for i in range(d):
+        least = F.col(floor) if FLOORS[i] is None else F.lit(FLOORS[i])
         for j in range(i + 1):
-            v = F.col(f"p{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")
+            v = F.get(F.col(cov), F.lit(_cov(i, j)))
             for k in range(j):
-                v = v - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            # Rounding may leave a variance just below zero.
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(v + FLOORS[i] ** 2, F.lit(FLOORS[i] ** 2 / 4))) if i == j else v / F.col(f"l{j}{j}"))
-    spread = sum((F.log(f"l{i}{i}") for i in range(1, d)), F.log("l00"))
-    return out.select(*keys, F.array(*[f"m{i}" for i in range(d)]).alias("center"), F.array(*[f"l{i}{j}" for i in range(d) for j in range(i + 1)]).alias("root"), spread.alias("spread"))
+                v = v - F.col(f"__l{i}{k}") * F.col(f"__l{j}{k}")
+            df = df.withColumn(f"__l{i}{j}", F.sqrt(F.greatest(v, least * least)) if i == j else v / F.col(f"__l{j}{j}"))
+    spread = sum((F.log(f"__l{i}{i}") for i in range(1, d)), F.log("__l00"))
+    return df.select(*kept, F.array(*[f"__l{i}{j}" for i in range(d) for j in range(i + 1)]).alias("root"), spread.alias("spread"))
 
 
-def fit(rows: DataFrame) -> DataFrame:
-    """(g, center, root, scale) of every group of ``rows`` (g, its parent p, x0 to x3): the group's
-    own estimate if it has at least LEAST_ROWS rows, else the parent's by the same rule, else that of
-    all rows, however few. A parent's estimate is over all its rows, those of large groups too."""
-    sizes = materialize(rows.groupBy("g", "p").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    parents = sizes.groupBy("p").agg(F.sum("n").alias("of_parent"))
-    own, parent, all_ = F.concat(F.lit("g"), "g"), F.concat(F.lit("p"), "p"), F.lit("all")
-    level = F.when(F.col("n") >= LEAST_ROWS, own).when(F.col("of_parent") >= LEAST_ROWS, parent).otherwise(all_)
-    judged_by = materialize(sizes.join(parents, "p").select("g", level.alias("level")), "levels")
-    used = judged_by.select("level").distinct()
-    members = rows.select(F.explode(F.array(own, parent, all_)).alias("level"), *[f"x{i}" for i in range(len(FLOORS))]).join(used, "level", "left_semi")
-    model = _fit(materialize(members.withColumnRenamed("level", "g"), "members")).withColumnRenamed("g", "level")
-    return judged_by.join(model, "level").drop("level")
+def _estimate(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, center and cov of each group's rows (x0, x1, ...)."""
+    d = len(FLOORS)
+    sums = [F.avg(f"x{i}").alias(f"m{i}") for i in range(d)] + [F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i in range(d) for j in range(i + 1)]
+    cov = [F.col(f"p{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}") for i in range(d) for j in range(i + 1)]
+    return rows.groupBy(*keys).agg(*sums).select(*keys, F.array(*[f"m{i}" for i in range(d)]).alias("center"), F.array(*cov).alias("cov"))
 
 
-def _fit(rows: DataFrame) -> DataFrame:
-    """(g, center, root, scale) of every group of ``rows`` (g, x0 to x3)."""
+def fit(rows: DataFrame) -> DataFrame:
+    """(g, center, root, scale) of every group of ``rows`` (g, its parent p, x0 to x3), drawn
+    towards its parent's estimate, which is drawn towards that of all rows."""
     d = len(FLOORS)
+    rows = materialize(rows, "outlier-rows")
+    # The spread of the mean word length over all rows: nine tenths of a normal variable's rows lie
+    # within 1.645 deviations.
+    every = rows.select(F.lit(0).alias("k"), "x0")
+    low, high = (_quantile(every, ["k"], F.col("x0"), q).withColumnRenamed("q", name) for q, name in ((0.05, "low"), (0.95, "high")))
+    floor = materialize(low.join(high, "k").select(((F.col("high") - F.col("low")) / (2 * 1.645)).alias("floor")), "floor")
+    least = (floor.first() or [BIN])[0]
+    own, parent, all_ = F.concat(F.lit("g"), "g"), F.concat(F.lit("p"), "p"), F.lit("all")
+    members = materialize(rows.select(F.explode(F.array(own, parent, all_)).alias("level"), *[f"x{i}" for i in range(d)]), "members")
+    raw = _concentrate(members, least)
+    sizes = members.groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+    raw = materialize(raw.join(sizes, "level").withColumn("floor", F.lit(least)), "estimates")
+
+    def drawn(df: DataFrame, above: DataFrame, values: list[str]) -> DataFrame:
+        """``df`` (level, n, above, values) drawn towards ``above`` (above, values)."""
+        share = F.col("n") / (F.col("n") + PRIOR_ROWS)
+        up = above.select(F.col("level").alias("above"), *[F.col(v).alias(f"__{v}") for v in values])
+        mix = lambda v: F.zip_with(v, f"__{v}", lambda a, b: share * a + (1 - share) * b)
+        return df.join(up, "above").withColumns({v: mix(v) for v in values}).drop(*[f"__{v}" for v in values])
+
+    def cascade(each: DataFrame, values: list[str]) -> DataFrame:
+        top = each.where("level = 'all'")
+        parents = drawn(each.where("startswith(level, 'p')").withColumn("above", F.lit("all")), top, values).drop("above")
+        groups = drawn(each.join(above_of, "level"), parents, values).drop("above")
+        return top.unionByName(parents).unionByName(groups)
+
+    above_of = materialize(rows.select(own.alias("level"), parent.alias("above")).distinct(), "parents")
+    model = materialize(_root(cascade(raw, ["center", "cov"]), "cov", "floor").select("level", "n", "center", "root"), "drawn")
+    scored = members.join(model.select("level", "center", "root"), "level").select("level", _distance([F.col(f"x{i}") for i in range(d)], "center", "root").alias("dist"))
+    scale = _quantile(scored, ["level"], _log(F.col("dist")), 0.5).select("level", F.array(F.greatest(F.exp("q") / CHI2_MEDIAN, F.lit(1.0))).alias("scale"))
+    scale = cascade(materialize(scale.join(model.select("level", "n"), "level"), "scales"), ["scale"])
+    out = model.where("startswith(level, 'g')").join(scale.select("level", "scale"), "level")
+    return materialize(out.select(F.substr("level", F.lit(2)).alias("g"), "center", "root", F.col("scale")[0].alias("scale")), "mcd")
+
+
+def _log(distance: Column) -> Column:
+    return F.log(distance + 1e-9)
+
+
+def _concentrate(rows: DataFrame, least: float) -> DataFrame:
+    """(level, center, cov) of every level of ``rows`` (level, x0 to x3) by concentration steps."""
+    d, keys = len(FLOORS), ["level", "start"]
     x = [F.col(f"x{i}") for i in range(d)]
-    log_of = lambda v: F.log(v + 1e-9)
-    long = rows.select("g", F.posexplode(F.array(*x)).alias("k", "v"))
-    middle = _quantile(long, ["g", "k"], F.col("v"), 0.5).withColumnRenamed("q", "middle")
-    far = _quantile(long.join(middle, ["g", "k"]), ["g", "k"], F.abs(F.col("v") - F.col("middle")), 0.5)
-    first = middle.join(far, ["g", "k"]).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("k", "middle", "q"))).alias("start"))
-    first = materialize(first, "medians")
-    at = rows.join(first, "g")
-    z = [(x[i] - F.col("start")[i]["middle"]) / F.greatest(1.4826 * F.col("start")[i]["q"], F.lit(FLOORS[i])) for i in range(d)]
+    long = rows.select("level", F.posexplode(F.array(*x)).alias("k", "v"))
+    middle = _quantile(long, ["level", "k"], F.col("v"), 0.5).withColumnRenamed("q", "middle")
+    far = _quantile(long.join(middle, ["level", "k"]), ["level", "k"], F.abs(F.col("v") - F.col("middle")), 0.5)
+    first = middle.join(far, ["level", "k"]).groupBy("level").agg(F.sort_array(F.collect_list(F.struct("k", "middle", "q"))).alias("start"))
+    at = rows.join(materialize(first, "medians"), "level")
+    z = [(x[i] - F.col("start")[i]["middle"]) / F.greatest(1.4826 * F.col("start")[i]["q"], F.lit(least if FLOORS[i] is None else FLOORS[i])) for i in range(d)]
     starts = F.array(sum((v * v for v in z[1:]), z[0] * z[0]), F.greatest(*[F.abs(v) for v in z]))
-    scored = at.select("g", *x, F.posexplode(starts).alias("start", "dist"))
-    for step in range(STEPS):
-        keys = ["g", "start"]
-        near = _quantile(scored, keys, log_of(F.col("dist")), COVERED)
-        inside = scored.join(near, keys).where(log_of(F.col("dist")) <= F.col("q"))
-        now = materialize(_estimate(inside, keys, d), f"mcd-{step}")
-        scored = rows.join(now, "g").select("g", *x, "start", _distance(x, "center", "root").alias("dist"))
-    best = now.groupBy("g").agg(F.min_by(F.struct("center", "root"), F.struct("spread", "start")).alias("b")).select("g", "b.center", "b.root")
-    scored = rows.join(best, "g").select("g", _distance(x, "center", "root").alias("dist"))
-    scale = _quantile(scored, ["g"], log_of(F.col("dist")), 0.5).select("g", F.greatest(F.exp("q") / CHI2_MEDIAN, F.lit(1.0)).alias("scale"))
-    return materialize(best.join(scale, "g"), "mcd")
+    scored = at.select("level", *x, F.posexplode(starts).alias("start", "dist"))
+    best = None
+    for step in range(MOST_STEPS):
+        near = _quantile(scored, keys, _log(F.col("dist")), COVERED)
+        inside = scored.join(near, keys).where(_log(F.col("dist")) <= F.col("q"))
+        now = _root(_estimate(inside, keys).withColumn("floor", F.lit(least)), "cov", "floor").drop("floor")
+        if best is None:
+            best = materialize(now.withColumn("falls", F.lit(True)), f"mcd-{step}")
+        else:  # bins are coarse, so a step may also rise a little; then the last estimate stays
+            both = now.join(best.select(*keys, F.struct("center", "cov", "root", "spread").alias("last")), keys)
+            falls = F.col("spread") < F.col("last.spread") - LEAST_FALL
+            best = materialize(both.select(*keys, *[F.when(falls, F.col(c)).otherwise(F.col(f"last.{c}")).alias(c) for c in ("center", "cov", "root", "spread")], falls.alias("falls")), f"mcd-{step}")
+        if not best.where("falls").take(1):
+            break
+        scored = rows.join(best.select(*keys, "center", "root"), "level").select("level", *x, "start", _distance(x, "center", "root").alias("dist"))
+    return best.groupBy("level").agg(F.min_by(F.struct("center", "cov"), F.struct("spread", "start")).alias("b")).select("level", "b.center", "b.cov")
 
 
 def judge(stated: DataFrame, lang: str = "lang", source: str = "source", cutoff: float = CHI2_CUTOFF) -> DataFrame:
@@ -167,8 +218,8 @@ def judge(stated: DataFrame, lang: str = "lang", source: str = "source", cutoff:
 
     Rows that fail the base rules are not kept and not part of any estimate. The others are kept
     unless they are outliers of their (lang, source) group; null is a language or source like any
-    other. Where a group has too few rows for an estimate, that of its language or of all rows
-    judges them (see ``fit``). Repeated rows count as often as they stand. An empty table stays empty.
+    other. However few rows a group has, it has an estimate (see ``fit``). Repeated rows count as
+    often as they stand. An empty table stays empty.
     """
     names = [f"__x{i}" for i in range(len(FLOORS))]
     group = F.to_json(F.struct(F.col(quoted(lang)).alias("lang"), F.col(quoted(source)).alias("source")))

@@ -10,6 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import llm_brute
 from cueloom.llm import (
     common, components, decontamination, mixing, quality, repeats, secrets, sharding, simhash, suffixes, toxicity, url_filter, warc,
 )
@@ -363,22 +364,11 @@ def test_sort_suffixes_levels():
 
 
 # ---- 6 -------------------------------------------------------------------------------------------
-def brute_statistics(t):
-    t = t or ""
-    w = re.findall(r"[^\x20\x09-\x0D]+", t)
-    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-    at = {}
-    for i in range(len(w) - 7):
-        at.setdefault(tuple(w[i : i + 8]), []).append(i)
-    hit = {j for v in at.values() if len(v) > 1 for i in v for j in range(i, i + 8)}
-    return len(w), sum(map(len, w)), sum(c in quality.SYMBOLS for c in t), len(lines) - len(set(lines)), len(hit)
-
-
 def test_statistics(spark):
     texts = [*TEXTS, "a b c d e f g h " * 5, "x\ny\nx\n\n \n x", "#*$%&|<> é", words(30) + " " + words(9) * 2, "a " * 100]
     out = quality.base_statistics(documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]).withColumn("n_WORDS", F.lit("x")))
     for r in out.collect():
-        assert tuple(r[c] for c in quality.STATISTICS) == brute_statistics(texts[r["doc_id"]])
+        assert tuple(r[c] for c in quality.STATISTICS) == llm_brute.statistics(texts[r["doc_id"]])
 
 
 def test_outliers_go_and_clean_rows_stay(spark):
@@ -389,34 +379,17 @@ def test_outliers_go_and_clean_rows_stay(spark):
     assert not kept[2000] and kept[2001] and not kept[2002]
 
 
-def brute_verdicts(x):
-    """Whether each row of ``x`` is an outlier of all: exact concentration steps from two starts."""
-    floors, h, best = np.array(quality.FLOORS), -(-int(100 * quality.COVERED) * len(x) // 100), None
-    middle = np.median(x, 0)
-    z = (x - middle) / np.maximum(1.4826 * np.median(np.abs(x - middle), 0), floors)
-    for dist in ((z * z).sum(1), np.abs(z).max(1)):
-        for _ in range(quality.STEPS):
-            inside = x[dist <= np.sort(dist)[h - 1]]
-            center, cov = inside.mean(0), np.cov(inside.T, bias=True) + np.diag(floors**2)
-            dist = np.einsum("ni,ij,nj->n", x - center, np.linalg.inv(cov), x - center)
-        if best is None or np.linalg.slogdet(cov)[1] < best[0]:
-            best = np.linalg.slogdet(cov)[1], dist
-    return best[1] > quality.CHI2_CUTOFF * max(1, np.median(best[1]) / quality.CHI2_MEDIAN)
-
-
 @pytest.mark.parametrize("sources", [1, 20, 400])
-def test_verdicts_do_not_depend_on_the_size_of_groups(spark, sources):
-    # 1: one large group; 20: small sources of one large language; 400: small languages as well
+def test_verdicts_against_plain_estimates(spark, sources):
+    # 1: one large group; 20: small sources of one large language; 400: sources of a single row
     r = random.Random(11)
     clean = lambda i: " ".join(("#" if r.random() < 0.05 else "") + "w" * r.randrange(3, 9) + str(r.randrange(10**6)) for _ in range(60 + i % 50))
     texts = [clean(i) for i in range(380)] + [" ".join("#$%" + "w" * r.randrange(3, 9) for _ in range(60)) for _ in range(20)]
     rows = [(i, t, "en" if sources < 400 else f"l{i % 20}", f"s{i % sources}") for i, t in enumerate(texts)]
-    stated = quality.base_statistics(documents(spark, rows)).where("not base_failed")
-    x = {v["doc_id"]: [v[f"x{k}"] for k in range(4)] for v in stated.select("doc_id", *[c.alias(f"x{k}") for k, c in enumerate(quality._vector())]).collect()}
-    want = dict(zip(x, brute_verdicts(np.array(list(x.values()))), strict=True))
-    kept = {v["doc_id"]: v["kept"] for v in quality.judge(stated).collect()}
-    assert {i for i, k in kept.items() if not k} == {i for i, odd in want.items() if odd} >= set(range(380, 400)) & set(x)
-    assert set(x) >= set(range(380, 400))
+    kept = {v["doc_id"]: v["kept"] for v in quality.judge(quality.base_statistics(documents(spark, rows))).where("not base_failed").collect()}
+    want = llm_brute.verdicts([(i, lang, source, llm_brute.statistics(t)) for i, t, lang, source in rows])
+    assert kept.keys() == want.keys() and sum(kept[i] != want[i] for i in want) <= 0.01 * len(want)
+    assert set(kept) >= set(range(380, 400)) and not any(kept[i] for i in range(380, 400)) and all(kept[i] for i in range(380))
 
 
 def test_quality_of_nothing(spark, none):
@@ -426,10 +399,10 @@ def test_quality_of_nothing(spark, none):
 def test_covariance_is_that_of_numpy(spark):
     x = np.random.default_rng(1).normal(size=(500, 4)) @ np.array([[1, 0.5, 0, 0], [0, 1, 0.3, 0], [0, 0, 1, 0.2], [0, 0, 0, 1.5]])
     rows = spark.createDataFrame([("g", *map(float, v)) for v in x], "g string, x0 double, x1 double, x2 double, x3 double")
-    r = quality._estimate(rows, ["g"], 4).first()
+    r = quality._root(quality._estimate(rows, ["g"]).withColumn("floor", F.lit(0.1)), "cov", "floor").first()
     low = np.zeros((4, 4))
     low[np.tril_indices(4)] = r["root"]
-    assert np.allclose(low @ low.T, np.cov(x.T, bias=True) + np.diag(np.square(quality.FLOORS))) and np.allclose(r["center"], x.mean(0))
+    assert np.allclose(low @ low.T, np.cov(x.T, bias=True)) and np.allclose(r["center"], x.mean(0)) and np.isclose(r["spread"], np.log(np.diag(low)).sum())
 
 
 # ---- 7 -------------------------------------------------------------------------------------------
