@@ -1,6 +1,8 @@
 """Each operator against brute force, with nulls, empty and long texts, repeated rows, empty tables
 and clashing columns."""
 
+import base64
+import gzip
 import hashlib
 import random
 import re
@@ -288,21 +290,55 @@ def test_contamination_of_nothing(spark, odd, none):
 
 
 # ---- 4 -------------------------------------------------------------------------------------------
-def test_archives(spark, tmp_path):
-    html = ["<p>a</p>", "<p>a</p>", None, "", "é" * 50, "WARC/1.1\r\n\r\n" * 3, "<p>a</p>", "big" * 100_000]
-    rows = [(i, f"http://h{i % 3}.example.com/p?{i}", h) for i, h in enumerate(html)] + [(None, None, "<p>a</p>"), (50, "http://x\n.org", "q"), (50, "http://x\n.org", "q")]
-    path = f"file://{tmp_path}/archives"
-    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path, archive_records=3)
-    got = warc.capture_histories(spark, path).collect()
+def captured(rows):
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each row."""
     latest = {}
     for i, _, h in rows:
-        latest[h or ""] = max(latest.get(h or "", -1), -1 if i is None else i)
-    import base64
+        latest[h or ""] = max(latest.get(h or "", -(1 << 63)), -(1 << 63) if i is None else i)
+    digest = lambda h: base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode()
+    return sorted(((i, len((h or "").encode()), digest(h), *(("response", None) if i == latest[h or ""] else ("revisit", latest[h or ""]))) for i, _, h in rows), key=str)
+
 
-    want = [(i, len((h or "").encode()), base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode(), *(("response", None) if i == latest[h or ""] else ("revisit", latest[h or ""]))) for i, _, h in rows]
-    assert sorted([(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got], key=str) == sorted(want, key=str)
+@pytest.mark.parametrize("archive_bytes,range_rows,member_bytes", [(500, 3, warc.MEMBER_BYTES), (1 << 20, 1000, 1000)])
+def test_archives(spark, tmp_path, archive_bytes, range_rows, member_bytes):
+    html = ["<p>a</p>", "<p>a</p>", None, "", "é" * 50, "WARC/1.1\r\n\r\n" * 3, "<p>a</p>", "big" * 100_000, "".join(chr(32 + rng.randrange(90)) for _ in range(5_000))]
+    rows = [(i, f"http://h{i % 3}.example.com/p?{i}", h) for i, h in enumerate(html)] + [(None, None, "<p>a</p>"), (50, "http://x\n.org", "q"), (50, "http://x\n.org", "q"), (10**13, "http://far.org/", "far"), (-5, "http://far.org/", "before")]
+    path = f"file://{tmp_path}/archives"
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"offset": F.lit("x"), "Digest": F.lit(1)})
+    warc.write_archives(pages, path, archive_bytes, member_bytes)
+    got = warc.capture_histories(spark, path, range_rows).collect()
+    assert sorted([(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got], key=str) == captured(rows)
     order = [(r["urlkey"], r["timestamp"]) for r in got]
     assert order == sorted(order)
+    # Any reader of gzip gets the records, all together or one from its place.
+    for r in got:
+        packed = (tmp_path / "archives" / r["archive"]).read_bytes()
+        record = gzip.decompress(packed[r["offset"] : r["offset"] + r["length"]])
+        assert record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n") and record in gzip.decompress(packed)
+        assert f"urn:cueloom:capture:{'' if r['page_id'] is None else r['page_id']}>".encode() in record
+
+
+def test_capture_times_are_utc(spark, tmp_path):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        warc.write_archives(spark.createDataFrame([(0, "http://a.b/", "x"), (86_399, "http://a.b/", "y")], "page_id long, url string, html string"), path := f"file://{tmp_path}/a")
+        assert [r["timestamp"] for r in warc.capture_histories(spark, path).collect()] == ["20200101000000", "20200101235959"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_archives_of_nothing(spark, tmp_path):
+    warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path := f"file://{tmp_path}/a")
+    assert warc.capture_histories(spark, path).count() == 0
+
+
+def test_cut_archives_are_told():
+    record = b"WARC/1.1\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    assert next(warc.read_records(memoryview(gzip.compress(record))))[3] == b"hello"
+    for bad in (gzip.compress(record)[:-9], gzip.compress(record[:-6]), gzip.compress(b"no" + record)):
+        with pytest.raises(ValueError):
+            list(warc.read_records(memoryview(bad)))
 
 
 @pytest.mark.parametrize("k", [0, 1, 2, 3, 7, 16])
