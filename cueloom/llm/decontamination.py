@@ -1,9 +1,11 @@
 """Benchmark decontamination with training suffix arrays.
 
 Each task turns its documents into word suffix arrays, one for each shard of bounded size, and
-looks up every suffix of the benchmark items by binary search. That gives, for each test suffix,
-its longest verbatim match in the shard and all places of its window; the words in such places are
-hit, and documents with too many of them can be removed.
+looks up every suffix of the benchmark items by binary search. That gives all places of each test
+suffix's window in the shard; the words in such places are hit, and documents with too many of them
+can be removed. How far a match goes on behind its window is found from its place: the training
+suffix there is looked up among the sorted test suffixes, and its longest common prefix is with one of
+its two neighbours.
 
 The benchmark is the stated query set. It is read in blocks of bounded size; each block is
 broadcast and meets all documents.
@@ -26,12 +28,12 @@ from cueloom.llm.suffixes import search, sort_suffixes
 
 #: Words of a window; an item of fewer words is one window.
 WINDOW = 13
-#: UTF-8 bytes of benchmark text in one broadcast block (an item is never split).
-BLOCK_BYTES = 32 << 20
-#: Words of one suffix array.
-SHARD_WORDS = 1_000_000
-#: UTF-8 bytes of documents taken together.
-SHARD_BYTES = 8 << 20
+#: UTF-8 bytes of benchmark text in one broadcast block (an item is never split): some 60 MB of arrays.
+BLOCK_BYTES = 8 << 20
+#: UTF-8 bytes of the documents of one suffix array, and words of it where one document is longer.
+SHARD_BYTES, SHARD_WORDS = 16 << 20, 4_000_000
+#: Places whose matches are measured at a time.
+_PLACES = 1 << 16
 
 #: On lower-cased UTF-8: digits, letters and every byte of a character beyond ASCII.
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -61,87 +63,88 @@ class TestSet:
         self.names: list[str] = []
         texts: list[np.ndarray] = []
         for name, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for part in words_of(text) for w in part]
-            if ids:
+            parts = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in part], np.int32) for part in words_of(text)]
+            if sum(map(len, parts)):
                 self.names.append(name)
-                texts.append(np.array(ids, np.int64))
+                texts += [*parts, np.zeros(1, np.int32)]
         self.bits = max(1, len(self.vocabulary)).bit_length()
-        self.per = 64 // self.bits if self.bits < 64 else 1
-        found: dict[bytes, int] = {}
-        owners: list[list[int]] = []
-        where: list[tuple[int, int, int]] = []  # item, start, window length
-        for item, ids in enumerate(texts):
-            size = min(window, len(ids))
-            for start in range(len(ids) - size + 1):
-                u = found.setdefault(ids[start : start + size].tobytes(), len(owners))
-                if u == len(owners):
-                    owners.append([])
-                    where.append((item, start, size))
-                if not owners[u] or owners[u][-1] != item:
-                    owners[u].append(item)
-        self.size = np.array([w[2] for w in where], np.int64)
-        self.owners = [np.array(o, np.int64) for o in owners]
-        self.longest = max((len(t) for t in texts), default=0)
-        self.depth = -(-self.longest // self.per)
-        flat = np.concatenate([*texts, np.zeros(1, np.int64)])
-        first = np.cumsum([0, *[len(t) for t in texts]])
-        start = np.array([first[i] + s for i, s, _ in where], np.int64)
-        end = np.array([first[i + 1] for i, _, _ in where], np.int64)
-        whole = max(1, -(-int(self.size.max(initial=0)) // self.per))
-        self.low = [self._pack(flat, start, start + self.size, k, False) for k in range(whole)]
-        self.high = [self._pack(flat, start, start + self.size, k, True) for k in range(whole)]
-        self.full = [self._pack(flat, start, end, k, False) for k in range(max(1, self.depth))]
-        self.length = end - start
-
-    def _pack(self, flat: np.ndarray, start: np.ndarray, end: np.ndarray, level: int, fill: bool) -> np.ndarray:
+        self.per = 64 // self.bits
+        self.flat = np.concatenate(texts) if texts else np.zeros(1, np.int32)
+        end = self._stops(self.flat)
+        item = np.cumsum(self.flat == 0) - (self.flat == 0)
+        first = np.concatenate([[True], self.flat[:-1] == 0])
+        at = np.arange(len(self.flat))
+        begin = np.maximum.accumulate(np.where(first, at, 0))
+        size = np.minimum(window, end - begin)
+        starts = np.flatnonzero((self.flat > 0) & (at + size <= end))
+        self.end, self.depth = end, max(1, -(-int((end - begin).max(initial=0)) // self.per))
+        self.whole = max(1, -(-window // self.per))
+        # Equal windows get one number; the numbers' places are any of theirs.
+        order, tied = sort_suffixes(np.arange(len(starts)), lambda s, k: self._pack(self.flat, starts[s], starts[s] + size[starts[s]], k), self.whole)
+        number = np.cumsum(~tied) - 1
+        self.start = starts[order[~tied]]
+        self.size = size[self.start]
+        owners = np.unique(np.stack([number, item[starts[order]]], 1), axis=0) if len(order) else np.zeros((0, 2), np.int64)
+        self.owner = owners[:, 1]
+        self.owned = np.searchsorted(owners[:, 0], np.arange(len(self.start) + 1))
+        self.suffixes, _ = sort_suffixes(np.flatnonzero(self.flat), self._suffix, self.depth)
+
+    @staticmethod
+    def _stops(ids: np.ndarray) -> np.ndarray:
+        """Of each place, the next one that holds 0, or the end."""
+        stop = np.where(ids == 0, np.arange(len(ids)), len(ids))
+        return np.minimum.accumulate(stop[::-1])[::-1]
+
+    def _pack(self, ids: np.ndarray, start: np.ndarray, end: np.ndarray, level: int, pad: int = 0) -> np.ndarray:
+        """The level-th words of what lies between start and end, as one number that sorts alike."""
         out = np.zeros(len(start), np.uint64)
-        pad = (1 << self.bits) - 1 if fill else 0
         for j in range(self.per):
             at = start + level * self.per + j
-            out = (out << np.uint64(self.bits)) | np.where(at < end, flat[np.minimum(at, len(flat) - 1)], pad).astype(np.uint64)
+            out = (out << np.uint64(self.bits)) | np.where(at < end, ids[np.minimum(at, len(ids) - 1)], pad).astype(np.uint64)
         return out
 
+    def _suffix(self, at: np.ndarray, level: int) -> np.ndarray:
+        return self._pack(self.flat, at, self.end[at], level)
+
     def ids(self, text: bytes) -> np.ndarray:
         """The words' numbers; 0 for a word that no item has."""
         get = self.vocabulary.get
         parts = [np.fromiter((get(w, 0) for w in part), np.int32, len(part)) for part in words_of(text)]
         return np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
-    def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place, window) of every occurrence in ``ids`` (0 ends a document), and each test
-        suffix's longest match in words."""
-        n = len(ids)
-        none = np.zeros(0, np.int64)
-        if not len(self.size) or not n:
-            return none, none, np.zeros(len(self.size), np.int64)
-        stop = np.where(ids == 0, np.arange(n), n)
-        stop = np.minimum.accumulate(stop[::-1])[::-1]  # of each place, the next word that no item has
-
-        def key(starts: np.ndarray, level: int) -> np.ndarray:
-            out, end = np.zeros(len(starts), np.uint64), stop[starts]
-            for j in range(self.per):
-                at = starts + level * self.per + j
-                out = (out << np.uint64(self.bits)) | np.where(at < end, ids[np.minimum(at, n - 1)], 0).astype(np.uint64)
-            return out
-
+    def find(self, ids: np.ndarray, lo: int = 0, hi: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(place, window) of every occurrence in ``ids`` (0 ends a document) that begins in the
+        shard from lo to hi."""
+        stop = self._stops(ids)
+        key = lambda at, level: self._pack(ids, at, stop[at], level)
         # Suffixes that begin with a word of no item can't match; all others form the array.
-        array, _ = sort_suffixes(np.flatnonzero(ids), key, max(1, self.depth))
-        first, last = search(array, key, self.low, False), search(array, key, self.high, True)
-        at, count = search(array, key, self.full, False), np.maximum(last - first, 0)
-        longest = np.zeros(len(self.size), np.int64)
-        for beside in (at - 1, at):
-            there = np.flatnonzero((beside >= 0) & (beside < len(array)))
-            longest[there] = np.maximum(longest[there], self._common(array[beside[there]], there, key))
+        array, _ = sort_suffixes(np.flatnonzero(ids[lo:hi]) + lo, key, self.whole)
+        most = (1 << self.bits) - 1
+        bound = lambda upper: search(array, key, len(self.start), self.whole, lambda w, level: self._pack(self.flat, self.start[w], self.start[w] + self.size[w], level, most * upper), bool(upper))
+        first, last = bound(0), bound(1)
+        count = np.maximum(last - first, 0)
         hit = np.flatnonzero(count)
         window = np.repeat(hit, count[hit])
         inner = np.arange(len(window)) - np.repeat(np.cumsum(count[hit]) - count[hit], count[hit])
-        return array[np.repeat(first[hit], count[hit]) + inner], window, longest
+        return array[np.repeat(first[hit], count[hit]) + inner], window
+
+    def longest(self, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Words of the longest match of any test suffix at each place."""
+        stop, out = self._stops(ids), np.zeros(len(places), np.int64)
+        for lo in range(0, len(places), _PLACES):
+            own = places[lo : lo + _PLACES]
+            key = lambda rows, level, own=own: self._pack(ids, own[rows], stop[own[rows]], level)
+            at = search(self.suffixes, self._suffix, len(own), self.depth, key, False)
+            for beside in (at - 1, at):
+                there = np.flatnonzero((beside >= 0) & (beside < len(self.suffixes)))
+                out[lo + there] = np.maximum(out[lo + there], self._common(key, there, self.suffixes[beside[there]], stop[own[there]] - own[there]))
+        return out
 
-    def _common(self, starts: np.ndarray, suffixes: np.ndarray, key) -> np.ndarray:
-        """Words that the suffixes at ``starts`` and the test suffixes share from their start."""
-        out, left = np.zeros(len(starts), np.int64), np.arange(len(starts))
-        for level in range(len(self.full)):
-            differ = key(starts[left], level) ^ self.full[level][suffixes[left]]
+    def _common(self, key, rows: np.ndarray, suffixes: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Words that training suffixes of these lengths and test suffixes share from their start."""
+        out, left = np.zeros(len(rows), np.int64), np.arange(len(rows))
+        for level in range(self.depth):
+            differ = key(rows[left], level) ^ self._suffix(suffixes[left], level)
             same = np.zeros(len(left), np.int64)
             for j in range(self.per):
                 same += differ >> np.uint64(self.bits * (self.per - 1 - j)) == 0
@@ -149,20 +152,33 @@ class TestSet:
             left = left[same == self.per]
             if not len(left):
                 break
-        return np.minimum(out, self.length[suffixes])
+        return np.minimum(out, np.minimum(length, self.end[suffixes] - suffixes))
 
 
-def _scan(batches: Iterator[pa.RecordBatch], test: TestSet, text: str, schema: pa.Schema, overlap: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column(text).cast(pa.large_binary())
-        sizes = np.maximum(np.diff(np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)), 0) if len(texts) else np.zeros(0, np.int64)
-        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // SHARD_BYTES)) + 1
-        for lo, hi in zip([0, *cuts], [*cuts, len(texts)], strict=True):
-            if lo < hi:
-                yield _judge(batch.slice(lo, hi - lo), texts[lo:hi].to_pylist(), test, schema, overlap)
+def _scan(batches: Iterator[pa.RecordBatch], test: TestSet, text: str, schema: pa.Schema, shard_bytes: int, shard_words: int) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+    size = 0
 
+    def judged() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        return _judge(rows, rows.column(text).cast(pa.large_binary()).to_pylist(), test, schema, shard_words)
 
-def _judge(rows: pa.RecordBatch, texts: list[bytes | None], test: TestSet, schema: pa.Schema, overlap: int) -> pa.RecordBatch:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = np.cumsum([len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(text)])
+        cuts = [*(np.flatnonzero(np.diff((sizes + size) // shard_bytes)) + 1), batch.num_rows]
+        for lo, hi in zip([0, *cuts[:-1]], cuts, strict=True):
+            held.append(batch.slice(lo, hi - lo))
+            if hi < batch.num_rows:
+                yield judged()
+                held = []
+        size = int(sizes[-1] + size) % shard_bytes
+    if held:
+        yield judged()
+
+
+def _judge(rows: pa.RecordBatch, texts: list[bytes | None], test: TestSet, schema: pa.Schema, shard_words: int) -> pa.RecordBatch:
     parts, ends = [], []
     for t in texts:
         ids = test.ids(t) if t else np.zeros(0, np.int32)
@@ -170,31 +186,28 @@ def _judge(rows: pa.RecordBatch, texts: list[bytes | None], test: TestSet, schem
         ends.append(len(ids))
     ids = np.concatenate(parts)
     start = np.cumsum([0, *[n + 1 for n in ends]])
-    places, windows, best = [], [], []
-    for lo in range(0, len(ids), SHARD_WORDS):
-        p, w, longest = test.find(ids[lo : lo + SHARD_WORDS + overlap])
-        mine = p < SHARD_WORDS
-        places.append(p[mine] + lo)
-        windows.append(w[mine])
-        best.append(longest[w[mine]])
-    place, window, longest = np.concatenate(places), np.concatenate(windows), np.concatenate(best)
-    edge = np.bincount(place, minlength=len(ids) + 1)[: len(ids) + 1] - np.bincount(place + test.size[window], minlength=len(ids) + 1)[: len(ids) + 1] if len(place) else np.zeros(len(ids) + 1, np.int64)
+    found = [test.find(ids, lo, lo + shard_words) for lo in range(0, len(ids), shard_words)]
+    place, window = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(place, kind="stable")
+    place, window = place[order], window[order]
+    edge = np.bincount(place, minlength=len(ids) + 1)[: len(ids) + 1] - np.bincount(place + test.size[window], minlength=len(ids) + 1)[: len(ids) + 1]
     covered = np.diff((np.cumsum(edge) > 0).astype(np.int8), prepend=np.int8(0))
     begin, finish = np.flatnonzero(covered == 1), np.flatnonzero(covered == -1)
-    own = np.searchsorted(start, begin, side="right") - 1
-    doc = np.searchsorted(start, place, side="right") - 1
-    pairs = np.unique(np.stack([doc, window], 1), axis=0) if len(doc) else np.zeros((0, 2), np.int64)
     old = {f.name for f in rows.schema}
     spans = rows.column("__spans").to_pylist() if "__spans" in old else [[] for _ in texts]
     items = rows.column("__items").to_pylist() if "__items" in old else [[] for _ in texts]
     most = np.array(rows.column("__longest").to_pylist() if "__longest" in old else [0] * len(texts), np.int64)
-    np.maximum.at(most, doc, longest)
+    own, doc = np.searchsorted(start, begin, side="right") - 1, np.searchsorted(start, place, side="right") - 1
+    places = np.unique(place)
+    np.maximum.at(most, np.searchsorted(start, places, side="right") - 1, test.longest(ids, places))
     for d in np.unique(own):
-        new = [{"start": int(a - start[d]), "end": int(b - start[d])} for a, b in zip(begin[own == d], finish[own == d], strict=True)]
+        a, b = np.searchsorted(own, (d, d + 1))
+        new = [{"start": int(x - start[d]), "end": int(y - start[d])} for x, y in zip(begin[a:b], finish[a:b], strict=True)]
         spans[d] = _union([*spans[d], *new])
-    for d in np.unique(pairs[:, 0]):
-        names = np.unique(np.concatenate([test.owners[u] for u in pairs[pairs[:, 0] == d, 1]]))
-        items[d] = sorted({*items[d], *[test.names[i] for i in names]})
+    for d in np.unique(doc):
+        a, b = np.searchsorted(doc, (d, d + 1))
+        owners = [test.owner[test.owned[u] : test.owned[u + 1]] for u in np.unique(window[a:b])]
+        items[d] = sorted({*items[d], *[test.names[i] for i in np.unique(np.concatenate(owners))]})
     made = {"__words": pa.array(ends, pa.int64()), "__spans": pa.array(spans, schema.field("__spans").type), "__items": pa.array(items, schema.field("__items").type), "__longest": pa.array(most, pa.int64())}
     return pa.RecordBatch.from_arrays([made.get(f.name, rows.column(f.name) if f.name in old else None) for f in schema], schema=schema)
 
@@ -210,13 +223,13 @@ def _union(spans: list[dict]) -> list[dict]:
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-                       window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep_text: bool = True) -> DataFrame:
+                       window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep_text: bool = True, shard_bytes: int = SHARD_BYTES, shard_words: int = SHARD_WORDS) -> DataFrame:
     """Every row of ``docs`` with what of the benchmark stands in it.
 
     Adds n_words, n_hit (words inside any occurrence of a window), items (ids, as strings, of the
     items with an occurring window), spans (maximal runs of hit words, from 0, end exclusive),
-    longest_match (words of the longest match, beginning in this document, of a test suffix whose
-    match in the shard is longest) and contaminated (n_hit > 0 and 20 n_hit >= n_words); input
+    longest_match (words of the longest verbatim match of a test suffix in this document, 0 without
+    an occurring window) and contaminated (n_hit > 0 and 20 n_hit >= n_words); input
     columns of these names give way.
 
     Null and empty texts have no words. Items with equal ids count as one item, a null id is the
@@ -240,7 +253,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
         def scan(batches: Iterator[pa.RecordBatch], shared=shared, shape=shape) -> Iterator[pa.RecordBatch]:
             from pyspark.sql.pandas.types import to_arrow_schema
 
-            yield from _scan(batches, shared.value, text, to_arrow_schema(shape), window - 1)
+            yield from _scan(batches, shared.value, text, to_arrow_schema(shape), shard_bytes, shard_words)
 
         out = out.mapInArrow(scan, shape)
         if not last:

@@ -38,10 +38,10 @@ def sort_suffixes(starts: np.ndarray, key: Key, levels: int) -> tuple[np.ndarray
     return starts, tied
 
 
-def search(order: np.ndarray, key: Key, wanted: list[np.ndarray], upper: bool) -> np.ndarray:
-    """For each wanted key (one array for each level), the number of suffixes of ``order`` that
-    are smaller than it (upper: not larger), by binary search."""
-    n = len(wanted[0])
+def search(order: np.ndarray, key: Key, n: int, levels: int, wanted: Key, upper: bool) -> np.ndarray:
+    """For each of ``n`` wanted keys (wanted(rows, level): pieces of some of them), the number of
+    suffixes of ``order`` that are smaller than it (upper: not larger), by binary search. Later
+    pieces are read only where earlier ones are equal."""
     lo, hi = np.zeros(n, np.int64), np.full(n, len(order), np.int64)
     while True:
         open_ = np.flatnonzero(lo < hi)
@@ -50,8 +50,8 @@ def search(order: np.ndarray, key: Key, wanted: list[np.ndarray], upper: bool) -
         mid = (lo[open_] + hi[open_]) // 2
         right = np.full(len(open_), upper)
         undecided = np.arange(len(open_))
-        for level, want in enumerate(wanted):
-            have, need = key(order[mid[undecided]], level), want[open_[undecided]]
+        for level in range(levels):
+            have, need = key(order[mid[undecided]], level), wanted(open_[undecided], level)
             right[undecided[have < need]] = True
             right[undecided[have > need]] = False
             undecided = undecided[have == need]

@@ -4,6 +4,7 @@ and clashing columns."""
 import base64
 import gzip
 import hashlib
+import pickle
 import random
 import re
 
@@ -260,17 +261,34 @@ def brute_contamination(docs, items):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("block", "shard"), [(32 << 20, 1_000_000), (400, 50)])
-def test_contamination(spark, monkeypatch, block, shard):
-    monkeypatch.setattr(decontamination, "SHARD_WORDS", shard)
+def brute_longest(text, items):
+    """Words of the longest run of an item's words in the text, if a window of the item is there."""
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(low))
+    w, most = split(text), 0
+    for v in (split(t) for t in items):
+        for i in range(len(w)):
+            for j in range(len(v)):
+                n = 0
+                while i + n < len(w) and j + n < len(v) and w[i + n] == v[j + n]:
+                    n += 1
+                most = max(most, n if n >= min(13, len(v)) else 0)
+    return most
+
+
+@pytest.mark.parametrize(("block", "shard_bytes", "shard_words"), [(8 << 20, 16 << 20, 4_000_000), (400, 2_000, 50)])
+def test_contamination(spark, block, shard_bytes, shard_words):
     items = [(1, words(30)), (2, words(14)), (3, "Short item"), (4, None), (None, words(13)), (5, ""), (6, words(30) + "é"), (1, words(20))]
     plant = [t for _, t in items if t]
     docs = [(i, f"{words(rng.randrange(60))} {rng.choice(plant)} {words(rng.randrange(60))}. {rng.choice(plant).upper()}") for i in range(40)]
-    docs += [(100, None), (101, ""), (102, words(300)), (103, plant[0][: len(plant[0]) // 2]), (1, docs[1][1]), (None, plant[0])]
+    # a copy of a window alone beside longer ones
+    docs += [(100, None), (101, ""), (102, words(300)), (103, plant[0][: len(plant[0]) // 2]), (1, docs[1][1]), (None, plant[0]), (104, "x " + " ".join(plant[0].split()[4:17]) + " y")]
     frame = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, N_Hit string")
-    # one part, so that the changed constant holds: tasks read it where the module is imported
-    got = decontamination.find_contamination(frame, spark.createDataFrame(items, "item_id int, text string"), block_bytes=block)
-    assert sorted([(r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in got.collect()], key=str) == brute_contamination(docs, items)
+    got = decontamination.find_contamination(frame, spark.createDataFrame(items, "item_id int, text string"), block_bytes=block, shard_bytes=shard_bytes, shard_words=shard_words).collect()
+    assert sorted([(r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in got], key=str) == brute_contamination(docs, items)
+    longest = {r["doc_id"]: r["longest_match"] for r in got}
+    assert longest[104] == 13 and longest[None] == 30 and longest[102] == longest[100] == 0
+    assert all(longest[d] == brute_longest(t, plant) for d, t in docs[:12])
 
 
 def test_contamination_in_small_shards():
@@ -278,9 +296,17 @@ def test_contamination_in_small_shards():
     test = decontamination.TestSet(items)
     text = b" ".join([items[0][1], words(50).encode(), items[1][1]] * 3)
     ids = np.concatenate([test.ids(text), [0]]).astype(np.int32)
-    whole = sorted(zip(*[x.tolist() for x in test.find(ids)[:2]], strict=True))
-    parts = [(p + lo, w) for lo in range(0, len(ids), 25) for p, w in zip(*[x.tolist() for x in test.find(ids[lo : lo + 37])[:2]], strict=True) if p < 25]
-    assert sorted(parts) == whole and test.find(ids)[2].max() == 20
+    whole = sorted(zip(*[x.tolist() for x in test.find(ids)], strict=True))
+    parts = [p for lo in range(0, len(ids), 25) for p in zip(*[x.tolist() for x in test.find(ids, lo, lo + 25)], strict=True)]
+    assert sorted(parts) == whole and test.longest(ids, np.unique([p for p, _ in whole])).max() == 20
+
+
+def test_a_block_of_items_stays_small():
+    """What is broadcast of a block: a few times its text."""
+    r = random.Random(2)
+    text = [" ".join(f"w{r.randrange(50_000)}" for _ in range(150)).encode() for _ in range(1_000)]
+    test = decontamination.TestSet([(str(i), t) for i, t in enumerate(text)])
+    assert len(pickle.dumps(test)) < 10 * sum(map(len, text))
 
 
 def test_contamination_of_nothing(spark, odd, none):
