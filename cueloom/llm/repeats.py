@@ -9,6 +9,10 @@ end to end. Anchors with more than one distinct context get the bytes of the ear
 a task builds the suffix array of many such contexts at a time: suffixes smaller than their
 successors are sorted directly, all others are induced by scans of the buckets, and common prefixes
 of neighbours of 100 bytes or more tell which windows are equal.
+
+An anchor with very many distinct contexts is dealt over several arrays. Each leaves out the windows
+that stand earlier in it; the bytes of the others are dealt out by their hash, and further arrays
+compare them, with what is already known of a hash carried from one array to the next.
 """
 
 from __future__ import annotations
@@ -28,14 +32,15 @@ from cueloom.llm.suffixes import sort_suffixes
 LEAST, ANCHOR = 100, 32
 #: Bytes that are hashed at a time, and bytes of contexts in one suffix array.
 PIECE, ARRAY_BYTES = 1 << 20, 1 << 20
-#: Distinct contexts of one anchor that one suffix array takes; the windows of other anchors are
-#: dealt out by their whole bytes, each by itself.
+#: Distinct contexts of one anchor that one suffix array takes; those of other anchors are dealt over
+#: several arrays.
 MOST_CONTEXTS = 8_192
 
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 _NULL_ID = -(1 << 63)
 OCCURRENCE = "h long, c long, doc long, th long, start long, extra long"
 FOUND = "doc long, th long, start long, end long, h long, shift int"
+WINDOW = "h long, doc long, th long, start long, end long, body binary"
 
 
 class _Powers:
@@ -245,8 +250,8 @@ def common_prefixes(array: np.ndarray, eight: np.ndarray, upto: int = LEAST) ->
     return np.minimum(out, upto)
 
 
-def _compare(texts: list[bytes], doc: np.ndarray, th: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, first byte, end) of the windows that stand earlier in another of the contexts."""
+def _late(texts: list[bytes], doc: np.ndarray, th: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(context, first byte) of the windows that stand earlier in another of the contexts."""
     lengths = np.array([len(t) + 1 for t in texts], np.int64)
     ends = np.cumsum(lengths) - 1
     data = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8) + np.uint8(1)
@@ -262,7 +267,7 @@ def _compare(texts: list[bytes], doc: np.ndarray, th: np.ndarray, start: np.ndar
     run, own, place = run[order], own[order], place[order]
     lead = np.maximum.accumulate(np.where(np.concatenate([[True], run[1:] != run[:-1]]), np.arange(len(run)), 0)) if len(run) else run
     late = (doc[own] != doc[own[lead]]) | (th[own] != th[own[lead]]) | (place != place[lead])
-    return _union(own[late], place[late], place[late] + LEAST)
+    return own[late], place[late]
 
 
 def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +276,8 @@ def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def compare(rows: pa.Table) -> pa.RecordBatch:
         doc, th, start = (rows.column(k).to_numpy() for k in ("doc", "th", "start"))
-        own, a, b = _compare(rows.column("body").to_pylist(), doc, th, start)
+        own, a = _late(rows.column("body").to_pylist(), doc, th, start)
+        own, a, b = _union(own, a, a + LEAST)
         return _batch("doc long, th long, start long, end long", doc[own], th[own], a, b)
 
     for batch in batches:
@@ -290,17 +296,57 @@ def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, doc, th, start, body) -> every window by itself, under two hashes of its bytes."""
+    """Contexts (h, doc, th, start, body) of hot anchors -> windows: removed spans (h null) of those
+    that stand earlier in the same array, and the bytes of the others under their hash."""
     powers = _Powers(LEAST + 256)
     for batch in batches:
+        bodies = batch.column("body").to_pylist()
         doc, th, start = (batch.column(k).to_numpy() for k in ("doc", "th", "start"))
-        for k, body in enumerate(batch.column("body").to_pylist()):
-            data = np.frombuffer(body, np.uint8).astype(np.uint64)
-            n = len(data) - LEAST + 1
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data * powers.up[: len(data)], dtype=np.uint64)])
-            one = _mixed((sums[LEAST:] - sums[:n]) * powers.down[:n])
-            two = np.array([int.from_bytes(hashlib.blake2b(body[i : i + LEAST], digest_size=8).digest(), "little") for i in range(n)], np.uint64)
-            yield _batch(OCCURRENCE, one.view(np.int64), two.view(np.int64), np.full(n, doc[k]), np.full(n, th[k]), start[k] + np.arange(n), np.zeros(n, np.int64))
+        cuts = np.flatnonzero(np.diff(np.cumsum([len(b) for b in bodies]) // ARRAY_BYTES)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(bodies)], strict=True):
+            own, place = _late(bodies[lo:hi], doc[lo:hi], th[lo:hi], start[lo:hi])
+            gone = {}
+            for k, p in zip(own.tolist(), place.tolist(), strict=True):
+                gone.setdefault(lo + k, set()).add(p)
+            own, a, b = _union(own, place, place + LEAST)
+            none = pa.nulls(len(own), pa.int64())
+            yield _batch(WINDOW, none, doc[lo + own], th[lo + own], a, b, pa.nulls(len(own), pa.binary()))
+            for k in range(lo, hi):
+                data = np.frombuffer(bodies[k], np.uint8).astype(np.uint64)
+                n = len(data) - LEAST + 1
+                left = np.array([i for i in range(n) if int(start[k]) + i not in gone.get(k, ())], np.int64)
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data * powers.up[: len(data)], dtype=np.uint64)])
+                h = _mixed((sums[LEAST:] - sums[:n]) * powers.down[:n]).view(np.int64)[left]
+                yield _batch(WINDOW, h, np.full(len(left), doc[k]), np.full(len(left), th[k]), start[k] + left, start[k] + left + LEAST, pa.array([bodies[k][i : i + LEAST] for i in left], pa.binary()))
+
+
+def _window_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows (h, doc, th, start, body) sorted by all of these but the body -> removed spans.
+
+    A suffix array takes so many rows; of the last hash in it, the earliest of each different window
+    goes on into the next one."""
+    held, size = [], 0
+
+    def compare() -> tuple[pa.RecordBatch, list[pa.RecordBatch]]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        h, doc, th, start = (rows.column(k).to_numpy() for k in ("h", "doc", "th", "start"))
+        own, _ = _late(rows.column("body").to_pylist(), doc, th, start)
+        own = np.unique(own)
+        late = np.zeros(len(h), bool)
+        late[own] = True
+        return _batch("doc long, th long, start long, end long", doc[own], th[own], start[own], start[own] + LEAST), rows.take(pa.array(np.flatnonzero(~late & (h == h[-1])))).to_batches()
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.nbytes
+        if size >= ARRAY_BYTES:
+            found, held = compare()
+            size = 0
+            yield found
+    if size:
+        yield compare()[0]
 
 
 def _apply(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[pa.RecordBatch]:
@@ -330,11 +376,8 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc, th, start, end): spans of bytes that a window of LEAST bytes covers which also starts
     earlier. doc is the id (null: the least long), th the text's XXH64; spans may overlap."""
     rows = docs.select(_key(F.col(quoted(doc_id))).alias("doc"), F.xxhash64(F.col(quoted(text)).cast("binary")).alias("th"), F.col(quoted(text)).cast("binary").alias("body")).where(F.octet_length("body") >= LEAST)
-
-    def collapsed(occurrences: DataFrame) -> DataFrame:
-        return occurrences.repartition("h").sortWithinPartitions("h", "c", "doc", "th", "start").mapInArrow(_collapse, FOUND)
-
-    found = materialize(collapsed(rows.mapInArrow(_occurrences, OCCURRENCE)), "contexts")
+    occurrences = rows.mapInArrow(_occurrences, OCCURRENCE).repartition("h").sortWithinPartitions("h", "c", "doc", "th", "start")
+    found = materialize(occurrences.mapInArrow(_collapse, FOUND), "contexts")
     asked = found.where("h is not null")
     hot = asked.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_contexts).select("h", F.lit(True).alias("hot"))
     hot = materialize(hot, "hot-anchors")
@@ -346,8 +389,10 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     plain = bodies.where("hot is null").drop("hot").repartition("h").sortWithinPartitions("h")
     spans = spans.unionByName(plain.mapInArrow(_arrays, "doc long, th long, start long, end long"))
     if n_hot:
-        single = collapsed(bodies.where("hot").drop("hot").mapInArrow(_windows, OCCURRENCE))
-        spans = spans.unionByName(single.where("h is null").select("doc", "th", "start", "end"))
+        windows = materialize(bodies.where("hot").drop("hot").mapInArrow(_windows, WINDOW), "windows")
+        spans = spans.unionByName(windows.where("h is null").select("doc", "th", "start", "end"))
+        dealt = windows.where("h is not null").select("h", "doc", "th", "start", "body").repartition("h").sortWithinPartitions("h", "doc", "th", "start")
+        spans = spans.unionByName(dealt.mapInArrow(_window_arrays, "doc long, th long, start long, end long"))
     return spans
 
 

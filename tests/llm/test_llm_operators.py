@@ -9,6 +9,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -400,6 +401,24 @@ def test_repeats(spark, most):
     assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in got)
 
 
+def test_windows_are_carried_between_arrays():
+    """Rows of one hash over many batches and arrays: all but the earliest of each window go."""
+    r = random.Random(3)
+    texts = [bytes(r.randrange(97, 100) for _ in range(100)) for _ in range(3)]
+    rows = sorted((1, d, 0, 5 * k, r.choice(texts)) for d in range(400) for k in range(10))
+    kinds = [("h", pa.int64()), ("doc", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("body", pa.binary())]
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*part, strict=True), kinds, strict=True)], names=[n for n, _ in kinds])
+    size, repeats.ARRAY_BYTES = repeats.ARRAY_BYTES, 20_000
+    try:
+        found = pa.Table.from_batches(repeats._window_arrays(batch(rows[i : i + 37]) for i in range(0, len(rows), 37)))
+    finally:
+        repeats.ARRAY_BYTES = size
+    first = {}
+    for _, d, _, p, t in rows:
+        first.setdefault(t, (d, p))
+    assert sorted(zip(found["doc"].to_pylist(), found["start"].to_pylist(), strict=True)) == sorted((d, p) for _, d, _, p, t in rows if first[t] != (d, p))
+
+
 def test_repeats_of_odd_rows(spark, odd, none):
     got = {(r["doc_id"], r["n_bytes"]): r["n_removed"] for r in repeats.remove_repeats(odd).collect()}
     # the null id comes first, so its copy in 5 goes; the two equal rows 4 are one document
