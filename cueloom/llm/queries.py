@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cueloom.llm import decontamination, mixing, quality, repeats, secrets, sharding, simhash, toxicity, url_filter, warc
-from cueloom.llm.common import scratch_path
+from cueloom.llm.common import materialize, scratch_path
 
 #: The rule list of op1.
 URL_RULES = [
@@ -79,7 +79,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = materialize(secrets.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text")), "secret-spans")
     found = secrets.scan(docs, secrets.train(secrets.samples_from(docs))).select("doc_id", "spans")
     counts = [secrets.count_kind(F.col("spans"), kind).alias(f"n_{kind}") for kind in secrets.KINDS[:3]]
     return found.select("doc_id", *counts, F.sha2(secrets.joined(F.col("spans"), base_only=True), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))

@@ -75,14 +75,27 @@ def find_base(text: Column) -> dict[str, Column]:
     return {"assign": _spans(F.regexp_replace(_marked(text, ASSIGN), short, "$1")), "access": _spans(_marked(text, ACCESS)), "hex": _spans(_marked(text, HEX))}
 
 
+def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` plus __found: the spans of each base kind and of long tokens. The costly search of the
+    texts; written once, it serves ``samples_from`` and ``scan``."""
+    body = F.coalesce(F.col(quoted(text)), F.lit(""))
+    spans = {**find_base(body), "token": _spans(_marked(body, f"{_TOKEN}{{{TOKEN_LEAST},}}"))}
+    return docs.withColumn("__found", F.struct(*[c.alias(n) for n, c in spans.items()]))
+
+
+def _searched(docs: DataFrame, text: str) -> DataFrame:
+    return docs if "__found" in docs.columns else with_spans(docs, text)
+
+
 def samples_from(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(token, random, n): labelled samples, each distinct token once with its count.
+    """(token, random, n): labelled samples, each distinct token once with its count. ``docs`` may
+    have spans already.
 
     Random are the values of the base patterns' matches; ordinary are all other tokens of at
     least SAMPLE_LEAST characters from texts in which no base pattern matches.
     """
     body = F.coalesce(F.col(quoted(text)), F.lit(""))
-    found = docs.select(body.alias("body")).withColumns(find_base(F.col("body")))
+    found = _searched(docs, text).select(body.alias("body"), "__found.*")
     value = lambda s: F.regexp_replace(s["token"], f"^{_KEY}{_BETWEEN}", "")
     secret = F.concat(F.transform("assign", value), F.transform("access", lambda s: s["token"]), F.transform("hex", lambda s: s["token"]))
     both = found.select(F.when(F.size(secret) > 0, secret).otherwise(F.regexp_extract_all("body", F.lit(f"{_TOKEN}{{{SAMPLE_LEAST},}}"), F.lit(0))).alias("tokens"), (F.size(secret) > 0).alias("random"))
@@ -124,27 +137,25 @@ def log_ratio(token: Column, model: list[float]) -> Column:
 
 
 def scan(docs: DataFrame, model: list[float], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Every row of ``docs`` plus spans: an array of (start, end, kind, token), code points, end
+    """Every row of ``docs``, which may have spans of ``with_spans`` already, plus spans: an array of (start, end, kind, token), code points, end
     exclusive, by start and then kind as listed in KINDS; an input column ``spans`` gives way.
 
     Kind markov are tokens of at least TOKEN_LEAST characters whose log ratio is above
     ``threshold`` and which overlap no base span. A null text has no spans.
     """
-    body = F.coalesce(F.col(quoted(text)), F.lit(""))
-    staged = docs.withColumns({f"__{kind}": spans for kind, spans in find_base(body).items()})
-    token = _spans(_marked(body, f"{_TOKEN}{{{TOKEN_LEAST},}}"))
-    staged = staged.withColumn("__token", token)
-    base = F.concat("__assign", "__access", "__hex")
-    free = F.filter("__token", lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
+    staged = _searched(docs, text)
+    base = F.concat("__found.assign", "__found.access", "__found.hex")
+    free = F.filter("__found.token", lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
     staged = staged.withColumn("__markov", F.filter(free, lambda t: log_ratio(t["token"], model) > threshold))
+    of = lambda k: F.col("__markov" if KINDS[k] == "markov" else f"__found.{KINDS[k]}")
 
     def ranked_by(k: int) -> Column:
-        return F.transform(f"__{KINDS[k]}", lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("rank"), s["end"].alias("end"), s["token"].alias("token")))
+        return F.transform(of(k), lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("rank"), s["end"].alias("end"), s["token"].alias("token")))
 
     all_ = F.concat(*[ranked_by(k) for k in range(len(KINDS))])
     names = F.array(*[F.lit(k) for k in KINDS])
     spans = F.transform(F.array_sort(all_), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(names, s["rank"] + 1).alias("kind"), s["token"].alias("token")))
-    return replace_columns(staged, {"spans": spans}).drop(*[f"__{k}" for k in (*KINDS, "token")])
+    return replace_columns(staged, {"spans": spans}).drop("__found", "__markov")
 
 
 def joined(spans: Column, base_only: bool = False) -> Column:

@@ -21,12 +21,15 @@ from cueloom.llm.common import materialize, quoted
 SIZES, BITS = (3, 4, 5), 18
 #: Rows of each class, about, that the regression is fitted to. The counts cover all rows.
 SAMPLE_ROWS = 4_000
+#: Features of each class, about, that these rows may have together, 4 bytes each on the driver: long
+#: texts make the sample smaller.
+SAMPLE_FEATURES = 16_000_000
 #: Standard errors that a log-count ratio has to be away from zero; other features are left out.
 LEAST_Z = 4.0
 #: Ridge penalty and rounds of the fit.
 PENALTY, ROUNDS = 1e-4, 200
 #: Label rows (16 bytes each) up to this number are broadcast; more are joined by shuffle.
-BROADCAST_LABELS = 2_000_000
+BROADCAST_LABELS = 500_000
 _CHUNK = 1 << 18
 _FIT_ROWS = 512
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -86,7 +89,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.append(f, -1)), pa.array(np.append(counts[1][f], rows[1])), pa.array(np.append(counts[0][f], rows[0]))], names=["f", "toxic", "clean"])
 
 
-def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_features: int = SAMPLE_FEATURES) -> Model:
     """Learn from ``rows`` (doc_id, body, toxic). Without rows of both classes every text scores
     the share of toxic rows, smoothed. The driver gets two counts for each of the 2 ** BITS
     hashes, and the sample's kept features."""
@@ -104,7 +107,8 @@ def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     if not scale.any():
         return none
     shared = rows.sparkSession.sparkContext.broadcast(scale != 0)
-    share = {True: min(1.0, sample_rows / n1), False: min(1.0, sample_rows / n0)}
+    features_of = {True: int(totals.toxic.to_numpy()[good].sum()), False: int(totals.clean.to_numpy()[good].sum())}
+    share = {k: min(1.0, sample_rows / n, sample_features / max(1, features_of[k])) for k, n in ((True, n1), (False, n0))}
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
     chosen = rows.where(chance < F.when(F.col("toxic"), share[True]).otherwise(share[False]))
 
