@@ -94,7 +94,9 @@ def _vector() -> list[Column]:
 
 def _quantile(rows: DataFrame, keys: list[str], value: Column, share: float) -> DataFrame:
     """keys and q: the upper end of the bin in which the share of each group's rows is reached."""
-    bins = rows.groupBy(*keys, F.floor(value / BIN).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    # Dealt by bin first, so that what reaches a group's window is one row for each bin, not for each
+    # bin and task.
+    bins = rows.groupBy(*keys, F.floor(value / BIN).alias("bin")).agg(F.count(F.lit(1)).alias("n")).repartition(*keys, "bin")
     run, all_ = Window.partitionBy(*keys).orderBy("bin"), Window.partitionBy(*keys)
     reached = bins.withColumns({"up_to": F.sum("n").over(run), "of": F.sum("n").over(all_)}).where(F.col("up_to") >= share * F.col("of"))
     return reached.groupBy(*keys).agg(((F.min("bin") + 1) * BIN).alias("q"))
