@@ -107,18 +107,25 @@ def one_indel(a: Column, b: Column) -> Column:
 def wrap_balance(text: Column, width: int = 42) -> Column:
     """One or two lines: the most even cut with both lines within ``width``, else the one with the
     shortest longer line; the first of equals."""
-    def cut(words: Column) -> Column:
-        def at(i: Column) -> Column:
-            left, right = F.length(F.array_join(F.slice(words, F.lit(1), i), " ")), F.length(F.array_join(F.slice(words, i + 1, F.size(words)), " "))
+    def cut(words: Column, total: Column) -> Column:
+        # One pass over the words with the left line's length so far; the right line is the rest.
+        start = F.struct(F.lit(-1).alias("left"), F.lit(0).alias("i"), F.lit(2).alias("over"), F.lit(0).alias("score"), F.lit(0).alias("at"))
+
+        def step(acc: Column, w: Column) -> Column:
+            left, i = acc["left"] + 1 + F.length(w), acc["i"] + 1
+            right = total - left - 1
             over = (F.greatest(left, right) > width).cast("int")
-            return F.struct(over.alias("over"), F.when(over == 0, F.abs(left - right)).otherwise(F.greatest(left, right)).alias("score"), i.alias("i"))
+            score = F.when(over == 0, F.abs(left - right)).otherwise(F.greatest(left, right))
+            better = (i < F.size(words)) & ((over < acc["over"]) | (over == acc["over"]) & (score < acc["score"]))
+            pick = lambda new, name: F.when(better, new).otherwise(acc[name]).alias(name)
+            return F.struct(left.alias("left"), i.alias("i"), pick(over, "over"), pick(score, "score"), pick(i, "at"))
 
-        best = F.array_min(F.transform(F.sequence(F.lit(1), F.size(words) - 1), at))["i"]
+        best = F.aggregate(words, start, step, lambda acc: acc["at"])
         return let(best, lambda i: F.concat(F.array_join(F.slice(words, F.lit(1), i), " "), F.lit("\n"), F.array_join(F.slice(words, i + 1, F.size(words)), " ")))
 
     t = F.regexp_replace(text, r"^\s+|\s+$", "")
     words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
-    return F.when(F.length(t) <= width, t).otherwise(let(words, lambda w: F.when(F.size(w) < 2, t).otherwise(cut(w))))
+    return F.when(F.length(t) <= width, t).otherwise(let(words, lambda w: F.when(F.size(w) < 2, t).otherwise(let(F.length(F.array_join(w, " ")), lambda n: cut(w, n)))))
 
 
 def parse_adjudication(reply: Column) -> Column:
@@ -203,7 +210,14 @@ def is_repetition(text: Column, min_tokens: int = 6, percent: int = 60) -> Colum
 
         def top(k: int) -> Column:
             grams = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, F.lit(k)), " "))
-            return let(F.array_sort(grams), lambda g: F.array_max(F.transform(g, lambda x, i: i - F.array_position(g, x).cast("int") + 2)))
+            # Equal ones stand together in the sorted array: one pass counts the runs.
+            start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("top"))
+
+            def step(acc: Column, g: Column) -> Column:
+                run = F.when(g == acc["last"], acc["run"] + 1).otherwise(F.lit(1))
+                return F.struct(g.alias("last"), run.alias("run"), F.greatest(acc["top"], run).alias("top"))
+
+            return F.aggregate(F.array_sort(grams), start, step, lambda acc: acc["top"])
 
         loop = lambda k: let(top(k), lambda c: (c >= (1 if k == 1 else 3)) & (c * k * 100 >= n * percent))
         return (n >= min_tokens) & (loop(1) | loop(3) | loop(2))

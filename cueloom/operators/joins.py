@@ -17,33 +17,37 @@ def range_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str], ri
 
     Both sides are spread over time buckets, so the join is an equality join on (keys, bucket); a
     pair counts in the later of its two first buckets only. Choose ``bucket`` above most spans'
-    length. Null keys or ends join nothing.
+    length. Null keys or ends join nothing; a left or anti join keeps such left rows. Equal left rows
+    each count by themselves.
     """
     (l0, l1), (r0, r1) = left_span, right_span
     of = lambda x: F.floor(x / bucket).cast("long")
     lo, hi = F.col(r0) - slack, F.col(r1) + slack
     r = (right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
          .where(lo <= hi).withColumn("__r_first", of(lo)).withColumn("__bucket_r", F.explode(F.sequence("__r_first", of(hi)))))
-    li = left.withColumn("__l_first", of(F.col(l0)))
-    li = li.withColumn("__bucket_l", F.explode(F.sequence("__l_first", F.greatest(of(F.col(l1)), F.col("__l_first")))))
+    li = left.withColumn("__l_first", F.when(F.col(l1).isNotNull(), of(F.col(l0))))
+    if how in ("left", "semi", "anti"):
+        # Copies of a row are told apart by how often the row stands: they match alike.
+        li = li.groupBy(*left.columns, "__l_first").agg(F.count(F.lit(1)).alias("__copies"))
+    li = li.withColumn("__bucket_l", F.explode_outer(F.sequence("__l_first", F.greatest(of(F.col(l1)), F.col("__l_first")))))
     met = [F.col(k) == F.col(f"__r_{k}") for k in keys] + [F.col("__bucket_l") == F.col("__bucket_r")]
     met += [F.least(F.col(l1), hi) > F.greatest(F.col(l0), lo), F.col("__bucket_l") == F.greatest("__l_first", "__r_first")]
     helpers = ["__l_first", "__bucket_l", "__r_first", "__bucket_r", *[f"__r_{k}" for k in keys]]
     if how == "inner":
         return li.join(r, met).drop(*helpers)
+    each = lambda df: df.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).drop("__copy", "__copies")
     if how == "left":
         # A left row without any match shows up once, in its first bucket.
         out = li.join(r, met, "left")
         matched = F.col("__r_first").isNotNull()
-        whole = Window.partitionBy(*[c for c in left.columns])
-        kept = out.withColumn("__any", F.max(matched.cast("int")).over(whole)).where(matched | (F.col("__any") == 0) & (F.col("__bucket_l") == F.col("__l_first")))
-        return kept.drop("__any", *helpers)
-    hit = li.join(r, met, "left_semi").select(*left.columns).distinct()
-    if how == "semi":
-        return hit
-    if how == "anti":
-        same = [left[c].eqNullSafe(hit[c]) for c in left.columns]
-        return left.join(hit, same, "left_anti")
+        whole = Window.partitionBy(*left.columns)
+        kept = out.withColumn("__any", F.max(matched.cast("int")).over(whole)).where(matched | (F.col("__any") == 0) & F.col("__bucket_l").eqNullSafe(F.col("__l_first")))
+        return each(kept.drop("__any", *helpers))
+    if how in ("semi", "anti"):
+        hit = li.join(r, met, "left_semi").select(*[F.col(c).alias(f"__h_{c}") for c in left.columns]).distinct()
+        rows = li.where(F.col("__bucket_l").eqNullSafe(F.col("__l_first"))).drop("__l_first", "__bucket_l")
+        same = [F.col(c).eqNullSafe(F.col(f"__h_{c}")) for c in left.columns]
+        return each(rows.join(hit, same, f"left_{how}")).select(*left.columns)
     raise ValueError(how)
 
 

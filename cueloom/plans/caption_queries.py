@@ -124,38 +124,38 @@ def card_word_probs(spark, sf_dir):
     return out.select(*KEYS, "card_no", F.array_join(F.transform("word_probs", lambda p: p.cast("long").cast("string")), ",").alias("word_probs"))
 
 
-WRAP = r"""SELECT t, list_transform(range(1, len(w)), lambda i: {'l': array_to_string(w[:i], ' '), 'r': array_to_string(w[i + 1:], ' '), 'i': i}) AS cuts, len(w) AS n FROM (SELECT t, list_filter(string_split_regex(t, '\s+'), lambda x: x <> '') AS w FROM (SELECT DISTINCT trim(substr(regexp_replace(text, '\s+', ' ', 'g'), 1, 90)) AS t FROM conversations))"""
+WRAP = r"""SELECT t, list_transform(range(1, len(w)), lambda i: {'l': array_to_string(w[:i], ' '), 'r': array_to_string(w[i + 1:], ' '), 'i': i}) AS cuts, len(w) AS n FROM (SELECT t, list_filter(string_split_regex(t, '\s+'), lambda x: x <> '') AS w FROM (SELECT DISTINCT regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM conversations))"""
 
 
 @query(sql(r"""SELECT t AS text, CASE WHEN length(t) <= 42 OR n < 2 THEN t ELSE (SELECT min({'o': CASE WHEN greatest(length(c.l), length(c.r)) > 42 THEN 1 ELSE 0 END,
 's': CASE WHEN greatest(length(c.l), length(c.r)) > 42 THEN greatest(length(c.l), length(c.r)) ELSE abs(length(c.l) - length(c.r)) END, 'i': c.i, 'x': c.l || chr(10) || c.r}) FROM (SELECT unnest(cuts) AS c)).x END AS wrapped FROM wrap""", wrap=WRAP))
 def wrap_balance(spark, sf_dir):
-    t = A.table(spark, sf_dir, "conversations").select(F.trim(F.substring(F.regexp_replace("text", r"\s+", " "), 1, 90)).alias("text")).distinct()
+    t = A.table(spark, sf_dir, "conversations").select(F.regexp_replace("text", r"^\s+|\s+$", "").alias("text")).distinct()
     return t.select("text", T.wrap_balance(F.col("text")).alias("wrapped"))
 
 
 # ---- gate ---------------------------------------------------------------------------------------
-@query(sql(r"""SELECT show, episode, card_no, CASE WHEN regexp_matches(text, '(?i)amara\.org|thank you for watching|copyright|www\.|http|thonin') THEN 'blocklist' WHEN no_speech_prob > 95 AND avg_logprob < -200 THEN 'music' END AS drop_reason,
-CASE WHEN avg_logprob < -60 THEN 'low_conf' WHEN no_speech_prob > 50 THEN 'maybe_silence' END AS flag FROM v_cards""", "v_cards"))
+TOKENS = """SELECT doc_id, t, len(t) AS n FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9'']+') AS t FROM documents) WHERE len(t) >= 2"""
+GRAMS = """SELECT doc_id, n, k, g, count(*) AS c FROM (SELECT doc_id, n, k, unnest(list_transform(range(1, n - k + 2), lambda i: array_to_string(t[i:i + k - 1], ' '))) AS g FROM tok, (VALUES (1), (2), (3)) v(k)) GROUP BY ALL"""
+LOOPED = """SELECT doc_id FROM grams GROUP BY doc_id HAVING bool_or(n >= 6 AND (k = 1 AND c * 100 >= n * 60 OR k > 1 AND c >= 3 AND c * k * 100 >= n * 60))"""
+CARD_TOKENS = """SELECT {'e': episode, 'c': card_no} AS doc_id, t, len(t) AS n FROM (SELECT episode, card_no, regexp_extract_all(lower(text), '[a-z0-9'']+') AS t FROM v_cards)"""
+
+
+@query(sql(r"""SELECT show, episode, card_no, CASE WHEN regexp_matches(text, '(?i)amara\.org|thank you for watching|copyright|www\.|http|thonin') THEN 'blocklist' WHEN doc_id IS NOT NULL THEN 'repetition' WHEN no_speech_prob > 95 AND avg_logprob < -200 THEN 'music' END AS drop_reason,
+CASE WHEN avg_logprob < -60 THEN 'low_conf' WHEN no_speech_prob > 50 THEN 'maybe_silence' END AS flag FROM v_cards LEFT JOIN looped ON doc_id = {'e': episode, 'c': card_no}""", "v_cards", tok=CARD_TOKENS, grams=GRAMS, looped=LOOPED))
 def drop_reason(spark, sf_dir):
     c = A.v_cards(spark, sf_dir)
     block = [r"amara\.org", "thank you for watching", "copyright", r"www\.", "http", "thonin"]
-    # conversations hold no loops, which the SQL leaves out
     return c.select(*KEYS, "card_no", T.drop_reason(F.col("text"), F.col("no_speech_prob"), F.col("avg_logprob"), block, 95, -200).alias("drop_reason"),
                     T.flag_reason(F.col("no_speech_prob"), F.col("avg_logprob"), 50, -60).alias("flag"))
 
 
-TOKENS = """SELECT doc_id, t, len(t) AS n FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9'']+') AS t FROM documents) WHERE len(t) BETWEEN 6 AND 400"""
-GRAMS = """SELECT doc_id, n, k, g, count(*) AS c FROM (SELECT doc_id, n, k, unnest(list_transform(range(1, n - k + 2), lambda i: array_to_string(t[i:i + k - 1], ' '))) AS g FROM tok, (VALUES (1), (2), (3)) v(k)) GROUP BY ALL"""
-
-
-@query(sql("""SELECT doc_id, bool_or(k = 1 AND c * 100 >= n * 60 OR k > 1 AND c >= 3 AND c * k * 100 >= n * 60) AS repetition FROM grams GROUP BY doc_id""", tok=TOKENS, grams=GRAMS))
+@query(sql("SELECT d.doc_id, l.doc_id IS NOT NULL AS repetition FROM documents d LEFT JOIN looped l USING (doc_id)", tok=TOKENS, grams=GRAMS, looped=LOOPED))
 def is_repetition(spark, sf_dir):
-    d = A.table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9']+"), F.lit(0))).alias("n"))
-    return d.where("n between 6 and 400").select("doc_id", T.is_repetition(F.col("text")).alias("repetition"))
+    return A.table(spark, sf_dir, "documents").select("doc_id", T.is_repetition(F.col("text")).alias("repetition"))
 
 
-@query(sql("""SELECT doc_id, n AS tokens, max(c) AS top FROM grams WHERE k = 2 GROUP BY ALL""", tok=TOKENS.replace("BETWEEN 6 AND 400", ">= 2"), grams=GRAMS))
+@query(sql("""SELECT doc_id, n AS tokens, max(c) AS top FROM grams WHERE k = 2 GROUP BY ALL""", tok=TOKENS, grams=GRAMS))
 def max_ngram_share(spark, sf_dir):
     return gate.max_ngram_share(A.table(spark, sf_dir, "documents"), 2, ["doc_id"])
 
@@ -232,23 +232,22 @@ def nearest_onset(spark, sf_dir):
     return joins.nearest_onset(A.v_long_cards(w), A.v_long_cues(w), radius=5000)
 
 
-SHORT = "SELECT * FROM near WHERE episode IN (SELECT episode FROM near GROUP BY episode HAVING count(*) <= 60)"
-LINES = """SELECT a.show, a.episode, a.i, b.i AS j, (b.y - a.y) / (b.x - a.x)::DOUBLE AS b, a.y - (b.y - a.y) / (b.x - a.x)::DOUBLE * a.x AS a FROM pts a JOIN pts b ON a.show = b.show AND a.episode = b.episode AND a.i < b.i AND a.x <> b.x"""
-PTS = """SELECT s.show, s.episode, row_number() OVER (PARTITION BY s.show, s.episode ORDER BY s.card_no) - 1 AS i, c.start AS x, -delta AS y FROM short s JOIN v_long_cards c USING (show, episode, card_no)"""
+PTS = """SELECT s.show, s.episode, row_number() OVER (PARTITION BY s.show, s.episode ORDER BY s.card_no) - 1 AS i, count(*) OVER (PARTITION BY s.show, s.episode) AS n, c.start AS x, -delta AS y FROM near s JOIN v_long_cards c USING (show, episode, card_no)"""
+# All pairs of up to 60 points; beyond, the 200 that the operator's fixed rule picks.
+PICKS = """SELECT DISTINCT show, episode, least(i, j) AS i, greatest(i, j) AS j FROM (SELECT show, episode, s * 7919 % n AS i, (s * 7919 + 1 + s * 104729 % (n - 1)) % n AS j FROM (SELECT DISTINCT show, episode, n FROM pts WHERE n > 60), range(0, 200) r(s))"""
+LINES = """SELECT a.show, a.episode, a.i, b.i AS j, (b.y - a.y) / (b.x - a.x)::DOUBLE AS b, a.y - (b.y - a.y) / (b.x - a.x)::DOUBLE * a.x AS a FROM pts a JOIN pts b ON a.show = b.show AND a.episode = b.episode AND a.i < b.i AND a.x <> b.x
+WHERE a.n <= 60 OR (a.show, a.episode, a.i, b.i) IN (SELECT (show, episode, i, j) FROM picks)"""
 SCORED = """SELECT show, episode, arg_max({'a': a, 'b': b}, (n, -i, -j)) AS m FROM (SELECT l.show, l.episode, l.i, l.j, l.a, l.b, count(*) AS n FROM lines l JOIN pts p ON p.show = l.show AND p.episode = l.episode AND abs(p.y - (l.a + l.b * p.x)) <= 300 + 3e-7 GROUP BY ALL) GROUP BY ALL"""
+FITS = """SELECT p.show, p.episode, max(p.n) AS matched, CASE WHEN max(p.n) > 1 THEN count(*) ELSE 0 END AS inliers, CASE WHEN count(*) >= 10 THEN regr_intercept(p.y, p.x) END AS a, CASE WHEN count(*) >= 10 THEN regr_slope(p.y, p.x) END AS b
+FROM pts p LEFT JOIN scored s ON p.show = s.show AND p.episode = s.episode WHERE m IS NULL OR abs(p.y - (m.a + m.b * p.x)) <= 300 + 3e-7 GROUP BY ALL"""
+FIT_VIEWS = {"near": NEAR.format(cards="v_long_cards", cues="v_long_cues"), "pts": PTS, "picks": PICKS, "lines": LINES, "scored": SCORED, "fits": FITS}
 
 
-@query(sql("""SELECT p.show, p.episode, (SELECT count(*) FROM pts q WHERE q.episode = p.episode) AS matched, count(*) AS inliers, round(CASE WHEN count(*) >= 10 THEN regr_intercept(p.y, p.x) END, 3) AS offset_a, round(CASE WHEN count(*) >= 10 THEN regr_slope(p.y, p.x) END, 7) AS drift_b
-FROM pts p JOIN scored s ON p.show = s.show AND p.episode = s.episode WHERE abs(p.y - (m.a + m.b * p.x)) <= 300 + 3e-7 GROUP BY ALL HAVING count(*) >= 2""",
-           "v_words", "v_long_cards", "v_long_cues", near=NEAR.format(cards="v_long_cards", cues="v_long_cues"), short=SHORT, pts=PTS, lines=LINES, scored=SCORED))
+@query(sql("SELECT show, episode, matched, inliers, round(a, 3) AS offset_a, round(b, 7) AS drift_b FROM fits", "v_words", "v_long_cards", "v_long_cues", **FIT_VIEWS))
 def ransac_fit(spark, sf_dir):
-    """Episodes of at most 60 pairs, where every line is a candidate; longer ones are tested
-    against brute force."""
     w = A.v_words(spark, sf_dir)
-    pairs = timing.onset_pairs(A.v_long_cards(w), A.v_long_cues(w), 5000)
-    few = pairs.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).where("n <= 60").select(*KEYS)
-    fit = timing.ransac_fit(pairs.join(few, KEYS), 300)
-    return fit.where("inliers >= 2").select(*KEYS, F.col("matched").cast("long").alias("matched"), F.col("inliers").cast("long").alias("inliers"), F.round("offset_a", 3).alias("offset_a"), F.round("drift_b", 7).alias("drift_b"))
+    fit = timing.ransac_fit(timing.onset_pairs(A.v_long_cards(w), A.v_long_cues(w), 5000), 300)
+    return fit.select(*KEYS, F.col("matched").cast("long").alias("matched"), F.col("inliers").cast("long").alias("inliers"), F.round("offset_a", 3).alias("offset_a"), F.round("drift_b", 7).alias("drift_b"))
 
 
 @query()

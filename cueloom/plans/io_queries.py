@@ -13,7 +13,7 @@ from cueloom.operators import tracks
 from cueloom.plans import adaptors as A
 from cueloom.plans import library_queries as Q
 from cueloom.plans.adaptors import KEYS, sql, table
-from cueloom.plans.caption_queries import COVER, HIT, RATED, REPORT, _report
+from cueloom.plans.caption_queries import COVER, HIT, ISLANDS, RATED, REPORT, SPANS, _report
 from cueloom.sources import readers, writers
 from cueloom.streaming import streams
 
@@ -68,16 +68,10 @@ def read_conf(spark, sf_dir):
     body = F.to_json(F.array_sort(F.collect_list(row)))
     files = c.where("episode % 4 > 0").groupBy("episode").agg(F.when(F.col("episode") % 4 == 1, F.lit('{"a": 1}')).otherwise(body).alias("body"))
     path = folder(spark, "conf")
-    # One file for each episode, named by its folder: the sink names the files itself.
-    files.withColumn("name", F.col("episode")).write.partitionBy("name").json(path)
-    landed = spark.read.option("basePath", path).json(path)
-    rows = landed.select(F.col("name").cast("string").alias("episode"), F.from_json("body", "array<struct<start:string,end:string,text:string>>").alias("rows"), "body")
-    good = rows.withColumn("rows", F.when(F.startswith("body", F.lit("[")), F.col("rows")))
-    cards = good.select("episode", F.explode("rows").alias("r")).select("episode", F.col("r.start").try_cast("double").alias("start"), F.col("r.end").try_cast("double").alias("end")).where("start >= 0 and end > start")
+    files.write.partitionBy("episode").text(path)
+    status, cards = readers.read_conf(spark, path, c.select(F.col("episode").cast("string").alias("episode")).distinct())
     counts = cards.groupBy("episode").agg(F.count(F.lit(1)).alias("cards"))
-    eps = c.select(F.col("episode").cast("string").alias("episode")).distinct()
-    out = eps.join(good.select("episode", F.lit(True).alias("t"), "rows"), "episode", "left").join(counts, "episode", "left")
-    return out.select("episode", F.when(F.col("t").isNull(), "no-conf").when(F.col("rows").isNull(), "bad-conf").otherwise("ok").alias("status"), F.coalesce("cards", F.lit(0)).alias("cards"))
+    return status.join(counts, "episode", "left").select("episode", "status", F.coalesce("cards", F.lit(0)).alias("cards"))
 
 
 SRT = """SELECT show, episode, string_agg(n || chr(10) || stamp(start) || ' --> ' || stamp("end") || chr(10) || text || chr(10) || chr(10), '' ORDER BY card_no) AS body FROM (SELECT *, row_number() OVER (PARTITION BY show, episode ORDER BY card_no) AS n FROM v_cards) GROUP BY ALL"""
@@ -98,23 +92,30 @@ def write_srt(spark, sf_dir):
     return back.select(F.col("episode").cast("long").alias("episode"), F.md5(F.regexp_replace("value", r"\n\z", "")).alias("body"))
 
 
-@query(sql("SELECT episode, card_no, start AS start_ms, \"end\" AS end_ms, rtrim(text, chr(10) || ' ') AS text FROM v_cards WHERE NOT regexp_matches(text, '\\n\\s*\\n')", "v_cards"))
+@query(sql(r"""SELECT episode, row_number() OVER (PARTITION BY episode ORDER BY card_no) AS ev_no, start AS start_ms, "end" AS end_ms, regexp_replace(text, '\s+$', '') AS text FROM v_cards""", "v_cards"))
 def read_subtitles(spark, sf_dir):
     path = folder(spark, "subtitles")
-    c = _srt_cards(spark, sf_dir).where(r"not text rlike '\\n\\s*\\n'")
-    writers.write_srt(c, path)
-    numbered = readers.read_subtitles(spark, path)
-    # the file name says nothing here, so the episode is found again by its texts and times
-    return numbered.join(c.select("episode", "card_no", "start_ms", "end_ms", F.regexp_replace("text", r"\s+$", "").alias("text")), ["start_ms", "end_ms", "text"]).select("episode", "card_no", "start_ms", "end_ms", "text").distinct()
+    writers.write_srt(_srt_cards(spark, sf_dir), path)
+    episode = F.regexp_extract("path", "/episode=([^/]+)/", 1).cast("long")
+    return readers.read_subtitles(spark, path).select(episode.alias("episode"), "ev_no", "start_ms", "end_ms", "text")
 
 
-@query()
-def write_merged_track(spark, sf_dir):
+@query(sql("SELECT DISTINCT episode, style, 'Arial' AS fontname, 42.0::DOUBLE AS fontsize FROM v_events WHERE episode IN (SELECT episode FROM v_cards)", "v_events", "v_cards"))
+def read_styles(spark, sf_dir):
+    return readers.read_styles(spark, _tracks(spark, sf_dir)).select(F.regexp_extract("path", "/episode=([^/]+)/", 1).cast("long").alias("episode"), "style", "fontname", "fontsize")
+
+
+def _tracks(spark, sf_dir) -> str:
     merged, _ = tracks.merge_track(A.v_events(spark, sf_dir), _srt_cards(spark, sf_dir))
     styles = A.v_events(spark, sf_dir).select(*KEYS, "style").distinct().withColumns({"fontname": F.lit("Arial"), "fontsize": F.lit(42)})
     path = folder(spark, "tracks")
     writers.write_merged_track(merged, styles, path)
-    back = readers.read_subtitles(spark, path)
+    return path
+
+
+@query()
+def write_merged_track(spark, sf_dir):
+    back = readers.read_subtitles(spark, _tracks(spark, sf_dir))
     return back.groupBy("style").agg(F.count(F.lit(1)).alias("events"), F.sum("start_ms").alias("start_sum"))
 
 
@@ -232,7 +233,10 @@ def stream_quality(spark, sf_dir):
     return out.where("show = 'all'").select("show", F.unix_timestamp("window.start").alias("day"), "cards")
 
 
-@query()
+SESSIONS = """SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events)"""
+
+
+@query(sql("SELECT user_id::VARCHAR AS show, floor(epoch(min(ts)))::BIGINT AS start, count(*) AS cards FROM sessions GROUP BY user_id, s", sessions=SESSIONS))
 def stream_sessions(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("show"), F.col("ts").cast("timestamp").alias("ts"))
     out = _drain(streams.stream_sessions(_landed_and_closed(e, spark, "sessions"), "1 hour", DELAY), spark, "sessions-out")
@@ -248,13 +252,13 @@ def stream_mine(spark, sf_dir):
     return spark.read.parquet(sink).groupBy("show", "term").agg(F.max("n").alias("n"))
 
 
-@query()
+@query(sql("""SELECT show, episode, min(pos) AS first_pos, max(pos) AS last_pos, min(start) / 1000.0::DOUBLE AS start, max("end") / 1000.0::DOUBLE AS "end", count(*) AS words FROM spans GROUP BY show, episode, span_id""", "v_words", spans=SPANS))
 def stream_spans(spark, sf_dir):
     w = A.v_words(spark, sf_dir).select(*KEYS, "pos", (F.col("start") / 1000).alias("start"), (F.col("end") / 1000).alias("end"), F.timestamp_seconds(3600 + F.col("start") / 1000).alias("ts"))
     return _drain(streams.stream_spans(_landed_and_closed(w, spark, "words", 1), delay=DELAY), spark, "spans-out").where("show <> 'end'")
 
 
-@query()
+@query(sql("""SELECT show, episode, min(card_no) AS card_no, min(start) / 1000.0::DOUBLE AS start, max("end") / 1000.0::DOUBLE AS "end", any_value(text) AS text, count(*) AS n FROM islands GROUP BY show, episode, run""", "v_repeat_cards", islands=ISLANDS))
 def stream_collapse(spark, sf_dir):
     c = A.v_repeat_cards(spark, sf_dir).withColumns({"start": F.col("start") / 1000, "end": F.col("end") / 1000, "ts": F.timestamp_seconds(3600 + F.col("start") / 1000)})
     return _drain(streams.stream_collapse(_landed_and_closed(c, spark, "cards", 1), delay=DELAY), spark, "runs-out").where("show <> 'end'")

@@ -113,9 +113,10 @@ def parse_adjudication(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.parse_adjudication(reply).alias("a")).select("conv_id", "turn", "a.canonical", "a.confidence")
 
 
-@query("SELECT conv_id, turn, trim(split_part(trim(text), chr(10), 1)) AS line FROM conversations")
+@query(r"""SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(l, '^\s+|\s+$', '', 'g'), '^"+|"+$', '', 'g'), '^\s+|\s+$', '', 'g') AS line
+FROM (SELECT conv_id, turn, string_split_regex(regexp_replace(' "' || text || '"  ', '^\s+|\s+$', '', 'g'), '\r\n|\r|\n')[1] AS l FROM conversations)""")
 def first_line_clean(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.first_line_clean(F.concat(F.lit(' "'), F.trim("text"), F.lit('"  '))).alias("line")).select("conv_id", "turn", F.regexp_replace(F.trim("line"), '"$', "").alias("line"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.first_line_clean(F.concat(F.lit(' "'), "text", F.lit('"  '))).alias("line"))
 
 
 @query("SELECT user_id, sum(event_id % 50)::DOUBLE / 10 AS seconds FROM events GROUP BY user_id")
@@ -489,11 +490,14 @@ def glossary_for(spark, sf_dir):
     return G.glossary_for(A.v_files(spark, sf_dir), shows).select("file_no", "glossary")
 
 
-@query(r"""SELECT conv_id, turn, regexp_replace(regexp_replace(text, '(?i)\bof the\b', 'OF-THE', 'g'), '(?i)\bthe\b', 'th€', 'g') AS text, len(regexp_extract_all(text, '(?i)\bof the\b')) + len(regexp_extract_all(regexp_replace(text, '(?i)\bof the\b', 'OF-XXX', 'g'), '(?i)\bthe\b')) AS n FROM conversations WHERE NOT regexp_matches(text, '[^\x00-\x7f]')""".replace("'OF-THE', 'g'), '(?i)", "'OF-XXX', 'g'), '(?i)"))
+# Every character that is no part of a word stands between marks, so a word's ends can be told in
+# any alphabet.
+@query(r"""SELECT conv_id, turn, replace(regexp_replace(one, chr(1) || '(?i:the)' || chr(1), chr(1) || 'th€' || chr(1), 'g'), chr(1), '') AS text, n + len(regexp_extract_all(one, chr(1) || '(?i:the)' || chr(1))) AS n FROM (
+SELECT conv_id, turn, regexp_replace(m, p, chr(1) || 'OF-XXX' || chr(1), 'g') AS one, len(regexp_extract_all(m, p)) AS n FROM (
+SELECT conv_id, turn, chr(1) || regexp_replace(text, '([^\pL\pN\pM_])', chr(1) || '\1' || chr(1), 'g') || chr(1) AS m, chr(1) || '(?i:of)' || chr(1) || ' ' || chr(1) || '(?i:the)' || chr(1) AS p FROM conversations))""")
 def phrase_fixes(spark, sf_dir):
     fixes = spark.createDataFrame([("all", "phrase", "the", "th€"), ("all", "phrase", "of the", "OF-XXX")], "show string, kind string, key string, value string")
-    c = table(spark, sf_dir, "conversations").where(r"not text rlike '[^\\x00-\\x7f]'").select(F.lit("all").alias("show"), "conv_id", "turn", "text")
-    return G.phrase_fixes(c, fixes).select("conv_id", "turn", "text", "n")
+    return G.phrase_fixes(table(spark, sf_dir, "conversations").select(F.lit("all").alias("show"), "conv_id", "turn", "text"), fixes).select("conv_id", "turn", "text", "n")
 
 
 TOK = r"SELECT DISTINCT regexp_extract(tok, '^([^\pL\pN_'']*)([\pL\pN_''][\pL\pN_''-]*?)([^\pL\pN_'']*)$', 2) AS core FROM (SELECT unnest(string_split_regex(trim(text), '\s+')) AS tok FROM conversations)"

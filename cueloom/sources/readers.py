@@ -31,9 +31,11 @@ def read_transcripts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
 
 
 def read_conf(spark: SparkSession, path: str, episodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(status, cards) of files <episode>.dubtitles.conf.json, each a JSON list. Status is no-conf,
-    bad-conf or ok; rows without a valid span are left out."""
-    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^(.*)\.dubtitles\.conf\.json$", 1).alias("episode"), F.trim("value").alias("body"))
+    """(status, cards) of files <episode>.dubtitles.conf.json, or of those in folders
+    episode=<episode>, each a JSON list. Status is no-conf, bad-conf or ok; rows without a valid span
+    are left out."""
+    named = F.coalesce(*[F.nullif(F.regexp_extract("_metadata.file_path", p, 1), F.lit("")) for p in (r"/([^/]*)\.dubtitles\.conf\.json$", "/episode=([^/]*)/[^/]*$")])
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(named.alias("episode"), F.trim("value").alias("body"))
     # Element by element, so that one that is no object spoils no other.
     parsed = files.withColumn("rows", F.when(F.startswith("body", F.lit("[")), F.from_json("body", "array<string>")))
     status = episodes.join(parsed.select("episode", F.lit(True).alias("__there"), "rows"), "episode", "left")
@@ -54,23 +56,43 @@ def plain_text(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(bare, r"\\[Nn]", "\n"), r"\\h", " ")
 
 
+def _subtitle_files(spark: SparkSession, path: str) -> DataFrame:
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", "\r\n?", "\n").alias("body"), F.contains("value", F.lit("[Events]")).alias("is_ass"))
+
+
 def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
-    """(file, ev_no, layer, start_ms, end_ms, style, text, plaintext, is_comment) of SRT and ASS
-    files below ``path``; what is neither has no events."""
-    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", "\r\n?", "\n").alias("body"))
-    is_ass = F.contains("body", F.lit("[Events]"))
-    lines = files.where(is_ass).select("file", F.posexplode(F.split("body", "\n")).alias("ev_no", "line")).where(F.col("line").rlike("^(Dialogue|Comment):"))
+    """(path, file, ev_no, layer, start_ms, end_ms, style, text, plaintext, is_comment) of SRT and ASS
+    files below ``path``; what is neither has no events. In SRT a cue ends where the next one's number
+    and times begin, so its text may hold blank lines."""
+    files = _subtitle_files(spark, path)
+    lines = files.where("is_ass").select("path", "file", F.posexplode(F.split("body", "\n")).alias("ev_no", "line")).where(F.col("line").rlike("^(Dialogue|Comment):"))
     f = F.split(F.regexp_replace("line", r"^(Dialogue|Comment):\s*", ""), ",", 10)
     at = lambda i: F.trim(F.get(f, F.lit(i)))
-    ass = lines.select("file", F.col("ev_no").cast("long").alias("ev_no"), at(0).try_cast("long").alias("layer"), _ass_ms(at(1)).alias("start_ms"), _ass_ms(at(2)).alias("end_ms"), at(3).alias("style"), F.get(f, F.lit(9)).alias("text"), F.startswith("line", F.lit("Comment")).alias("is_comment"))
-    blocks = files.where(~is_ass).select("file", F.posexplode(F.split("body", r"\n\s*\n")).alias("ev_no", "b"))
+    ass = lines.select("path", "file", F.col("ev_no").cast("long").alias("ev_no"), at(0).try_cast("long").alias("layer"), _ass_ms(at(1)).alias("start_ms"), _ass_ms(at(2)).alias("end_ms"), at(3).alias("style"), F.get(f, F.lit(9)).alias("text"), F.startswith("line", F.lit("Comment")).alias("is_comment"))
+    blocks = files.where("not is_ass").select("path", "file", F.posexplode(F.split("body", r"(?m)^[ \t]*\d+[ \t]*\n(?=[ \t]*\d+:\d+:\d+[.,]\d+\s*-->)")).alias("ev_no", "b"))
     code = r"(?s)(\d+:\d+:\d+[.,]\d+)\s*-->\s*(\d+:\d+:\d+[.,]\d+)[^\n]*\n?(.*)$"
     got = lambda i: F.regexp_extract("b", code, i)
-    srt = blocks.where(F.col("b").rlike(r"\d+:\d+:\d+[.,]\d+\s*-->")).select("file", F.col("ev_no").cast("long").alias("ev_no"), F.lit(0).cast("long").alias("layer"), _ass_ms(got(1)).alias("start_ms"), _ass_ms(got(2)).alias("end_ms"), F.lit("Default").alias("style"), F.regexp_replace(got(3), r"\s+$", "").alias("text"), F.lit(False).alias("is_comment"))
+    srt = blocks.where(F.col("b").rlike(r"\d+:\d+:\d+[.,]\d+\s*-->")).select("path", "file", F.col("ev_no").cast("long").alias("ev_no"), F.lit(0).cast("long").alias("layer"), _ass_ms(got(1)).alias("start_ms"), _ass_ms(got(2)).alias("end_ms"), F.lit("Default").alias("style"), F.regexp_replace(got(3), r"\s+$", "").alias("text"), F.lit(False).alias("is_comment"))
     both = ass.unionByName(srt).where("start_ms is not null and end_ms is not null")
     return both.withColumn("plaintext", plain_text(F.col("text")))
 
 
+def read_styles(spark: SparkSession, path: str) -> DataFrame:
+    """(path, file, ord, style, fontname, fontsize) of the style lines of ASS files below ``path``, in
+    their order; the file's own Format line says where name, font and size stand, without one they come
+    first."""
+    lines = _subtitle_files(spark, path).where("is_ass").select("path", "file", F.split("body", "\n").alias("l"))
+    section = F.element_at(F.split(F.element_at(F.split(F.array_join("l", "\n"), r"(?m)^\[V4\+? Styles\+?\][ \t]*$", 2), -1), r"(?m)^\[Events\]", 2), 1)
+    cells = lambda c, head: F.transform(F.split(F.regexp_replace(c, f"^{head}:\\s*", ""), ","), lambda x: F.trim(x))
+    rows = lines.withColumn("l", F.split(section, "\n"))
+    head = F.get(F.filter("l", lambda x: F.startswith(x, F.lit("Format:"))), F.lit(0))
+    names = F.coalesce(F.transform(cells(head, "Format"), lambda x: F.lower(x)), F.array(F.lit("name"), F.lit("fontname"), F.lit("fontsize")))
+    each = rows.select("path", "file", names.alias("names"), F.posexplode(F.filter("l", lambda x: F.startswith(x, F.lit("Style:")))).alias("ord", "s")).withColumn("c", cells(F.col("s"), "Style"))
+    of = lambda name: F.get("c", F.array_position("names", name).cast("int") - 1)
+    return each.select("path", "file", "ord", of("name").alias("style"), of("fontname").alias("fontname"), of("fontsize").try_cast("double").alias("fontsize"))
+
+
 def read_glossaries(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(terms, fixes) of glossary JSON files; a file that is no object counts as empty."""
     raw = spark.read.schema(GLOSSARY).option("multiLine", True).option("mode", "PERMISSIVE").json(path).where("show is not null")
