@@ -325,12 +325,22 @@ def show_rollup(spark, sf_dir):
     return timing.show_rollup(shows)
 
 
-@query()
+ALIGNED = """SELECT c.show, c.episode, c.card_no, c.start - (coalesce(a, 0) + coalesce(b, 0) * c.start) AS s, c."end" - (coalesce(a, 0) + coalesce(b, 0) * c."end") AS e FROM v_long_cards c LEFT JOIN fits f ON c.show = f.show AND c.episode = f.episode WHERE c.episode % 10 <> 9"""
+PLACED = """SELECT c.*, EXISTS (SELECT 1 FROM v_long_cues q WHERE q.show = c.show AND q.episode = c.episode AND least(c.e, q."end" + 300) > greatest(c.s, q.start - 300)) AS hit FROM aligned c"""
+COVERED = """SELECT show, episode, count(*) AS cue_count, count(*) FILTER (EXISTS (SELECT 1 FROM aligned c WHERE q.show = c.show AND q.episode = c.episode AND least(c.e, q."end" + 300) > greatest(c.s, q.start - 300))) AS cues_covered FROM v_long_cues q GROUP BY ALL"""
+
+
+@query(sql("""SELECT e.show, e.episode, CASE WHEN e.episode % 10 = 9 THEN 'bad-conf' WHEN cue_count IS NULL THEN 'no-reference' ELSE 'ok' END AS status, CASE WHEN cue_count > 0 THEN p.cards END AS cards, CASE WHEN cue_count > 0 THEN p.on_cue END AS on_cue,
+CASE WHEN p.cards > 0 THEN cue_count END AS cue_count, CASE WHEN p.cards > 0 THEN cues_covered END AS cues_covered, CASE WHEN p.cards > 0 THEN f.inliers END AS inliers, CASE WHEN p.cards > 0 THEN round(f.a, 3) END AS offset_a
+FROM (SELECT DISTINCT show, episode FROM v_long_cards) e LEFT JOIN (SELECT show, episode, count(*) AS cards, count(*) FILTER (hit) AS on_cue FROM placed GROUP BY ALL) p USING (show, episode)
+LEFT JOIN covered USING (show, episode) LEFT JOIN fits f USING (show, episode)""", "v_words", "v_long_cards", "v_long_cues", **FIT_VIEWS, aligned=ALIGNED, placed=PLACED, covered=COVERED))
 def timing_report(spark, sf_dir):
     w = A.v_words(spark, sf_dir)
     cards = A.v_long_cards(w).withColumns({"no_speech_prob": (F.col("episode") * 7 + F.col("card_no") * 3) % 100, "avg_logprob": -((F.col("episode") * 13 + F.col("card_no") * 7) % 300)})
     cards = cards.withColumn("flag", T.flag_reason(F.col("no_speech_prob"), F.col("avg_logprob"), 50, -60))
-    return timing.timing_report(cards, A.v_long_cues(w), tol=300, radius=5000, bucket=10_000, unit=100, band=300)
+    status = cards.select(*KEYS).distinct().withColumn("status", F.when(F.col("episode") % 10 == 9, "bad-conf").otherwise("ok"))
+    out = timing.timing_report(cards, A.v_long_cues(w), tol=300, radius=5000, bucket=10_000, unit=100, band=300, status=status)
+    return out.select(*KEYS, "status", "cards", "on_cue", "cue_count", "cues_covered", F.col("inliers").cast("long").alias("inliers"), F.round("offset_a", 3).alias("offset_a"))
 
 
 @query(sql("""SELECT show, episode, card_no, CASE WHEN no_speech_prob <= 50 THEN 'clean_le_0.5' WHEN no_speech_prob <= 95 THEN 'flag_gt_0.5_le_0.95' ELSE 'drop_gt_0.95' END AS nsp_band,

@@ -3,10 +3,6 @@ tables first, below the shared folder."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from cueloom.operators import tracks
@@ -15,6 +11,7 @@ from cueloom.plans import library_queries as Q
 from cueloom.plans.adaptors import KEYS, sql, table
 from cueloom.plans.caption_queries import COVER, HIT, ISLANDS, RATED, REPORT, SPANS, _report
 from cueloom.sources import readers, writers
+from cueloom.sources.scratch import scratch_path as folder
 from cueloom.streaming import streams
 
 QUERIES: dict = {}
@@ -31,17 +28,6 @@ def query(oracle: str | None = None):
     return register
 
 
-def folder(spark, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; a local master without one gets a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/cueloom/{name}-{uuid.uuid4().hex}"
-
-
 def _transcripts(spark, sf_dir) -> str:
     w = A.v_words(spark, sf_dir)
     word = F.struct(F.col("text").alias("word"), (F.col("start") / 1000).alias("start"), (F.col("end") / 1000).alias("end"), (F.col("prob") / 100).alias("probability"))
