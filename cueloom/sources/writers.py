@@ -1,7 +1,7 @@
 """Sinks: caption files, merged tracks, audits, reports, error logs.
 
-Where a target has to change at once, a finished folder is written beside it and only the pointer
-file changes: readers follow ``CURRENT``.
+Where a target has to change at once, a finished folder is written beside it and only then named by one
+more line below ``CURRENT``; readers follow the last line.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,17 +60,30 @@ def report_json(report: DataFrame, rollup: DataFrame) -> DataFrame:
     return shows.join(total, "show", "left").select("show", F.to_json(F.struct(F.lit(2).alias("schema_version"), "show", "aggregate", "episodes")).alias("body"))
 
 
+def _published(spark: SparkSession, path: str) -> tuple[int, str] | None:
+    """Number and folder of the last version below ``path``."""
+    try:
+        last = spark.read.schema("number long, version string").json(f"{path}/CURRENT").orderBy(F.desc("number"), "version").first()
+    except AnalysisException:  # nothing was published yet
+        return None
+    return (last["number"], last["version"]) if last else None
+
+
 def publish(df: DataFrame, path: str) -> str:
-    """Write ``df`` as a new version below ``path`` and let CURRENT name it; all or nothing. Returns
-    the version's folder."""
-    version = f"v-{uuid.uuid4().hex}"
+    """Write ``df`` as a new version below ``path`` and let CURRENT name it; all or nothing, since
+    earlier lines stay until the new one is there. Returns the version's folder."""
+    spark, version = df.sparkSession, f"v-{uuid.uuid4().hex}"
     df.write.parquet(f"{path}/{version}")
-    df.sparkSession.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/CURRENT")
+    number = (_published(spark, path) or (0, ""))[0] + 1
+    spark.createDataFrame([(number, version)], "number long, version string").coalesce(1).write.mode("append").json(f"{path}/CURRENT")
     return f"{path}/{version}"
 
 
 def read_published(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{spark.read.text(f'{path}/CURRENT').first()['value']}")
+    last = _published(spark, path)
+    if last is None:
+        raise ValueError(f"nothing is published below {path}")
+    return spark.read.parquet(f"{path}/{last[1]}")
 
 
 def write_report(report: DataFrame, rollup: DataFrame, path: str) -> str:

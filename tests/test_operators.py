@@ -383,3 +383,35 @@ def test_drained_sessions_are_those_of_the_whole_table(spark):
     e = spark.read.parquet(f"{SF}/events.parquet").select(F.col("user_id").cast("string").alias("show"), F.col("ts").cast("timestamp").alias("ts"))
     batch = e.groupBy(F.session_window("ts", "1 hour"), "show").agg(F.count(F.lit(1)).alias("cards"))
     same(QUERIES["stream_sessions"](spark, SF), batch.select("show", F.unix_timestamp("session_window.start"), "cards"))
+
+
+# ---- equal and open rows in interval joins, published versions, styles ---------------------------
+def test_range_join_keeps_equal_and_open_rows(spark):
+    left = spark.createDataFrame([("a", 1, 0.0, 5.0), ("a", 1, 0.0, 5.0), ("a", 2, 3.0, None), ("a", 3, 90.0, 95.0), ("a", 4, None, 4.0)], "k string, n int, s double, e double")
+    right = spark.createDataFrame([("a", 1.0, 2.0, "x"), ("a", 3.0, 30.0, "y")], "k string, rs double, re double, t string")
+    join = lambda how: sorted((r["n"], *([r["t"]] if how in ("left", "inner") else [])) for r in joins.range_join(left, right, ("s", "e"), ("rs", "re"), ["k"], 2.0, how).collect())
+    assert join("inner") == [(1, "x"), (1, "x"), (1, "y"), (1, "y")]
+    assert [(n, t or "") for n, t in sorted(joins.range_join(left, right, ("s", "e"), ("rs", "re"), ["k"], 2.0, "left").select("n", "t").collect(), key=str)] == [(1, "x"), (1, "x"), (1, "y"), (1, "y"), (2, ""), (3, ""), (4, "")]
+    assert join("semi") == [(1,), (1,)] and join("anti") == [(2,), (3,), (4,)]
+
+
+def test_published_versions_follow_each_other(spark, tmp_path):
+    from cueloom.sources import writers
+
+    path = f"file://{tmp_path}/report"
+    for n in (5, 3):
+        writers.publish(spark.range(n), path)
+        assert writers.read_published(spark, path).count() == n
+    with pytest.raises(ValueError):
+        writers.read_published(spark, f"file://{tmp_path}/other")
+
+
+def test_styles_follow_their_format_line(spark, tmp_path):
+    from cueloom.sources import readers
+
+    (tmp_path / "a.ass").write_text("[Script Info]\nTitle: x\n\n[V4+ Styles]\nFormat: Fontname, Name, Fontsize, Bold\nStyle: Arial, Main ,42,0\nStyle: Gothic,Signs,30.5,1\n\n[Events]\nFormat: Layer\nDialogue: 0,0:00:01.00,0:00:02.00,Main,,0,0,0,,hi\n")
+    (tmp_path / "b.srt").write_text("1\n00:00:01,000 --> 00:00:02,000\none\n\ntwo\n\n2\n00:00:03,000 --> 00:00:04,000\nthree\n")
+    got = [tuple(r) for r in readers.read_styles(spark, f"file://{tmp_path}").select("file", "ord", "style", "fontname", "fontsize").orderBy("ord").collect()]
+    assert got == [("a.ass", 0, "Main", "Arial", 42.0), ("a.ass", 1, "Signs", "Gothic", 30.5)]
+    events = sorted((r["file"], r["ev_no"], r["text"]) for r in readers.read_subtitles(spark, f"file://{tmp_path}").where("file = 'b.srt'").collect())
+    assert events == [("b.srt", 1, "one\n\ntwo"), ("b.srt", 2, "three")]
