@@ -1,48 +1,16 @@
-"""Helpers that several operators of this subpackage share.
-
-Scratch tables: an intermediate result that is read more than once, or whose lineage has to be
-cut, is written as a Parquet table below the shared folder of ``spark.checkpoint.dir``, so a lost
-executor never loses it.
-"""
+"""Helpers that several operators of this subpackage share, among them the library's scratch tables."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: What bytes.split() and the contracts' word pattern take as space: \x20 and \x09 to \x0D.
-WORD_SPACE = r"[\x20\x09-\x0D]+"
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir`` where it is set.
+from cueloom.sources.scratch import materialize, scratch_dir, scratch_path
 
-    Only a local master may do without it; then a folder of this machine is set as the
-    session's own.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no other call gets."""
-    return f"{scratch_dir(spark)}/cueloom/{name}-{uuid.uuid4().hex}"
+__all__ = ["WORD_SPACE", "let", "lower_ascii", "materialize", "quoted", "ranked", "replace_columns", "scratch_dir", "scratch_path"]
 
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back; the lineage ends there."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: What bytes.split() and the contracts' word pattern take as space: \x20 and \x09 to \x0D.
+WORD_SPACE = r"[\x20\x09-\x0D]+"
 
 
 def replace_columns(df: DataFrame, new: dict[str, Column]) -> DataFrame:
