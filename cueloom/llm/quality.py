@@ -44,6 +44,9 @@ CHI2_MEDIAN, CHI2_CUTOFF = 3.3567, 28.473
 #: with as many repeated words as the base rules allow. That of the mean word length is read off
 #: the data: the spread of all rows.
 FLOORS = (None, log1p(1) / sqrt(CHI2_CUTOFF), *(log1p(x) * sqrt(2 / CHI2_CUTOFF) for x in (100 / LEAST_WORDS, MOST_REPEATED_PERCENT)))
+#: Groups (250 bytes each) up to which their estimates are broadcast. Beyond, they are joined by shuffle,
+#: in so many copies, over which a hot group's rows are dealt.
+BROADCAST_GROUPS, SPREAD = 100_000, 32
 #: Width of the bins in which medians and distances (as logarithms) are counted.
 BIN = 1 / 128
 
@@ -92,6 +95,14 @@ def _vector() -> list[Column]:
     return [F.log((F.col("word_chars") + 1) / words), rate("n_symbols", F.greatest(F.col("word_chars"), F.lit(1))), rate("n_dup_lines", words), rate("n_repeat_words", words)]
 
 
+def _attach(rows: DataFrame, groups: DataFrame, on: list[str], few: bool, x: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` with what ``groups`` (one row each) says of their group; ``x`` tells rows apart."""
+    if few:
+        return rows.join(F.broadcast(groups), on, how)
+    copies = groups.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return rows.withColumn("__copy", F.pmod(F.xxhash64(*x), F.lit(SPREAD)).cast("int")).join(copies, [*on, "__copy"], how).drop("__copy")
+
+
 def _quantile(rows: DataFrame, keys: list[str], value: Column, share: float) -> DataFrame:
     """keys and q: the upper end of the bin in which the share of each group's rows is reached."""
     # Dealt by bin first, so that what reaches a group's window is one row for each bin, not for each
@@ -150,32 +161,34 @@ def fit(rows: DataFrame) -> DataFrame:
     rows = materialize(rows, "outlier-rows")
     # The spread of the mean word length over all rows: nine tenths of a normal variable's rows lie
     # within 1.645 deviations.
-    every = rows.select(F.lit(0).alias("k"), "x0")
-    low, high = (_quantile(every, ["k"], F.col("x0"), q).withColumnRenamed("q", name) for q, name in ((0.05, "low"), (0.95, "high")))
-    floor = materialize(low.join(high, "k").select(((F.col("high") - F.col("low")) / (2 * 1.645)).alias("floor")), "floor")
-    least = (floor.first() or [BIN])[0]
+    low, high = (next((r["q"] for r in _quantile(rows.select(F.lit(0).alias("k"), "x0"), ["k"], F.col("x0"), q).collect()), 0.0) for q in (0.05, 0.95))
+    least = max(BIN, (high - low) / (2 * 1.645))
     own, parent, all_ = F.concat(F.lit("g"), "g"), F.concat(F.lit("p"), "p"), F.lit("all")
     members = materialize(rows.select(F.explode(F.array(own, parent, all_)).alias("level"), *[f"x{i}" for i in range(d)]), "members")
-    raw = _concentrate(members, least)
+    above_of = materialize(rows.select(own.alias("level"), parent.alias("above")).distinct(), "parents")
+    few = above_of.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    raw = _concentrate(members, least, few)
     sizes = members.groupBy("level").agg(F.count(F.lit(1)).alias("n"))
     raw = materialize(raw.join(sizes, "level").withColumn("floor", F.lit(least)), "estimates")
 
-    def drawn(df: DataFrame, above: DataFrame, values: list[str]) -> DataFrame:
-        """``df`` (level, n, above, values) drawn towards ``above`` (above, values)."""
+    def drawn(df: DataFrame, values: dict[str, Column]) -> DataFrame:
         share = F.col("n") / (F.col("n") + PRIOR_ROWS)
-        up = above.select(F.col("level").alias("above"), *[F.col(v).alias(f"__{v}") for v in values])
-        mix = lambda v: F.zip_with(v, f"__{v}", lambda a, b: share * a + (1 - share) * b)
-        return df.join(up, "above").withColumns({v: mix(v) for v in values}).drop(*[f"__{v}" for v in values])
+        return df.withColumns({v: F.zip_with(v, up, lambda a, b: share * a + (1 - share) * b) for v, up in values.items()})
 
     def cascade(each: DataFrame, values: list[str]) -> DataFrame:
+        """Languages are drawn towards all rows, whose estimate is one row, and groups towards these."""
         top = each.where("level = 'all'")
-        parents = drawn(each.where("startswith(level, 'p')").withColumn("above", F.lit("all")), top, values).drop("above")
-        groups = drawn(each.join(above_of, "level"), parents, values).drop("above")
+        of_all = top.first()
+        if of_all is None:
+            return each
+        parents = drawn(each.where("startswith(level, 'p')"), {v: F.array(*[F.lit(x) for x in of_all[v]]) for v in values})
+        up = parents.select(F.col("level").alias("above"), *[F.col(v).alias(f"__{v}") for v in values])
+        groups = drawn(each.join(above_of, "level").join(up, "above"), {v: F.col(f"__{v}") for v in values}).drop("above", *[f"__{v}" for v in values])
         return top.unionByName(parents).unionByName(groups)
 
-    above_of = materialize(rows.select(own.alias("level"), parent.alias("above")).distinct(), "parents")
+    x = [f"x{i}" for i in range(d)]
     model = materialize(_root(cascade(raw, ["center", "cov"]), "cov", "floor").select("level", "n", "center", "root"), "drawn")
-    scored = members.join(model.select("level", "center", "root"), "level").select("level", _distance([F.col(f"x{i}") for i in range(d)], "center", "root").alias("dist"))
+    scored = _attach(members, model.select("level", "center", "root"), ["level"], few, x).select("level", _distance([F.col(c) for c in x], "center", "root").alias("dist"))
     scale = _quantile(scored, ["level"], _log(F.col("dist")), 0.5).select("level", F.array(F.greatest(F.exp("q") / CHI2_MEDIAN, F.lit(1.0))).alias("scale"))
     scale = cascade(materialize(scale.join(model.select("level", "n"), "level"), "scales"), ["scale"])
     out = model.where("startswith(level, 'g')").join(scale.select("level", "scale"), "level")
@@ -186,22 +199,23 @@ def _log(distance: Column) -> Column:
     return F.log(distance + 1e-9)
 
 
-def _concentrate(rows: DataFrame, least: float) -> DataFrame:
+def _concentrate(rows: DataFrame, least: float, few: bool) -> DataFrame:
     """(level, center, cov) of every level of ``rows`` (level, x0 to x3) by concentration steps."""
     d, keys = len(FLOORS), ["level", "start"]
-    x = [F.col(f"x{i}") for i in range(d)]
+    names = [f"x{i}" for i in range(d)]
+    x = [F.col(n) for n in names]
     long = rows.select("level", F.posexplode(F.array(*x)).alias("k", "v"))
     middle = _quantile(long, ["level", "k"], F.col("v"), 0.5).withColumnRenamed("q", "middle")
-    far = _quantile(long.join(middle, ["level", "k"]), ["level", "k"], F.abs(F.col("v") - F.col("middle")), 0.5)
+    far = _quantile(_attach(long, middle, ["level", "k"], few, ["v"]), ["level", "k"], F.abs(F.col("v") - F.col("middle")), 0.5)
     first = middle.join(far, ["level", "k"]).groupBy("level").agg(F.sort_array(F.collect_list(F.struct("k", "middle", "q"))).alias("start"))
-    at = rows.join(materialize(first, "medians"), "level")
+    at = _attach(rows, materialize(first, "medians"), ["level"], few, names)
     z = [(x[i] - F.col("start")[i]["middle"]) / F.greatest(1.4826 * F.col("start")[i]["q"], F.lit(least if FLOORS[i] is None else FLOORS[i])) for i in range(d)]
     starts = F.array(sum((v * v for v in z[1:]), z[0] * z[0]), F.greatest(*[F.abs(v) for v in z]))
     scored = at.select("level", *x, F.posexplode(starts).alias("start", "dist"))
     best = None
     for step in range(MOST_STEPS):
         near = _quantile(scored, keys, _log(F.col("dist")), COVERED)
-        inside = scored.join(near, keys).where(_log(F.col("dist")) <= F.col("q"))
+        inside = _attach(scored, near, keys, few, names).where(_log(F.col("dist")) <= F.col("q"))
         now = _root(_estimate(inside, keys).withColumn("floor", F.lit(least)), "cov", "floor").drop("floor")
         if best is None:
             best = materialize(now.withColumn("falls", F.lit(True)), f"mcd-{step}")
@@ -211,7 +225,7 @@ def _concentrate(rows: DataFrame, least: float) -> DataFrame:
             best = materialize(both.select(*keys, *[F.when(falls, F.col(c)).otherwise(F.col(f"last.{c}")).alias(c) for c in ("center", "cov", "root", "spread")], falls.alias("falls")), f"mcd-{step}")
         if not best.where("falls").take(1):
             break
-        scored = rows.join(best.select(*keys, "center", "root"), "level").select("level", *x, "start", _distance(x, "center", "root").alias("dist"))
+        scored = _attach(rows, best.select(*keys, "center", "root"), ["level"], few, names).select("level", *x, "start", _distance(x, "center", "root").alias("dist"))
     return best.groupBy("level").agg(F.min_by(F.struct("center", "cov"), F.struct("spread", "start")).alias("b")).select("level", "b.center", "b.cov")
 
 
@@ -228,8 +242,8 @@ def judge(stated: DataFrame, lang: str = "lang", source: str = "source", cutoff:
     parent = F.to_json(F.struct(F.col(quoted(lang)).alias("lang")))
     table = materialize(stated.withColumns({"__g": group, "__p": parent, **dict(zip(names, _vector(), strict=True))}), "statistics")
     model = fit(table.where("not base_failed").select(F.col("__g").alias("g"), F.col("__p").alias("p"), *[F.col(n).alias(n[2:]) for n in names]))
-    known = model.select(F.col("g").alias("__model_g"), F.col("center").alias("__center"), F.col("root").alias("__root"), F.col("scale").alias("__scale"))
-    out = table.join(known, F.col("__g") == F.col("__model_g"), "left")
+    known = model.select(F.col("g").alias("__g"), F.col("center").alias("__center"), F.col("root").alias("__root"), F.col("scale").alias("__scale"))
+    out = _attach(table, known, ["__g"], known.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS, names, "left")
     odd = _distance([F.col(n) for n in names], "__center", "__root") > cutoff * F.col("__scale")
     kept = ~F.col("base_failed") & ~F.coalesce(odd, F.lit(False))
-    return replace_columns(out, {"kept": kept}).drop("__g", "__p", "__model_g", "__center", "__root", "__scale", *names)
+    return replace_columns(out, {"kept": kept}).drop("__g", "__p", "__center", "__root", "__scale", *names)

@@ -460,8 +460,9 @@ def test_outliers_go_and_clean_rows_stay(spark):
     assert not kept[2000] and kept[2001] and not kept[2002]
 
 
-@pytest.mark.parametrize("sources", [1, 20, 400])
-def test_verdicts_against_plain_estimates(spark, sources):
+@pytest.mark.parametrize(("sources", "broadcast"), [(1, 100_000), (20, 0), (400, 100_000)])
+def test_verdicts_against_plain_estimates(spark, monkeypatch, sources, broadcast):
+    monkeypatch.setattr(quality, "BROADCAST_GROUPS", broadcast)
     # 1: one large group; 20: small sources of one large language; 400: sources of a single row
     r = random.Random(11)
     clean = lambda i: " ".join(("#" if r.random() < 0.05 else "") + "w" * r.randrange(3, 9) + str(r.randrange(10**6)) for _ in range(60 + i % 50))
