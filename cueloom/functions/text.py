@@ -94,9 +94,12 @@ def token_parts(token: Column) -> Column:
     return F.struct(*[F.regexp_extract(token, pattern, i).alias(n) for i, n in ((1, "pre"), (2, "core"), (3, "post"))])
 
 
+LEAST_FUZZY_CUTOFF = 0.84
+
+
 def fuzzy_cutoff(n: Column) -> Column:
     """Least similarity for a token of n characters."""
-    return F.when(n <= 5, 0.95).when(n <= 7, 0.90).otherwise(0.84)
+    return F.when(n <= 5, 0.95).when(n <= 7, 0.90).otherwise(LEAST_FUZZY_CUTOFF)
 
 
 def one_indel(a: Column, b: Column) -> Column:

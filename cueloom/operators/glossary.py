@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueloom.functions import text as T
-from cueloom.functions.similarity import gestalt_ratio, length_bound, metaphone, title_case
+from cueloom.functions.similarity import gestalt_ratio, length_bound, letters, metaphone, pair_key, pair_keys, title_case
+from cueloom.operators.ranks import rank_within
 
 #: Rows of a glossary or word list up to which it is broadcast; beyond, joins shuffle.
 BROADCAST_ROWS = 200_000
@@ -57,11 +58,16 @@ def english_gate(tokens: DataFrame, words: DataFrame) -> DataFrame:
     return tokens.join(small(words.select(F.lower("word").alias("low")).distinct()), "low", "left_anti")
 
 
-def _candidates(tokens: DataFrame, names: DataFrame, cutoff: Column, a: Column, b: Column) -> DataFrame:
-    """Pairs of a show's tokens and names that the lengths allow, with their score. A token's names
-    are those of one glossary, whose size is bounded by its show."""
-    pairs = tokens.join(small(names), "show").where(length_bound(a, b) >= cutoff)
-    return pairs.withColumn("score", gestalt_ratio(a, b)).where(F.col("score") >= cutoff)
+def _candidates(tokens: DataFrame, names: DataFrame, cutoff: Column, least: float, a: Column, b: Column) -> DataFrame:
+    """Pairs of a show's tokens and names with a score of ``cutoff`` (at least ``least``) or more, and
+    their score. Such pairs share two of the rarest letters of both (see ``pair_keys``), on which
+    they are joined; each comes from the key of its first two shared letters alone. Pairs whose
+    shared letters allow less than the cutoff are never compared."""
+    left = tokens.withColumn("__b", letters(b)).withColumn("__key", F.explode(pair_keys(F.col("__b"), cutoff)))
+    right = names.withColumn("__a", letters(a)).withColumn("__key", F.explode(pair_keys(F.col("__a"), F.lit(least))))
+    met = left.join(right, ["show", "__key"]).where(length_bound(a, b) >= cutoff).withColumn("__both", F.array_intersect("__a", "__b"))
+    met = met.where((F.col("__key") == pair_key(F.col("__both"))) & (2.0 * F.size("__both") / (F.size("__a") + F.size("__b")) >= cutoff)).drop("__a", "__b", "__both", "__key")
+    return met.withColumn("score", gestalt_ratio(a, b)).where(F.col("score") >= cutoff)
 
 
 def fuzzy_names(tokens: DataFrame, names: DataFrame) -> DataFrame:
@@ -69,7 +75,7 @@ def fuzzy_names(tokens: DataFrame, names: DataFrame) -> DataFrame:
     on a tie. A winner equal to the token, or one inserted or deleted letter away, is refused and
     not replaced."""
     t = tokens.where((F.length("core") >= 4) & ~F.contains("core", F.lit("'"))).withColumn("__title", title_case("core"))
-    scored = _candidates(t, names, T.fuzzy_cutoff(F.length("core")), F.col("name"), F.col("__title"))
+    scored = _candidates(t, names, T.fuzzy_cutoff(F.length("core")), T.LEAST_FUZZY_CUTOFF, F.col("name"), F.col("__title"))
     best = scored.groupBy("show", "core", "low").agg(F.max(F.struct("score", "name")).alias("b")).select("show", "core", "low", "b.name", "b.score")
     return best.where((F.lower("name") != F.col("low")) & ~T.one_indel(F.col("low"), F.lower("name")))
 
@@ -114,7 +120,7 @@ def name_suspect(df: DataFrame, terms: DataFrame, words: DataFrame, ident: Seque
     tokens = distinct_tokens(df, text).where(F.length("core") >= 4)
     tokens = english_gate(tokens.join(names.select("show", F.lower("name").alias("low")), ["show", "low"], "left_anti"), words)
     upper = F.substring("core", 1, 1).rlike(r"^\p{Lu}")
-    near = _candidates(tokens.where(~upper).withColumn("__title", title_case("core")), names, F.lit(cutoff), F.col("name"), F.col("__title")).select("show", "core").distinct()
+    near = _candidates(tokens.where(~upper).withColumn("__title", title_case("core")), names, F.lit(cutoff), cutoff, F.col("name"), F.col("__title")).select("show", "core").distinct()
     odd = tokens.where(upper).select("show", "core").unionByName(near).withColumn("__odd", F.lit(True))
     exploded = df.select("show", *ident, F.explode(F.split(F.trim(F.col(text)), r"\s+")).alias("__tok")).withColumn("core", T.token_parts(F.col("__tok"))["core"])
     return exploded.join(small(odd), ["show", "core"], "left").groupBy("show", *ident).agg(F.coalesce(F.bool_or("__odd"), F.lit(False)).alias("suspect"))
@@ -136,13 +142,13 @@ def additive_terms(existing: DataFrame, mined: DataFrame) -> DataFrame:
     """Existing names (show, ord, term), then the new ones by name behind them."""
     top = existing.groupBy("show").agg(F.max("ord").alias("top"))
     new = mined.join(existing.select("show", F.lower("term").alias("__low")), (mined["show"] == existing["show"]) & (F.lower(mined["term"]) == F.col("__low")), "left_anti")
-    rank = F.row_number().over(Window.partitionBy("show").orderBy("term"))
-    new = new.select("show", "term", rank.alias("r")).join(top, "show", "left").select("show", (F.coalesce("top", F.lit(-1)) + F.col("r")).alias("ord"), "term")
+    new = rank_within(new.select("show", "term"), "show", ["term"], "r").join(top, "show", "left").select("show", (F.coalesce("top", F.lit(-1)) + F.col("r")).cast(existing.schema["ord"].dataType).alias("ord"), "term")
     return existing.select("show", "ord", "term").unionByName(new)
 
 
 def top_names(terms: DataFrame, counts: DataFrame, k: int = 30) -> DataFrame:
-    """(show, prompt): the k most counted names, earlier ones first on a tie."""
+    """(show, prompt): the k most counted names, earlier ones first on a tie. Each task gives up all
+    but its own first k before the exchange, so no show gathers more than k rows of each."""
     rows = terms.join(counts.select("show", "term", "n"), ["show", "term"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("show").orderBy(F.desc("n"), "ord"))
     kept = rows.withColumn("r", rank).where(F.col("r") <= k)
@@ -152,7 +158,7 @@ def top_names(terms: DataFrame, counts: DataFrame, k: int = 30) -> DataFrame:
 def wiki_candidates(terms: DataFrame, titles: DataFrame, k: int = 6, cutoff: float = 0.62) -> DataFrame:
     """(show, term, title, score, rank): the k most similar titles, in the case seen first."""
     t = titles.withColumn("__low", F.lower("title")).groupBy("show", "__low").agg(F.min_by("title", "ord").alias("title"))
-    scored = _candidates(terms.withColumn("__term", F.lower("term")), t, F.lit(cutoff), F.col("__low"), F.col("__term"))
+    scored = _candidates(terms.withColumn("__term", F.lower("term")), t, F.lit(cutoff), cutoff, F.col("__low"), F.col("__term"))
     rank = F.row_number().over(Window.partitionBy("show", "term").orderBy(F.desc("score"), F.desc("__low")))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("show", "term", "title", "score", "rank")
 
@@ -161,7 +167,7 @@ def pending_terms(terms: DataFrame, verified: DataFrame, force: bool = False) ->
     """(show, term, ord) not verified yet, each once at its first place; names before phrases."""
     first = terms.groupBy("show", "term").agg(F.min(F.struct((F.col("kind") == "phrase").alias("p"), "ord")).alias("at"))
     rest = first if force else first.join(verified.select("show", "term"), ["show", "term"], "left_anti")
-    return rest.withColumn("ord", F.row_number().over(Window.partitionBy("show").orderBy("at")) - 1).select("show", "term", "ord")
+    return rank_within(rest, "show", ["at", "term"], "r").select("show", "term", (F.col("r") - 1).cast("int").alias("ord"))
 
 
 def wiki_sanity_gate(terms: DataFrame, titles: DataFrame, least: int = 3) -> DataFrame:

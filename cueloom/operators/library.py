@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cueloom.functions import text as T
+from cueloom.operators.ranks import ranked
 
 # Fixed values.
 SKIP_NAME = r"(?i)\bNCED\b|\bNCOP\b|\bNCBD\b|-\s*scene\b|creditless"
@@ -114,7 +115,8 @@ def read_starts(lines: DataFrame) -> DataFrame:
 def show_priority(order: DataFrame, shows: DataFrame) -> DataFrame:
     """Listed shows (show, ord) with rank and status; a listed show without files is skip-missing."""
     there = shows.select("show").distinct().withColumn("__there", F.lit(True))
-    return order.join(there, "show", "left").select("show", F.row_number().over(Window.orderBy("ord")).alias("rank"), F.when(F.col("__there"), "ok").otherwise("skip-missing").alias("status"))
+    listed = ranked(order.select("show", "ord"), ["ord", "show"], "__at")
+    return listed.join(there, "show", "left").select("show", (F.col("__at") + 1).cast("int").alias("rank"), F.when(F.col("__there"), "ok").otherwise("skip-missing").alias("status"))
 
 
 def hardlink_groups(files: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from cueloom.operators import glossary as G
 from cueloom.operators import library as L
 from cueloom.operators import repair as R
 from cueloom.operators import tracks as K
+from cueloom.operators.ranks import rank_within
 from cueloom.plans import adaptors as A
 from cueloom.plans import caption_queries as C
 from cueloom.plans.adaptors import KEYS, sql, table
@@ -448,10 +449,8 @@ def additive_terms(spark, sf_dir):
 
 @query(sql("SELECT 'all' AS show, string_agg(term, ', ' ORDER BY n DESC, term) AS prompt FROM (SELECT * FROM kept ORDER BY n DESC, term LIMIT 30)", deny=DENY, mined=MINED, kept=KEPT))
 def top_names(spark, sf_dir):
-    from pyspark.sql import Window
-
     m = _mined(spark, sf_dir)
-    return G.top_names(m.select("show", "term", F.row_number().over(Window.partitionBy("show").orderBy("term")).alias("ord")), m)
+    return G.top_names(rank_within(m.select("show", "term"), "show", ["term"], "ord"), m)
 
 
 def _terms(spark, sf_dir):
@@ -521,10 +520,8 @@ def english_gate(spark, sf_dir):
 
 def _names(spark, sf_dir):
     """Mined names of four letters or more, misspelt in the texts by a swap of two inner letters."""
-    from pyspark.sql import Window
-
     m = _mined(spark, sf_dir).where("length(term) >= 6")
-    return m.select("show", F.lit("name").alias("kind"), F.row_number().over(Window.partitionBy("show").orderBy("term")).alias("ord"), "term")
+    return rank_within(m.select("show", "term"), "show", ["term"], "ord").select("show", F.lit("name").alias("kind"), "ord", "term")
 
 
 def _misspelt(spark, sf_dir):

@@ -2,7 +2,7 @@
 
 import random
 import re
-from difflib import get_close_matches
+from difflib import SequenceMatcher, get_close_matches
 
 import pytest
 from hypothesis import given, settings
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cueloom.functions import text as T
 from cueloom.functions.similarity import metaphone_code
-from cueloom.operators import gate, glossary, joins, library, reflow, repair, timing, tracks
+from cueloom.operators import gate, glossary, joins, library, ranks, reflow, repair, timing, tracks
 from cueloom.plans import adaptors
 from cueloom.plans.registry import QUERIES
 from cueloom.sources import readers, writers
@@ -243,6 +243,40 @@ def test_fuzzy_names_is_the_closest_match(spark):
         assert got.get(t) == want
 
 
+@pytest.mark.parametrize("cutoff", [0.62, 0.78, 0.84, 0.95])
+def test_name_pairs_are_those_of_a_nested_loop(spark, cutoff):
+    r = random.Random(3)
+    word = lambda most: "".join(r.choice("aabcdeeén 1") for _ in range(r.randint(0, most)))
+    names = ["", "a", "ab", *[word(14) for _ in range(60)]]
+    tokens = ["", "a", "b", "ba", *[word(14) for _ in range(30)], *[n[1:] + "e" for n in names[3:40]], *[n[:2] + n[3:] for n in names[3:40]]]
+    names, tokens = sorted(set(names)), sorted(set(tokens))
+    left = spark.createDataFrame([(s, t) for s in ("s", "t") for t in tokens] + [("s", None)], "show string, low string")
+    right = spark.createDataFrame([("s", n) for n in names] + [("t", names[5]), ("s", None)], "show string, name string")
+    got = glossary._candidates(left, right, F.lit(cutoff), cutoff, F.col("name"), F.col("low")).collect()
+    close = lambda n, t: bool(n and t) and SequenceMatcher(None, n, t).ratio() >= cutoff
+    want = [("s", t, n) for n in names for t in tokens if close(n, t)] + [("t", t, names[5]) for t in tokens if close(names[5], t)]
+    assert sorted((x["show"], x["low"], x["name"]) for x in got) == sorted(want)
+
+
+def test_ranks_within_a_show(spark):
+    df = spark.createDataFrame([("a", k) for k in range(50, 0, -1)] + [(None, 7), (None, 3)], "show string, term long")
+    got = {(r["show"], r["term"]): r["n"] for r in ranks.rank_within(df, "show", ["term"], "n").collect()}
+    assert got == {**{("a", k): k for k in range(1, 51)}, (None, 3): 1, (None, 7): 2}
+    assert ranks.rank_within(df.limit(0), "show", ["term"], "n").collect() == []
+
+
+def test_top_names_are_cut_before_the_exchange(spark):
+    from contextlib import redirect_stdout
+    from io import StringIO
+
+    terms = spark.createDataFrame([("s", k, f"t{k}") for k in range(40)], "show string, ord long, term string")
+    out = glossary.top_names(terms, terms.select("show", "term", (F.col("ord") % 7).alias("n")), 3)
+    with redirect_stdout(StringIO()) as plan:
+        out.explain()
+    assert plan.getvalue().count("WindowGroupLimit") >= 2
+    assert out.first()["prompt"] == "t6, t13, t20"
+
+
 def test_metaphone():
     assert [metaphone_code(w) for w in ("Spandam", "spondum", "Knight", "phone", "Thumb", "school", "church", "")] == ["SPNTM", "SPNTM", "NT", "FN", "0M", "SKL", "XRX", ""]
 
