@@ -1,10 +1,12 @@
-"""Helpers that several operators of this subpackage share, among them the library's scratch tables."""
+"""Helpers that several operators of this subpackage share, among them the library's ranks and scratch
+tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cueloom.operators.ranks import ranked
 from cueloom.sources.scratch import materialize, scratch_dir, scratch_path
 
 __all__ = ["WORD_SPACE", "let", "lower_ascii", "materialize", "quoted", "ranked", "replace_columns", "scratch_dir", "scratch_path"]
@@ -29,26 +31,6 @@ def lower_ascii(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """``df`` with a gapless 0-based position ``name`` in the given order, without one big task.
-
-    Rows are dealt by range of the whole order, so a hot leading key is split as long as the
-    later ones differ; rows that are equal in all of them may stand in any order among
-    themselves. The driver sees one count per range. Keep ``df`` narrow: it is written once.
-    """
-    spark = df.sparkSession
-    part = "__range"
-    kept = materialize(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranked")
-    counts = sorted((r[part], r["n"]) for r in kept.groupBy(part).agg(F.count(F.lit(1)).alias("n")).collect())
-    starts, total = [], 0
-    for p, n in counts:
-        starts.append((p, total))
-        total += n
-    first = spark.createDataFrame(starts or [(0, 0)], f"{part} int, __first long")
-    place = F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1 + F.col("__first")
-    return kept.join(F.broadcast(first), part).withColumn(name, place.cast("long")).drop(part, "__first")
-
-
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` worked out once for the row, however often it is used, also
     inside a higher-order function of the body."""
