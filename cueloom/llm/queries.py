@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueloom.llm import decontamination, mixing, quality, repeats, secrets, sharding, simhash, toxicity, url_filter, warc
-from cueloom.llm.common import materialize, scratch_path
+from cueloom.llm import decontamination, language, mixing, quality, repeats, runs, secrets, sharding, simhash, spelling, toxicity, url_filter, warc
+from cueloom.llm.common import WORD_SPACE, let, materialize, scratch_path
 
 #: The rule list of op1.
 URL_RULES = [
@@ -85,7 +85,49 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.joined(F.col("spans"), base_only=True), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_decontamination, op4_warc, op5_repeats, op6_quality, op7_toxicity, op8_sharding, op9_mixing, op10_secrets)}
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every 31st word of a document, by its CRC-32, a letter is deleted first."""
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.filter(spelling.words_of(F.col("text")), lambda w: F.length(w) >= spelling.LEAST_LETTERS)).alias("run"))
+    h = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("run")).cast("binary"))
+    at = (F.col("h") % F.length("run")).cast("int")
+    cut = F.concat(F.substr("run", F.lit(1), at), F.substr("run", at + 2))
+    words = found.withColumn("h", h).select(F.when(F.col("h") % 31 == 0, cut).otherwise(F.col("run")).alias("word"))
+    return spelling.group_variants(spelling.word_counts(words)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """Of every tenth document, by its CRC-32, the words from some place on are repeated from there."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+    def repeated(words: Column) -> Column:
+        n, g = F.size(words), F.floor(h / 10)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        return F.array_join(F.transform(words, lambda w, i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p))), " ")
+
+    words = F.filter(F.split("text", WORD_SPACE), lambda w: w != "")
+    return docs.withColumn("text", F.when(h % 10 == 0, let(words, lambda w: F.when(F.size(w) > 0, repeated(w)))).otherwise(F.col("text")))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.get(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period")))), F.lit(0))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    at = found.withColumn("best", best)
+    return at.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), (-F.col("best.less")).alias("length"), F.col("best.period").alias("period"),
+        F.floor(-1000 * F.col("best.less") / F.col("best.period")).cast("long").alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs.where(~language.held_out(F.col("doc_id"))))
+    found = language.identify(docs, model)
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), F.col("lang").alias("lang_pred"), "score", "margin", "accepted")
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_decontamination, op4_warc, op5_repeats, op6_quality, op7_toxicity, op8_sharding, op9_mixing, op10_secrets,
+                                op11_spelling, op12_runs, op13_language)}
 
 ORACLES: dict[str, str] = {
     "op1_url_filters": r"""
