@@ -88,8 +88,9 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
 
 def _members(batches: Iterator[pa.RecordBatch], archive_bytes: int, member_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Records (value) -> (archive, member): gzip members without their last byte, which is zero.
-    Archives are numbered within the task."""
+    """Records (value) -> (archive, member): a record's gzip members, in one row since the sink does not
+    keep the order of rows, without their last byte, which is zero. Archives are numbered within the
+    task."""
     archive = size = 0
     for batch in batches:
         numbers, members = [], []
@@ -99,10 +100,10 @@ def _members(batches: Iterator[pa.RecordBatch], archive_bytes: int, member_bytes
                 parts = [*[record[i : i + member_bytes] for i in range(0, len(record), member_bytes)], b"\r\n\r\n"]
             else:
                 parts = [bytes(record) + b"\r\n\r\n"]
-            packed = [_packed(part) for part in parts]
-            numbers += [archive] * len(packed)
-            members += [m[:-1] for m in packed]
-            size += sum(map(len, packed))
+            packed = b"".join(_packed(part) for part in parts)
+            numbers.append(archive)
+            members.append(packed[:-1])
+            size += len(packed)
             if size >= archive_bytes:
                 archive, size = archive + 1, 0
         yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(members, pa.binary())], names=["archive", "member"])
