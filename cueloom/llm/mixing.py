@@ -6,29 +6,33 @@ earliest deadline among the released blocks wins. With weights that sum to 1 eve
 window, so after t slots a source has more than w t - 1 and fewer than w t + 1 blocks.
 
 Weights are taken as exact fractions, that is as whole shares of a period that is their sum, so the
-pattern of a period repeats for ever and no deviation adds up. Only this pattern is worked out on the
-driver (of a very long period, as much as the table needs); blocks find their slots with DataFrame
+pattern of a period repeats for ever and no deviation adds up. The driver works this pattern out with
+a queue of the sources and holds some slots of it at a time: parts of a long one are written as a
+table. Its length follows from the weights' decimals (ten million slots for seven) and not from the
+rows, beyond whose blocks it is not carried on. Blocks find their slots in it with DataFrame
 arithmetic. A given period rounds the weights to its shares, and that rounding adds up.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from fractions import Fraction
 from functools import reduce
+from itertools import islice
 from math import gcd, lcm
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueloom.llm.common import quoted, ranked, replace_columns
+from cueloom.llm.common import materialize, quoted, ranked, replace_columns, scratch_path
 
 #: Slots of op9's period; a weight is rounded to a multiple of its inverse.
 PERIOD = 1_000
-#: A longer exact period is worked out only as far as the table's blocks go.
-LONG_PERIOD = 100_000
+#: Slots of a pattern that the driver holds at a time.
+_PART = 1 << 16
+PATTERN = "w_source string, w_null boolean, w_k long, w_release long, w_deadline long, w_slot long"
 #: Sources, or slots of a pattern, up to which their table is sent to every task.
 _SMALL = 100_000
 #: Rows of a block.
@@ -62,13 +66,13 @@ def exact_shares(weights: Mapping[str | None, float]) -> dict[str | None, int]:
     return {s: n // common for s, n in whole.items()}
 
 
-def pattern(shares: Mapping[str | None, int], slots: int | None = None) -> list[tuple[str | None, int, int, int, int]]:
+def pattern(shares: Mapping[str | None, int], slots: int | None = None) -> Iterator[tuple[str | None, int, int, int, int]]:
     """One period, or its first ``slots``: (source, block within the period, release, deadline,
     slot), a row for each slot.
 
     Ties of the deadline go to the block whose successor is due first, then by name.
     """
-    period, rows = sum(shares.values()), []
+    period = sum(shares.values())
     names = list(shares)
     waiting, ready = [(0, i, 0) for i in range(len(names))], []  # (release, source, block)
     for slot in range(period if slots is None else min(slots, period)):
@@ -78,10 +82,20 @@ def pattern(shares: Mapping[str | None, int], slots: int | None = None) -> list[
             heapq.heappush(ready, (-(-(k + 1) * period // share), (k + 2) * period / share, str(names[i]), i, k))
         deadline, _, _, i, k = heapq.heappop(ready)
         share = shares[names[i]]
-        rows.append((names[i], k, k * period // share, deadline, slot))
+        yield names[i], k, k * period // share, deadline, slot
         if k + 1 < share:
             heapq.heappush(waiting, ((k + 1) * period // share, i, k + 1))
-    return rows
+
+
+def _pattern_table(spark: SparkSession, shares: Mapping[str | None, int], slots: int) -> DataFrame:
+    rows = ((s, s is None, k, r, d, t) for s, k, r, d, t in pattern(shares, slots))
+    parts = (spark.createDataFrame(part, PATTERN) for part in iter(lambda: list(islice(rows, _PART)), []))
+    if slots <= _PART:
+        return next(parts, spark.createDataFrame([], PATTERN))
+    path = scratch_path(spark, "pattern")
+    for part in parts:
+        part.write.mode("append").parquet(path)
+    return spark.read.schema(PATTERN).parquet(path)
 
 
 def mix(docs: DataFrame, weights: Mapping[str | None, float], source: str = "source", order: tuple[str, ...] = ("doc_id",),
@@ -105,25 +119,20 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float], source: str = "sou
         raise ValueError("the source may not be part of the order")
     weighted = any(w and w > 0 for w in weights.values())
     shares = (exact_shares(weights) if period is None else shares_of(weights, period)) if weighted else {}
-    slots = period = sum(shares.values())
-    if period > LONG_PERIOD:
-        rows = docs.select(*[F.col(quoted(c)) for c in names]).distinct().groupBy(F.col(quoted(source)).alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()
-        slots = max([1, *[-(-(-(-r["n"] // block_rows)) * period // shares[r["s"]]) for r in rows if r["s"] in shares]])
-    period_rows = pattern(shares, slots) if weighted else []
-    # Where the pattern ends within the first period, no block is beyond that.
-    held = shares if slots >= period else dict.fromkeys(shares, 1 << 62)
-    period = min(slots, period)
-    table = spark.createDataFrame([(s, s is None, k, r, d, t) for s, k, r, d, t in period_rows], "w_source string, w_null boolean, w_k long, w_release long, w_deadline long, w_slot long")
-    share = spark.createDataFrame([(s, s is None, n) for s, n in held.items()], "s_source string, s_null boolean, share long")
-    sent = lambda df, n: F.broadcast(df) if n <= _SMALL else df
+    period = sum(shares.values())
     at = ranked(docs.select(*[F.col(quoted(c)) for c in names]).distinct(), [F.col(quoted(c)) for c in names], "__rank")
-    first = at.groupBy(source).agg(F.min("__rank").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    first = materialize(at.groupBy(source).agg(F.min("__rank").alias("__first"), F.count(F.lit(1)).alias("__n")), "mixed-sources")
+    share = spark.createDataFrame([(s, s is None, n) for s, n in shares.items()], "s_source string, s_null boolean, share long")
+    sent = lambda df, n: F.broadcast(df) if n <= _SMALL else df
     first = first.join(sent(share, len(shares)), F.col(quoted(source)).eqNullSafe(F.col("s_source")), "left").drop("s_source", "s_null")
+    last_slot = F.ceil(F.ceil(F.col("__n") / block_rows) * F.lit(period) / F.col("share"))
+    slots = min(period, int(first.agg(F.max(last_slot)).first()[0] or 0))
+    table = _pattern_table(spark, shares, slots)
     first = first.withColumnRenamed(source, "__source")
     at = at.join(first, F.col(quoted(source)).eqNullSafe(F.col("__source"))).withColumn("__i", F.col("__rank") - F.col("__first"))
     at = at.withColumns({"block": F.floor(F.col("__i") / block_rows).cast("long"), "place": (F.col("__i") % block_rows).cast("int")})
     at = at.withColumn("__k", F.col("block") % F.col("share"))
-    at = at.join(sent(table, len(period_rows)), F.col(quoted(source)).eqNullSafe(F.col("w_source")) & (F.col("__k") == F.col("w_k")), "left")
+    at = at.join(sent(table, slots), F.col(quoted(source)).eqNullSafe(F.col("w_source")) & (F.col("__k") == F.col("w_k")), "left")
     turn = (F.floor(F.col("block") / F.col("share")) * period).cast("long")
     last = at.agg(F.max(turn + period)).first()[0] or 0
     slot = F.coalesce(turn + F.col("w_slot"), F.lit(last) + F.floor(F.col("__rank") / block_rows)).cast("long")
