@@ -1,12 +1,18 @@
 """Quality rules: base rules, then robust multivariate outliers for each language and source.
 
+Five statistics of every text vary from text to text in any corpus: mean word length, share of
+different words, marks for each word, capitals among the letters and share of short words. They are
+taken as logarithms of rates, which are smoothed by some words of the corpus's average, so that the
+rates of short texts do not scatter more than those of long ones.
+
 Every group's minimum-covariance-determinant estimate comes from concentration steps: take the h
 rows with the smallest Mahalanobis distances, estimate their mean and covariance, and again until no
 determinant falls any more. Two starts are followed and the one with the smaller determinant wins.
 
 Languages and all rows together get such estimates too. A group's estimate is drawn towards that of
-its language, and this towards that of all rows, as if the parent's were some rows more; so a small
-group has a sound estimate, a large one its own, and no size is treated otherwise than another.
+its language, this towards that of all rows, and this towards the variances of all rows, as if the
+parent's were some rows more; so a small group has a sound estimate, a large one its own, and no size
+is treated otherwise than another.
 
 A row is an outlier if its distance, scaled so that the median row of its group has the median of a
 chi-squared variable, is beyond a high quantile of that variable.
@@ -18,9 +24,7 @@ a few thousand at most, however many rows it has.
 
 from __future__ import annotations
 
-from math import log1p, sqrt
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from cueloom.llm.common import WORD_SPACE, let, materialize, quoted, replace_columns
@@ -36,14 +40,14 @@ STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_wor
 COVERED, PRIOR_ROWS = 0.75, 40
 #: A concentration step goes on while some logarithm of a determinant falls by more than this.
 LEAST_FALL, MOST_STEPS = 0.01, 40
-#: Median and the 0.99999 quantile of a chi-squared variable with four degrees of freedom.
-CHI2_MEDIAN, CHI2_CUTOFF = 3.3567, 28.473
-#: Where most rows of a group have the same value (no symbols, no repeats), their spread says nothing,
-#: and a standard deviation is at least this. It follows from what may not be an outlier by itself: one
-#: symbol among the 100 characters of a shortest text; and one repeated line in such a text together
-#: with as many repeated words as the base rules allow. That of the mean word length is read off
-#: the data: the spread of all rows.
-FLOORS = (None, log1p(1) / sqrt(CHI2_CUTOFF), *(log1p(x) * sqrt(2 / CHI2_CUTOFF) for x in (100 / LEAST_WORDS, MOST_REPEATED_PERCENT)))
+#: Number of statistics; median and the 0.9999999 quantile of a chi-squared variable with as many
+#: degrees of freedom.
+D, CHI2_MEDIAN, CHI2_CUTOFF = 5, 4.3515, 40.863
+#: Least standard deviation, which only keeps a singular covariance from being divided by.
+LEAST_DEVIATION = 1e-6
+#: Words of the corpus's average that every text's rates get besides its own; letters of a short word.
+SMOOTHING_WORDS, SHORT_WORD = 100, 3
+COUNTS = ("n_distinct", "n_short", "n_letters", "n_capitals", "n_marks")
 #: Groups (250 bytes each) up to which their estimates are broadcast. Beyond, they are joined by shuffle,
 #: in so many copies, over which a hot group's rows are dealt.
 BROADCAST_GROUPS, SPREAD = 100_000, 32
@@ -52,16 +56,23 @@ BIN = 1 / 128
 
 
 def statistics(text: Column) -> Column:
-    """The five counts of a text as one struct; null has no words."""
+    """The base rules' counts of a text, and those of the outlier test, as one struct; null has no
+    words."""
     body = F.coalesce(text, F.lit(""))
     words = F.filter(F.split(body, WORD_SPACE), lambda w: w != "")
 
+    without = lambda of, pattern: F.length(F.regexp_replace(of, pattern, "")).cast("long")
+    letters = F.regexp_replace(body, r"\P{L}+", "")
+
     def counts(w: Column) -> Column:
         lines = let(F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.size(x) - F.size(F.array_distinct(x)))
         return F.struct(
             F.size(w).cast("long").alias("n_words"), F.aggregate(w, F.lit(0).cast("long"), lambda n, x: n + F.length(x)).alias("word_chars"),
             (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"), lines.cast("long").alias("n_dup_lines"),
-            F.when(F.size(w) >= WINDOW_WORDS, _repeated_words(w)).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"))
+            F.when(F.size(w) >= WINDOW_WORDS, _repeated_words(w)).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
+            F.size(F.array_distinct(w)).cast("long").alias("n_distinct"), F.size(F.filter(w, lambda x: F.length(x) <= SHORT_WORD)).cast("long").alias("n_short"),
+            F.length(letters).cast("long").alias("n_letters"), (F.length(letters) - without(letters, r"\p{Lu}+")).cast("long").alias("n_capitals"),
+            without(body, r"[\p{L}\p{Nd}\x20\x09-\x0D]+").alias("n_marks"))
 
     return let(words, counts)
 
@@ -82,17 +93,23 @@ def _repeated_words(words: Column) -> Column:
 
 
 def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the five counts and base_failed; input columns of these names give way."""
+    """``docs`` with the counts of ``statistics`` and base_failed; input columns of these names give way."""
     out = docs.withColumn("__counts", statistics(F.col(quoted(text))))
     failed = (F.col("__counts.n_words") < LEAST_WORDS) | (100 * F.col("__counts.n_repeat_words") > MOST_REPEATED_PERCENT * F.col("__counts.n_words"))
-    return replace_columns(out, {**{n: F.col(f"__counts.{n}") for n in STATISTICS}, "base_failed": failed}).drop("__counts")
+    return replace_columns(out, {**{n: F.col(f"__counts.{n}") for n in (*STATISTICS, *COUNTS)}, "base_failed": failed}).drop("__counts")
+
+
+def _vector(totals: Row) -> list[Column]:
+    """The statistics of a text. ``totals``: the sums of the counts over all texts. Two of them vary
+    little and are multiplied, so that bins of one width suit all."""
+    words = max(totals["n_words"] or 0, 1)
 
+    def rate(count: str, of: str) -> Column:
+        more, base = ((totals[c] or 0) / words * SMOOTHING_WORDS for c in (count, of))
+        return F.log((F.col(count) + max(more, 1e-3)) / (F.col(of) + max(base, 1e-3)))
 
-def _vector() -> list[Column]:
-    """Logarithms of the mean word length and of the rates, in percent, of the other counts."""
-    words = F.greatest(F.col("n_words"), F.lit(1))
-    rate = lambda c, of: F.log1p(100.0 * F.col(c) / of)
-    return [F.log((F.col("word_chars") + 1) / words), rate("n_symbols", F.greatest(F.col("word_chars"), F.lit(1))), rate("n_dup_lines", words), rate("n_repeat_words", words)]
+    variety = F.log(F.greatest(F.col("n_distinct"), F.lit(1))) / F.log(F.greatest(F.col("n_words"), F.lit(2)))
+    return [4 * rate("word_chars", "n_words"), 16 * variety, rate("n_marks", "n_words"), rate("n_capitals", "n_letters"), rate("n_short", "n_words")]
 
 
 def _attach(rows: DataFrame, groups: DataFrame, on: list[str], few: bool, x: list[str], how: str = "inner") -> DataFrame:
@@ -131,66 +148,62 @@ def _cov(i: int, j: int) -> int:
     return max(i, j) * (max(i, j) + 1) // 2 + min(i, j)
 
 
-def _root(df: DataFrame, cov: str, floor: str) -> DataFrame:
-    """Adds root, the Cholesky factor of ``cov`` with a least diagonal, and spread, the logarithm of
-    its determinant. ``floor``: the least standard deviation of the first statistic."""
-    d, kept = len(FLOORS), df.columns
-    for i in range(d):
-        least = F.col(floor) if FLOORS[i] is None else F.lit(FLOORS[i])
+def _root(df: DataFrame, cov: str) -> DataFrame:
+    """Adds root, the Cholesky factor of ``cov``, and spread, the logarithm of its determinant."""
+    kept = df.columns
+    for i in range(D):
         for j in range(i + 1):
             v = F.get(F.col(cov), F.lit(_cov(i, j)))
             for k in range(j):
                 v = v - F.col(f"__l{i}{k}") * F.col(f"__l{j}{k}")
-            df = df.withColumn(f"__l{i}{j}", F.sqrt(F.greatest(v, least * least)) if i == j else v / F.col(f"__l{j}{j}"))
-    spread = sum((F.log(f"__l{i}{i}") for i in range(1, d)), F.log("__l00"))
-    return df.select(*kept, F.array(*[f"__l{i}{j}" for i in range(d) for j in range(i + 1)]).alias("root"), spread.alias("spread"))
+            df = df.withColumn(f"__l{i}{j}", F.sqrt(F.greatest(v, F.lit(LEAST_DEVIATION**2))) if i == j else v / F.col(f"__l{j}{j}"))
+    spread = sum((F.log(f"__l{i}{i}") for i in range(1, D)), F.log("__l00"))
+    return df.select(*kept, F.array(*[f"__l{i}{j}" for i in range(D) for j in range(i + 1)]).alias("root"), spread.alias("spread"))
 
 
 def _estimate(rows: DataFrame, keys: list[str]) -> DataFrame:
     """keys, center and cov of each group's rows (x0, x1, ...)."""
-    d = len(FLOORS)
+    d = D
     sums = [F.avg(f"x{i}").alias(f"m{i}") for i in range(d)] + [F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i in range(d) for j in range(i + 1)]
     cov = [F.col(f"p{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}") for i in range(d) for j in range(i + 1)]
     return rows.groupBy(*keys).agg(*sums).select(*keys, F.array(*[f"m{i}" for i in range(d)]).alias("center"), F.array(*cov).alias("cov"))
 
 
 def fit(rows: DataFrame) -> DataFrame:
-    """(g, center, root, scale) of every group of ``rows`` (g, its parent p, x0 to x3), drawn
+    """(g, center, root, scale) of every group of ``rows`` (g, its parent p, x0, x1, ...), drawn
     towards its parent's estimate, which is drawn towards that of all rows."""
-    d = len(FLOORS)
+    x = [f"x{i}" for i in range(D)]
     rows = materialize(rows, "outlier-rows")
-    # The spread of the mean word length over all rows: nine tenths of a normal variable's rows lie
-    # within 1.645 deviations.
-    low, high = (next((r["q"] for r in _quantile(rows.select(F.lit(0).alias("k"), "x0"), ["k"], F.col("x0"), q).collect()), 0.0) for q in (0.05, 0.95))
-    least = max(BIN, (high - low) / (2 * 1.645))
+    variances = rows.agg(*[F.var_pop(c).alias(c) for c in x]).first()
     own, parent, all_ = F.concat(F.lit("g"), "g"), F.concat(F.lit("p"), "p"), F.lit("all")
-    members = materialize(rows.select(F.explode(F.array(own, parent, all_)).alias("level"), *[f"x{i}" for i in range(d)]), "members")
+    members = materialize(rows.select(F.explode(F.array(own, parent, all_)).alias("level"), *x), "members")
     above_of = materialize(rows.select(own.alias("level"), parent.alias("above")).distinct(), "parents")
     few = above_of.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
-    raw = _concentrate(members, least, few)
     sizes = members.groupBy("level").agg(F.count(F.lit(1)).alias("n"))
-    raw = materialize(raw.join(sizes, "level").withColumn("floor", F.lit(least)), "estimates")
+    raw = materialize(_concentrate(members, few).join(sizes, "level"), "estimates")
+    plain = [(variances[f"x{i}"] or 0.0) if i == j else 0.0 for i in range(D) for j in range(i + 1)]
 
-    def drawn(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    def drawn(df: DataFrame, towards: dict[str, Column]) -> DataFrame:
         share = F.col("n") / (F.col("n") + PRIOR_ROWS)
-        return df.withColumns({v: F.zip_with(v, up, lambda a, b: share * a + (1 - share) * b) for v, up in values.items()})
+        return df.withColumns({v: F.zip_with(v, up, lambda a, b: share * a + (1 - share) * b) for v, up in towards.items()})
 
-    def cascade(each: DataFrame, values: list[str]) -> DataFrame:
-        """Languages are drawn towards all rows, whose estimate is one row, and groups towards these."""
-        top = each.where("level = 'all'")
+    def cascade(each: DataFrame, values: list[str], last: dict[str, Column]) -> DataFrame:
+        """All rows are drawn towards ``last``, languages towards all rows, whose estimate is one row,
+        and groups towards these."""
+        top = drawn(each.where("level = 'all'"), last)
         of_all = top.first()
         if of_all is None:
             return each
-        parents = drawn(each.where("startswith(level, 'p')"), {v: F.array(*[F.lit(x) for x in of_all[v]]) for v in values})
+        parents = drawn(each.where("startswith(level, 'p')"), {v: F.array(*[F.lit(y) for y in of_all[v]]) for v in values})
         up = parents.select(F.col("level").alias("above"), *[F.col(v).alias(f"__{v}") for v in values])
         groups = drawn(each.join(above_of, "level").join(up, "above"), {v: F.col(f"__{v}") for v in values}).drop("above", *[f"__{v}" for v in values])
         return top.unionByName(parents).unionByName(groups)
 
-    x = [f"x{i}" for i in range(d)]
-    model = materialize(_root(cascade(raw, ["center", "cov"]), "cov", "floor").select("level", "n", "center", "root"), "drawn")
+    placed = cascade(raw, ["center", "cov"], {"cov": F.array(*[F.lit(v) for v in plain])})
+    model = materialize(_root(placed, "cov").select("level", "n", "center", "root"), "drawn")
     scored = _attach(members, model.select("level", "center", "root"), ["level"], few, x).select("level", _distance([F.col(c) for c in x], "center", "root").alias("dist"))
-    scale = _quantile(scored, ["level"], _log(F.col("dist")), 0.5).select("level", F.array(F.greatest(F.exp("q") / CHI2_MEDIAN, F.lit(1.0))).alias("scale"))
-    scale = cascade(materialize(scale.join(model.select("level", "n"), "level"), "scales"), ["scale"])
+    scale = _quantile(scored, ["level"], _log(F.col("dist")), 0.5).select("level", F.array(F.exp("q") / CHI2_MEDIAN).alias("scale"))
+    scale = cascade(materialize(scale.join(model.select("level", "n"), "level"), "scales"), ["scale"], {"scale": F.array(F.lit(1.0))})
     out = model.where("startswith(level, 'g')").join(scale.select("level", "scale"), "level")
     return materialize(out.select(F.substr("level", F.lit(2)).alias("g"), "center", "root", F.col("scale")[0].alias("scale")), "mcd")
 
@@ -199,9 +212,9 @@ def _log(distance: Column) -> Column:
     return F.log(distance + 1e-9)
 
 
-def _concentrate(rows: DataFrame, least: float, few: bool) -> DataFrame:
-    """(level, center, cov) of every level of ``rows`` (level, x0 to x3) by concentration steps."""
-    d, keys = len(FLOORS), ["level", "start"]
+def _concentrate(rows: DataFrame, few: bool) -> DataFrame:
+    """(level, center, cov) of every level of ``rows`` (level, x0, x1, ...) by concentration steps."""
+    d, keys = D, ["level", "start"]
     names = [f"x{i}" for i in range(d)]
     x = [F.col(n) for n in names]
     long = rows.select("level", F.posexplode(F.array(*x)).alias("k", "v"))
@@ -209,14 +222,14 @@ def _concentrate(rows: DataFrame, least: float, few: bool) -> DataFrame:
     far = _quantile(_attach(long, middle, ["level", "k"], few, ["v"]), ["level", "k"], F.abs(F.col("v") - F.col("middle")), 0.5)
     first = middle.join(far, ["level", "k"]).groupBy("level").agg(F.sort_array(F.collect_list(F.struct("k", "middle", "q"))).alias("start"))
     at = _attach(rows, materialize(first, "medians"), ["level"], few, names)
-    z = [(x[i] - F.col("start")[i]["middle"]) / F.greatest(1.4826 * F.col("start")[i]["q"], F.lit(least if FLOORS[i] is None else FLOORS[i])) for i in range(d)]
+    z = [(x[i] - F.col("start")[i]["middle"]) / F.greatest(1.4826 * F.col("start")[i]["q"], F.lit(LEAST_DEVIATION)) for i in range(d)]
     starts = F.array(sum((v * v for v in z[1:]), z[0] * z[0]), F.greatest(*[F.abs(v) for v in z]))
     scored = at.select("level", *x, F.posexplode(starts).alias("start", "dist"))
     best = None
     for step in range(MOST_STEPS):
         near = _quantile(scored, keys, _log(F.col("dist")), COVERED)
         inside = _attach(scored, near, keys, few, names).where(_log(F.col("dist")) <= F.col("q"))
-        now = _root(_estimate(inside, keys).withColumn("floor", F.lit(least)), "cov", "floor").drop("floor")
+        now = _root(_estimate(inside, keys), "cov")
         if best is None:
             best = materialize(now.withColumn("falls", F.lit(True)), f"mcd-{step}")
         else:  # bins are coarse, so a step may also rise a little; then the last estimate stays
@@ -237,10 +250,13 @@ def judge(stated: DataFrame, lang: str = "lang", source: str = "source", cutoff:
     other. However few rows a group has, it has an estimate (see ``fit``). Repeated rows count as
     often as they stand. An empty table stays empty.
     """
-    names = [f"__x{i}" for i in range(len(FLOORS))]
+    names = [f"__x{i}" for i in range(D)]
     group = F.to_json(F.struct(F.col(quoted(lang)).alias("lang"), F.col(quoted(source)).alias("source")))
     parent = F.to_json(F.struct(F.col(quoted(lang)).alias("lang")))
-    table = materialize(stated.withColumns({"__g": group, "__p": parent, **dict(zip(names, _vector(), strict=True))}), "statistics")
+    counted = materialize(stated.withColumns({"__g": group, "__p": parent}), "statistics")
+    sums = ("n_words", "word_chars", *COUNTS)
+    totals = counted.where("not base_failed").agg(*[F.sum(c).alias(c) for c in sums]).first()
+    table = counted.withColumns(dict(zip(names, _vector(totals), strict=True)))
     model = fit(table.where("not base_failed").select(F.col("__g").alias("g"), F.col("__p").alias("p"), *[F.col(n).alias(n[2:]) for n in names]))
     known = model.select(F.col("g").alias("__g"), F.col("center").alias("__center"), F.col("root").alias("__root"), F.col("scale").alias("__scale"))
     out = _attach(table, known, ["__g"], known.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS, names, "left")
