@@ -129,6 +129,10 @@ def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_decontamination, op4_warc, op5_repeats, op6_quality, op7_toxicity, op8_sharding, op9_mixing, op10_secrets,
                                 op11_spelling, op12_runs, op13_language)}
 
+#: The byte table of CRC-32, which DuckDB lacks.
+_CRC_TABLE = """t AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc)"""
+
 ORACLES: dict[str, str] = {
     "op1_url_filters": r"""
 WITH p AS (
@@ -182,4 +186,50 @@ r AS (SELECT doc_id, source, (n // 16)::BIGINT AS block, (n % 16)::INT AS place
 SELECT doc_id, source, block, block // share * period + p.k * period // share AS release, block // share * period + ((p.k + 1) * period + share - 1) // share AS deadline, block // share * period + p.slot AS slot, place
 FROM r JOIN s USING (source) JOIN p ON p.source = r.source AND p.k = r.block % share, l
 """,
+    "op11_spelling": r"""
+WITH RECURSIVE @,
+r AS (
+  SELECT doc_id, run, count(*) AS m, encode(doc_id::VARCHAR || ':' || run) AS b
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL),
+h AS (
+  SELECT run, m, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(b)), lambda i: ('0x' || substr(hex(b), (2 * i + 1)::BIGINT, 2))::BIGINT)),
+    lambda c, x: xor(t.crc[(xor(c, x) & 255) + 1], c >> 8))) AS h FROM r, t),
+w AS (
+  SELECT word, sum(m)::BIGINT AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, m FROM h)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(m) >= 2),
+s AS (SELECT word, n, i, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS skip, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM s a JOIN s b ON a.skip = b.skip AND a.word <> b.word
+  UNION SELECT s.word, s.n, w.word, w.n FROM s JOIN w ON s.rest = w.word
+  UNION SELECT w.word, w.n, s.word, s.n FROM s JOIN w ON s.rest = w.word),
+f AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS best, max(near_n) AS best_n FROM p GROUP BY word),
+g AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * n THEN best END AS form, CASE WHEN best_n >= 10 * n THEN best_n END AS form_n FROM w LEFT JOIN f USING (word)),
+z(word, root) AS (
+  SELECT word, word FROM g
+  UNION ALL SELECT z.word, g.form FROM z JOIN g ON g.word = z.root WHERE g.form IS NOT NULL),
+u AS (SELECT z.word, z.root FROM z JOIN g ON g.word = z.root WHERE g.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM g JOIN u USING (word)
+""".replace("@", _CRC_TABLE),
+    "op12_runs": r"""
+WITH @,
+d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w,
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda c, x: xor(t.crc[(xor(c, x) & 255) + 1], c >> 8))) AS h
+  FROM documents, t),
+m AS (SELECT *, len(w)::BIGINT AS n, h // 10 AS g FROM d),
+c AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM m),
+e AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) END AS w FROM c),
+p AS (SELECT doc_id, n, unnest(range(n)) AS i, unnest(w) AS word FROM e),
+x AS (SELECT a.doc_id, a.n, a.i, b.i - a.i AS q FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.word = b.word AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+y AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM x) GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT * FROM y WHERE NOT EXISTS (SELECT 1 FROM y z WHERE z.doc_id = y.doc_id AND z.q < y.q AND z.s <= y.s AND z.s + z.len >= y.s + y.len)),
+o AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM r),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM p ANTI JOIN o USING (doc_id, i) GROUP BY doc_id),
+a AS (
+  SELECT doc_id, count(*) AS n_runs, first({'s': s, 'len': len, 'q': q} ORDER BY len DESC, s, q) AS best, string_agg(concat_ws(',', s, len, q) || chr(10), '' ORDER BY s, q) AS lines FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.len AS length, best.q AS period, 1000 * best.len // best.q AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM e LEFT JOIN a USING (doc_id) LEFT JOIN k USING (doc_id)
+""".replace("@", _CRC_TABLE),
 }

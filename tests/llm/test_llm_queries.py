@@ -61,15 +61,18 @@ def test_op5(spark, docs):
     assert {d: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for d, r in result(spark, "op5_repeats").items()} == want
 
 
-def test_op6(spark, docs):
-    rows = [(d, lang, source, llm_brute.statistics(t)) for d, t, lang, source in docs]
-    got = result(spark, "op6_quality")
-    kept = llm_brute.verdicts(rows)
-    for d, _, _, n in rows:
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_op6(spark, folder):
+    rows = duckdb.connect().execute(f"select doc_id, lang, source, text from '/root/testdata/{folder}/documents.parquet'").fetchall()
+    base = {d: llm_brute.statistics(t) for d, _, _, t in rows}
+    got = {r["doc_id"]: r for r in QUERIES["op6_quality"](spark, f"/root/testdata/{folder}").collect()}
+    for d, n in base.items():
         r = got[d]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == (*n, llm_brute.base_failed(n))
         assert not (r["base_failed"] and r["kept"])
-    assert sum(got[d]["kept"] != k for d, k in kept.items()) <= 0.01 * len(rows) and not all(kept.values())
+    kept = llm_brute.verdicts([(d, lang, source, (*base[d][:2], *llm_brute.more_counts(t))) for d, lang, source, t in rows if not llm_brute.base_failed(base[d])])
+    # The operator counts in bins of distances and stops at small gains, so a few rows may differ.
+    assert sum(got[d]["kept"] != k for d, k in kept.items()) <= 0.005 * len(rows) and not all(kept.values())
 
 
 def grams(text):
