@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,9 +32,11 @@ def ranked(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame
     return kept.join(F.broadcast(first), part).withColumn(name, place.cast("long")).drop(part, "__first")
 
 
-def rank_within(df: DataFrame, key: str, order: Sequence[Column | str], name: str) -> DataFrame:
-    """``df`` with a gapless 1-based position ``name`` among the rows of equal ``key`` (null is a key
+def rank_within(df: DataFrame, keys: str | Sequence[str], order: Sequence[Column | str], name: str) -> DataFrame:
+    """``df`` with a gapless 1-based position ``name`` among the rows of equal ``keys`` (null is a key
     like any other), however many rows a key has."""
-    at = ranked(df, [key, *order], "__at")
-    first = at.groupBy(F.col(key).alias("__key")).agg(F.min("__at").alias("__from"))
-    return at.join(first, F.col(key).eqNullSafe(F.col("__key"))).withColumn(name, F.col("__at") - F.col("__from") + 1).drop("__at", "__from", "__key")
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    at = ranked(df, [*keys, *order], "__at")
+    first = at.groupBy(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)]).agg(F.min("__at").alias("__from"))
+    same = [F.col(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)]
+    return at.join(first, reduce(and_, same)).withColumn(name, F.col("__at") - F.col("__from") + 1).drop("__at", "__from", *[f"__key{i}" for i in range(len(keys))])

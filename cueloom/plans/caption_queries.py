@@ -8,6 +8,7 @@ from cueloom.functions import text as T
 from cueloom.operators import gate, joins, reflow, timing
 from cueloom.plans import adaptors as A
 from cueloom.plans.adaptors import KEYS, sql
+from cueloom.sources.scratch import materialize
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -91,18 +92,50 @@ def time_cards(spark, sf_dir):
     return timed.select("show", "episode", "first_pos", "start", F.round("end").cast("long").alias("end"))
 
 
-@query()
+# Pieces that are too long, as lists; ranges (a, b) of their words are cut again and again.
+LISTS = """SELECT show, episode, span_id, piece_id, min(first) AS first, count(*) AS n, list(start ORDER BY pos) AS s, list("end" ORDER BY pos) AS e, list(regexp_matches(trim(text), '[,;:]$') ORDER BY pos) AS cl,
+list_prepend(0, list(reach ORDER BY pos)) AS reach FROM (SELECT *, sum(length(trim(text)) + 1) OVER (PARTITION BY show, episode, span_id, piece_id ORDER BY pos) AS reach, min(pos) OVER (PARTITION BY show, episode, span_id, piece_id) AS first FROM pieces) GROUP BY show, episode, span_id, piece_id"""
+LONG_LISTS = """SELECT *, list_transform(range(1, n), lambda p: s[p + 1] - e[p]) AS pause FROM lists WHERE n > 1 AND (reach[n + 1] - 1 > 84 OR e[n] - s[1] > 7000)"""
+CUTS = """SELECT show, episode, span_id, piece_id, 0::BIGINT AS a, n AS b, true AS over FROM long_lists
+UNION ALL SELECT show, episode, span_id, piece_id, a, b, b - a > 1 AND (reach[b + 1] - reach[a + 1] - 1 > 84 OR e[b] - s[a + 1] > 7000) FROM (
+SELECT show, episode, span_id, piece_id, s, e, reach, unnest([a, c]) AS a, unnest([c, b]) AS b FROM (
+SELECT k.*, s, e, reach, CASE WHEN list_max(pause[a + 1:b - 1]) > 0 THEN list_min(list_transform(list_filter(range(a + 1, b), lambda p: pause[p] = list_max(pause[a + 1:b - 1])), lambda p: {'d': abs(p - (a + b) / 2), 'q': -p, 'p': p})).p
+WHEN list_bool_or(cl[a + 1:b - 1]) THEN list_min(list_transform(list_filter(range(a + 1, b), lambda p: cl[p]), lambda p: {'d': abs(p - (a + b) / 2), 'q': p, 'p': p})).p
+ELSE list_min(list_transform(range(a + 1, b), lambda p: {'d': abs(reach[p + 1] - reach[a + 1] - (reach[b + 1] - reach[a + 1] - 1) / 2), 'q': p, 'p': p})).p END AS c
+FROM cuts k JOIN long_lists USING (show, episode, span_id, piece_id) WHERE k.over))"""
+GROUPED = """SELECT p.*, coalesce(g.group_id, 0) AS group_id FROM (SELECT *, row_number() OVER (PARTITION BY show, episode, span_id, piece_id ORDER BY pos) - 1 AS at FROM pieces) p
+LEFT JOIN (SELECT show, episode, span_id, piece_id, a, b, row_number() OVER (PARTITION BY show, episode, span_id, piece_id ORDER BY a) - 1 AS group_id FROM cuts WHERE NOT over) g
+ON p.show = g.show AND p.episode = g.episode AND p.span_id = g.span_id AND p.piece_id = g.piece_id AND p.at >= g.a AND p.at < g.b"""
+OVERFLOW = {"lists": LISTS, "long_lists": LONG_LISTS, "cuts": CUTS, "grouped": GROUPED}
+JOINED = """SELECT show, episode, pos, text, pos * 400 AS start, pos * 400 + 380 + pos % 2 * 20 AS "end", seg FROM v_words"""
+
+
+def recursive(text: str) -> str:
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(recursive(sql("SELECT show, episode, pos, span_id, piece_id, group_id FROM grouped", "v_words", joined=JOINED, spans=SPANS.replace("FROM v_words", "FROM joined"), pieces=PIECES, **OVERFLOW)))
 def split_overflow(spark, sf_dir):
     joined = A.v_words(spark, sf_dir).withColumn("start", F.col("pos") * 400).withColumn("end", F.col("pos") * 400 + 380 + (F.col("pos") % 2) * 20)
     whole = reflow.split_sentences(reflow.split_spans(joined, 500))
     return reflow.split_overflow(whole, 84, 7000).select(*WORD, "span_id", "piece_id", "group_id")
 
 
-@query()
+# The words' times are whole and in their segments, so filling, clamping and closing gaps leave them.
+CARDS = """SELECT show, episode, string_agg(trim(g.text), ' ' ORDER BY pos) AS text, arg_min(g.start, pos) AS start, arg_max(g."end", pos) AS natural_end, min(pos) AS first_pos, avg(ln(greatest(prob / 100.0, 0.0001))) AS lp, max(no_speech_prob) / 100.0::DOUBLE AS nsp
+FROM grouped g JOIN (SELECT show, episode, seg, no_speech_prob FROM v_segments) USING (show, episode, seg) GROUP BY show, episode, span_id, piece_id, group_id HAVING trim(string_agg(trim(g.text), ' ' ORDER BY pos)) <> ''"""
+ENDED = """SELECT *, row_number() OVER (PARTITION BY show, episode ORDER BY first_pos) AS card_no, CASE WHEN e <= start THEN start + 83 ELSE e END AS "end" FROM (SELECT *, least(greatest(natural_end, start + 830, start + length(text) / 0.017::DOUBLE), start + 7000, coalesce(lead(start) OVER (PARTITION BY show, episode ORDER BY first_pos) - 83, start + 7000)) AS e FROM cards)"""
+WRAPPED = """SELECT t, CASE WHEN n < 2 THEN t ELSE (SELECT min({'o': CASE WHEN greatest(length(c.l), length(c.r)) > 42 THEN 1 ELSE 0 END, 's': CASE WHEN greatest(length(c.l), length(c.r)) > 42 THEN greatest(length(c.l), length(c.r)) ELSE abs(length(c.l) - length(c.r)) END, 'i': c.i, 'x': c.l || chr(10) || c.r}) FROM (SELECT unnest(cuts) AS c)).x END AS wrapped
+FROM (SELECT t, len(w) AS n, list_transform(range(1, len(w)), lambda i: {'l': array_to_string(w[:i], ' '), 'r': array_to_string(w[i + 1:], ' '), 'i': i}) AS cuts FROM (SELECT t, list_filter(string_split_regex(t, '\\s+'), lambda x: x <> '') AS w FROM (SELECT DISTINCT text AS t FROM cards WHERE length(text) > 42)))"""
+
+
+@query(recursive(sql("""SELECT show, episode, card_no, start, round("end", 3)::DOUBLE AS "end", coalesce(wrapped, text) AS text, round(lp, 6) AS avg_logprob, nsp AS no_speech_prob FROM ended LEFT JOIN wrapped ON t = text""",
+                     "v_words", "v_segments", spans=SPANS, pieces=PIECES, **OVERFLOW, cards=CARDS, ended=ENDED, wrapped=WRAPPED)))
 def reflow_cards(spark, sf_dir):
     w = A.v_words(spark, sf_dir)
     s = A.v_segments(w).withColumn("no_speech_prob", F.col("no_speech_prob") / 100)
-    return reflow.reflow(w.withColumn("prob", F.col("prob") / 100), s, gap=500, max_dur=7000, min_dur=830, cps=0.017, min_gap=83)
+    cards = reflow.reflow(w.withColumn("prob", F.col("prob") / 100), s, gap=500, max_dur=7000, min_dur=830, cps=0.017, min_gap=83)
+    return cards.withColumns({"end": F.round("end", 3), "avg_logprob": F.round("avg_logprob", 6)})
 
 
 @query(sql("""SELECT show, episode, span_id, piece_id, count(*) AS n_words, max(no_speech_prob) AS no_speech_prob, round(avg(ln(greatest(prob / 100.0, 0.0001))), 6) AS avg_logprob
@@ -118,9 +151,9 @@ def card_confidence(spark, sf_dir):
 @query(sql("""SELECT show, episode, card_no, coalesce(word_probs, '') AS word_probs FROM (SELECT c.show, c.episode, c.card_no, string_agg(w.prob::VARCHAR, ',' ORDER BY w.pos) AS word_probs FROM v_long_cards c LEFT JOIN v_words w
 ON c.show = w.show AND c.episode = w.episode AND w."end" > c.start + 350 AND w.start < c."end" + 350 GROUP BY ALL)""", "v_words", "v_long_cards"))
 def card_word_probs(spark, sf_dir):
-    w = A.v_words(spark, sf_dir)
+    w = materialize(A.v_words(spark, sf_dir).drop("text"), "words")
     cards = A.v_long_cards(w).withColumns({"start": F.col("start") + 350, "end": F.col("end") + 350})
-    out = reflow.card_word_probs(cards, w, bucket=10_000, digits=0)
+    out = reflow.card_word_probs(cards, w, digits=0)
     return out.select(*KEYS, "card_no", F.array_join(F.transform("word_probs", lambda p: p.cast("long").cast("string")), ",").alias("word_probs"))
 
 
@@ -205,7 +238,7 @@ def number_cues(spark, sf_dir):
 def range_join(spark, sf_dir):
     w = A.v_words(spark, sf_dir)
     cues = A.v_long_cues(w).select(*KEYS, "cue_no", F.col("start").alias("cue_start"), F.col("end").alias("cue_end"))
-    return joins.range_join(A.v_long_cards(w), cues, ("start", "end"), ("cue_start", "cue_end"), bucket=10_000, slack=300).select(*KEYS, "card_no", "cue_no")
+    return joins.range_join(A.v_long_cards(w), cues, ("start", "end"), ("cue_start", "cue_end"), slack=300).select(*KEYS, "card_no", "cue_no")
 
 
 REFS = """SELECT c.show, c.episode, c.card_no, string_agg(q.text, ' ' ORDER BY q.start, q."end", q.text) AS ref FROM v_cards c LEFT JOIN v_cues q ON c.show = q.show AND c.episode = q.episode AND q."end" > c.start AND q.start < c."end" GROUP BY ALL"""
@@ -213,7 +246,7 @@ REFS = """SELECT c.show, c.episode, c.card_no, string_agg(q.text, ' ' ORDER BY q
 
 def refs(cards, cues):
     c = cues.select(*KEYS, F.col("start").alias("q_start"), F.col("end").alias("q_end"), F.col("text").alias("q_text"))
-    met = joins.range_join(cards.select(*KEYS, "card_no", "start", "end"), c, ("start", "end"), ("q_start", "q_end"), bucket=10_000)
+    met = joins.range_join(cards.select(*KEYS, "card_no", "start", "end"), c, ("start", "end"), ("q_start", "q_end"))
     return cards.join(joins.collect_text(met, [*KEYS, "card_no"], ["q_start", "q_end"], "q_text", "ref", cap=300), [*KEYS, "card_no"], "left")
 
 
@@ -245,15 +278,25 @@ FIT_VIEWS = {"near": NEAR.format(cards="v_long_cards", cues="v_long_cues"), "pts
 
 @query(sql("SELECT show, episode, matched, inliers, round(a, 3) AS offset_a, round(b, 7) AS drift_b FROM fits", "v_words", "v_long_cards", "v_long_cues", **FIT_VIEWS))
 def ransac_fit(spark, sf_dir):
-    w = A.v_words(spark, sf_dir)
+    w = materialize(A.v_words(spark, sf_dir).select(*KEYS, "seg", "start", "end"), "words")
     fit = timing.ransac_fit(timing.onset_pairs(A.v_long_cards(w), A.v_long_cues(w), 5000), 300)
     return fit.select(*KEYS, F.col("matched").cast("long").alias("matched"), F.col("inliers").cast("long").alias("inliers"), F.round("offset_a", 3).alias("offset_a"), F.round("drift_b", 7).alias("drift_b"))
 
 
-@query()
+# All lines: for each point i, the slopes of lines through it are swept together with the ends of the
+# stretches of slopes for which another point lies in the band.
+TURNS = """SELECT show, episode, i, j, x, y, dy / dx::DOUBLE AS b, unnest([0, 1, 2]) AS kind, unnest([least((dy - 300 - 3e-7) / dx, (dy + 300 + 3e-7) / dx), dy / dx::DOUBLE, greatest((dy - 300 - 3e-7) / dx, (dy + 300 + 3e-7) / dx)]) AS v
+FROM (SELECT a.show, a.episode, a.i, b.i AS j, a.x, a.y, b.x - a.x AS dx, b.y - a.y AS dy FROM pts a JOIN pts b ON a.show = b.show AND a.episode = b.episode AND a.x <> b.x)"""
+SWEPT = """SELECT *, sum(CASE kind WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END) OVER (PARTITION BY show, episode, i ORDER BY v, kind ROWS UNBOUNDED PRECEDING) AS n FROM turns"""
+SWEPT_BEST = "SELECT show, episode, arg_max({'a': y - b * x, 'b': b}, (n, -i, -j)) AS m FROM swept WHERE kind = 1 AND i < j GROUP BY ALL"
+
+
+@query(sql("SELECT show, episode, matched, inliers, round(a, 3) AS offset_a, round(b, 7) AS drift_b FROM fits", "v_words", "v_long_cards", "v_long_cues", near=FIT_VIEWS["near"], pts=PTS, turns=TURNS, swept=SWEPT, scored=SWEPT_BEST, fits=FITS))
 def ransac_fit_long(spark, sf_dir):
-    w = A.v_words(spark, sf_dir)
-    return timing.ransac_fit(timing.onset_pairs(A.v_long_cards(w), A.v_long_cues(w), 5000), 300)
+    """All lines through two points, in episodes of any length."""
+    w = materialize(A.v_words(spark, sf_dir).select(*KEYS, "seg", "start", "end"), "words")
+    fit = timing.ransac_fit(timing.onset_pairs(A.v_long_cards(w), A.v_long_cues(w), 5000), 300, cap=100_000)
+    return fit.select(*KEYS, F.col("matched").cast("long").alias("matched"), F.col("inliers").cast("long").alias("inliers"), F.round("offset_a", 3).alias("offset_a"), F.round("drift_b", 7).alias("drift_b"))
 
 
 @query(sql("""SELECT user_id, (CASE WHEN n >= 2 THEN (v[j3] * (4 - d3) + v[j3 + 1] * d3) / 4.0 - (v[j1] * (4 - d1) + v[j1 + 1] * d1) / 4.0 END) AS iqr FROM (SELECT *, (n + 1) - j1 * 4 AS d1, (n + 1) * 3 - j3 * 4 AS d3 FROM (
@@ -278,12 +321,12 @@ SPAN = ("start", "end")
 
 @query(sql("SELECT show, episode, card_no, CASE WHEN hit THEN 'on-cue' ELSE 'in-gap' END AS classification FROM hit", "v_cards", "v_cues", hit=HIT))
 def classify_cards(spark, sf_dir):
-    return timing.classify_cards(A.v_cards(spark, sf_dir), A.v_cues(spark, sf_dir), 300, SPAN, bucket=10_000).select(*KEYS, "card_no", "classification")
+    return timing.classify_cards(A.v_cards(spark, sf_dir), A.v_cues(spark, sf_dir), 300, SPAN).select(*KEYS, "card_no", "classification")
 
 
 @query(sql("SELECT * FROM cover", "v_cards", "v_cues", cover=COVER))
 def covered_cues(spark, sf_dir):
-    return timing.covered_cues(A.v_cards(spark, sf_dir), A.v_cues(spark, sf_dir), 300, SPAN, bucket=10_000)
+    return timing.covered_cues(A.v_cards(spark, sf_dir), A.v_cues(spark, sf_dir), 300, SPAN)
 
 
 VERDICT = """SELECT show, episode, card_no, count(*) AS frames, sum(CASE WHEN voiced THEN 1 ELSE 0 END) AS voiced, CASE WHEN sum(CASE WHEN voiced THEN 1 ELSE 0 END) * 10 >= 3 * count(*) THEN 'in_gap_speech' ELSE 'in_gap_silent' END AS verdict FROM v_frames GROUP BY ALL"""
@@ -307,8 +350,8 @@ def _report(spark, sf_dir):
     cards, cues = A.v_cards(spark, sf_dir), A.v_cues(spark, sf_dir)
     n = F.col("episode") + F.col("card_no")
     cards = cards.withColumns({"flag": T.flag_reason(F.col("no_speech_prob"), F.col("avg_logprob"), 50, -60), "verdict": F.when(n % 5 == 0, F.lit(None)).when(n % 3 == 0, "in_gap_speech").otherwise("in_gap_silent")})
-    placed = timing.classify_cards(cards, cues, 300, SPAN, bucket=10_000)
-    return timing.episode_report(placed, timing.covered_cues(cards, cues, 300, SPAN, bucket=10_000), unit=100)
+    placed = timing.classify_cards(cards, cues, 300, SPAN)
+    return timing.episode_report(placed, timing.covered_cues(cards, cues, 300, SPAN), unit=100)
 
 
 @query(sql("SELECT * FROM rated", "v_cards", "v_cues", hit=HIT, cover=COVER, report=REPORT, rated=RATED))
@@ -335,11 +378,11 @@ CASE WHEN p.cards > 0 THEN cue_count END AS cue_count, CASE WHEN p.cards > 0 THE
 FROM (SELECT DISTINCT show, episode FROM v_long_cards) e LEFT JOIN (SELECT show, episode, count(*) AS cards, count(*) FILTER (hit) AS on_cue FROM placed GROUP BY ALL) p USING (show, episode)
 LEFT JOIN covered USING (show, episode) LEFT JOIN fits f USING (show, episode)""", "v_words", "v_long_cards", "v_long_cues", **FIT_VIEWS, aligned=ALIGNED, placed=PLACED, covered=COVERED))
 def timing_report(spark, sf_dir):
-    w = A.v_words(spark, sf_dir)
+    w = materialize(A.v_words(spark, sf_dir).select(*KEYS, "seg", "start", "end"), "words")
     cards = A.v_long_cards(w).withColumns({"no_speech_prob": (F.col("episode") * 7 + F.col("card_no") * 3) % 100, "avg_logprob": -((F.col("episode") * 13 + F.col("card_no") * 7) % 300)})
     cards = cards.withColumn("flag", T.flag_reason(F.col("no_speech_prob"), F.col("avg_logprob"), 50, -60))
     status = cards.select(*KEYS).distinct().withColumn("status", F.when(F.col("episode") % 10 == 9, "bad-conf").otherwise("ok"))
-    out = timing.timing_report(cards, A.v_long_cues(w), tol=300, radius=5000, bucket=10_000, unit=100, band=300, status=status)
+    out = timing.timing_report(cards, A.v_long_cues(w), tol=300, radius=5000, unit=100, band=300, status=status)
     return out.select(*KEYS, "status", "cards", "on_cue", "cue_count", "cues_covered", F.col("inliers").cast("long").alias("inliers"), F.round("offset_a", 3).alias("offset_a"))
 
 
