@@ -6,17 +6,25 @@ being name or phrase, token or phrase. Similarities are worked out on distinct t
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueloom.functions import text as T
+from cueloom.functions.phrases import Phrases
 from cueloom.functions.similarity import gestalt_ratio, length_bound, letters, metaphone, pair_key, pair_keys, title_case
 from cueloom.operators.ranks import rank_within
+from cueloom.sources.scratch import materialize
 
 #: Rows of a glossary or word list up to which it is broadcast; beyond, joins shuffle.
 BROADCAST_ROWS = 200_000
+#: Tasks over which a show's texts are dealt where its phrases are too many to be broadcast.
+SPREAD = 64
+#: Names that are scored ahead of a search, of each trigram and for each token.
+SEEDS = 24
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -24,20 +32,62 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def phrase_fixes(df: DataFrame, fixes: DataFrame, text: str = "text") -> DataFrame:
+def phrase_fixes(df: DataFrame, fixes: DataFrame, text: str = "text", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Replace phrases, the longest key first, each in what the ones before it left; adds n, the
-    number of replacements."""
-    ordered = fixes.where("kind = 'phrase'").groupBy("show").agg(F.array_sort(F.collect_list(F.struct((-F.length("key")).alias("o"), "key", "value"))).alias("__fixes"))
-    start = F.struct(F.coalesce(F.col(text), F.lit("")).alias("t"), F.lit(0).alias("n"))
-
-    def fold(acc: Column, f: Column) -> Column:
-        pattern = F.concat(F.lit(r"(?iU)\b\Q"), f["key"], F.lit(r"\E\b"))
-        value = F.regexp_replace(f["value"], r"([\\$])", r"\\$1")
-        return F.struct(F.regexp_replace(acc["t"], pattern, value).alias("t"), (acc["n"] + F.regexp_count(acc["t"], pattern)).alias("n"))
-
-    out = df.join(small(ordered), "show", "left")
-    out = out.withColumn("__out", F.aggregate(F.coalesce("__fixes", F.array().cast(ordered.schema["__fixes"].dataType)), start, fold))
-    return out.withColumns({text: F.col("__out.t"), "n": F.col("__out.n")}).drop("__fixes", "__out")
+    number of replacements. Null texts are empty ones.
+
+    Each task searches its texts for all phrases of a show at once. Up to ``limit`` phrases are sent to
+    every task. More reach the tasks by the shuffle that deals the texts out: a show's texts go to
+    SPREAD tasks, each of which gets the show's phrases ahead of the texts and holds only these.
+    """
+    pairs = fixes.where("kind = 'phrase' and key is not null and value is not null").select("show", "key", "value").distinct()
+    rest = [c for c in df.columns if c not in (text, "n")]
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    shape = ", ".join([*[f"`{c}` {kinds[c]}" for c in rest], f"`{text}` string", "n int"])
+    order = [c for c in df.columns if c != "n"]
+    if pairs.limit(limit + 1).count() <= limit:
+        found: dict[str | None, list[tuple[str, str]]] = {}
+        for r in pairs.toLocalIterator():
+            found.setdefault(r["show"], []).append((r["key"], r["value"]))
+        sent = df.sparkSession.sparkContext.broadcast(found)
+
+        def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            built: dict[str | None, Phrases] = {}
+            for batch in batches:
+                shows = batch.column("show").to_pylist()
+                for show in set(shows) - set(built):
+                    built[show] = Phrases(sent.value.get(show, ()) if show is not None else ())
+                yield _rewritten(batch, rest, text, [built[s].replace(t) for s, t in zip(shows, batch.column(text).to_pylist(), strict=True)])
+
+        return df.select(*rest, text).mapInArrow(rewrite, shape).select(*order, "n")
+    row = F.struct(*rest, text)
+    dealt = df.select("show", F.pmod(F.xxhash64(*[c for c in df.columns if c != "n"]), F.lit(SPREAD)).alias("copy"), F.lit(1).alias("rank"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value"), row.alias("row"))
+    copies = pairs.select("show", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).alias("copy"), F.lit(0).alias("rank"), "key", "value", F.lit(None).cast(dealt.schema["row"].dataType).alias("row"))
+    both = dealt.unionByName(copies).repartition("show", "copy").sortWithinPartitions("show", "copy", "rank")
+
+    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, pairs_of, phrases = None, [], None
+        for batch in batches:
+            kept, new = [], []
+            texts = pa.compute.struct_field(batch.column("row"), text).to_pylist()
+            for k, (show, copy, rank, key, value) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("show", "copy", "rank", "key", "value")], strict=True)):
+                if (show, copy) != at:
+                    at, pairs_of, phrases = (show, copy), [], None
+                if rank == 0:
+                    pairs_of.append((key, value))
+                    continue
+                phrases = phrases or Phrases(pairs_of if show is not None else ())
+                kept.append(k)
+                new.append(phrases.replace(texts[k]))
+            rows = batch.column("row").take(pa.array(kept, pa.int64()))
+            yield _rewritten(pa.RecordBatch.from_arrays(rows.flatten(), names=[*rest, text]), rest, text, new)
+
+    return both.mapInArrow(streamed, shape).select(*order, "n")
+
+
+def _rewritten(batch: pa.RecordBatch, rest: Sequence[str], text: str, new: Sequence[tuple[str, int]]) -> pa.RecordBatch:
+    columns = [*[batch.column(c) for c in rest], pa.array([t for t, _ in new], pa.string()), pa.array([n for _, n in new], pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, names=[*rest, text, "n"])
 
 
 def distinct_tokens(df: DataFrame, text: str = "text") -> DataFrame:
@@ -70,12 +120,33 @@ def _candidates(tokens: DataFrame, names: DataFrame, cutoff: Column, least: floa
     return met.withColumn("score", gestalt_ratio(a, b)).where(F.col("score") >= cutoff)
 
 
+def _bounded(tokens: DataFrame, names: DataFrame, ident: Sequence[str], k: int, cutoff: Column, a: Column, b: Column) -> DataFrame:
+    """Tokens with __cut: a score of ``cutoff`` or more that the k best names of the show reach.
+
+    Names that share one of a token's rarest trigrams are scored first, some of each trigram; the k-th
+    best of these scores is what a name must have to be among the k best at all. So the search that
+    follows only looks for what is as good, and stops at far fewer letters. Which names are tried here
+    changes how much is searched, never what is found."""
+    grams = lambda s: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 2, F.lit(1))), lambda i: F.substr(s, i, F.lit(3))))
+    of_names = names.select("show", a.alias("__a"), F.explode(grams(a)).alias("__gram")).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("show", "__gram")))
+    first = Window.partitionBy("show", "__gram").orderBy(F.xxhash64("__a"), "__a")
+    tried = of_names.withColumn("__i", F.row_number().over(first)).where(F.col("__i") <= SEEDS).drop("__i")
+    met = tokens.select("show", *ident, b.alias("__b"), cutoff.alias("__cut"), F.explode(grams(b)).alias("__gram")).join(tried, ["show", "__gram"])
+    rarest = Window.partitionBy("show", *ident).orderBy("__n", "__gram", "__a")
+    pairs = met.withColumn("__i", F.row_number().over(rarest)).where(F.col("__i") <= SEEDS).select("show", *ident, "__cut", "__a", "__b").distinct()
+    scored = pairs.withColumn("__score", gestalt_ratio(F.col("__a"), F.col("__b"))).where(F.col("__score") >= F.col("__cut"))
+    best = scored.groupBy("show", *ident).agg(F.sort_array(F.collect_list("__score"), asc=False).alias("__s")).select("show", *ident, F.get("__s", F.lit(k - 1)).alias("__bound"))
+    return tokens.join(best, ["show", *ident], "left").withColumn("__cut", F.greatest(cutoff, F.coalesce("__bound", cutoff))).drop("__bound")
+
+
 def fuzzy_names(tokens: DataFrame, names: DataFrame) -> DataFrame:
     """(show, core, low, name, score): the closest name above the length's cutoff, the larger name
     on a tie. A winner equal to the token, or one inserted or deleted letter away, is refused and
     not replaced."""
     t = tokens.where((F.length("core") >= 4) & ~F.contains("core", F.lit("'"))).withColumn("__title", title_case("core"))
-    scored = _candidates(t, names, T.fuzzy_cutoff(F.length("core")), T.LEAST_FUZZY_CUTOFF, F.col("name"), F.col("__title"))
+    t, names = materialize(t, "tokens"), materialize(names.select("show", "name").distinct(), "names")
+    t = _bounded(t, names, ["core", "low"], 1, T.fuzzy_cutoff(F.length("core")), F.col("name"), F.col("__title"))
+    scored = _candidates(t, names, F.col("__cut"), T.LEAST_FUZZY_CUTOFF, F.col("name"), F.col("__title"))
     best = scored.groupBy("show", "core", "low").agg(F.max(F.struct("score", "name")).alias("b")).select("show", "core", "low", "b.name", "b.score")
     return best.where((F.lower("name") != F.col("low")) & ~T.one_indel(F.col("low"), F.lower("name")))
 
@@ -156,9 +227,13 @@ def top_names(terms: DataFrame, counts: DataFrame, k: int = 30) -> DataFrame:
 
 
 def wiki_candidates(terms: DataFrame, titles: DataFrame, k: int = 6, cutoff: float = 0.62) -> DataFrame:
-    """(show, term, title, score, rank): the k most similar titles, in the case seen first."""
+    """(show, term, title, score, rank): the k most similar titles, in the case seen first; of equal
+    scores the larger title. A term's k best need a score that some titles already have, so most pairs
+    are never compared."""
     t = titles.withColumn("__low", F.lower("title")).groupBy("show", "__low").agg(F.min_by("title", "ord").alias("title"))
-    scored = _candidates(terms.withColumn("__term", F.lower("term")), t, F.lit(cutoff), cutoff, F.col("__low"), F.col("__term"))
+    t, asked = materialize(t, "titles"), materialize(terms.select("show", "term", F.lower("term").alias("__term")), "terms")
+    asked = _bounded(asked, t, ["term"], k, F.lit(cutoff), F.col("__low"), F.col("__term"))
+    scored = _candidates(asked, t, F.col("__cut"), cutoff, F.col("__low"), F.col("__term"))
     rank = F.row_number().over(Window.partitionBy("show", "term").orderBy(F.desc("score"), F.desc("__low")))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("show", "term", "title", "score", "rank")
 
