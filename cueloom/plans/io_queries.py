@@ -9,7 +9,7 @@ from cueloom.operators import tracks
 from cueloom.plans import adaptors as A
 from cueloom.plans import library_queries as Q
 from cueloom.plans.adaptors import KEYS, sql, table
-from cueloom.plans.caption_queries import COVER, HIT, ISLANDS, RATED, REPORT, SPANS, _report
+from cueloom.plans.caption_queries import COVER, HIT, ISLANDS, RATED, REFS, REPORT, SPANS, _report
 from cueloom.sources import readers, writers
 from cueloom.sources.scratch import scratch_path as folder
 from cueloom.streaming import streams
@@ -99,7 +99,7 @@ def _tracks(spark, sf_dir) -> str:
     return path
 
 
-@query()
+@query(sql("SELECT style, count(*) AS events, sum(start_ms // 10 * 10)::BIGINT AS start_sum FROM merged GROUP BY style", "v_events", "v_cards", merged=Q.MERGED))
 def write_merged_track(spark, sf_dir):
     back = readers.read_subtitles(spark, _tracks(spark, sf_dir))
     return back.groupBy("style").agg(F.count(F.lit(1)).alias("events"), F.sum("start_ms").alias("start_sum"))
@@ -124,7 +124,7 @@ def write_report(spark, sf_dir):
     return writers.read_published(spark, path).select(body.alias("b")).select("b.show", F.size("b.episodes").cast("long").alias("episodes"), F.col("b.aggregate.cards").alias("cards"))
 
 
-@query()
+@query(sql("SELECT show || '/' || episode || '/' || card_no AS path, 'ValueError' AS exc_type, 'ValueError: no answer' AS msg, 0::BIGINT AS time FROM asked WHERE length(line) % 7 = 0", "v_cards", "v_cues", p=Q.PICK, refs=REFS, asked=Q.ASKED))
 def write_error_log(spark, sf_dir):
     scored = Q.score_requests(spark, sf_dir)
     _, dead = writers.split_errors(scored)
@@ -157,18 +157,31 @@ def wordlist_union(spark, sf_dir):
     return readers.wordlist_union(Q._deny(spark, sf_dir).select(F.lower("word").alias("word")), table(spark, sf_dir, "nation").select(F.lower("n_name").alias("word")))
 
 
-@query("SELECT p_brand AS show, 'api' AS api, p_partkey % 60 AS page_no, p_name AS title FROM part WHERE p_partkey % 60 < 40 AND p_partkey % 7 <> 0")
+LINKS = """SELECT DISTINCT p_brand AS show, p_partkey % 12 AS k, substr(p_brand, length(p_brand), 1) = '5' AS b FROM part"""
+WALK = """SELECT show, b, k, 0 AS page_no FROM links WHERE k = 0 UNION ALL SELECT w.show, w.b, l.k, w.page_no + 1 FROM walk w JOIN links l ON l.show = w.show AND l.k = w.k + 1 WHERE w.page_no < 9"""
+
+
+@query(f"""WITH RECURSIVE links AS ({LINKS}), walk AS ({WALK}),
+s AS (SELECT show, CASE WHEN bool_or(b) AND max(page_no) >= 3 THEN 'stale' WHEN max(page_no) = 9 THEN 'cut' ELSE 'broken' END AS status FROM walk GROUP BY show)
+SELECT w.show, 'api' AS api, w.page_no, p.p_name AS title, status FROM walk w JOIN s USING (show) JOIN part p ON p.p_brand = w.show AND p.p_partkey % 12 = w.k WHERE status <> 'stale'
+UNION ALL SELECT l.show, 'api', NULL, NULL, coalesce(status, 'broken') FROM (SELECT DISTINCT show FROM links) l LEFT JOIN s USING (show) WHERE status IS NULL OR status = 'stale'""".replace('show', '"show"'))
 def read_wiki_titles(spark, sf_dir):
-    k = F.col("p_partkey")
-    p = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("show"), (k % 60).cast("int").alias("page_no"), (k % 7 == 0).alias("old")).agg(F.collect_list(F.struct(k.alias("pageid"), F.col("p_name").alias("title"))).alias("allpages"))
+    """Lists of twelve pages, of which some are old, some lack a page, and ten are taken at most."""
+    k = (F.col("p_partkey") % 12).cast("int")
+    token = lambda n: F.struct(F.concat(F.lit("t"), n.cast("string")).alias("apcontinue"))
+    p = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("show"), k.alias("k")).agg(F.collect_list(F.struct(F.col("p_partkey").alias("pageid"), F.col("p_name").alias("title"))).alias("allpages"))
     path = folder(spark, "wiki")
-    p.select("show", "page_no", F.lit("api").alias("api"), F.when(F.col("old"), 0.0).otherwise(9e6).alias("fetched_at"), F.struct("allpages").alias("query")).write.json(path)
-    return readers.read_wiki_titles(spark, path, 1e7).withColumn("page_no", F.col("page_no").cast("long"))
+    old = F.substring("show", -1, 1) == "5"
+    p.select("show", F.lit("api").alias("api"), F.when(old & (F.col("k") == 3), 0.0).otherwise(9e6).alias("fetched_at"), F.struct("allpages").alias("query"),
+             F.when(F.col("k") > 0, token(F.col("k"))).alias("request"), F.when(F.col("k") < 11, token(F.col("k") + 1)).alias("continue")).write.json(path)
+    status, titles = readers.read_wiki_titles(spark, path, 1e7, max_pages=10)
+    return status.join(titles, ["show", "api"], "left").select("show", "api", "page_no", "title", "status")
 
 
 # ---- streams: run over what has landed until nothing is left, then read the sink -------------------
-#: Disorder that the streams below allow for: no row of the given tables is late.
-DELAY = "1000 days"
+#: How long rows may be on their way in the streams below: the files' ranges of arrival are this far
+#: apart from the rows' own times at most, so no row is late.
+DELAY, JITTER = "2 days", 86_400
 
 
 def _drain(stream, spark, name: str, mode: str = "append"):
@@ -184,13 +197,21 @@ def _landed(df, spark, name: str, files: int = 4):
     return spark.readStream.schema(df.schema).parquet(path)
 
 
-def _landed_and_closed(df, spark, name: str, files: int = 4):
-    """``df`` and one more row, of show 'end', that moves a watermark of up to DELAY past every timeout."""
+def _landed_and_closed(df, spark, name: str, parts: int = 4, files: int = 4):
+    """``df`` in parts that arrive one after the other, with rows up to JITTER seconds after their time.
+    Each part is ``files`` files of rows in no order and is one micro-batch. A row of show 'end' behind
+    them moves a watermark past every timeout."""
     path = folder(spark, name)
-    df.repartition(files).write.parquet(path)
-    last = spark.read.schema(df.schema).parquet(path).orderBy(F.desc("ts")).limit(1)
-    last.withColumns({"show": F.lit("end"), "ts": F.col("ts") + F.expr(f"interval {DELAY} + interval 1 day")}).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
+    arrival = F.unix_timestamp("ts") + F.pmod(F.xxhash64(*df.columns), F.lit(JITTER))
+    dealt = df.withColumn("__at", arrival)
+    first, last = dealt.agg(F.min("__at"), F.max("__at")).first()
+    width = (last - first) // parts + 1
+    for k in range(parts):
+        part = dealt.where((F.col("__at") >= first + k * width) & (F.col("__at") < first + (k + 1) * width)).drop("__at")
+        part.repartition(files).write.mode("append").parquet(path)
+    end = spark.range(1, numPartitions=1).select(*[(F.lit("end") if f.name == "show" else F.timestamp_seconds(F.lit(last + 30 * JITTER)) if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema])
+    end.na.fill(0).na.fill("").write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @query(sql("SELECT count(*) AS episodes, sum(n)::BIGINT AS segments FROM (SELECT episode, count(DISTINCT seg) AS n FROM v_words GROUP BY episode)", "v_words"))
@@ -209,13 +230,8 @@ def stream_dedup(spark, sf_dir):
 
 @query(sql("SELECT show, epoch(time_bucket(INTERVAL '1 day', ts))::BIGINT AS day, count(*) AS cards FROM (SELECT 'all' AS show, ts FROM events) GROUP BY ALL"))
 def stream_quality(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.lit("all").alias("show"), F.col("ts").cast("timestamp").alias("ts"), F.lit(-1.0).alias("avg_logprob"), F.lit(0.1).alias("no_speech_prob"))
-    closing = e.agg(F.max("ts").alias("ts")).select(F.lit("end").alias("show"), (F.col("ts") + F.expr("interval 100 days")).alias("ts"), F.lit(0.0).alias("avg_logprob"), F.lit(0.0).alias("no_speech_prob"))
-    path = folder(spark, "quality")
-    e.coalesce(1).write.parquet(path)
-    closing.write.mode("append").parquet(path)  # moves the watermark past the last window
-    stream = spark.readStream.schema(e.schema).parquet(path)
-    out = _drain(streams.stream_quality(stream, "1 day", delay="1 day"), spark, "quality-out")
+    e = table(spark, sf_dir, "events").select(F.lit("all").alias("show"), F.col("ts").cast("timestamp").alias("ts"), F.lit(-1.0).alias("avg_logprob"), F.lit(0.1).alias("no_speech_prob"), "event_id")
+    out = _drain(streams.stream_quality(_landed_and_closed(e, spark, "quality"), "1 day", delay=DELAY), spark, "quality-out")
     return out.where("show = 'all'").select("show", F.unix_timestamp("window.start").alias("day"), "cards")
 
 
@@ -231,7 +247,7 @@ def stream_sessions(spark, sf_dir):
 
 @query(sql("SELECT 'all' AS show, term, n FROM mined WHERE inside AND n >= 3", mined=Q.MINED))
 def stream_mine(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.lit("all").alias("show"), "text")
+    d = table(spark, sf_dir, "documents").select(F.lit("all").alias("show"), "text")
     sink = folder(spark, "mined")
     q = streams.stream_mine(_landed(d, spark, "texts")).writeStream.outputMode("update").option("checkpointLocation", folder(spark, "mined-state")).trigger(availableNow=True)
     q.foreachBatch(lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(sink)).start().awaitTermination()
@@ -240,11 +256,13 @@ def stream_mine(spark, sf_dir):
 
 @query(sql("""SELECT show, episode, min(pos) AS first_pos, max(pos) AS last_pos, min(start) / 1000.0::DOUBLE AS start, max("end") / 1000.0::DOUBLE AS "end", count(*) AS words FROM spans GROUP BY show, episode, span_id""", "v_words", spans=SPANS))
 def stream_spans(spark, sf_dir):
-    w = A.v_words(spark, sf_dir).select(*KEYS, "pos", (F.col("start") / 1000).alias("start"), (F.col("end") / 1000).alias("end"), F.timestamp_seconds(3600 + F.col("start") / 1000).alias("ts"))
-    return _drain(streams.stream_spans(_landed_and_closed(w, spark, "words", 1), delay=DELAY), spark, "spans-out").where("show <> 'end'")
+    # Ten episodes a day.
+    ts = F.timestamp_seconds(3600 + F.floor(F.col("episode") / 10) * 86_400 + F.col("start") / 1000)
+    w = A.v_words(spark, sf_dir).select(*KEYS, "pos", (F.col("start") / 1000).alias("start"), (F.col("end") / 1000).alias("end"), ts.alias("ts"))
+    return _drain(streams.stream_spans(_landed_and_closed(w, spark, "words"), delay=DELAY), spark, "spans-out").where("show <> 'end'")
 
 
 @query(sql("""SELECT show, episode, min(card_no) AS card_no, min(start) / 1000.0::DOUBLE AS start, max("end") / 1000.0::DOUBLE AS "end", any_value(text) AS text, count(*) AS n FROM islands GROUP BY show, episode, run""", "v_repeat_cards", islands=ISLANDS))
 def stream_collapse(spark, sf_dir):
-    c = A.v_repeat_cards(spark, sf_dir).withColumns({"start": F.col("start") / 1000, "end": F.col("end") / 1000, "ts": F.timestamp_seconds(3600 + F.col("start") / 1000)})
-    return _drain(streams.stream_collapse(_landed_and_closed(c, spark, "cards", 1), delay=DELAY), spark, "runs-out").where("show <> 'end'")
+    c = A.v_repeat_cards(spark, sf_dir).withColumns({"start": F.col("start") / 1000, "end": F.col("end") / 1000, "ts": F.timestamp_seconds(3600 + F.floor(F.col("episode") / 10) * 86_400 + F.col("start") / 1000)})
+    return _drain(streams.stream_collapse(_landed_and_closed(c, spark, "cards"), delay=DELAY), spark, "runs-out").where("show <> 'end'")

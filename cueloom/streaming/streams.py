@@ -6,7 +6,9 @@ Watermarks bound all state, and checkpoints make every file count once.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -41,73 +43,147 @@ def stream_sessions(cards: DataFrame, gap: str = "5 minutes", delay: str = "10 m
     return cards.withWatermark("ts", delay).groupBy(F.session_window("ts", gap), "show").agg(F.count(F.lit(1)).alias("cards"))
 
 
-def stream_mine(texts: DataFrame, min_count: int = 3) -> DataFrame:
-    """Running (show, term, n, inside) of capitalized words, for update mode; keep what passes the
-    threshold in the sink."""
+MINED = "show string, term string, n long, error long, inside boolean"
+
+
+def space_saving(counts: dict[str, list], seen: list[tuple[str, int, bool]], capacity: int) -> set[str]:
+    """Add (term, occurrences, inside) to ``counts`` (term -> [n, error, inside]) in place; returns the
+    terms that were touched.
+
+    A new term beyond ``capacity`` takes the place of the least counted one, and its count as its own
+    error. So n is never less than a term's occurrences and at most ``error`` more, and error is at
+    most all occurrences so far divided by the capacity: every term with more than that is held.
+    """
+    touched = set()
+    heap: list[tuple[int, str]] | None = None
+    for term, n, inside in seen:
+        if term not in counts:
+            error = 0
+            if len(counts) >= capacity:
+                heap = heap or sorted((c[0], t) for t, c in counts.items())
+                while True:  # counts only grow, so the first entry that is still true is the least
+                    least, out = heappop(heap)
+                    if out in counts and counts[out][0] == least:
+                        break
+                    if out in counts:
+                        heappush(heap, (counts[out][0], out))
+                error = counts.pop(out)[0]
+                touched.discard(out)
+            counts[term] = [error, error, False]
+        c = counts[term]
+        c[0], c[2] = c[0] + n, c[2] or inside
+        if heap is not None:
+            heappush(heap, (c[0], term))
+        touched.add(term)
+    return touched
+
+
+def stream_mine(texts: DataFrame, min_count: int = 3, capacity: int = 20_000, buckets: int = 16, ttl: str = "7 days") -> DataFrame:
+    """Running (show, term, n, error, inside) of capitalized words, for update mode: what reaches
+    ``min_count`` and was seen inside a sentence, whenever it changes.
+
+    The terms of a show are dealt over ``buckets`` by hash, and each bucket holds at most ``capacity``
+    of them (see ``space_saving`` for the error, which is 0 until a bucket is full); a bucket that got
+    nothing for ``ttl`` of processing time begins anew. So a show's state has a bound whatever comes.
+    """
     sentence = texts.select("show", F.explode(F.split("text", r"[.!?…]+|\n")).alias("s"))
     words = sentence.select("show", F.posexplode(F.regexp_extract_all("s", F.lit(r"[A-Za-z][A-Za-z'’\-]{2,}"), F.lit(0))).alias("i", "w"))
-    cores = words.select("show", "i", F.regexp_replace("w", r"^['’\-]+|['’\-]+$", "").alias("term")).where(F.col("term").rlike("^[A-Z][a-z]{3,}$"))
-    return cores.groupBy("show", "term").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("i") > 0).cast("int")).alias("inside")).where(f"inside = 1 and n >= {min_count}")
+    cores = words.select("show", (F.col("i") > 0).alias("inside"), F.regexp_replace("w", r"^['’\-]+|['’\-]+$", "").alias("term")).where(F.col("term").rlike("^[A-Z][a-z]{3,}$"))
+    wait = int(pd.Timedelta(ttl).total_seconds() * 1000)
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        counts, last = pickle.loads(state.get[0]) if state.exists else ({}, 0)
+        now = state.getCurrentProcessingTimeMs()
+        if now - last > wait:
+            counts = {}
+        rows = pd.concat(list(frames)).groupby("term", sort=True)["inside"].agg(["size", "max"])
+        touched = space_saving(counts, [(t, int(n), bool(i)) for t, n, i in zip(rows.index, rows["size"], rows["max"], strict=True)], capacity)
+        state.update((pickle.dumps((counts, now)),))
+        passed = [(key[0], t, *counts[t]) for t in sorted(touched) if counts[t][0] >= min_count and counts[t][2]]
+        yield pd.DataFrame(passed, columns=[c.split()[0] for c in MINED.split(", ")])
+
+    dealt = cores.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)))
+    return dealt.groupBy("show", "bucket").applyInPandasWithState(step, MINED, "state binary", "update", GroupStateTimeout.NoTimeout)
+
+
+#: Folds rows in order: (what is open, rows) -> (what is open then, finished rows).
+Fold = Callable[[tuple | None, list[tuple]], tuple[tuple | None, list[tuple]]]
+
+
+def _in_order(rows: DataFrame, order: str, columns: list[str], fold: Fold, shape: str, delay: str, timeout_ms: int) -> DataFrame:
+    """Fold the rows of each (show, episode) in the order of ``order``, however they arrive.
+
+    Rows are held until the watermark has passed their ``ts``: from then on nothing earlier can come
+    any more, since such a row would be dropped as late. ``order`` has to grow with ``ts``. What is
+    still open is finished when the watermark has passed its last row by ``timeout_ms``. The state
+    holds the rows of the last ``delay`` and what is open.
+    """
+    names = [c.split()[0] for c in shape.split(", ")]
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, open_, last = pickle.loads(state.get[0]) if state.exists else ([], None, 0)
+        mark = state.getCurrentWatermarkMs()
+        if not state.hasTimedOut:
+            new = pd.concat(list(frames))
+            stamps = (new["ts"].astype("datetime64[us]").astype("int64") // 1000).tolist()
+            held += list(zip(new[order].tolist(), stamps, *[new[c].tolist() for c in columns], strict=True))
+        ready = sorted((r for r in held if r[1] <= mark), key=lambda r: r[:2])
+        held = [r for r in held if r[1] > mark]
+        done: list[tuple] = []
+        if ready:
+            open_, done = fold(open_, [(r[0], *r[2:]) for r in ready])
+            last = max(last, max(r[1] for r in ready))
+        if not held and open_ is not None and last + timeout_ms <= mark:
+            done, open_ = [*done, open_], None
+        if held or open_ is not None:
+            state.update((pickle.dumps((held, open_, last)),))
+            state.setTimeoutTimestamp(max(min(r[1] for r in held) if held else last + timeout_ms, mark + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame([(*key, *d[: len(names) - 2]) for d in done], columns=names)
+
+    return rows.withWatermark("ts", delay).groupBy("show", "episode").applyInPandasWithState(step, shape, "state binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 SPAN = "show string, episode long, first_pos long, last_pos long, start double, end double, words long"
-_OPEN = "first_pos long, last_pos long, start double, end double, words long"
 
 
 def stream_spans(words: DataFrame, gap: float = 0.5, delay: str = "10 minutes", timeout_ms: int = 600_000) -> DataFrame:
     """Closed spans of words (show, episode, pos, start, end, ts): a span ends where more than
     ``gap`` passes between one word's end and the next one's start, or when the watermark has passed
-    its last word by ``timeout_ms``. Words have to come in order within an episode; what the
-    watermark has passed is dropped."""
+    its last word by ``timeout_ms``. Words may come in any order within ``delay``; what the watermark
+    has passed is dropped."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        show, episode = key
-        done: list[tuple] = []
-        if state.hasTimedOut:
-            yield pd.DataFrame([(show, episode, *state.get)], columns=[c.split()[0] for c in SPAN.split(", ")])
-            state.remove()
-            return
-        open_ = list(state.get) if state.exists else None
-        rows = pd.concat(list(frames)).sort_values("pos")
-        for pos, start, end in zip(rows["pos"], rows["start"], rows["end"], strict=True):
+    def fold(open_: tuple | None, rows: list[tuple]) -> tuple[tuple | None, list[tuple]]:
+        done = []
+        for pos, start, end in rows:
             if open_ and start - open_[3] > gap:
-                done.append((show, episode, *open_))
+                done.append(open_)
                 open_ = None
-            open_ = [open_[0], int(pos), open_[2], float(end), open_[4] + 1] if open_ else [int(pos), int(pos), float(start), float(end), 1]
-        state.update(tuple(open_))
-        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + timeout_ms)
-        yield pd.DataFrame(done, columns=[c.split()[0] for c in SPAN.split(", ")])
+            open_ = (open_[0], int(pos), open_[2], float(end), open_[4] + 1) if open_ else (int(pos), int(pos), float(start), float(end), 1)
+        return open_, done
 
-    return words.withWatermark("ts", delay).groupBy("show", "episode").applyInPandasWithState(step, SPAN, _OPEN, "append", GroupStateTimeout.EventTimeTimeout)
+    return _in_order(words, "pos", ["start", "end"], fold, SPAN, delay, timeout_ms)
 
 
 RUN = "show string, episode long, card_no long, start double, end double, text string, n long"
-_RUN = "card_no long, start double, end double, text string, n long, norm string"
 
 
-def stream_collapse(cards: DataFrame, min_run: int = 4, delay: str = "10 minutes", timeout_ms: int = 600_000) -> DataFrame:
-    """Finished runs of cards with equal normal text (show, episode, card_no, start, end, text,
-    norm, ts), as their first card with the last one's end and the length n; shorter runs are the
-    sink's to expand. A run ends with another text or when the watermark has passed."""
-    names = [c.split()[0] for c in RUN.split(", ")]
+def stream_collapse(cards: DataFrame, delay: str = "10 minutes", timeout_ms: int = 600_000) -> DataFrame:
+    """Finished runs of cards with equal normal text (show, episode, card_no, start, end, text, ts), as
+    their first card with the last one's end and the length n; shorter runs are the sink's to expand.
+    A run ends with another text or when the watermark has passed. Cards may come in any order within
+    ``delay``."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            yield pd.DataFrame([(*key, *state.get[:5])], columns=names)
-            state.remove()
-            return
-        run, done = (list(state.get) if state.exists else None), []
-        rows = pd.concat(list(frames)).sort_values("card_no")
-        for no, start, end, text, norm in zip(rows["card_no"], rows["start"], rows["end"], rows["text"], rows["norm"], strict=True):
-            if run and run[5] == norm:
-                run[2], run[4] = float(end), run[4] + 1
+    def fold(open_: tuple | None, rows: list[tuple]) -> tuple[tuple | None, list[tuple]]:
+        done = []
+        for no, start, end, text, norm in rows:
+            if open_ and open_[5] == norm:
+                open_ = (open_[0], open_[1], float(end), open_[3], open_[4] + 1, norm)
                 continue
-            if run:
-                done.append((*key, *run[:5]))
-            run = [int(no), float(start), float(end), text, 1, norm]
-        state.update(tuple(run))
-        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + timeout_ms)
-        yield pd.DataFrame(done, columns=names)
-
-    staged = cards.withColumn("norm", T.norm_text(F.col("text"))).withWatermark("ts", delay)
-    return staged.groupBy("show", "episode").applyInPandasWithState(step, RUN, _RUN, "append", GroupStateTimeout.EventTimeTimeout)
+            done += [open_] if open_ else []
+            open_ = (int(no), float(start), float(end), text, 1, norm)
+        return open_, done
+
+    staged = cards.withColumn("norm", T.norm_text(F.col("text")))
+    return _in_order(staged, "card_no", ["start", "end", "text", "norm"], fold, RUN, delay, timeout_ms)
