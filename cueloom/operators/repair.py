@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from cueloom.functions import text as T
 from cueloom.operators.joins import KEYS
+from cueloom.sources.answers import Answers
+from cueloom.sources.scratch import scratch_path
 
 CARD = (*KEYS, "card_no")
 
@@ -42,26 +45,41 @@ def repair_requests(targets: DataFrame, refs: DataFrame, context: DataFrame, ter
     return out.where(has).select(*CARD, "text", "ref", prompt.alias("prompt")), out.where(~has).select(*CARD, "text")
 
 
-def score_requests(requests: DataFrame, model: Callable[[], Callable[[str], str]], name: str) -> DataFrame:
+def score_requests(requests: DataFrame, model: Callable[[], Callable[[str], str]], name: str, store: str | None = None, workers: int = 4) -> DataFrame:
     """(CARD, model, output, error): a text-to-text model over the prompts. ``model`` is called once
     in each task and returns the function for one prompt; a failure of it gives an empty output and
-    an error text and stops nothing."""
-    shape = f"show string, episode {requests.schema['episode'].dataType.simpleString()}, card_no {requests.schema['card_no'].dataType.simpleString()}, model string, output string, error string"
+    an error text and stops nothing.
+
+    Equal prompts are asked once. An answer is kept in ``store`` (a folder that all executors share;
+    one of this run without it) as soon as it is there, so a task that is repeated, and a later run with
+    the same store, ask only what has no answer yet; failures are not kept. A task asks ``workers``
+    prompts at a time and holds one batch of them.
+    """
+    folder = store or scratch_path(requests.sparkSession, "answers")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ask = model()
+        ask, kept = None, Answers(folder, name)
 
         def one(prompt: str) -> tuple[str, str | None]:
+            nonlocal ask
+            found = kept.get(prompt)
+            if found is not None:
+                return found, None
             try:
-                return ask(prompt) or "", None
+                ask = ask or model()
+                output = ask(prompt) or ""
             except Exception as e:  # noqa: BLE001  a bad reply is data here
                 return "", f"{type(e).__name__}: {e}"
+            kept.put(prompt, output)
+            return output, None
 
-        for frame in frames:
-            got = [one(p) for p in frame["prompt"]]
-            yield frame[list(CARD)].assign(model=name, output=[g[0] for g in got], error=[g[1] for g in got])
+        with ThreadPoolExecutor(workers) as pool:
+            for frame in frames:
+                got = list(pool.map(one, frame["prompt"]))
+                yield frame.assign(output=[g[0] for g in got], error=[g[1] for g in got])
 
-    return requests.mapInPandas(run, shape)
+    asked = requests.where("prompt is not null").select("prompt").distinct().mapInPandas(run, "prompt string, output string, error string")
+    return requests.join(asked, "prompt").select(*CARD, F.lit(name).alias("model"), "output", "error")
 
 
 def accept_repair(cards: DataFrame, replies: DataFrame) -> DataFrame:
@@ -81,11 +99,15 @@ def apply_repairs(cards: DataFrame, accepted: DataFrame) -> DataFrame:
 
 
 def repair_summary(audit: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """audit: (keys, status, latency_ms) -> counts, latency sum and nearest-rank 95th percentile."""
-    place = lambda n: F.least(n - 1, F.bround(0.95 * (n - 1)).cast("int")) + 1
-    out = audit.groupBy(*keys).agg(F.count(F.lit(1)).alias("targets"), F.sum((F.col("status") == "repaired").cast("int")).alias("repaired"),
-                                   F.sum((F.col("status") == "skipped_no_ref").cast("int")).alias("skipped_no_ref"), F.sum("latency_ms").alias("latency_sum"), F.array_sort(F.collect_list("latency_ms")).alias("__l"))
-    return out.withColumn("latency_p95", F.when(F.size("__l") > 0, F.element_at("__l", place(F.size("__l"))))).drop("__l")
+    """audit: (keys, status, latency_ms) -> counts, latency sum and nearest-rank 95th percentile, which
+    is read off the counts of each latency."""
+    by = audit.groupBy(*keys, "latency_ms").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("status") == "repaired").cast("int")).alias("repaired"), F.sum((F.col("status") == "skipped_no_ref").cast("int")).alias("skipped_no_ref"))
+    known = F.when(F.col("latency_ms").isNotNull(), F.col("n")).otherwise(F.lit(0))
+    whole = Window.partitionBy(*keys)
+    by = by.withColumns({"__up_to": F.sum(known).over(whole.orderBy(F.col("latency_ms").asc_nulls_first())), "__of": F.sum(known).over(whole)})
+    place = F.least(F.col("__of") - 1, F.bround(0.95 * (F.col("__of") - 1)).cast("long")) + 1
+    p95 = F.min(F.when(F.col("__up_to") >= place, F.col("latency_ms")))
+    return by.groupBy(*keys).agg(F.sum("n").alias("targets"), F.sum("repaired").alias("repaired"), F.sum("skipped_no_ref").alias("skipped_no_ref"), F.sum(F.col("latency_ms") * F.col("n")).alias("latency_sum"), p95.alias("latency_p95"))
 
 
 def compare_models(scored: DataFrame, models: list[str]) -> DataFrame:

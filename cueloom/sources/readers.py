@@ -6,16 +6,20 @@ kind gives no rows or a status, never an error.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cueloom.functions.text import EXTRA_DIRS
+from cueloom.sources.scratch import materialize
 
 TRANSCRIPT = """show string, episode long, segments array<struct<start:double,end:double,no_speech_prob:double,avg_logprob:double,text:string,
 words:array<struct<word:string,start:double,end:double,probability:double>>>>"""
 CONF_ROW = "start string, end string, text string, avg_logprob double, no_speech_prob double, flag string, word_probs array<double>"
 GLOSSARY = "show string, names array<string>, phrases array<string>, hard_fixes map<string,string>, initial_prompt string, verified array<string>, flagged map<string,string>"
-PAGES = "query struct<allpages:array<struct<pageid:long,title:string>>>, continue struct<apcontinue:string>, api string, fetched_at double, page_no int, show string"
+PAGES = "query struct<allpages:array<struct<pageid:long,title:string>>>, continue struct<apcontinue:string>, request struct<apcontinue:string>, api string, fetched_at double, show string"
 
 
 def read_transcripts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -119,7 +123,57 @@ def wordlist_union(*lists: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def read_wiki_titles(spark: SparkSession, path: str, now: float, ttl_s: float = 2_592_000, max_pages: int = 40) -> DataFrame:
-    """(show, api, page_no, title) of landed page lists that are fresh, up to ``max_pages`` of each."""
-    raw = spark.read.schema(PAGES).json(path).where((F.lit(now) - F.col("fetched_at") < ttl_s) & (F.col("page_no") < max_pages))
-    return raw.select("show", "api", "page_no", F.explode("query.allpages").alias("p")).select("show", "api", "page_no", F.col("p.title").alias("title"))
+def page_numbers(pages: DataFrame) -> DataFrame:
+    """``pages`` (show, api, token, follow, ...; a page once for each token) with page_no, the number of
+    pages before it in its list, which begins with the page of no token; null for a page that no chain
+    of ``follow`` tokens from the first page reaches.
+
+    The lists are ranked by pointer jumping: every round doubles the distance to the page that is
+    pointed at, so a list of n pages takes log2 n rounds, and a chain in a circle is one that has not
+    ended by then.
+    """
+    key = ["show", "api"]
+    before = pages.where("follow is not null").select(*key, F.col("follow").alias("token"), F.coalesce("token", F.lit("")).alias("at")).groupBy(*key, "token").agg(F.min("at").alias("at"))
+    ends = pages.select(*key, F.coalesce("token", F.lit("")).alias("token"))
+    at = ends.join(before, [*key, "token"], "left").withColumn("at", F.when(F.col("token") != "", F.col("at"))).withColumn("n", F.col("at").isNotNull().cast("long"))
+    at, rounds = materialize(at, "page-links"), 0
+    longest = at.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    while 2**rounds <= longest:
+        far = at.select(*key, F.col("token").alias("at"), F.col("at").alias("__at"), F.col("n").alias("__n"))
+        open_, done = at.where("at is not null and at <> ''"), at.where("at is null or at = ''")
+        if not open_.take(1):
+            break
+        moved = open_.join(far, [*key, "at"], "left").select(*key, "token", F.col("__at").alias("at"), (F.col("n") + F.col("__n")).alias("n"))
+        at, rounds = materialize(moved.unionByName(done), "page-links"), rounds + 1
+    numbers = at.select(*key, F.nullif("token", F.lit("")).alias("token"), F.when((F.col("token") == "") | (F.col("at") == ""), F.col("n")).alias("page_no"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*key, "token")]
+    return pages.join(numbers.toDF("__show", "__api", "__token", "page_no"), reduce(and_, same)).drop("__show", "__api", "__token")
+
+
+def read_wiki_titles(spark: SparkSession, path: str, now: float, ttl_s: float = 2_592_000, max_pages: int = 40, apis: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(status, titles) of landed page lists, whose pages name the token they were asked for with (none
+    for the first) and the one that continues them.
+
+    status (show, api, pages, status): stale if a page of the list is ``ttl_s`` old or ``apis`` (show,
+    api) names another api for the show; broken if the list has no first page or the pages from there on
+    end with a token whose page is not there; cut if it goes on beyond ``max_pages``; else ok. titles
+    (show, api, page_no, title) are those of all lists but the stale ones, up to ``max_pages``. Of pages
+    for one token the latest counts.
+    """
+    raw = spark.read.schema(PAGES).json(path).where("show is not null and api is not null")
+    page = F.struct("fetched_at", F.nullif("continue.apcontinue", F.lit("")).alias("follow"), "query.allpages")
+    latest = raw.groupBy("show", "api", F.nullif("request.apcontinue", F.lit("")).alias("token")).agg(F.max_by(page, "fetched_at").alias("p"))
+    pages = materialize(page_numbers(materialize(latest.select("show", "api", "token", "p.*"), "pages")), "numbered-pages")
+    used = pages.where(F.col("page_no") < max_pages)
+    lists = pages.select("show", "api").distinct()
+    last = used.groupBy("show", "api").agg(F.count(F.lit(1)).alias("pages"), F.max_by("follow", "page_no").alias("follow"), F.min("fetched_at").alias("oldest"))
+    out = lists.join(last, ["show", "api"], "left")
+    other = F.lit(False)
+    if apis is not None:
+        out = out.join(apis.select("show", F.col("api").alias("__api")), "show", "left")
+        other = F.coalesce(F.col("__api") != F.col("api"), F.lit(False))
+    state = (F.when(other | (F.lit(now) - F.col("oldest") >= ttl_s), "stale").when(F.col("pages").isNull(), "broken").when(F.col("follow").isNull(), "ok")
+             .when(F.col("pages") >= max_pages, "cut").otherwise("broken"))
+    status = out.select("show", "api", F.coalesce("pages", F.lit(0)).alias("pages"), state.alias("status"))
+    titles = used.join(status.where("status <> 'stale'").select("show", "api"), ["show", "api"]).select("show", "api", "page_no", F.explode("allpages").alias("p"))
+    return status, titles.select("show", "api", "page_no", F.col("p.title").alias("title"))

@@ -1,7 +1,7 @@
 """Sinks: caption files, merged tracks, audits, reports, error logs.
 
-Where a target has to change at once, a finished folder is written beside it and only then named by one
-more line below ``CURRENT``; readers follow the last line.
+Where a target has to change at once, a finished folder is written beside it and only then named by the
+next numbered file below ``CURRENT``; readers follow the file with the highest number.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,22 +61,41 @@ def report_json(report: DataFrame, rollup: DataFrame) -> DataFrame:
     return shows.join(total, "show", "left").select("show", F.to_json(F.struct(F.lit(2).alias("schema_version"), "show", "aggregate", "episodes")).alias("body"))
 
 
+def _create(spark: SparkSession, path: str, content: str) -> bool:
+    """Create a file that is not there yet; False where it is. The file system decides between writers."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        out = files.create(target, False)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in str(e.java_exception):
+            return False
+        raise
+    out.write(bytearray(content.encode()))
+    out.close()
+    return True
+
+
 def _published(spark: SparkSession, path: str) -> tuple[int, str] | None:
     """Number and folder of the last version below ``path``."""
     try:
-        last = spark.read.schema("number long, version string").json(f"{path}/CURRENT").orderBy(F.desc("number"), "version").first()
+        named = spark.read.text(f"{path}/CURRENT", wholetext=True).select(F.col("_metadata.file_name").cast("long").alias("number"), F.trim("value").alias("version"))
+        last = named.where("number is not null and version <> ''").orderBy(F.desc("number")).first()
     except AnalysisException:  # nothing was published yet
         return None
     return (last["number"], last["version"]) if last else None
 
 
 def publish(df: DataFrame, path: str) -> str:
-    """Write ``df`` as a new version below ``path`` and let CURRENT name it; all or nothing, since
-    earlier lines stay until the new one is there. Returns the version's folder."""
+    """Write ``df`` as a new version below ``path`` and give it the next number; all or nothing, since
+    readers see the earlier version until then. Of writers that ask for one number at once, one gets
+    it and the others try the next, so no version is lost. Returns the version's folder."""
     spark, version = df.sparkSession, f"v-{uuid.uuid4().hex}"
     df.write.parquet(f"{path}/{version}")
     number = (_published(spark, path) or (0, ""))[0] + 1
-    spark.createDataFrame([(number, version)], "number long, version string").coalesce(1).write.mode("append").json(f"{path}/CURRENT")
+    while not _create(spark, f"{path}/CURRENT/{number:012d}", version):
+        number += 1
     return f"{path}/{version}"
 
 
