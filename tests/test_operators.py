@@ -50,24 +50,24 @@ def groups(spark, rows, max_dur=7.0):
     return [len(v) for _, v in sorted(got.items())]
 
 
-def test_gap_of_exactly_half_a_second_does_not_split(spark):
-    assert groups(spark, [("a", 0.0, 1.0), ("b", 1.5, 2.0), ("c", 2.51, 3.0)]) == [2, 1]
+def test_a_gap_of_the_limit_itself_does_not_split(spark):
+    assert groups(spark, [("north", 10.0, 10.25), ("wind", 10.75, 11.0), ("blows", 11.625, 12.0), ("south", 12.125, 12.5)]) == [2, 2]
 
 
 def test_largest_pause_cuts_an_overflow(spark):
-    assert groups(spark, run_of(["alphaaa"] * 12, gaps={5: 0.3})) == [6, 6]
+    assert groups(spark, run_of(["lantern"] * 9 + ["quickly"] * 6, gaps={3: 0.125, 8: 0.25})) == [9, 6]
 
 
 def test_clause_mark_cuts_without_a_pause(spark):
-    assert groups(spark, run_of(["alphaaa"] * 4 + ["alpha,"] + ["alphaaa"] * 7)) == [5, 7]
+    assert groups(spark, run_of(["harbours"] * 5 + ["rivers,"] + ["meadows"] * 5)) == [6, 5]
 
 
 def test_middle_cuts_otherwise(spark):
-    assert groups(spark, run_of(["alphaaa"] * 12)) == [6, 6]
+    assert groups(spark, run_of(["mountain"] * 10)) == [5, 5]
 
 
 def test_long_duration_overflows(spark):
-    assert groups(spark, run_of(["a"] * 8, dur=1.0)) == [4, 4]
+    assert groups(spark, run_of(["so"] * 10, dur=0.875)) == [5, 5]
 
 
 def test_a_single_long_word_stays(spark):
@@ -80,14 +80,15 @@ def test_two_sentences(spark):
 
 
 def test_missing_times_are_filled(spark):
-    got = [(r["start"], r["end"]) for r in reflow.fill_timestamps(words(spark, [("Hi", None, None), ("null", None, None), ("there.", 0.5, 0.8), ("x", None, 0.6), ("y", 0.2, None)])).orderBy("pos").collect()]
-    assert got == [(0.0, 0.0), (0.0, 0.0), (0.5, 0.8), (0.8, 0.8), (0.2, 0.2)]
+    rows = [("one", None, None), ("two", None, 1.5), ("three", 2.0, 2.5), ("four", None, 2.25), ("five", 1.75, None), ("six", None, None)]
+    got = [(r["start"], r["end"]) for r in reflow.fill_timestamps(words(spark, rows)).orderBy("pos").collect()]
+    assert got == [(0.0, 0.0), (0.0, 1.5), (2.0, 2.5), (2.5, 2.5), (1.75, 1.75), (1.75, 1.75)]
 
 
-def test_leading_word_far_before_its_segment(spark):
-    w = words(spark, [("I", 5.11, 5.67), ("must", 5.67, 6.23), ("admit.", 110.71, 111.2)])
-    got = reflow.reflow(w, segments(spark, [(110.5, 111.5, 0.1)])).collect()
-    assert len(got) == 1 and got[0]["start"] >= 108 and got[0]["text"] == "I must admit."
+def test_leading_words_far_before_their_segment(spark):
+    w = words(spark, [("We", 2.0, 2.5), ("sail", 2.5, 3.0), ("tonight.", 61.0, 61.75)])
+    got = reflow.reflow(w, segments(spark, [(60.5, 62.0, 0.25)])).collect()
+    assert [(r["text"], r["no_speech_prob"]) for r in got] == [("We sail tonight.", 0.25)] and got[0]["start"] >= 58
 
 
 def test_no_words_no_cards(spark):
@@ -362,19 +363,27 @@ def drain(spark, stream, tmp_path, name):
     return spark.read.schema(stream.schema).parquet(f"{tmp_path}/{name}")
 
 
+def landed(spark, tmp_path, parts, schema):
+    """One micro-batch for each part, in their order; ts follows start."""
+    add = lambda x: x.withColumn("ts", F.timestamp_seconds(F.col("start") + 3600))
+    for part in parts:
+        add(spark.createDataFrame(part, schema)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    return spark.readStream.schema(add(spark.createDataFrame(parts[0], schema)).schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+
+
 def test_stream_spans_are_the_batch_spans(spark, tmp_path):
+    """Words come in no order; those of the last ten minutes are waited for, and later ones go."""
     r = random.Random(4)
     t, rows = 0.0, []
-    for i in range(200):
+    for i in range(2000):
         t += r.choice([0.1, 0.5, 0.6])
         rows.append(("s", 1, i, t, t + 0.2))
         t += 0.2
+    arrival = sorted(rows, key=lambda x: x[3] + r.random() * 500)
+    parts = [arrival[k : k + 500] for k in range(0, 2000, 500)]
     far = ("s", 2, 0, 1e7, 1e7 + 1)  # moves the watermark on, which closes the last span
     schema = f"{KEYS}, pos long, start double, end double"
-    add = lambda x: x.withColumn("ts", F.timestamp_seconds(F.col("start") + 3600))
-    for k, part in enumerate((rows[:90], rows[90:], [far], [("s", 3, 0, 2e7, 2e7 + 1)])):
-        add(spark.createDataFrame(part, schema)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in{k}")
-    src = spark.readStream.schema(add(spark.createDataFrame([far], schema)).schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{tmp_path}/in*")
+    src = landed(spark, tmp_path, [*parts, [far], [("s", 1, 5, 3.0, 3.2), ("s", 3, 0, 2e7, 2e7 + 1)]], schema)
     got = [(x["first_pos"], x["last_pos"], x["words"]) for x in drain(spark, streams.stream_spans(src), tmp_path, "out").where("episode = 1").orderBy("first_pos").collect()]
     batch = reflow.split_spans(spark.createDataFrame(rows, schema)).groupBy("span_id").agg(F.min("pos").alias("a"), F.max("pos").alias("b"), F.count(F.lit(1)).alias("n")).orderBy("a").collect()
     assert got == [(x["a"], x["b"], x["n"]) for x in batch]
@@ -382,10 +391,10 @@ def test_stream_spans_are_the_batch_spans(spark, tmp_path):
 
 def test_stream_collapse(spark, tmp_path):
     rows = [("s", 1, i, float(i), i + 0.5, x) for i, x in enumerate(["Hi!", "hi", "HI.", "hi", "no", "no", "yes"])]
-    c = spark.createDataFrame(rows, f"{KEYS}, card_no long, start double, end double, text string").withColumn("ts", F.timestamp_seconds(F.col("start") + 3600))
-    c.coalesce(1).write.parquet(f"{tmp_path}/in")
-    out = drain(spark, streams.stream_collapse(spark.readStream.schema(c.schema).parquet(f"{tmp_path}/in")), tmp_path, "out")
-    assert [(r["card_no"], r["end"], r["n"]) for r in out.orderBy("card_no").collect()] == [(0, 3.5, 4), (4, 5.5, 2)]
+    schema = f"{KEYS}, card_no long, start double, end double, text string"
+    src = landed(spark, tmp_path, [rows[1::2], rows[::2], [("s", 2, 0, 1e7, 1e7 + 1, "x")]], schema)
+    out = drain(spark, streams.stream_collapse(src), tmp_path, "out").where("episode = 1")
+    assert [(r["card_no"], r["end"], r["n"]) for r in out.orderBy("card_no").collect()] == [(0, 3.5, 4), (4, 5.5, 2), (6, 6.5, 1)]
 
 
 SF = "/root/testdata/sf0.001"
@@ -423,9 +432,9 @@ def test_drained_sessions_are_those_of_the_whole_table(spark):
 def test_range_join_keeps_equal_and_open_rows(spark):
     left = spark.createDataFrame([("a", 1, 0.0, 5.0), ("a", 1, 0.0, 5.0), ("a", 2, 3.0, None), ("a", 3, 90.0, 95.0), ("a", 4, None, 4.0)], "k string, n int, s double, e double")
     right = spark.createDataFrame([("a", 1.0, 2.0, "x"), ("a", 3.0, 30.0, "y")], "k string, rs double, re double, t string")
-    join = lambda how: sorted((r["n"], *([r["t"]] if how in ("left", "inner") else [])) for r in joins.range_join(left, right, ("s", "e"), ("rs", "re"), ["k"], 2.0, how).collect())
+    join = lambda how: sorted((r["n"], *([r["t"]] if how in ("left", "inner") else [])) for r in joins.range_join(left, right, ("s", "e"), ("rs", "re"), ["k"], how).collect())
     assert join("inner") == [(1, "x"), (1, "x"), (1, "y"), (1, "y")]
-    assert [(n, t or "") for n, t in sorted(joins.range_join(left, right, ("s", "e"), ("rs", "re"), ["k"], 2.0, "left").select("n", "t").collect(), key=str)] == [(1, "x"), (1, "x"), (1, "y"), (1, "y"), (2, ""), (3, ""), (4, "")]
+    assert [(n, t or "") for n, t in sorted(joins.range_join(left, right, ("s", "e"), ("rs", "re"), ["k"], "left").select("n", "t").collect(), key=str)] == [(1, "x"), (1, "x"), (1, "y"), (1, "y"), (2, ""), (3, ""), (4, "")]
     assert join("semi") == [(1,), (1,)] and join("anti") == [(2,), (3,), (4,)]
 
 
