@@ -47,7 +47,7 @@ D, CHI2_MEDIAN, CHI2_CUTOFF = 5, 4.3515, 40.863
 LEAST_DEVIATION = 1e-6
 #: Words of the corpus's average that every text's rates get besides its own; letters of a short word.
 SMOOTHING_WORDS, SHORT_WORD = 100, 3
-COUNTS = ("n_distinct", "n_short", "n_letters", "n_capitals", "n_marks")
+COUNTS = ("n_distinct", "n_short", "n_digits", "n_capitals", "n_marks")
 #: Groups (250 bytes each) up to which their estimates are broadcast. Beyond, they are joined by shuffle,
 #: in so many copies, over which a hot group's rows are dealt.
 BROADCAST_GROUPS, SPREAD = 100_000, 32
@@ -61,8 +61,7 @@ def statistics(text: Column) -> Column:
     body = F.coalesce(text, F.lit(""))
     words = F.filter(F.split(body, WORD_SPACE), lambda w: w != "")
 
-    without = lambda of, pattern: F.length(F.regexp_replace(of, pattern, "")).cast("long")
-    letters = F.regexp_replace(body, r"\P{L}+", "")
+    found = lambda pattern: F.regexp_count(body, F.lit(pattern)).cast("long")
 
     def counts(w: Column) -> Column:
         lines = let(F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.size(x) - F.size(F.array_distinct(x)))
@@ -71,8 +70,7 @@ def statistics(text: Column) -> Column:
             (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"), lines.cast("long").alias("n_dup_lines"),
             F.when(F.size(w) >= WINDOW_WORDS, _repeated_words(w)).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
             F.size(F.array_distinct(w)).cast("long").alias("n_distinct"), F.size(F.filter(w, lambda x: F.length(x) <= SHORT_WORD)).cast("long").alias("n_short"),
-            F.length(letters).cast("long").alias("n_letters"), (F.length(letters) - without(letters, r"\p{Lu}+")).cast("long").alias("n_capitals"),
-            without(body, r"[\p{L}\p{Nd}\x20\x09-\x0D]+").alias("n_marks"))
+            found(r"\p{Nd}").alias("n_digits"), found(r"\p{Lu}").alias("n_capitals"), found(r"[^\p{L}\p{Nd}\x20\x09-\x0D]").alias("n_marks"))
 
     return let(words, counts)
 
@@ -102,14 +100,12 @@ def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 def _vector(totals: Row) -> list[Column]:
     """The statistics of a text. ``totals``: the sums of the counts over all texts. Two of them vary
     little and are multiplied, so that bins of one width suit all."""
-    words = max(totals["n_words"] or 0, 1)
-
-    def rate(count: str, of: str) -> Column:
-        more, base = ((totals[c] or 0) / words * SMOOTHING_WORDS for c in (count, of))
-        return F.log((F.col(count) + max(more, 1e-3)) / (F.col(of) + max(base, 1e-3)))
-
+    sums = {c: totals[c] or 0 for c in ("n_words", "word_chars", *COUNTS)} | {"letters": sum((totals[c] or 0) * k for c, k in (("word_chars", 1), ("n_digits", -1), ("n_marks", -1)))}
+    usual = lambda c: max(sums[c] / max(sums["n_words"], 1) * SMOOTHING_WORDS, 1e-3)
+    of = lambda c: F.col("word_chars") - F.col("n_digits") - F.col("n_marks") if c == "letters" else F.col(c)
+    rate = lambda c, base: F.log((of(c) + usual(c)) / (of(base) + usual(base)))
     variety = F.log(F.greatest(F.col("n_distinct"), F.lit(1))) / F.log(F.greatest(F.col("n_words"), F.lit(2)))
-    return [4 * rate("word_chars", "n_words"), 16 * variety, rate("n_marks", "n_words"), rate("n_capitals", "n_letters"), rate("n_short", "n_words")]
+    return [4 * rate("word_chars", "n_words"), 16 * variety, rate("n_marks", "n_words"), rate("n_capitals", "letters"), rate("n_short", "n_words")]
 
 
 def _attach(rows: DataFrame, groups: DataFrame, on: list[str], few: bool, x: list[str], how: str = "inner") -> DataFrame:
@@ -130,16 +126,11 @@ def _quantile(rows: DataFrame, keys: list[str], value: Column, share: float) ->
     return reached.groupBy(*keys).agg(((F.min("bin") + 1) * BIN).alias("q"))
 
 
-def _distance(x: list[Column], center: str, root: str) -> Column:
-    """Squared Mahalanobis distance by forward substitution with the Cholesky factor ``root``
-    (rows of the lower triangle, one after the other)."""
-    z: list[Column] = []
-    at = lambda i, j: F.get(F.col(root), F.lit(i * (i + 1) // 2 + j))
-    for i, v in enumerate(x):
-        rest = v - F.get(F.col(center), F.lit(i))
-        for j, w in enumerate(z):
-            rest = rest - at(i, j) * w
-        z.append(rest / at(i, i))
+def _distance(x: list[Column], center: str, white: str) -> Column:
+    """Squared Mahalanobis distance; ``white`` is the inverse of the covariance's Cholesky factor (rows
+    of the lower triangle, one after the other)."""
+    d = [v - F.get(F.col(center), F.lit(i)) for i, v in enumerate(x)]
+    z = [sum((F.get(F.col(white), F.lit(_cov(i, j))) * d[j] for j in range(1, i + 1)), F.get(F.col(white), F.lit(_cov(i, 0))) * d[0]) for i in range(len(x))]
     return sum((v * v for v in z[1:]), z[0] * z[0])
 
 
@@ -149,7 +140,8 @@ def _cov(i: int, j: int) -> int:
 
 
 def _root(df: DataFrame, cov: str) -> DataFrame:
-    """Adds root, the Cholesky factor of ``cov``, and spread, the logarithm of its determinant."""
+    """Adds root, the inverse of the Cholesky factor of ``cov``, and spread, the logarithm of its
+    determinant. One column at a time and written for a row a group, so the many steps are few rows'."""
     kept = df.columns
     for i in range(D):
         for j in range(i + 1):
@@ -157,8 +149,12 @@ def _root(df: DataFrame, cov: str) -> DataFrame:
             for k in range(j):
                 v = v - F.col(f"__l{i}{k}") * F.col(f"__l{j}{k}")
             df = df.withColumn(f"__l{i}{j}", F.sqrt(F.greatest(v, F.lit(LEAST_DEVIATION**2))) if i == j else v / F.col(f"__l{j}{j}"))
+    for i in range(D):
+        for j in range(i, -1, -1):
+            v = F.lit(1.0) if i == j else -sum((F.col(f"__l{i}{k}") * F.col(f"__w{k}{j}") for k in range(j + 1, i)), F.col(f"__l{i}{j}") * F.col(f"__w{j}{j}"))
+            df = df.withColumn(f"__w{i}{j}", v / F.col(f"__l{i}{i}"))
     spread = sum((F.log(f"__l{i}{i}") for i in range(1, D)), F.log("__l00"))
-    return df.select(*kept, F.array(*[f"__l{i}{j}" for i in range(D) for j in range(i + 1)]).alias("root"), spread.alias("spread"))
+    return df.select(*kept, F.array(*[f"__w{i}{j}" for i in range(D) for j in range(i + 1)]).alias("root"), spread.alias("spread"))
 
 
 def _estimate(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -27,18 +27,19 @@ MEDIAN, CUTOFF = 4.35146, 40.8630  # of a chi-squared variable with five degrees
 
 
 def more_counts(t):
-    """Different and short words, letters, capitals, and characters that are no letter, digit or space."""
+    """Different and short words, digits, capitals, and characters that are no letter, digit or space."""
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
     kind = [unicodedata.category(c) for c in t]
     marks = sum(k[0] != "L" and k != "Nd" and c not in " \t\n\x0b\x0c\r" for k, c in zip(kind, t, strict=True))
-    return len(set(w)), sum(len(x) <= 3 for x in w), sum(k[0] == "L" for k in kind), sum(k == "Lu" for k in kind), marks
+    return len(set(w)), sum(len(x) <= 3 for x in w), sum(k == "Nd" for k in kind), sum(k == "Lu" for k in kind), marks
 
 
 def vectors(counts):
-    """counts: (n_words, word_chars, distinct, short, letters, capitals, marks) of each text."""
+    """counts: (n_words, word_chars, distinct, short, digits, capitals, marks) of each text."""
     a = np.array(counts, float)
-    words, chars, distinct, short, letters, capitals, marks = a.T
+    words, chars, distinct, short, digits, capitals, marks = a.T
+    letters = chars - digits - marks
     usual = lambda x: max(SMOOTHING * x.sum() / words.sum(), 1e-3)
     rate = lambda x, of: np.log((x + usual(x)) / (of + usual(of)))
     return np.stack([rate(chars, words), np.log(distinct) / np.log(words), rate(marks, words), rate(capitals, letters), rate(short, words)], 1)

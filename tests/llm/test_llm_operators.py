@@ -519,8 +519,9 @@ def test_covariance_is_that_of_numpy(spark):
     x = np.random.default_rng(1).normal(size=(500, 5)) @ np.triu(np.random.default_rng(2).normal(size=(5, 5)) + 2 * np.eye(5))
     rows = spark.createDataFrame([("g", *map(float, v)) for v in x], "g string, x0 double, x1 double, x2 double, x3 double, x4 double")
     r = quality._root(quality._estimate(rows, ["g"]), "cov").first()
-    low = np.zeros((5, 5))
-    low[np.tril_indices(5)] = r["root"]
+    white = np.zeros((5, 5))
+    white[np.tril_indices(5)] = r["root"]
+    low = np.linalg.inv(white)
     assert np.allclose(low @ low.T, np.cov(x.T, bias=True)) and np.allclose(r["center"], x.mean(0)) and np.isclose(r["spread"], np.log(np.diag(low)).sum())
 
 
