@@ -17,7 +17,7 @@ from cueloom.functions import text as T
 from cueloom.functions.phrases import Phrases
 from cueloom.functions.similarity import gestalt_ratio, length_bound, letters, metaphone, pair_key, pair_keys, title_case
 from cueloom.operators.ranks import rank_within
-from cueloom.sources.scratch import materialize
+from cueloom.sources.scratch import materialize, spread
 
 #: Rows of a glossary or word list up to which it is broadcast; beyond, joins shuffle.
 BROADCAST_ROWS = 200_000
@@ -117,7 +117,7 @@ def _candidates(tokens: DataFrame, names: DataFrame, cutoff: Column, least: floa
     right = names.withColumn("__a", letters(a)).withColumn("__key", F.explode(pair_keys(F.col("__a"), F.lit(least))))
     met = left.join(right, ["show", "__key"]).where(length_bound(a, b) >= cutoff).withColumn("__both", F.array_intersect("__a", "__b"))
     met = met.where((F.col("__key") == pair_key(F.col("__both"))) & (2.0 * F.size("__both") / (F.size("__a") + F.size("__b")) >= cutoff)).drop("__a", "__b", "__both", "__key")
-    return met.withColumn("score", gestalt_ratio(a, b)).where(F.col("score") >= cutoff)
+    return spread(met).withColumn("score", gestalt_ratio(a, b)).where(F.col("score") >= cutoff)
 
 
 def _bounded(tokens: DataFrame, names: DataFrame, ident: Sequence[str], k: int, cutoff: Column, a: Column, b: Column) -> DataFrame:
@@ -134,7 +134,7 @@ def _bounded(tokens: DataFrame, names: DataFrame, ident: Sequence[str], k: int,
     met = tokens.select("show", *ident, b.alias("__b"), cutoff.alias("__cut"), F.explode(grams(b)).alias("__gram")).join(tried, ["show", "__gram"])
     rarest = Window.partitionBy("show", *ident).orderBy("__n", "__gram", "__a")
     pairs = met.withColumn("__i", F.row_number().over(rarest)).where(F.col("__i") <= SEEDS).select("show", *ident, "__cut", "__a", "__b").distinct()
-    scored = pairs.withColumn("__score", gestalt_ratio(F.col("__a"), F.col("__b"))).where(F.col("__score") >= F.col("__cut"))
+    scored = spread(pairs).withColumn("__score", gestalt_ratio(F.col("__a"), F.col("__b"))).where(F.col("__score") >= F.col("__cut"))
     best = scored.groupBy("show", *ident).agg(F.sort_array(F.collect_list("__score"), asc=False).alias("__s")).select("show", *ident, F.get("__s", F.lit(k - 1)).alias("__bound"))
     return tokens.join(best, ["show", *ident], "left").withColumn("__cut", F.greatest(cutoff, F.coalesce("__bound", cutoff))).drop("__bound")
 

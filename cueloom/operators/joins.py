@@ -10,21 +10,21 @@ from pyspark.sql import functions as F
 KEYS = ("show", "episode")
 
 
-#: Levels of the interval hierarchy: a cell of level k is 4 ** k units long. Spans shorter than a cell
+#: Levels of the interval hierarchy: a cell of level k is 16 ** k units long. Spans shorter than a cell
 #: of the lowest level count as that long, and so do longer ones than of the highest.
-LOWEST, HIGHEST = -16, 31
+LOWEST, HIGHEST = -8, 15
 #: Nearest onsets are looked for in stretches of time of so many radii.
 RADII = 256
 
 
 def _level(lo: Column, hi: Column) -> Column:
     """The lowest level whose cells are as long as the span."""
-    steps = F.ceil(F.log(F.greatest((hi - lo).cast("double"), F.lit(4.0**LOWEST))) / F.log(F.lit(4.0)))
+    steps = F.ceil(F.log(F.greatest((hi - lo).cast("double"), F.lit(16.0**LOWEST))) / F.log(F.lit(16.0)))
     return F.least(F.greatest(steps, F.lit(LOWEST)), F.lit(HIGHEST)).cast("int")
 
 
 def _cell(at: Column, level: Column) -> Column:
-    return F.floor(at / F.pow(F.lit(4.0), level)).cast("long")
+    return F.floor(at / F.pow(F.lit(16.0), level)).cast("long")
 
 
 def _in_cells(df: DataFrame, lo: Column, hi: Column, others: Column, side: str) -> DataFrame:
