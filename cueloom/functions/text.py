@@ -212,7 +212,7 @@ def is_repetition(text: Column, min_tokens: int = 6, percent: int = 60) -> Colum
         n = F.size(t)
 
         def top(k: int) -> Column:
-            grams = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, F.lit(k)), " "))
+            grams = t if k == 1 else F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, F.lit(k)), " "))
             # Equal ones stand together in the sorted array: one pass counts the runs.
             start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("top"))
 
@@ -220,10 +220,11 @@ def is_repetition(text: Column, min_tokens: int = 6, percent: int = 60) -> Colum
                 run = F.when(g == acc["last"], acc["run"] + 1).otherwise(F.lit(1))
                 return F.struct(g.alias("last"), run.alias("run"), F.greatest(acc["top"], run).alias("top"))
 
-            return F.aggregate(F.array_sort(grams), start, step, lambda acc: acc["top"])
+            return F.aggregate(F.sort_array(grams), start, step, lambda acc: acc["top"])
 
-        loop = lambda k: let(top(k), lambda c: (c >= (1 if k == 1 else 3)) & (c * k * 100 >= n * percent))
-        return (n >= min_tokens) & (loop(1) | loop(3) | loop(2))
+        loop = lambda k: let(top(k), lambda c: (c >= 3) & (c * k * 100 >= n * percent))
+        # A run occurs no more often than its first word, so most texts are decided by their words.
+        return let(top(1), lambda c: F.when(c * 300 < n * percent, F.lit(False)).otherwise((c * 100 >= n * percent) | loop(3) | loop(2)))
 
     return let(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9']+"), F.lit(0)), lambda t: F.when(F.size(t) < min_tokens, F.lit(False)).otherwise(dominated(t)))
 

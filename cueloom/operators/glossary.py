@@ -180,7 +180,7 @@ def correct_names(df: DataFrame, terms: DataFrame, fixes: DataFrame, words: Data
     tokens = staged.select("show", *ident, "n", F.posexplode(F.split(F.trim(F.col(text)), r"\s+")).alias("__pos", "__tok")).withColumn("__p", T.token_parts(F.col("__tok")))
     joined = tokens.withColumn("core", F.col("__p.core")).join(small(table), ["show", "core"], "left")
     new = F.when(F.col("fixed").isNotNull(), F.concat("__p.pre", "fixed", "__p.post")).otherwise(F.col("__tok"))
-    rows = F.array_sort(F.collect_list(F.struct("__pos", new.alias("t"))))
+    rows = F.sort_array(F.collect_list(F.struct("__pos", new.alias("t"))))
     return joined.groupBy("show", *ident, "n").agg(F.array_join(F.transform(rows, lambda r: r["t"]), " ").alias(text), F.count("fixed").alias("__m")).select("show", *ident, text, (F.col("n") + F.col("__m")).alias("n"))
 
 
@@ -223,7 +223,7 @@ def top_names(terms: DataFrame, counts: DataFrame, k: int = 30) -> DataFrame:
     rows = terms.join(counts.select("show", "term", "n"), ["show", "term"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("show").orderBy(F.desc("n"), "ord"))
     kept = rows.withColumn("r", rank).where(F.col("r") <= k)
-    return kept.groupBy("show").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda x: x["term"]), ", ").alias("prompt"))
+    return kept.groupBy("show").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "term"))), lambda x: x["term"]), ", ").alias("prompt"))
 
 
 def wiki_candidates(terms: DataFrame, titles: DataFrame, k: int = 6, cutoff: float = 0.62) -> DataFrame:

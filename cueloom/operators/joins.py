@@ -109,6 +109,6 @@ def nearest_onset(cards: DataFrame, cues: DataFrame, card: str = "start", cue: s
 
 def collect_text(joined: DataFrame, keys: Sequence[str], order: Sequence[str], text: str, alias: str, sep: str = " ", cap: int | None = None) -> DataFrame:
     """The texts of each key in the given order, joined, and cut at ``cap`` characters."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("__text"))))
+    rows = F.sort_array(F.collect_list(F.struct(*order, F.col(text).alias("__text"))))
     out: Column = F.array_join(F.transform(rows, lambda r: r["__text"]), sep)
     return joined.groupBy(*keys).agg((F.substring(out, 1, cap) if cap else out).alias(alias))

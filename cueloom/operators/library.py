@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cueloom.functions import text as T
-from cueloom.operators.ranks import ranked
+from cueloom.operators.ranks import rank_within, ranked
 
 # Fixed values.
 SKIP_NAME = r"(?i)\bNCED\b|\bNCOP\b|\bNCBD\b|-\s*scene\b|creditless"
@@ -99,11 +99,12 @@ def order_files(files: DataFrame, starts: Mapping[str, int] | DataFrame) -> Data
     if not isinstance(starts, DataFrame):
         starts = files.sparkSession.createDataFrame(list(starts.items()) or [("", 0)], "show string, start int")
     se = T.season_episode(F.col("path"))
-    out = files.join(F.broadcast(starts.select("show", F.col("start").alias("__start"))), "show", "left").withColumns({"__s": se["season"], "__e": se["episode"], "__start": F.coalesce("__start", F.lit(0))})
+    out = files.join(starts.select("show", F.col("start").alias("__start")), "show", "left").withColumns({"__s": se["season"], "__e": se["episode"], "__start": F.coalesce("__start", F.lit(0))})
     on = F.col("__start") > 0
     tier = F.when(on, F.when((F.col("__s") >= F.col("__start")) & (F.col("__s") < 1_000_000), 0).otherwise(1)).otherwise(0)
-    w = Window.partitionBy("show").orderBy(tier, F.when(on, F.col("__s")).otherwise(0), F.when(on, F.col("__e")).otherwise(0), "path")
-    return out.withColumn("rank", F.row_number().over(w)).drop("__start", "__s", "__e")
+    out = out.withColumns({"__tier": tier, "__s": F.when(on, F.col("__s")).otherwise(0), "__e": F.when(on, F.col("__e")).otherwise(0)})
+    ranks = rank_within(out, "show", ["__tier", "__s", "__e", "path"], "rank")
+    return ranks.withColumn("rank", F.col("rank").cast("int")).drop("__start", "__tier", "__s", "__e")
 
 
 def read_starts(lines: DataFrame) -> DataFrame:

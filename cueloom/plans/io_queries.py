@@ -31,7 +31,7 @@ def query(oracle: str | None = None):
 def _transcripts(spark, sf_dir) -> str:
     w = A.v_words(spark, sf_dir)
     word = F.struct(F.col("text").alias("word"), (F.col("start") / 1000).alias("start"), (F.col("end") / 1000).alias("end"), (F.col("prob") / 100).alias("probability"))
-    segs = w.groupBy(*KEYS, "seg").agg(F.array_sort(F.collect_list(F.struct("pos", word.alias("w")))).alias("ws"))
+    segs = w.groupBy(*KEYS, "seg").agg(F.sort_array(F.collect_list(F.struct("pos", word.alias("w")))).alias("ws"))
     seg = F.struct("seg", F.struct(F.col("ws")[0]["w"]["start"].alias("start"), F.get("ws", F.size("ws") - 1)["w"]["end"].alias("end"), F.lit(0.1).alias("no_speech_prob"), F.lit(-0.5).alias("avg_logprob"), F.lit("all").alias("text"),
                                    F.when(F.col("seg") % 10 != 9, F.transform("ws", lambda x: x["w"])).alias("words")).alias("s"))
     out = segs.groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(seg)), lambda x: x["s"]).alias("segments"))
@@ -91,6 +91,25 @@ def read_styles(spark, sf_dir):
     return readers.read_styles(spark, _tracks(spark, sf_dir)).select(F.regexp_extract("path", "/episode=([^/]+)/", 1).cast("long").alias("episode"), "style", "fontname", "fontsize")
 
 
+@query(sql("""SELECT episode, CASE episode % 5 WHEN 0 THEN NULL WHEN 1 THEN 'srt' ELSE 'ass' END AS kind, CASE WHEN episode % 5 > 1 THEN 640 + episode END AS play_res_x, CASE WHEN episode % 5 > 1 THEN 480 END AS play_res_y, CASE WHEN episode % 5 > 2 THEN episode % 3 END AS wrap_style,
+CASE WHEN episode % 5 > 1 THEN 1 ELSE 0 END AS styles, CASE WHEN episode % 5 IN (1, 3, 4) THEN count(*) ELSE 0 END AS events, CASE episode % 5 WHEN 0 THEN 'bad-file' WHEN 2 THEN 'no-events' ELSE 'ok' END AS status FROM v_cards GROUP BY episode""", "v_cards"))
+def read_tracks(spark, sf_dir):
+    """Scripts with and without events, cue files, and files that are neither."""
+    stamp = lambda c, sep: F.format_string(f"%d:%02d:%02d{sep}%02d", F.floor(F.col(c) / 3_600_000), F.floor(F.col(c) / 60_000) % 60, F.floor(F.col(c) / 1000) % 60, F.floor(F.col(c) / 10) % 100)
+    ass = F.concat(F.lit("Dialogue: 0,"), stamp("start", "."), F.lit(","), stamp("end", "."), F.lit(",Main,,0,0,0,,x"))
+    srt = F.concat("card_no", F.lit("\n"), stamp("start", ","), F.lit(" --> "), stamp("end", ","), F.lit("\nx\n"))
+    body = lambda line: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("card_no", line.alias("l")))), lambda r: r["l"]), "\n")
+    k = F.col("episode") % 5
+    head = F.concat(F.lit("[Script Info]\nPlayResX: "), (640 + F.col("episode")).cast("string"), F.lit("\nPlayResY: 480\n"), F.when(k > 2, F.concat(F.lit("WrapStyle: "), (F.col("episode") % 3).cast("string"), F.lit("\n"))).otherwise(""),
+                    F.lit("\n[V4+ Styles]\nFormat: Name, Fontname, Fontsize\nStyle: Main,Arial,40\n\n[Events]\n"))
+    c = A.v_cards(spark, sf_dir).groupBy("episode").agg(body(ass).alias("a"), body(srt).alias("s"))
+    files = c.select("episode", F.when(k == 0, "no track").when(k == 1, F.col("s")).when(k == 2, head).otherwise(F.concat(head, "a")).alias("value"))
+    path = folder(spark, "track-files")
+    files.write.partitionBy("episode").text(path)
+    found = readers.read_tracks(spark, path)
+    return found.select(F.regexp_extract("path", "/episode=([^/]+)/", 1).cast("long").alias("episode"), *found.columns[2:])
+
+
 def _tracks(spark, sf_dir) -> str:
     merged, _ = tracks.merge_track(A.v_events(spark, sf_dir), _srt_cards(spark, sf_dir))
     styles = A.v_events(spark, sf_dir).select(*KEYS, "style").distinct().withColumns({"fontname": F.lit("Arial"), "fontsize": F.lit(42)})

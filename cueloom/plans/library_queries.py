@@ -137,7 +137,7 @@ u AS (SELECT k, list_filter(n, lambda x, i: NOT list_contains(n[1:i - 1], x)) AS
 SELECT k AS l_orderkey, array_to_string(list_filter(t, lambda x, i: length(array_to_string(t[1:i], ', ')) <= 40), ', ') AS terms FROM u""")
 def glossary_term_list(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    names = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "p_name"))).alias("n"))
+    names = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "p_name"))).alias("n"))
     return names.select("l_orderkey", T.glossary_term_list(F.transform("n", lambda x: x["p_name"]), 40).alias("terms"))
 
 

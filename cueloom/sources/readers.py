@@ -97,6 +97,23 @@ def read_styles(spark: SparkSession, path: str) -> DataFrame:
     return each.select("path", "file", "ord", of("name").alias("style"), of("fontname").alias("fontname"), of("fontsize").try_cast("double").alias("fontsize"))
 
 
+def read_tracks(spark: SparkSession, path: str) -> DataFrame:
+    """(path, file, kind, play_res_x, play_res_y, wrap_style, styles, events, status) of every file below
+    ``path``, a track each. kind is ass, srt or null; the canvas is what the script's info says, the
+    first of repeated lines. status: ok, no-events for a script or cue file without any event that can
+    be read, and bad-file for what is neither."""
+    files = _subtitle_files(spark, path)
+    info = lambda name: F.nullif(F.regexp_extract("body", rf"(?mi)^{name}[ \t]*:[ \t]*(\S+)[ \t]*$", 1), F.lit("")).try_cast("long")
+    cues = F.regexp_count("body", F.lit(r"(?m)^[ \t]*\d+:\d+:\d+[.,]\d+\s*-->\s*\d+:\d+:\d+[.,]\d+"))
+    kind = F.when(F.col("is_ass"), "ass").when(cues > 0, "srt")
+    tracks = files.select("path", "file", kind.alias("kind"), *[F.when(F.col("is_ass"), info(n)).alias(c) for n, c in (("PlayResX", "play_res_x"), ("PlayResY", "play_res_y"), ("WrapStyle", "wrap_style"))])
+    events = read_subtitles(spark, path).groupBy("path").agg(F.count(F.lit(1)).alias("events"))
+    styles = read_styles(spark, path).groupBy("path").agg(F.count(F.lit(1)).alias("styles"))
+    out = tracks.join(styles, "path", "left").join(events, "path", "left").na.fill(0, ["styles", "events"])
+    status = F.when(F.col("kind").isNull(), "bad-file").when(F.col("events") == 0, "no-events").otherwise("ok")
+    return out.select("path", "file", "kind", "play_res_x", "play_res_y", "wrap_style", "styles", "events", status.alias("status"))
+
+
 def read_glossaries(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(terms, fixes) of glossary JSON files; a file that is no object counts as empty."""
     raw = spark.read.schema(GLOSSARY).option("multiLine", True).option("mode", "PERMISSIVE").json(path).where("show is not null")

@@ -20,7 +20,7 @@ from cueloom.operators.joins import KEYS
 
 def render_srt(cards: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """(keys, body): each episode's cards (card_no, start_ms, end_ms, text) as one SRT text."""
-    rows = F.array_sort(F.collect_list(F.struct("card_no", "start_ms", "end_ms", "text")))
+    rows = F.sort_array(F.collect_list(F.struct("card_no", "start_ms", "end_ms", "text")))
     out = cards.groupBy(*keys).agg(rows.alias("__r"))
     one = lambda r, i: F.concat((i + 1).cast("string"), F.lit("\n"), fmt_srt_ms(r["start_ms"]), F.lit(" --> "), fmt_srt_ms(r["end_ms"]), F.lit("\n"), r["text"], F.lit("\n\n"))
     return out.select(*keys, F.array_join(F.transform("__r", one), "").alias("body"))
@@ -37,7 +37,7 @@ def render_track(events: DataFrame, styles: DataFrame, keys: Sequence[str] = KEY
     styles (style, fontname, fontsize) as one script."""
     cs = lambda c: F.format_string("%d:%02d:%02d.%02d", F.floor(F.col(c) / 3_600_000), F.floor(F.col(c) / 60_000) % 60, F.floor(F.col(c) / 1000) % 60, F.floor(F.col(c) / 10) % 100)
     line = F.concat(F.lit("Dialogue: "), F.col("layer").cast("string"), F.lit(","), cs("start_ms"), F.lit(","), cs("end_ms"), F.lit(","), F.col("style"), F.lit(",,0,0,0,,"), F.replace(F.col("text"), F.lit("\n"), F.lit("\\N")))
-    ordered = lambda by, c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, c.alias("l")))), lambda r: r["l"]), "\n")
+    ordered = lambda by, c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(by, c.alias("l")))), lambda r: r["l"]), "\n")
     ev = events.groupBy(*keys).agg(ordered("ord", line).alias("__e"))
     st = styles.groupBy(*keys).agg(ordered("style", F.concat_ws(",", F.concat(F.lit("Style: "), "style"), "fontname", F.col("fontsize").cast("string"))).alias("__s"))
     head = F.lit("[Script Info]\nScaledBorderAndShadow: yes\n\n[V4+ Styles]\n")
