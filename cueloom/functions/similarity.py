@@ -1,88 +1,22 @@
-"""Similarity of short strings, vectorized over distinct values in Arrow batches."""
+"""Case and sound of short strings, vectorized over distinct values in Arrow batches."""
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 import pandas as pd
-from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import StringType
 
 # Sounds of letters in Metaphone.
 _DROP_FIRST = {"kn": "n", "gn": "n", "pn": "n", "ae": "e", "wr": "r"}
 _SAME = {"b": "b", "d": "t", "f": "f", "j": "j", "k": "k", "l": "l", "m": "m", "n": "n", "p": "p", "q": "k", "r": "r", "s": "s", "t": "t", "v": "f", "x": "ks", "z": "s"}
 
 
-@F.pandas_udf(DoubleType())
-def gestalt_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of characters in matching blocks, of ``a`` against the reference ``b``; null with a
-    null. The measure is not symmetric: ``b`` is the side that is looked up."""
-    matcher, out, held = SequenceMatcher(), [], None
-    for x, y in zip(a, b, strict=True):
-        if x is None or y is None:
-            out.append(None)
-            continue
-        if y != held:
-            matcher.set_seq2(y)
-            held = y
-        matcher.set_seq1(x)
-        out.append(matcher.ratio())
-    return pd.Series(out, dtype="float64")
-
-
 @F.pandas_udf(StringType())
 def title_case(s: pd.Series) -> pd.Series:
     """Every letter behind a non-letter in upper case, all others in lower case."""
     return s.str.title()
 
 
-def length_bound(a: Column, b: Column) -> Column:
-    """The largest ratio that the two lengths allow."""
-    return 2.0 * F.least(F.length(a), F.length(b)) / F.greatest(F.length(a) + F.length(b), F.lit(1))
-
-
-#: Letters as they are rare in English. Any other order gives the same pairs, only slower.
-RARE_FIRST = "zqxjkvbpygfwmucldrhsnioate"
-
-
-def letters(s: Column) -> Column:
-    """The characters of ``s``, each with its count so far (so all differ), in one order for all
-    strings: later counts and rare letters first."""
-    def numbered(sorted_: Column) -> Column:
-        def item(c: Column, i: Column) -> Column:
-            count = i - F.array_position(sorted_, c) + 2
-            place = F.instr(F.lit(RARE_FIRST), F.lower(c)) - 6 * count
-            return F.struct(place.alias("o"), F.concat(c, count.cast("string")).alias("c"))
-
-        return F.transform(F.array_sort(F.transform(sorted_, item)), lambda x: x["c"])
-
-    chars = F.array_sort(F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0)))
-    return F.element_at(F.transform(F.array(chars), numbered), 1)
-
-
-def pair_keys(items: Column, cutoff: Column) -> Column:
-    """Keys of which two strings with a ratio of ``cutoff`` or more share the one of ``pair_key``.
-
-    A string of n characters needs cutoff * n / (2 - cutoff) shared ones, with the shortest string
-    that may be close enough. Two ordered sets that share so many share two (one, if one is all they
-    need) within the first n - needed + 2 of each.
-    """
-    n = F.size(items)
-    need = F.greatest(F.ceil(cutoff * n / (2 - cutoff) - 1e-9).cast("int"), F.lit(1))
-
-    def keys(head: Column) -> Column:
-        two = F.flatten(F.transform(head, lambda x, i: F.transform(F.slice(head, i + 2, F.size(head)), lambda y: F.concat(x, F.lit(" "), y))))
-        return F.when(need == 1, F.concat(two, head)).otherwise(two)
-
-    return F.element_at(F.transform(F.array(F.slice(items, 1, F.least(n, n - need + 2))), keys), 1)
-
-
-def pair_key(both: Column) -> Column:
-    """The key of two strings whose shared items are ``both``."""
-    return F.when(F.size(both) > 1, F.concat(F.get(both, F.lit(0)), F.lit(" "), F.get(both, F.lit(1)))).otherwise(F.get(both, F.lit(0)))
-
-
 def metaphone_code(word: str) -> str:
     """A Metaphone code: how a word sounds in English, as consonants."""
     w = "".join(c for c in word.lower() if c.isalpha())

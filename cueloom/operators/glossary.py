@@ -15,16 +15,14 @@ from pyspark.sql import functions as F
 
 from cueloom.functions import text as T
 from cueloom.functions.phrases import Phrases
-from cueloom.functions.similarity import gestalt_ratio, length_bound, letters, metaphone, pair_key, pair_keys, title_case
+from cueloom.functions.similarity import metaphone, title_case
+from cueloom.operators.nearest import nearest_names
 from cueloom.operators.ranks import rank_within
-from cueloom.sources.scratch import materialize, spread
 
 #: Rows of a glossary or word list up to which it is broadcast; beyond, joins shuffle.
 BROADCAST_ROWS = 200_000
 #: Tasks over which a show's texts are dealt where its phrases are too many to be broadcast.
 SPREAD = 64
-#: Names that are scored ahead of a search, of each trigram and for each token.
-SEEDS = 24
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -108,47 +106,16 @@ def english_gate(tokens: DataFrame, words: DataFrame) -> DataFrame:
     return tokens.join(small(words.select(F.lower("word").alias("low")).distinct()), "low", "left_anti")
 
 
-def _candidates(tokens: DataFrame, names: DataFrame, cutoff: Column, least: float, a: Column, b: Column) -> DataFrame:
-    """Pairs of a show's tokens and names with a score of ``cutoff`` (at least ``least``) or more, and
-    their score. Such pairs share two of the rarest letters of both (see ``pair_keys``), on which
-    they are joined; each comes from the key of its first two shared letters alone. Pairs whose
-    shared letters allow less than the cutoff are never compared."""
-    left = tokens.withColumn("__b", letters(b)).withColumn("__key", F.explode(pair_keys(F.col("__b"), cutoff)))
-    right = names.withColumn("__a", letters(a)).withColumn("__key", F.explode(pair_keys(F.col("__a"), F.lit(least))))
-    met = left.join(right, ["show", "__key"]).where(length_bound(a, b) >= cutoff).withColumn("__both", F.array_intersect("__a", "__b"))
-    met = met.where((F.col("__key") == pair_key(F.col("__both"))) & (2.0 * F.size("__both") / (F.size("__a") + F.size("__b")) >= cutoff)).drop("__a", "__b", "__both", "__key")
-    return spread(met).withColumn("score", gestalt_ratio(a, b)).where(F.col("score") >= cutoff)
-
-
-def _bounded(tokens: DataFrame, names: DataFrame, ident: Sequence[str], k: int, cutoff: Column, a: Column, b: Column) -> DataFrame:
-    """Tokens with __cut: a score of ``cutoff`` or more that the k best names of the show reach.
-
-    Names that share one of a token's rarest trigrams are scored first, some of each trigram; the k-th
-    best of these scores is what a name must have to be among the k best at all. So the search that
-    follows only looks for what is as good, and stops at far fewer letters. Which names are tried here
-    changes how much is searched, never what is found."""
-    grams = lambda s: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 2, F.lit(1))), lambda i: F.substr(s, i, F.lit(3))))
-    of_names = names.select("show", a.alias("__a"), F.explode(grams(a)).alias("__gram")).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("show", "__gram")))
-    first = Window.partitionBy("show", "__gram").orderBy(F.xxhash64("__a"), "__a")
-    tried = of_names.withColumn("__i", F.row_number().over(first)).where(F.col("__i") <= SEEDS).drop("__i")
-    met = tokens.select("show", *ident, b.alias("__b"), cutoff.alias("__cut"), F.explode(grams(b)).alias("__gram")).join(tried, ["show", "__gram"])
-    rarest = Window.partitionBy("show", *ident).orderBy("__n", "__gram", "__a")
-    pairs = met.withColumn("__i", F.row_number().over(rarest)).where(F.col("__i") <= SEEDS).select("show", *ident, "__cut", "__a", "__b").distinct()
-    scored = spread(pairs).withColumn("__score", gestalt_ratio(F.col("__a"), F.col("__b"))).where(F.col("__score") >= F.col("__cut"))
-    best = scored.groupBy("show", *ident).agg(F.sort_array(F.collect_list("__score"), asc=False).alias("__s")).select("show", *ident, F.get("__s", F.lit(k - 1)).alias("__bound"))
-    return tokens.join(best, ["show", *ident], "left").withColumn("__cut", F.greatest(cutoff, F.coalesce("__bound", cutoff))).drop("__bound")
-
-
 def fuzzy_names(tokens: DataFrame, names: DataFrame) -> DataFrame:
     """(show, core, low, name, score): the closest name above the length's cutoff, the larger name
     on a tie. A winner equal to the token, or one inserted or deleted letter away, is refused and
     not replaced."""
-    t = tokens.where((F.length("core") >= 4) & ~F.contains("core", F.lit("'"))).withColumn("__title", title_case("core"))
-    t, names = materialize(t, "tokens"), materialize(names.select("show", "name").distinct(), "names")
-    t = _bounded(t, names, ["core", "low"], 1, T.fuzzy_cutoff(F.length("core")), F.col("name"), F.col("__title"))
-    scored = _candidates(t, names, F.col("__cut"), T.LEAST_FUZZY_CUTOFF, F.col("name"), F.col("__title"))
-    best = scored.groupBy("show", "core", "low").agg(F.max(F.struct("score", "name")).alias("b")).select("show", "core", "low", "b.name", "b.score")
-    return best.where((F.lower("name") != F.col("low")) & ~T.one_indel(F.col("low"), F.lower("name")))
+    t = tokens.where((F.length("core") >= 4) & ~F.contains("core", F.lit("'"))).withColumn("text", title_case("core"))
+    cutoff = T.fuzzy_cutoff(F.length("core"))
+    best = nearest_names(t.groupBy("show", "text").agg(F.min(cutoff).alias("cutoff")), names.select("show", "name").distinct(), 1)
+    best = best.groupBy("show", "text").agg(F.max(F.struct("score", "name")).alias("b")).select("show", "text", "b.name", "b.score")
+    found = t.join(best, ["show", "text"]).where(F.col("score") >= cutoff).select("show", "core", "low", "name", "score")
+    return found.where((F.lower("name") != F.col("low")) & ~T.one_indel(F.col("low"), F.lower("name")))
 
 
 def phonetic_names(tokens: DataFrame, names: DataFrame) -> DataFrame:
@@ -191,7 +158,9 @@ def name_suspect(df: DataFrame, terms: DataFrame, words: DataFrame, ident: Seque
     tokens = distinct_tokens(df, text).where(F.length("core") >= 4)
     tokens = english_gate(tokens.join(names.select("show", F.lower("name").alias("low")), ["show", "low"], "left_anti"), words)
     upper = F.substring("core", 1, 1).rlike(r"^\p{Lu}")
-    near = _candidates(tokens.where(~upper).withColumn("__title", title_case("core")), names, F.lit(cutoff), cutoff, F.col("name"), F.col("__title")).select("show", "core").distinct()
+    low = tokens.where(~upper).withColumn("text", title_case("core"))
+    close = nearest_names(low.select("show", "text", F.lit(cutoff).alias("cutoff")).distinct(), names.select("show", F.col("name")).distinct(), 1)
+    near = low.join(close.select("show", "text").distinct(), ["show", "text"]).select("show", "core").distinct()
     odd = tokens.where(upper).select("show", "core").unionByName(near).withColumn("__odd", F.lit(True))
     exploded = df.select("show", *ident, F.explode(F.split(F.trim(F.col(text)), r"\s+")).alias("__tok")).withColumn("core", T.token_parts(F.col("__tok"))["core"])
     return exploded.join(small(odd), ["show", "core"], "left").groupBy("show", *ident).agg(F.coalesce(F.bool_or("__odd"), F.lit(False)).alias("suspect"))
@@ -228,14 +197,13 @@ def top_names(terms: DataFrame, counts: DataFrame, k: int = 30) -> DataFrame:
 
 def wiki_candidates(terms: DataFrame, titles: DataFrame, k: int = 6, cutoff: float = 0.62) -> DataFrame:
     """(show, term, title, score, rank): the k most similar titles, in the case seen first; of equal
-    scores the larger title. A term's k best need a score that some titles already have, so most pairs
-    are never compared."""
-    t = titles.withColumn("__low", F.lower("title")).groupBy("show", "__low").agg(F.min_by("title", "ord").alias("title"))
-    t, asked = materialize(t, "titles"), materialize(terms.select("show", "term", F.lower("term").alias("__term")), "terms")
-    asked = _bounded(asked, t, ["term"], k, F.lit(cutoff), F.col("__low"), F.col("__term"))
-    scored = _candidates(asked, t, F.col("__cut"), cutoff, F.col("__low"), F.col("__term"))
-    rank = F.row_number().over(Window.partitionBy("show", "term").orderBy(F.desc("score"), F.desc("__low")))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("show", "term", "title", "score", "rank")
+    scores the larger title."""
+    t = titles.groupBy("show", F.lower("title").alias("name")).agg(F.min_by("title", "ord").alias("title"))
+    asked = terms.select("show", "term", F.lower("term").alias("text"))
+    best = nearest_names(asked.select("show", "text", F.lit(cutoff).alias("cutoff")).distinct(), t, k)
+    rank = F.row_number().over(Window.partitionBy("show", "text").orderBy(F.desc("score"), F.desc("name")))
+    best = best.withColumn("rank", rank).where(F.col("rank") <= k)
+    return asked.join(best, ["show", "text"]).join(t, ["show", "name"]).select("show", "term", "title", "score", "rank")
 
 
 def pending_terms(terms: DataFrame, verified: DataFrame, force: bool = False) -> DataFrame:

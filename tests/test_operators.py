@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cueloom.functions import text as T
 from cueloom.functions.similarity import metaphone_code
 from cueloom.operators import gate, glossary, joins, library, ranks, reflow, repair, timing, tracks
+from cueloom.operators import nearest as names_nearest
 from cueloom.plans import adaptors
 from cueloom.plans.registry import QUERIES
 from cueloom.sources import readers, writers
@@ -245,7 +246,7 @@ def test_fuzzy_names_is_the_closest_match(spark):
 
 
 @pytest.mark.parametrize("cutoff", [0.62, 0.78, 0.84, 0.95])
-def test_name_pairs_are_those_of_a_nested_loop(spark, cutoff):
+def test_name_pairs_are_those_of_a_nested_loop(spark, monkeypatch, cutoff):
     r = random.Random(3)
     word = lambda most: "".join(r.choice("aabcdeeén 1") for _ in range(r.randint(0, most)))
     names = ["", "a", "ab", *[word(14) for _ in range(60)]]
@@ -253,10 +254,12 @@ def test_name_pairs_are_those_of_a_nested_loop(spark, cutoff):
     names, tokens = sorted(set(names)), sorted(set(tokens))
     left = spark.createDataFrame([(s, t) for s in ("s", "t") for t in tokens] + [("s", None)], "show string, low string")
     right = spark.createDataFrame([("s", n) for n in names] + [("t", names[5]), ("s", None)], "show string, name string")
-    got = glossary._candidates(left, right, F.lit(cutoff), cutoff, F.col("name"), F.col("low")).collect()
+    monkeypatch.setattr(names_nearest, "NAMES", 16)
+    monkeypatch.setattr(names_nearest, "STRINGS", 10)
+    got = names_nearest.nearest_names(left.select("show", F.col("low").alias("text"), F.lit(cutoff).alias("cutoff")), right).collect()
     close = lambda n, t: bool(n and t) and SequenceMatcher(None, n, t).ratio() >= cutoff
     want = [("s", t, n) for n in names for t in tokens if close(n, t)] + [("t", t, names[5]) for t in tokens if close(names[5], t)]
-    assert sorted((x["show"], x["low"], x["name"]) for x in got) == sorted(want)
+    assert sorted((x["show"], x["text"], x["name"]) for x in got) == sorted(want)
 
 
 def test_ranks_within_a_show(spark):
