@@ -4,6 +4,7 @@ import random
 import re
 from difflib import SequenceMatcher, get_close_matches
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,6 +15,7 @@ from cueloom.functions.similarity import metaphone_code
 from cueloom.operators import gate, glossary, joins, library, ranks, reflow, repair, timing, tracks
 from cueloom.operators import nearest as names_nearest
 from cueloom.plans import adaptors
+from cueloom.plans.library_queries import shouting_model
 from cueloom.plans.registry import QUERIES
 from cueloom.sources import readers, writers
 from cueloom.streaming import streams
@@ -322,6 +324,16 @@ def test_a_failing_model_stops_nothing(spark):
     assert got == {0: ("doog", None), 1: ("", "RuntimeError: no")}
 
 
+def test_capitals_are_those_of_the_sql():
+    import duckdb
+
+    letters = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and c != 10]
+    rows = pa.table({"i": range(len(letters)), "c": letters})  # noqa: F841  DuckDB reads it by its name
+    want = [r[0] for r in duckdb.connect().execute("select upper(c) from rows order by i").fetchall()]
+    assert [shouting_model()(f"Line: {c}") for c in letters] == want
+    assert shouting_model()("Names: x\nLine: daß") == "DAẞ"
+
+
 @pytest.mark.parametrize(("style", "text", "comment", "talk", "sign"), [
     ("Default", "hi", False, True, False), ("Default", r"{\an8}Top", False, False, False), ("Other", r"{\an8}Top", False, False, True), ("Other", r"{\an2}low", False, True, False), ("Song Translation", r"{\k20}la", False, False, False),
     ("Romaji", "la", False, False, True), ("Other", " ", False, False, False), ("Other", "x", True, False, False), ("Other", r"{\p1}m 0 0", False, True, True), ("Warning", "x", False, False, False)])
