@@ -12,7 +12,8 @@ certain distance meet with the chance that some segment happens to differ by at
 
 The general operator asks for a share of equal word shingles. Fingerprints within a wide distance
 then only form families, and the texts of a family are compared by their shingles themselves, in
-blocks of bounded size.
+blocks of bounded size. What fingerprints miss is found by prefixes of the shingles in one order for
+all texts, which texts with that share must have a shingle of in common, and is compared likewise.
 """
 
 from __future__ import annotations
@@ -47,6 +48,11 @@ BLOCK_TEXTS, BLOCK_BYTES = 256, 4 << 20
 #: Texts whose family members are looked up (60 bytes each) that are broadcast; more are joined by
 #: shuffle.
 BROADCAST_TEXTS = 200_000
+#: One text in so many is looked at for frequent shingles, which come last in the order of prefixes: those
+#: in so many texts of these, the most frequent ones up to a number that each task holds (8 bytes each).
+HOT_SHARE, HOT_TEXTS, HOT_SHINGLES = 32, 3, 1 << 20
+#: Up to this many texts with a prefix shingle in common make pairs; more are one family.
+PAIRED = 64
 #: Shingles whose hashes are held at a time.
 _CHUNK = 1 << 16
 #: Pairs of fingerprints that are compared in one step.
@@ -380,14 +386,96 @@ def shingle_links(docs: DataFrame, families: DataFrame, doc_id: str, text: str,
     return dealt.mapInArrow(lambda batches: _text_links(batches, similarity), "a string, b string").where("a <> b")
 
 
+def prefix(found: np.ndarray, hot: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of the sorted shingles ``found``, those in ``hot`` (sorted) last: as many as two texts
+    with at least this share of equal shingles need to have one of them in common."""
+    at = np.searchsorted(hot, found)
+    often = np.zeros(len(found), bool)
+    often[at < len(hot)] = hot[at[at < len(hot)]] == found[at < len(hot)]
+    least = int(np.ceil(similarity * len(found) - 1e-6))
+    return np.concatenate([found[~often], found[often]])[: len(found) - least + 1]
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, id, n), sorted -> each row once, of the h that more than one id has."""
+    def kept(rows: list[np.ndarray]) -> pa.RecordBatch:
+        h, own = rows[0], rows[1]
+        first = np.concatenate([[True], (h[1:] != h[:-1]) | (own[1:] != own[:-1])])
+        rows = [r[first] for r in rows]
+        same = rows[0][1:] == rows[0][:-1]
+        many = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        return pa.RecordBatch.from_arrays([pa.array(r[many]) for r in rows], names=["h", "id", "n"])
+
+    rest: list[np.ndarray] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        rows = [np.concatenate(r) for r in zip(rest, rows, strict=True)] if rest else rows
+        whole = int(np.searchsorted(rows[0], rows[0][-1]))
+        if whole:
+            yield kept([r[:whole] for r in rows])
+        rest = [r[whole:] for r in rows]
+    if rest:
+        yield kept(rest)
+
+
+def prefix_families(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, shingle: int, similarity: float, paired: int | None = None) -> DataFrame:
+    """(digest, least, family) of texts in different classes (digest, least, root) such that all pairs of
+    these with at least this share of equal shingles are in one family.
+
+    The order of shingles may be any that is the same for all texts; a sample tells which of them are
+    frequent, so that texts meet by rare ones as far as they have any.
+    """
+    paired = PAIRED if paired is None else paired
+    bodies = _bodies(docs, doc_id, text).select(F.xxhash64("digest").alias("id"), "body")
+
+    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = shingles(body.as_py(), shingle).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), own, np.int64))], names=["h", "id"])
+
+    looked = bodies.where(F.pmod("id", F.lit(HOT_SHARE)) == 0).dropDuplicates(["id"]).mapInArrow(all_of, "h long, id long")
+    often = looked.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_TEXTS).orderBy(F.desc("n"), "h").limit(HOT_SHINGLES).select("h")
+    hot = docs.sparkSession.sparkContext.broadcast(np.sort(often.toPandas()["h"].to_numpy(np.int64).view(np.uint64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a task's repeated texts
+        for batch in batches:
+            of, ids, sizes = [np.zeros(0, np.uint64)], [], []
+            for own, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if own in seen:
+                    continue
+                seen.add(own)
+                found = shingles(body.as_py(), shingle)
+                if len(found):
+                    of.append(prefix(found, hot.value, similarity))
+                    ids.append((own, len(of[-1])))
+                    sizes.append(len(found))
+            times = [n for _, n in ids]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(of).view(np.int64)), pa.array(np.repeat(np.array([i for i, _ in ids], np.int64), times)), pa.array(np.repeat(np.array(sizes, np.int32), times))], names=["h", "id", "n"])
+
+    met = bodies.mapInArrow(run, "h long, id long, n int").repartition("h").sortWithinPartitions("h", "id").mapInArrow(_shared, "h long, id long, n int")
+    met = materialize(met.join(classes.select(F.xxhash64("digest").alias("id"), "digest", "root"), "id").select("h", "digest", "root", "n"), "prefixes")
+    groups = materialize(met.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("digest").alias("first")).where("lo <> hi").select("h", "m", "first"), "prefix-groups")
+    few = met.join(groups.where(F.col("m") <= paired).select("h"), "h")
+    other = few.select("h", F.col("digest").alias("b"), F.col("root").alias("__root"), F.col("n").alias("__n"))
+    fits = F.least("n", "__n") >= similarity * F.greatest("n", "__n") - 1e-6
+    pairs = few.join(other, "h").where((F.col("root") < F.col("__root")) & fits).select(F.col("digest").alias("a"), "b").distinct()
+    stars = met.join(groups.where(F.col("m") > paired).select("h", "first"), "h").select(F.col("digest").alias("a"), F.col("first").alias("b")).distinct()
+    return classes.drop("root").join(connected_components(pairs.union(stars)), F.col("digest") == F.col("node")).select("digest", "least", F.col("root").alias("family"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS, bits: int = BITS, distance: int = DISTANCE,
                     segments: int | None = SEGMENTS, bucket: int = BUCKET, similarity: float | None = SIMILARITY) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row; linked rows, directly or through others,
     share the smallest doc_id of them.
 
-    Texts are linked if their share of equal shingles is at least ``similarity`` and their
-    fingerprints are in one family, that is within ``distance`` bits directly or through others.
-    Without a similarity, fingerprints within the distance link by themselves. ``segments``: None
+    Texts are linked if their share of equal shingles is at least ``similarity``. Those whose
+    fingerprints are in one family, that is within ``distance`` bits directly or through others, are
+    compared first, then those that are not linked by now and have a shingle of their prefixes in
+    common, as all with that share have. Without a similarity, fingerprints within the distance link by themselves. ``segments``: None
     for as many as let all pairs within the distance meet.
 
     Texts of fewer words than a shingle are one shingle; null and empty texts have the fingerprint
@@ -405,8 +493,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if similarity is not None:
         name, classes = "digest", materialize(classes, "classes")
         links = shingle_links(docs, classes.select("digest", "least", F.col("root").alias("family")), doc_id, text, shingle, similarity)
-        classes = classes.drop("root").join(connected_components(links), F.col("digest") == F.col("node"), "left").select("digest", "least", F.coalesce("root", "digest").alias("root"))
-    classes = materialize(classes, "classes")
+        alone = classes.drop("root")
+        of = lambda roots: materialize(alone.join(roots, F.col("digest") == F.col("node"), "left").select("digest", "least", F.coalesce("root", "digest").alias("root")), "classes")
+        classes = of(connected_components(links))
+        missed = shingle_links(docs, prefix_families(docs, classes, doc_id, text, shingle, similarity), doc_id, text, shingle, similarity)
+        classes = of(connected_components(classes.select(F.col("digest").alias("a"), F.col("root").alias("b")).union(missed)))
+    classes = classes if similarity is not None else materialize(classes, "classes")
     # Written before it is joined, so that a large component's rows can be split between tasks.
     least = materialize(classes.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     named = classes.join(least, "root").select(name, "component_id")

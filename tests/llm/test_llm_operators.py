@@ -205,6 +205,24 @@ def test_near_duplicates_against_shingles(spark, monkeypatch, blocks):
     assert sum(got[i] == got[j] for i, j in pairs) > 0.95 * len(pairs) > 100
 
 
+@pytest.mark.parametrize(("paired", "hot"), [(64, 3), (0, 3), (64, 1)])
+def test_pairs_that_fingerprints_miss_are_linked(spark, monkeypatch, paired, hot):
+    for name, value in (("PAIRED", paired), ("HOT_TEXTS", hot), ("HOT_SHARE", 2)):
+        monkeypatch.setattr(simhash, name, value)
+    r, texts = random.Random(11), []
+    while len(texts) < 12:
+        words = [f"w{r.random()}" for _ in range(49)]
+        cut_at = r.randrange(5, 45)
+        a, b = words, words[:cut_at] + ["other"] + words[cut_at + 1 :]
+        prints = [simhash.fingerprint(" ".join(x).encode(), bits=simhash.BITS) for x in (a, b)]
+        if share(*(shingle_set(" ".join(x)) for x in (a, b))) >= 0.8 and int(np.bitwise_count(prints[0] ^ prints[1]).sum()) > simhash.DISTANCE:
+            texts += [" ".join(a), " ".join(b)]
+    texts += ["", "a b", f"{texts[0]} and more words than would leave it alike to the first of them by far, as far as it goes"]
+    rows = documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(rows).collect()}
+    assert got == {i: i - i % 2 if i < 12 else i for i in range(len(texts))}
+
+
 def test_similar_against_sets():
     r = random.Random(5)
     sets = [np.unique(np.array([r.randrange(60) for _ in range(r.randrange(1, 60))], np.uint64)) for _ in range(40)] + [np.zeros(0, np.uint64)] * 2
