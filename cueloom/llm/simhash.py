@@ -50,7 +50,7 @@ BLOCK_TEXTS, BLOCK_BYTES = 256, 4 << 20
 BROADCAST_TEXTS = 200_000
 #: One text in so many is looked at for frequent shingles, which come last in the order of prefixes: those
 #: in so many texts of these, the most frequent ones up to a number that each task holds (8 bytes each).
-HOT_SHARE, HOT_TEXTS, HOT_SHINGLES = 32, 3, 1 << 20
+HOT_SHARE, HOT_TEXTS, HOT_SHINGLES = 16, 2, 1 << 20
 #: Up to this many texts with a prefix shingle in common make pairs; more are one family.
 PAIRED = 64
 #: Shingles whose hashes are held at a time.
@@ -356,6 +356,20 @@ def _text_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterato
         yield links()
 
 
+def _sets(docs: DataFrame, asked: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
+    """(family, digest, found) of the texts in ``asked`` (digest, least, family): their shingles' hashes."""
+    few = asked.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS
+    other = asked.withColumnsRenamed({"digest": "__digest"})
+    met = _bodies(docs, doc_id, text).join(F.broadcast(other) if few else other, (F.col("digest") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("least")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t.as_py(), shingle).tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["family", "digest", "found"])
+
+    return materialize(met.select("family", "digest", "body").mapInArrow(run, "family long, digest string, found binary"), "shingles")
+
+
 def shingle_links(docs: DataFrame, families: DataFrame, doc_id: str, text: str, shingle: int, similarity: float,
                   block_texts: int = BLOCK_TEXTS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Links (a, b) between the digests in ``families`` (digest, least, family) that connect all
@@ -366,16 +380,7 @@ def shingle_links(docs: DataFrame, families: DataFrame, doc_id: str, text: str,
     """
     sizes = materialize(families.groupBy("family").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("family"), "families")
     asked = materialize(families.join(sizes, "family").select("digest", "least", F.xxhash64("family").alias("family")), "family-members")
-    few = asked.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS
-    other = asked.withColumnsRenamed({"digest": "__digest"})
-    met = _bodies(docs, doc_id, text).join(F.broadcast(other) if few else other, (F.col("digest") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("least")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingles(t.as_py(), shingle).tobytes() for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["family", "digest", "found"])
-
-    sets = materialize(met.select("family", "digest", "body").mapInArrow(run, "family long, digest string, found binary"), "shingles")
+    sets = _sets(docs, asked, doc_id, text, shingle)
     blocks = sets.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_texts), F.ceil(F.sum(F.octet_length("found")) / block_bytes)).cast("int").alias("blocks")).where("blocks > 1")
     blocks = materialize(blocks, "family-blocks")
     n = blocks.limit(10_001).count()
@@ -397,14 +402,14 @@ def prefix(found: np.ndarray, hot: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, id, n), sorted -> each row once, of the h that more than one id has."""
+    """(h, id, n, at), sorted -> each row once, of the h that more than one id has."""
     def kept(rows: list[np.ndarray]) -> pa.RecordBatch:
         h, own = rows[0], rows[1]
         first = np.concatenate([[True], (h[1:] != h[:-1]) | (own[1:] != own[:-1])])
         rows = [r[first] for r in rows]
         same = rows[0][1:] == rows[0][:-1]
         many = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        return pa.RecordBatch.from_arrays([pa.array(r[many]) for r in rows], names=["h", "id", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(r[many]) for r in rows], names=["h", "id", "n", "at"])
 
     rest: list[np.ndarray] = []
     for batch in batches:
@@ -420,9 +425,42 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield kept(rest)
 
 
-def prefix_families(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, shingle: int, similarity: float, paired: int | None = None) -> DataFrame:
-    """(digest, least, family) of texts in different classes (digest, least, root) such that all pairs of
-    these with at least this share of equal shingles are in one family.
+def _pair_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """(a, side, digest, found), sorted, a itself first -> links (a, b) of those like a."""
+    own, of = None, np.zeros(0, np.uint64)
+    for batch in batches:
+        links = []
+        for a, side, digest, found in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            found = np.frombuffer(found, np.uint64)
+            if side == 0:
+                own, of = a, found
+                continue
+            common = len(np.intersect1d(of, found, assume_unique=True))
+            if own == a and common >= similarity * (len(of) + len(found) - common) - 1e-9:
+                links.append((a, digest))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.string()) for k in (0, 1)], names=["a", "b"])
+
+
+def prefix_links(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) between the digests of different classes that connect all pairs of these with at least
+    this share of equal shingles. Each candidate pair is compared by itself, by a's task; texts of a
+    group that is too large for pairs are compared as a family."""
+    pairs, stars = prefix_candidates(docs, classes, doc_id, text, shingle, similarity)
+    pairs = materialize(pairs, "prefix-pairs")
+    known = classes.drop("root")
+    asked = materialize(known.join(pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct(), "digest").withColumn("family", F.lit(0).cast("long")), "paired-texts")
+    sets = _sets(docs, asked, doc_id, text, shingle).select("digest", "found")
+    first = sets.join(pairs.select(F.col("a").alias("digest")).distinct(), "digest").select(F.col("digest").alias("a"), F.lit(0).alias("side"), "digest", "found")
+    second = sets.join(pairs.select("a", F.col("b").alias("digest")), "digest").select("a", F.lit(1).alias("side"), "digest", "found")
+    met = first.union(second).repartition("a").sortWithinPartitions("a", "side")
+    links = met.mapInArrow(lambda batches: _pair_links(batches, similarity), "a string, b string")
+    families = known.join(connected_components(stars), F.col("digest") == F.col("node")).select("digest", "least", F.col("root").alias("family"))
+    return links.union(shingle_links(docs, families, doc_id, text, shingle, similarity))
+
+
+def prefix_candidates(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, shingle: int, similarity: float, paired: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pairs, stars), (a, b) each, between digests of ``classes`` (digest, least, root): all texts of different
+    classes with at least this share of equal shingles are a pair, or connected by stars.
 
     The order of shingles may be any that is the same for all texts; a sample tells which of them are
     frequent, so that texts meet by rare ones as far as they have any.
@@ -432,11 +470,11 @@ def prefix_families(docs: DataFrame, classes: DataFrame, doc_id: str, text: str,
 
     def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for body in batch.column(1):
                 found = shingles(body.as_py(), shingle).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), own, np.int64))], names=["h", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(found)], names=["h"])
 
-    looked = bodies.where(F.pmod("id", F.lit(HOT_SHARE)) == 0).dropDuplicates(["id"]).mapInArrow(all_of, "h long, id long")
+    looked = bodies.where(F.pmod("id", F.lit(HOT_SHARE)) == 0).dropDuplicates(["id"]).mapInArrow(all_of, "h long")
     often = looked.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_TEXTS).orderBy(F.desc("n"), "h").limit(HOT_SHINGLES).select("h")
     hot = docs.sparkSession.sparkContext.broadcast(np.sort(often.toPandas()["h"].to_numpy(np.int64).view(np.uint64)))
 
@@ -454,17 +492,23 @@ def prefix_families(docs: DataFrame, classes: DataFrame, doc_id: str, text: str,
                     ids.append((own, len(of[-1])))
                     sizes.append(len(found))
             times = [n for _, n in ids]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(of).view(np.int64)), pa.array(np.repeat(np.array([i for i, _ in ids], np.int64), times)), pa.array(np.repeat(np.array(sizes, np.int32), times))], names=["h", "id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(of).view(np.int64)), pa.array(np.repeat(np.array([i for i, _ in ids], np.int64), times)), pa.array(np.repeat(np.array(sizes, np.int32), times)),
+                                                 pa.array(np.concatenate([np.zeros(0, np.int32), *[np.arange(t, dtype=np.int32) for t in times]]))], names=["h", "id", "n", "at"])
 
-    met = bodies.mapInArrow(run, "h long, id long, n int").repartition("h").sortWithinPartitions("h", "id").mapInArrow(_shared, "h long, id long, n int")
-    met = materialize(met.join(classes.select(F.xxhash64("digest").alias("id"), "digest", "root"), "id").select("h", "digest", "root", "n"), "prefixes")
+    row = "h long, id long, n int, at int"
+    met = bodies.mapInArrow(run, row).repartition("h").sortWithinPartitions("h", "id").mapInArrow(_shared, row)
+    met = materialize(met.join(classes.select(F.xxhash64("digest").alias("id"), "digest", "root"), "id").select("h", "digest", "root", "n", "at"), "prefixes")
     groups = materialize(met.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("digest").alias("first")).where("lo <> hi").select("h", "m", "first"), "prefix-groups")
     few = met.join(groups.where(F.col("m") <= paired).select("h"), "h")
-    other = few.select("h", F.col("digest").alias("b"), F.col("root").alias("__root"), F.col("n").alias("__n"))
+    other = few.select("h", F.col("digest").alias("b"), F.col("root").alias("__root"), F.col("n").alias("__n"), F.col("at").alias("__at"))
     fits = F.least("n", "__n") >= similarity * F.greatest("n", "__n") - 1e-6
-    pairs = few.join(other, "h").where((F.col("root") < F.col("__root")) & fits).select(F.col("digest").alias("a"), "b").distinct()
+    both = few.join(other, "h").where((F.col("root") < F.col("__root")) & fits).groupBy(F.col("digest").alias("a"), "b", "n", "__n").agg(F.count(F.lit(1)).alias("c"), F.max("at").alias("i"), F.max("__at").alias("j"))
+    # All shingles in common up to the last one of the prefixes are counted, so no more than what is behind
+    # it in either text can be in common besides; where a large group is left out, it has the pair.
+    most = F.col("c") + F.least(F.col("n") - F.col("i"), F.col("__n") - F.col("j")) - 1
+    pairs = both.where(most >= similarity / (1 + similarity) * (F.col("n") + F.col("__n")) - 1e-6).select("a", "b")
     stars = met.join(groups.where(F.col("m") > paired).select("h", "first"), "h").select(F.col("digest").alias("a"), F.col("first").alias("b")).distinct()
-    return classes.drop("root").join(connected_components(pairs.union(stars)), F.col("digest") == F.col("node")).select("digest", "least", F.col("root").alias("family"))
+    return pairs, stars
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS, bits: int = BITS, distance: int = DISTANCE,
@@ -496,7 +540,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         alone = classes.drop("root")
         of = lambda roots: materialize(alone.join(roots, F.col("digest") == F.col("node"), "left").select("digest", "least", F.coalesce("root", "digest").alias("root")), "classes")
         classes = of(connected_components(links))
-        missed = shingle_links(docs, prefix_families(docs, classes, doc_id, text, shingle, similarity), doc_id, text, shingle, similarity)
+        missed = prefix_links(docs, classes, doc_id, text, shingle, similarity)
         classes = of(connected_components(classes.select(F.col("digest").alias("a"), F.col("root").alias("b")).union(missed)))
     classes = classes if similarity is not None else materialize(classes, "classes")
     # Written before it is joined, so that a large component's rows can be split between tasks.
