@@ -11,6 +11,10 @@ from cueloom.functions import text as T
 from cueloom.operators.joins import KEYS
 
 
+#: Texts whose n-grams one task counts, on average.
+DEALT = 2048
+
+
 def gate(cards: DataFrame, blocklist: list[str] | None = None) -> DataFrame:
     """Adds drop_reason and flag."""
     return cards.withColumns({"drop_reason": T.drop_reason(F.col("text"), F.col("no_speech_prob"), F.col("avg_logprob"), blocklist),
@@ -34,8 +38,10 @@ def collapse_runs(cards: DataFrame, min_run: int = 4, keys: Sequence[str] = KEYS
 
 def max_ngram_share(cards: DataFrame, k: int, ident: Sequence[str] = (*KEYS, "card_no"), text: str = "text") -> DataFrame:
     """(ident, tokens, top): tokens of each text and the count of its most frequent k-gram, by
-    grouping; for texts too long for arrays of n-grams."""
-    tokens = cards.select(*ident, F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9']+"), F.lit(0)).alias("__t"))
+    grouping; for texts too long for arrays of n-grams. Rows are dealt by ``ident`` before they are taken
+    apart, so texts are shuffled, and no n-grams."""
+    n = max(int(cards.sparkSession.conf.get("spark.sql.shuffle.partitions")), cards.count() // DEALT)
+    tokens = cards.select(*ident, text).repartition(n, *ident).select(*ident, F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9']+"), F.lit(0)).alias("__t"))
     grams = tokens.where(F.size("__t") >= k).select(*ident, F.size("__t").alias("tokens"), F.explode(F.sequence(F.lit(1), F.size("__t") - k + 1)).alias("__i"), "__t")
     counted = grams.groupBy(*ident, "tokens", F.array_join(F.slice("__t", F.col("__i"), F.lit(k)), " ").alias("__gram")).agg(F.count(F.lit(1)).alias("n"))
     return counted.groupBy(*ident, "tokens").agg(F.max("n").alias("top"))
