@@ -18,6 +18,7 @@ from cueloom.functions.phrases import Phrases
 from cueloom.functions.similarity import metaphone, title_case
 from cueloom.operators.nearest import nearest_names
 from cueloom.operators.ranks import rank_within
+from cueloom.sources.scratch import materialize
 
 #: Rows of a glossary or word list up to which it is broadcast; beyond, joins shuffle.
 BROADCAST_ROWS = 200_000
@@ -134,7 +135,7 @@ def correction_table(tokens: DataFrame, terms: DataFrame, fixes: DataFrame, word
     rest = tokens.join(fixes.where("kind = 'token'").select("show", F.col("key").alias("low")), ["show", "low"], "left_anti")
     rest = rest.join(names.select("show", F.lower("name").alias("low")), ["show", "low"], "left_anti")
     rest = english_gate(rest, words)
-    fuzzy = fuzzy_names(rest, names)
+    fuzzy = materialize(fuzzy_names(rest, names), "fuzzy")
     heard = phonetic_names(rest.join(fuzzy.select("show", "core"), ["show", "core"], "left_anti"), names)
     return listed.unionByName(fuzzy.select("show", "core", F.col("name").alias("fixed"))).unionByName(heard.select("show", "core", F.col("name").alias("fixed")))
 
@@ -143,7 +144,7 @@ def correct_names(df: DataFrame, terms: DataFrame, fixes: DataFrame, words: Data
     """(ident, show, text, n): texts with corrected names, single spaces between tokens, and the
     number of changes. ``ident`` identifies a row."""
     staged = phrase_fixes(df.select("show", *ident, text), fixes, text)
-    table = correction_table(distinct_tokens(staged, text), terms, fixes, words)
+    table = materialize(correction_table(materialize(distinct_tokens(staged, text), "tokens"), terms, fixes, words), "corrections")  # counted, then joined
     tokens = staged.select("show", *ident, "n", F.posexplode(F.split(F.trim(F.col(text)), r"\s+")).alias("__pos", "__tok")).withColumn("__p", T.token_parts(F.col("__tok")))
     joined = tokens.withColumn("core", F.col("__p.core")).join(small(table), ["show", "core"], "left")
     new = F.when(F.col("fixed").isNotNull(), F.concat("__p.pre", "fixed", "__p.post")).otherwise(F.col("__tok"))
@@ -156,12 +157,12 @@ def name_suspect(df: DataFrame, terms: DataFrame, words: DataFrame, ident: Seque
     name."""
     names = terms.where("kind = 'name'").select("show", "ord", F.col("term").alias("name"))
     tokens = distinct_tokens(df, text).where(F.length("core") >= 4)
-    tokens = english_gate(tokens.join(names.select("show", F.lower("name").alias("low")), ["show", "low"], "left_anti"), words)
+    tokens = materialize(english_gate(tokens.join(names.select("show", F.lower("name").alias("low")), ["show", "low"], "left_anti"), words), "tokens")
     upper = F.substring("core", 1, 1).rlike(r"^\p{Lu}")
     low = tokens.where(~upper).withColumn("text", title_case("core"))
     close = nearest_names(low.select("show", "text", F.lit(cutoff).alias("cutoff")).distinct(), names.select("show", F.col("name")).distinct(), 1)
     near = low.join(close.select("show", "text").distinct(), ["show", "text"]).select("show", "core").distinct()
-    odd = tokens.where(upper).select("show", "core").unionByName(near).withColumn("__odd", F.lit(True))
+    odd = materialize(tokens.where(upper).select("show", "core").unionByName(near).withColumn("__odd", F.lit(True)), "odd")  # counted, then joined
     exploded = df.select("show", *ident, F.explode(F.split(F.trim(F.col(text)), r"\s+")).alias("__tok")).withColumn("core", T.token_parts(F.col("__tok"))["core"])
     return exploded.join(small(odd), ["show", "core"], "left").groupBy("show", *ident).agg(F.coalesce(F.bool_or("__odd"), F.lit(False)).alias("suspect"))
 
