@@ -524,10 +524,10 @@ def _names(spark, sf_dir):
     return rank_within(m.select("show", "term"), "show", ["term"], "ord").select("show", F.lit("name").alias("kind"), "ord", "term")
 
 
-def _misspelt(spark, sf_dir):
+def _misspelt(names):
     t = F.col("term")
     swap = F.concat(F.substring(t, 1, 2), F.substring(t, 4, 1), F.substring(t, 3, 1), F.expr("substring(term, 5)"))
-    return _names(spark, sf_dir).select("show", F.col("ord").alias("line"), F.concat(F.lit("then "), swap, F.lit(", and "), t).alias("text"))
+    return names.select("show", F.col("ord").alias("line"), F.concat(F.lit("then "), swap, F.lit(", and "), t).alias("text"))
 
 
 def _no_fixes(spark):
@@ -536,19 +536,20 @@ def _no_fixes(spark):
 
 @query()
 def fuzzy_names(spark, sf_dir):
-    names = _names(spark, sf_dir).select("show", "ord", F.col("term").alias("name"))
-    return G.fuzzy_names(G.distinct_tokens(_misspelt(spark, sf_dir)), names)
+    names = _names(spark, sf_dir)
+    return G.fuzzy_names(G.distinct_tokens(_misspelt(names)), names.select("show", "ord", F.col("term").alias("name")))
 
 
 @query()
 def phonetic_names(spark, sf_dir):
-    names = _names(spark, sf_dir).select("show", "ord", F.col("term").alias("name"))
-    return G.phonetic_names(G.distinct_tokens(_misspelt(spark, sf_dir)), names)
+    names = _names(spark, sf_dir)
+    return G.phonetic_names(G.distinct_tokens(_misspelt(names)), names.select("show", "ord", F.col("term").alias("name")))
 
 
 @query()
 def correct_names(spark, sf_dir):
-    return G.correct_names(_misspelt(spark, sf_dir), _names(spark, sf_dir), _no_fixes(spark), _deny(spark, sf_dir), ["line"])
+    names = _names(spark, sf_dir)
+    return G.correct_names(_misspelt(names), names, _no_fixes(spark), _deny(spark, sf_dir), ["line"])
 
 
 def _suspects(spark, sf_dir):
