@@ -401,28 +401,57 @@ def prefix(found: np.ndarray, hot: np.ndarray, similarity: float) -> np.ndarray:
     return np.concatenate([found[~often], found[often]])[: len(found) - least + 1]
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, id, n, at), sorted -> each row once, of the h that more than one id has."""
-    def kept(rows: list[np.ndarray]) -> pa.RecordBatch:
-        h, own = rows[0], rows[1]
+class _Prefixes:
+    """Finds the texts that meet by a shingle of their prefixes."""
+
+    #: a and b are texts; n and m their numbers of shingles, i and j the shingle's places in their prefixes. A star
+    #: has b as its middle and zeros.
+    ROW = "a long, b long, n int, m int, i int, j int"
+
+    def __init__(self, similarity: float, paired: int):
+        self.similarity, self.paired = similarity, paired
+
+    def met(self, h: np.ndarray, own: np.ndarray, root: np.ndarray, n: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by h and own, all of an h. Up to ``paired`` texts make pairs, more a star."""
         first = np.concatenate([[True], (h[1:] != h[:-1]) | (own[1:] != own[:-1])])
-        rows = [r[first] for r in rows]
-        same = rows[0][1:] == rows[0][:-1]
-        many = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        return pa.RecordBatch.from_arrays([pa.array(r[many]) for r in rows], names=["h", "id", "n", "at"])
+        h, own, root, n, at = (c[first] for c in (h, own, root, n, at))
+        begins = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        sizes = np.diff(np.append(begins, len(h)))
+        size, end, middle = np.repeat(sizes, sizes), np.repeat(begins + sizes, sizes), np.repeat(begins, sizes)
+        apart = np.repeat(np.minimum.reduceat(root, begins) != np.maximum.reduceat(root, begins), sizes)
+        star = np.flatnonzero(apart & (size > self.paired) & (own != own[middle]))
+        if len(star):
+            none = np.zeros(len(star), np.int32)
+            yield self._batch(own[star], own[middle[star]], none, none, none, none)
+        x = np.flatnonzero(apart & (size <= self.paired))
+        for step in range(1, self.paired):
+            x = x[x + step < end[x]]
+            if not len(x):
+                break
+            y = x + step
+            fits = (root[x] != root[y]) & (np.minimum(n[x], n[y]) >= self.similarity * np.maximum(n[x], n[y]) - 1e-6)
+            a, b = x[fits], y[fits]
+            if len(a):
+                a, b = np.where(root[a] < root[b], a, b), np.where(root[a] < root[b], b, a)
+                yield self._batch(own[a], own[b], n[a], n[b], at[a], at[b])
 
-    rest: list[np.ndarray] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        rows = [np.concatenate(r) for r in zip(rest, rows, strict=True)] if rest else rows
-        whole = int(np.searchsorted(rows[0], rows[0][-1]))
-        if whole:
-            yield kept([r[:whole] for r in rows])
-        rest = [r[whole:] for r in rows]
-    if rest:
-        yield kept(rest)
+    def _batch(self, *columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "n", "m", "i", "j"])
+
+    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches sorted by h; an h may go on in the next batch."""
+        rest: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            whole = int(np.searchsorted(rows[0], rows[0][-1]))
+            if whole or rest and rest[-1][0][-1] != rows[0][0]:
+                yield from self.met(*[np.concatenate(c) for c in zip(*rest, [c[:whole] for c in rows], strict=True)])
+                rest = []
+            rest.append([c[whole:] for c in rows])
+        if rest:
+            yield from self.met(*[np.concatenate(c) for c in zip(*rest, strict=True)])
 
 
 def _pair_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
@@ -481,34 +510,32 @@ def prefix_candidates(docs: DataFrame, classes: DataFrame, doc_id: str, text: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a task's repeated texts
         for batch in batches:
-            of, ids, sizes = [np.zeros(0, np.uint64)], [], []
+            ids, sizes, of = [], [], []
             for own, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if own in seen:
                     continue
                 seen.add(own)
                 found = shingles(body.as_py(), shingle)
                 if len(found):
-                    of.append(prefix(found, hot.value, similarity))
-                    ids.append((own, len(of[-1])))
+                    ids.append(own)
                     sizes.append(len(found))
-            times = [n for _, n in ids]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(of).view(np.int64)), pa.array(np.repeat(np.array([i for i, _ in ids], np.int64), times)), pa.array(np.repeat(np.array(sizes, np.int32), times)),
-                                                 pa.array(np.concatenate([np.zeros(0, np.int32), *[np.arange(t, dtype=np.int32) for t in times]]))], names=["h", "id", "n", "at"])
-
-    row = "h long, id long, n int, at int"
-    met = bodies.mapInArrow(run, row).repartition("h").sortWithinPartitions("h", "id").mapInArrow(_shared, row)
-    met = materialize(met.join(classes.select(F.xxhash64("digest").alias("id"), "digest", "root"), "id").select("h", "digest", "root", "n", "at"), "prefixes")
-    groups = materialize(met.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("digest").alias("first")).where("lo <> hi").select("h", "m", "first"), "prefix-groups")
-    few = met.join(groups.where(F.col("m") <= paired).select("h"), "h")
-    other = few.select("h", F.col("digest").alias("b"), F.col("root").alias("__root"), F.col("n").alias("__n"), F.col("at").alias("__at"))
-    fits = F.least("n", "__n") >= similarity * F.greatest("n", "__n") - 1e-6
-    both = few.join(other, "h").where((F.col("root") < F.col("__root")) & fits).groupBy(F.col("digest").alias("a"), "b", "n", "__n").agg(F.count(F.lit(1)).alias("c"), F.max("at").alias("i"), F.max("__at").alias("j"))
+                    of.append(prefix(found, hot.value, similarity).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(of, pa.list_(pa.int64()))], names=["id", "n", "hs"])
+
+    # Texts and their classes are numbers here, and the class joins the text before this becomes a row for each
+    # shingle: nothing else of that size is shuffled or written. A text that is alone has its own number as root.
+    ids = classes.select(F.xxhash64("digest").alias("id"), F.xxhash64("root").alias("root"))
+    rows = bodies.mapInArrow(run, "id long, n int, hs array<long>").join(ids, "id").select("id", "root", "n", F.posexplode("hs").alias("at", "h"))
+    met = rows.select("h", "id", "root", "n", "at").repartition("h").sortWithinPartitions("h", "id").mapInArrow(_Prefixes(similarity, paired).run, _Prefixes.ROW)
+    both = met.groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("c"), F.max("i").alias("i"), F.max("j").alias("j"))
     # All shingles in common up to the last one of the prefixes are counted, so no more than what is behind
     # it in either text can be in common besides; where a large group is left out, it has the pair.
-    most = F.col("c") + F.least(F.col("n") - F.col("i"), F.col("__n") - F.col("j")) - 1
-    pairs = both.where(most >= similarity / (1 + similarity) * (F.col("n") + F.col("__n")) - 1e-6).select("a", "b")
-    stars = met.join(groups.where(F.col("m") > paired).select("h", "first"), "h").select(F.col("digest").alias("a"), F.col("first").alias("b")).distinct()
-    return pairs, stars
+    most = F.col("c") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - 1
+    enough = most >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-6
+    both = materialize(both.where((F.col("n") == 0) | enough).select("a", "b", (F.col("n") == 0).alias("star")), "prefix-met")
+    name = lambda c: classes.select(F.xxhash64("digest").alias(c), F.col("digest").alias(f"__{c}"))
+    named = both.join(name("a"), "a").join(name("b"), "b").select(F.col("__a").alias("a"), F.col("__b").alias("b"), "star")
+    return named.where("not star").select("a", "b"), named.where("star").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS, bits: int = BITS, distance: int = DISTANCE,

@@ -695,3 +695,32 @@ def test_markov_finds_a_bare_random_string(spark):
     texts = ["see " + "".join(r.choices(chars, k=40)), "see " + re.sub("[^a-z]", "", words(8))]
     out = {x["doc_id"]: [s["kind"] for s in x["spans"]] for x in secrets.scan(documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), model).collect()}
     assert out == {0: ["markov"], 1: []}
+
+
+@pytest.mark.parametrize("paired", [64, 3])
+def test_prefix_candidates_write_no_row_a_shingle(spark, monkeypatch, paired):
+    """All pairs of 0.8 or more are found, with pairs alone and with stars, and what is written does not grow
+    with the shingles that texts have in common."""
+    rng = np.random.default_rng(7)
+    base = [[f"w{w}" for w in rng.integers(0, 5000, 300)] for _ in range(4)]
+    texts = [" ".join(w if k != 40 * j + 7 else f"x{j}" for k, w in enumerate(b)) for b in base for j in range(6)] + ["", "one", "one two three"]
+    docs = spark.createDataFrame(list(enumerate([*texts, *texts[:5]])), "doc_id long, text string")
+    written, write = [], simhash.materialize
+
+    def materialize(df, name):
+        written.append(write(df, name))
+        return written[-1]
+
+    classes = simhash._bodies(docs, "doc_id", "text").groupBy("digest").agg(F.min("doc_id").alias("least")).withColumn("root", F.col("digest")).localCheckpoint()
+    monkeypatch.setattr(simhash, "materialize", materialize)
+    pairs, stars = simhash.prefix_candidates(docs, classes, "doc_id", "text", 5, 0.8, paired)
+    at = {r["digest"]: r["least"] for r in classes.collect()}
+    root = {i: i for i in at.values()}
+    find = lambda x: x if root[x] == x else find(root[x])
+    for r in stars.collect():
+        root[find(at[r["a"]])] = find(at[r["b"]])
+    met = {frozenset((at[r["a"]], at[r["b"]])) for r in pairs.collect()}
+    sets = {i: set(simhash.shingles(texts[i].encode(), 5).tolist()) for i in root}
+    near = [(a, b) for a in sets for b in sets if a < b and sets[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert len(near) == 60 and all({*p} in met or find(p[0]) == find(p[1]) for p in near)
+    assert sum(df.count() for df in written) <= 2 * len(near)
