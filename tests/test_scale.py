@@ -300,3 +300,44 @@ def test_bounds_of_two_letters_leave_few_pairs_and_lose_none():
     mixed = ["".join(r.sample(word, 12)) for _ in range(1000)]
     i, _, _ = nearest.candidates(nearest.Block([word]), nearest.Block([*mixed, word[:-1] + "m"]), np.array([0.78]))
     assert len(i) < 20
+
+
+def noisy_points(seed, n):
+    """A line with a quarter of its points elsewhere."""
+    rng = np.random.default_rng(seed)
+    x = np.arange(n) * 3.5
+    return x, np.where(rng.random(n) < 0.25, rng.uniform(-4, 4, n), 0.2 + 0.0005 * x + rng.uniform(-0.2, 0.2, n))
+
+
+def test_fits_pass_no_arrays_of_points_to_python(spark):
+    """Ordinary episodes reach Python as points, so its memory does not grow with the episodes in a batch."""
+    rows = [("s", e, k, *map(float, p)) for e in range(40) for k, p in enumerate(zip(*noisy_points(e, 30 + 5 * e), strict=True))]
+    fit = timing.ransac_fit(spark.createDataFrame(rows, "show string, episode long, x_order long, x double, y double"))
+    plan = fit._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan and "collect_list" not in plan.lower()
+    got = {r["episode"]: r for r in fit.collect()}
+    for e in (0, 5, 39):
+        x, y = noisy_points(e, 30 + 5 * e)
+        n, i, j = timing._consensus(x, y, 0.3 + 1e-9) if len(x) <= 60 else timing._sampled(x, y, 0.3 + 1e-9, 200)
+        b = (y[j] - y[i]) / (x[j] - x[i])
+        use = np.abs(y - (y[i] - b * x[i] + b * x)) <= 0.3 + 1e-9
+        assert got[e]["inliers"] == n == use.sum() and np.allclose([got[e]["drift_b"], got[e]["offset_a"]], np.polyfit(x[use], y[use], 1))
+
+
+def test_fits_of_longer_episodes_are_the_same(spark, monkeypatch):
+    """Those that no task may hold, by blocks and ranks."""
+    rows = [("s", e, k, *map(float, p)) for e in range(6) for k, p in enumerate(zip(*noisy_points(e, 100 + 100 * e), strict=True))]
+    pairs = spark.createDataFrame(rows, "show string, episode long, x_order long, x double, y double")
+    whole = sorted(timing.ransac_fit(pairs).collect())
+    monkeypatch.setattr(timing, "WHOLE", 250)
+    for a, b in zip(whole, sorted(timing.ransac_fit(pairs).collect()), strict=True):
+        assert a[:2] == b[:2] and a["inliers"] == b["inliers"] > 60 and np.allclose(a[2:8], b[2:8])
+
+
+def test_bins_of_slopes_skip_most_sweeps(monkeypatch):
+    x, y = noisy_points(3, 600)
+    sweeps, sort = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, side="left": sweeps.append(len(a)) or sort(a, v, side=side))
+    found = timing._consensus(x, y, 0.3)
+    assert found == all_lines(x, y, 0.3)
+    assert sum(n > len(timing._STEPS) for n in sweeps) < 600
