@@ -34,12 +34,19 @@ def read_transcripts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return words.select("show", "episode", pos.alias("pos"), F.col("w.word").alias("text"), "w.start", "w.end", F.coalesce(F.nullif("w.probability", F.lit(0.0)), F.lit(1.0)).alias("prob"), "seg"), segments
 
 
-def read_conf(spark: SparkSession, path: str, episodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def text_files(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    """(path, file, value): every text file below ``path``, or in its pack (``write_bodies``), whole."""
+    if packed:
+        return spark.read.schema("path string, value string").parquet(path).select("path", F.regexp_extract("path", "[^/]*$", 0).alias("file"), "value")
+    return spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), "value")
+
+
+def read_conf(spark: SparkSession, path: str, episodes: DataFrame, packed: bool = False) -> tuple[DataFrame, DataFrame]:
     """(status, cards) of files <episode>.dubtitles.conf.json, or of those in folders
     episode=<episode>, each a JSON list. Status is no-conf, bad-conf or ok; rows without a valid span
     are left out."""
-    named = F.coalesce(*[F.nullif(F.regexp_extract("_metadata.file_path", p, 1), F.lit("")) for p in (r"/([^/]*)\.dubtitles\.conf\.json$", "/episode=([^/]*)/[^/]*$")])
-    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(named.alias("episode"), F.trim("value").alias("body"))
+    named = F.coalesce(*[F.nullif(F.regexp_extract("path", p, 1), F.lit("")) for p in (r"/([^/]*)\.dubtitles\.conf\.json$", "/episode=([^/]*)/[^/]*$")])
+    files = text_files(spark, path, packed).select(named.alias("episode"), F.trim("value").alias("body"))
     # Element by element, so that one that is no object spoils no other.
     parsed = files.withColumn("rows", F.when(F.startswith("body", F.lit("[")), F.from_json("body", "array<string>")))
     status = episodes.join(parsed.select("episode", F.lit(True).alias("__there"), "rows"), "episode", "left")
@@ -60,16 +67,15 @@ def plain_text(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(bare, r"\\[Nn]", "\n"), r"\\h", " ")
 
 
-def _subtitle_files(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", "\r\n?", "\n").alias("body"), F.contains("value", F.lit("[Events]")).alias("is_ass"))
+def _subtitle_files(spark: SparkSession, path: str, packed: bool) -> DataFrame:
+    return text_files(spark, path, packed).select("path", "file", F.regexp_replace("value", "\r\n?", "\n").alias("body"), F.contains("value", F.lit("[Events]")).alias("is_ass"))
 
 
-def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
+def read_subtitles(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
     """(path, file, ev_no, layer, start_ms, end_ms, style, text, plaintext, is_comment) of SRT and ASS
     files below ``path``; what is neither has no events. In SRT a cue ends where the next one's number
     and times begin, so its text may hold blank lines."""
-    files = _subtitle_files(spark, path)
+    files = _subtitle_files(spark, path, packed)
     lines = files.where("is_ass").select("path", "file", F.posexplode(F.split("body", "\n")).alias("ev_no", "line")).where(F.col("line").rlike("^(Dialogue|Comment):"))
     f = F.split(F.regexp_replace("line", r"^(Dialogue|Comment):\s*", ""), ",", 10)
     at = lambda i: F.trim(F.get(f, F.lit(i)))
@@ -82,11 +88,11 @@ def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
     return both.withColumn("plaintext", plain_text(F.col("text")))
 
 
-def read_styles(spark: SparkSession, path: str) -> DataFrame:
+def read_styles(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
     """(path, file, ord, style, fontname, fontsize) of the style lines of ASS files below ``path``, in
     their order; the file's own Format line says where name, font and size stand, without one they come
     first."""
-    lines = _subtitle_files(spark, path).where("is_ass").select("path", "file", F.split("body", "\n").alias("l"))
+    lines = _subtitle_files(spark, path, packed).where("is_ass").select("path", "file", F.split("body", "\n").alias("l"))
     section = F.element_at(F.split(F.element_at(F.split(F.array_join("l", "\n"), r"(?m)^\[V4\+? Styles\+?\][ \t]*$", 2), -1), r"(?m)^\[Events\]", 2), 1)
     cells = lambda c, head: F.transform(F.split(F.regexp_replace(c, f"^{head}:\\s*", ""), ","), lambda x: F.trim(x))
     rows = lines.withColumn("l", F.split(section, "\n"))
@@ -97,18 +103,18 @@ def read_styles(spark: SparkSession, path: str) -> DataFrame:
     return each.select("path", "file", "ord", of("name").alias("style"), of("fontname").alias("fontname"), of("fontsize").try_cast("double").alias("fontsize"))
 
 
-def read_tracks(spark: SparkSession, path: str) -> DataFrame:
+def read_tracks(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
     """(path, file, kind, play_res_x, play_res_y, wrap_style, styles, events, status) of every file below
     ``path``, a track each. kind is ass, srt or null; the canvas is what the script's info says, the
     first of repeated lines. status: ok, no-events for a script or cue file without any event that can
     be read, and bad-file for what is neither."""
-    files = _subtitle_files(spark, path)
+    files = _subtitle_files(spark, path, packed)
     info = lambda name: F.nullif(F.regexp_extract("body", rf"(?mi)^{name}[ \t]*:[ \t]*(\S+)[ \t]*$", 1), F.lit("")).try_cast("long")
     cues = F.regexp_count("body", F.lit(r"(?m)^[ \t]*\d+:\d+:\d+[.,]\d+\s*-->\s*\d+:\d+:\d+[.,]\d+"))
     kind = F.when(F.col("is_ass"), "ass").when(cues > 0, "srt")
     tracks = files.select("path", "file", kind.alias("kind"), *[F.when(F.col("is_ass"), info(n)).alias(c) for n, c in (("PlayResX", "play_res_x"), ("PlayResY", "play_res_y"), ("WrapStyle", "wrap_style"))])
-    events = read_subtitles(spark, path).groupBy("path").agg(F.count(F.lit(1)).alias("events"))
-    styles = read_styles(spark, path).groupBy("path").agg(F.count(F.lit(1)).alias("styles"))
+    events = read_subtitles(spark, path, packed).groupBy("path").agg(F.count(F.lit(1)).alias("events"))
+    styles = read_styles(spark, path, packed).groupBy("path").agg(F.count(F.lit(1)).alias("styles"))
     out = tracks.join(styles, "path", "left").join(events, "path", "left").na.fill(0, ["styles", "events"])
     status = F.when(F.col("kind").isNull(), "bad-file").when(F.col("events") == 0, "no-events").otherwise("ok")
     return out.select("path", "file", "kind", "play_res_x", "play_res_y", "wrap_style", "styles", "events", status.alias("status"))

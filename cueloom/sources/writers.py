@@ -26,10 +26,21 @@ def render_srt(cards: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return out.select(*keys, F.array_join(F.transform("__r", one), "").alias("body"))
 
 
-def write_srt(cards: DataFrame, path: str, existing: DataFrame | None = None, keys: Sequence[str] = KEYS) -> None:
-    """Text files below show=/episode= folders; episodes in ``existing`` (keys) are left alone."""
+def write_bodies(bodies: DataFrame, path: str, keys: Sequence[str] = KEYS, packed: bool = False) -> None:
+    """A text file for each row (keys, body), below folders of its keys. A file costs its file system far more
+    than its few bytes do, so that many are ``packed``: rows (path, value) of Parquet files, whole texts
+    under the paths that they would have; readers take either."""
+    if packed:
+        level = lambda k: F.concat(F.lit(f"/{k}="), F.replace(F.col(k).cast("string"), F.lit("/"), F.lit("%2F")))
+        bodies.select(F.concat(*[level(k) for k in keys], F.lit("/body.txt")).alias("path"), F.col("body").alias("value")).write.mode("append").parquet(path)
+    else:
+        bodies.write.partitionBy(*keys).option("lineSep", "\n").mode("append").text(path)
+
+
+def write_srt(cards: DataFrame, path: str, existing: DataFrame | None = None, keys: Sequence[str] = KEYS, packed: bool = False) -> None:
+    """Text files below show=/episode= folders, or ``packed``; episodes in ``existing`` (keys) are left alone."""
     todo = cards.join(existing, list(keys), "left_anti") if existing is not None else cards
-    render_srt(todo, keys).write.partitionBy(*keys).option("lineSep", "\n").mode("append").text(path)
+    write_bodies(render_srt(todo, keys), path, keys, packed)
 
 
 def render_track(events: DataFrame, styles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -44,8 +55,8 @@ def render_track(events: DataFrame, styles: DataFrame, keys: Sequence[str] = KEY
     return ev.join(st, list(keys), "left").select(*keys, F.concat(head, F.coalesce("__s", F.lit("")), F.lit("\n\n[Events]\n"), "__e", F.lit("\n")).alias("body"))
 
 
-def write_merged_track(events: DataFrame, styles: DataFrame, path: str, keys: Sequence[str] = KEYS) -> None:
-    render_track(events, styles, keys).write.partitionBy(*keys).mode("append").text(path)
+def write_merged_track(events: DataFrame, styles: DataFrame, path: str, keys: Sequence[str] = KEYS, packed: bool = False) -> None:
+    write_bodies(render_track(events, styles, keys), path, keys, packed)
 
 
 def write_audit(audit: DataFrame, path: str, ref_chars: int = 80) -> None:

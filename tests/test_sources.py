@@ -140,3 +140,29 @@ def test_percentile_of_latencies(spark):
     got = {r["episode"]: tuple(r)[2:] for r in repair.repair_summary(spark.createDataFrame(rows, f"{KEYS}, status string, latency_ms long")).collect()}
     assert got == {1: (100, 100, 0, 5050, 95), 2: (1, 0, 0, None, None), 3: (1, 0, 1, 7, 7)}
     assert spark.range(1).select(F.bround(F.lit(0.95 * 99))).first()[0] == 94
+
+
+def test_packed_files_read_as_loose_ones(spark, tmp_path):
+    """The same rows from a pack, which has no file for each episode."""
+    rows = [("s", e, k, 1000 * k, 1000 * k + 900, f"line {k}\n\nof {e}\n") for e in range(40) for k in range(3)]
+    cards = spark.createDataFrame(rows, "show string, episode long, card_no long, start_ms long, end_ms long, text string")
+    got = []
+    for packed in (False, True):
+        path = f"file://{tmp_path}/srt-{packed}"
+        writers.write_srt(cards, path, cards.where("episode < 10").select("show", "episode").distinct(), packed=packed)
+        episode = F.regexp_extract("path", "/show=s/episode=([^/]+)/", 1).cast("long")
+        events = readers.read_subtitles(spark, path, packed).select(episode, "ev_no", "start_ms", "end_ms", "text", "plaintext")
+        tracks = readers.read_tracks(spark, path, packed).select(episode, "kind", "events", "styles", "status")
+        status, conf = readers.read_conf(spark, path, cards.select(F.col("episode").cast("string")).distinct(), packed)
+        got.append([sorted(map(tuple, df.collect())) for df in (events, tracks, status, conf)])
+    assert got[0] == got[1] and len(got[1][0]) == 90 and len(got[1][1]) == 30
+    assert len([f for f in (tmp_path / "srt-True").rglob("*") if f.suffix == ".parquet"]) < 30
+
+
+@pytest.mark.parametrize("name", ["read_conf", "write_srt", "read_subtitles", "read_styles", "read_tracks", "write_merged_track"])
+def test_queries_make_no_file_an_episode(spark, tmp_path, monkeypatch, name):
+    from cueloom.plans import io_queries
+
+    monkeypatch.setattr(io_queries, "folder", lambda spark, n: f"file://{tmp_path}/{n}")
+    assert io_queries.QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0
+    assert sum(f.is_file() and f.suffix in (".txt", ".parquet") for f in tmp_path.rglob("*")) < 40
