@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueloom.operators.ranks import ranked
-from cueloom.sources.scratch import materialize, scratch_dir, scratch_path
+from cueloom.sources.scratch import materialize, scratch_dir, scratch_path, spread
 
-__all__ = ["WORD_SPACE", "let", "lower_ascii", "materialize", "quoted", "ranked", "replace_columns", "scratch_dir", "scratch_path"]
+__all__ = ["WORD_SPACE", "let", "lower_ascii", "materialize", "quoted", "ranked", "replace_columns", "scratch_dir", "scratch_path", "spread"]
 
 #: What bytes.split() and the contracts' word pattern take as space: \x20 and \x09 to \x0D.
 WORD_SPACE = r"[\x20\x09-\x0D]+"

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cueloom.llm.common import materialize, quoted
+from cueloom.llm.common import materialize, quoted, spread
 from cueloom.llm.components import connected_components
 
 SHINGLE_WORDS = 5
@@ -356,11 +356,16 @@ def _text_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterato
         yield links()
 
 
-def _sets(docs: DataFrame, asked: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """(family, digest, found) of the texts in ``asked`` (digest, least, family): their shingles' hashes."""
+def _asked_for(docs: DataFrame, asked: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of ``asked`` (digest, least, ...), which is a table, with their bodies."""
     few = asked.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS
     other = asked.withColumnsRenamed({"digest": "__digest"})
-    met = _bodies(docs, doc_id, text).join(F.broadcast(other) if few else other, (F.col("digest") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("least")))
+    return _bodies(docs, doc_id, text).join(F.broadcast(other) if few else other, (F.col("digest") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("least")))
+
+
+def _sets(docs: DataFrame, asked: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
+    """(family, digest, found) of the texts in ``asked`` (digest, least, family): their shingles' hashes."""
+    met = _asked_for(docs, asked, doc_id, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -454,13 +459,13 @@ class _Prefixes:
             yield from self.met(*[np.concatenate(c) for c in zip(*rest, strict=True)])
 
 
-def _pair_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """(a, side, digest, found), sorted, a itself first -> links (a, b) of those like a."""
+def _pair_links(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """(a, side, digest, body), sorted, a itself first -> links (a, b) of those like a."""
     own, of = None, np.zeros(0, np.uint64)
     for batch in batches:
         links = []
-        for a, side, digest, found in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            found = np.frombuffer(found, np.uint64)
+        for a, side, digest, body in zip(*[c.to_pylist() for c in batch.columns[:3]], batch.column(3), strict=True):
+            found = shingles(body.as_py(), shingle)
             if side == 0:
                 own, of = a, found
                 continue
@@ -477,12 +482,11 @@ def prefix_links(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, sh
     pairs, stars = prefix_candidates(docs, classes, doc_id, text, shingle, similarity)
     pairs = materialize(pairs, "prefix-pairs")
     known = classes.drop("root")
-    asked = materialize(known.join(pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct(), "digest").withColumn("family", F.lit(0).cast("long")), "paired-texts")
-    sets = _sets(docs, asked, doc_id, text, shingle).select("digest", "found")
-    first = sets.join(pairs.select(F.col("a").alias("digest")).distinct(), "digest").select(F.col("digest").alias("a"), F.lit(0).alias("side"), "digest", "found")
-    second = sets.join(pairs.select("a", F.col("b").alias("digest")), "digest").select("a", F.lit(1).alias("side"), "digest", "found")
-    met = first.union(second).repartition("a").sortWithinPartitions("a", "side")
-    links = met.mapInArrow(lambda batches: _pair_links(batches, similarity), "a string, b string")
+    # Texts go to their pairs as they are, in one exchange: as hashes, shingles take several times as much.
+    sides = pairs.select("a", F.col("a").alias("digest"), F.lit(0).alias("side")).distinct().union(pairs.select("a", F.col("b").alias("digest"), F.lit(1).alias("side")))
+    asked = materialize(known.join(sides, "digest").select("digest", "least", "a", "side"), "paired-texts")
+    met = spread(_asked_for(docs, asked, doc_id, text).select("a", "side", "digest", "body"), "a").sortWithinPartitions("a", "side")
+    links = met.mapInArrow(lambda batches: _pair_links(batches, shingle, similarity), "a string, b string")
     families = known.join(connected_components(stars), F.col("digest") == F.col("node")).select("digest", "least", F.col("root").alias("family"))
     return links.union(shingle_links(docs, families, doc_id, text, shingle, similarity))
 

@@ -724,3 +724,26 @@ def test_prefix_candidates_write_no_row_a_shingle(spark, monkeypatch, paired):
     near = [(a, b) for a in sets for b in sets if a < b and sets[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
     assert len(near) == 60 and all({*p} in met or find(p[0]) == find(p[1]) for p in near)
     assert sum(df.count() for df in written) <= 2 * len(near)
+
+
+def test_prefix_links_write_no_shingles(spark, monkeypatch):
+    """Texts of different classes that meet in pairs are all linked where they are alike, and only so; no table
+    of their shingles is written."""
+    rng = np.random.default_rng(11)
+    base = [[f"w{w}" for w in rng.integers(0, 5000, 200)] for _ in range(3)]
+    texts = [" ".join(w if k >= 12 * j else f"x{j}" for k, w in enumerate(b)) for b in base for j in range(6)]
+    docs = spark.createDataFrame(list(enumerate([*texts, *texts[:4], "", None])), "doc_id long, text string")
+    written, write = [], simhash.materialize
+
+    def materialize(df, name):
+        written.append(write(df, name))
+        return written[-1]
+
+    classes = simhash._bodies(docs, "doc_id", "text").groupBy("digest").agg(F.min("doc_id").alias("least")).withColumn("root", F.col("digest")).localCheckpoint()
+    monkeypatch.setattr(simhash, "materialize", materialize)
+    links = simhash.prefix_links(docs, classes, "doc_id", "text", 5, 0.8).collect()
+    at = {r["digest"]: r["least"] for r in classes.collect()}
+    sets = [set(simhash.shingles(t.encode(), 5).tolist()) for t in texts]
+    near = {(a, b) for a in range(18) for b in range(a + 1, 18) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert near and {tuple(sorted((at[r["a"]], at[r["b"]]))) for r in links} == near
+    assert sum(df.count() for df in written if "found" in df.columns) == 0
