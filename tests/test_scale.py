@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cueloom.functions.phrases import Phrases, fold
 from cueloom.operators import glossary, joins, nearest, reflow, scan, timing
+from cueloom.plans import adaptors
 from cueloom.plans.registry import QUERIES
 from cueloom.streaming.streams import space_saving, stream_mine
 
@@ -341,3 +342,10 @@ def test_bins_of_slopes_skip_most_sweeps(monkeypatch):
     found = timing._consensus(x, y, 0.3)
     assert found == all_lines(x, y, 0.3)
     assert sum(n > len(timing._STEPS) for n in sweeps) < 600
+
+
+def test_few_documents_meet_in_a_task(spark):
+    """However many documents there are, the words of some 512 of them are one task's."""
+    dealt = adaptors.by_episode(spark.range(8192).withColumnRenamed("id", "doc_id"))
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 8192 and max(sizes) < 700
