@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cueloom.functions.phrases import Phrases, fold
 from cueloom.operators import glossary, joins, nearest, reflow, scan, timing
-from cueloom.plans import adaptors
+from cueloom.plans import adaptors, caption_queries
 from cueloom.plans.registry import QUERIES
 from cueloom.streaming.streams import space_saving, stream_mine
 
@@ -349,3 +349,17 @@ def test_few_documents_meet_in_a_task(spark):
     dealt = adaptors.by_episode(spark.range(8192).withColumnRenamed("id", "doc_id"))
     sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 8192 and max(sizes) < 700
+
+
+def test_cards_are_made_where_their_words_lie(spark, monkeypatch):
+    """card_word_probs shuffles documents for its cards, and no words."""
+    plans, write = {}, caption_queries.materialize
+
+    def materialize(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(caption_queries, "materialize", materialize)
+    assert caption_queries.card_word_probs(spark, "/root/testdata/sf0.001").count()
+    assert sorted(plans) == ["long-cards", "words"]
+    assert all(plan.count("Exchange") == 1 for plan in plans.values())
