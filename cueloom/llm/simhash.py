@@ -48,6 +48,8 @@ BLOCK_TEXTS, BLOCK_BYTES = 256, 4 << 20
 #: Texts whose family members are looked up (60 bytes each) that are broadcast; more are joined by
 #: shuffle.
 BROADCAST_TEXTS = 200_000
+#: Ids of rows that go that are broadcast; more are joined by shuffle, with all texts.
+BROADCAST_IDS = 1_000_000
 #: One text in so many is looked at for frequent shingles, which come last in the order of prefixes: those
 #: in so many texts of these, the most frequent ones up to a number that each task holds (8 bytes each).
 HOT_SHARE, HOT_TEXTS, HOT_SHINGLES = 16, 2, 1 << 20
@@ -247,6 +249,49 @@ class _Buckets:
         if len(keys):
             yield self._batch(self.links(keys, fps))
 
+    def dealt_by(self, n: int, bucket: int) -> list[tuple[int, int, int, int]]:
+        """(segment's first bit, its width, chunk's first bit, its size): chunks of the segments' bits such that of ``n``
+        even fingerprints far fewer than ``bucket`` agree in a segment's other bits."""
+        least = min(w for _, w in self.parts)
+        k = next((k for k in range(2, least) if 4 * n <= bucket << least + least // -k), least)
+        ends = [(a, w, w * i // k, w * (i + 1) // k) for a, w in self.parts for i in range(k)]
+        return [(a, w, a + lo, hi - lo) for a, w, lo, hi in ends if hi > lo]
+
+    def run_groups(self, batches: Iterator[pa.RecordBatch], chunks: list[tuple[int, int, int, int]]) -> Iterator[pa.RecordBatch]:
+        """Batches (key, words) sorted by key, the number of one of ``chunks`` and a value; a group may go on in the
+        next batch. The variants of the chunk's bits are compared one bit at a time."""
+        first, width, at, size = np.array(chunks, np.int64).T
+        rest: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def links() -> Iterator[pa.RecordBatch]:
+            key, fps = (np.concatenate(c) for c in zip(*rest, strict=True))
+            chunk = key >> 32
+            value = (fps[np.arange(len(key)), first[chunk] // 64] >> (first[chunk] % 64).astype(np.uint64)).view(np.int64) & ((1 << width[chunk]) - 1)
+            for step in range(size.max()):
+                there = np.flatnonzero(step < size[chunk])
+                if not len(there):
+                    continue
+                bit = at[chunk[there]] + step
+                variant = (bit << 32) + (value[there] & ~(1 << bit - first[chunk[there]]))
+                order = np.argsort(variant, kind="stable")
+                found = self.links(np.stack([variant[order], np.zeros(len(order), np.int64)], 1), fps[there[order]])
+                if len(found):
+                    yield self._batch(found)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, *cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            fps = np.stack(cols, 1).view(np.uint64)
+            whole = int(np.searchsorted(key, key[-1]))
+            if whole or rest and rest[-1][0][-1] != key[0]:
+                rest.append((key[:whole], fps[:whole]))
+                yield from links()
+                rest = []
+            rest.append((key[whole:], fps[whole:]))
+        if rest:
+            yield from links()
+
     def _batch(self, links: np.ndarray) -> pa.RecordBatch:
         cols = [np.ascontiguousarray(links[:, k]).view(np.int64) for k in range(2 * self.words)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=self.names())
@@ -260,40 +305,60 @@ def fingerprint_links(fps: DataFrame, bits: int = BITS, distance: int = DISTANCE
     that connect all those which meet and are within ``distance`` bits; each link is verified.
     All within the distance meet, unless fewer ``segments`` are asked for.
 
-    A variant shared by more than ``bucket`` fingerprints is split into blocks, and every two of
+    What is shuffled is a row for each chunk of a segment's bits (two or more chunks a segment), dealt by the
+    segment's other bits: the variants with a wildcard in that chunk all meet there, and are made and
+    sorted within the task. Only groups of more than ``bucket`` fingerprints are dealt by variant. A
+    variant shared by more than ``bucket`` of them is split into blocks, and every two of
     its blocks meet in a task of their own. Within a task, a large bucket yields a spanning forest
     of its pairs, never all pairs.
     """
     segments = segments or certain_segments(distance, bits)
-    words = [f"f{k}" for k in range(bits // 64)]
-    parts = cut(bits, segments)
-    # Of each bit: where its segment begins and the segment's mask there.
-    first = F.array(*[F.lit(a % 64) for a, w in parts for _ in range(w)])
-    mask = F.array(*[F.lit((1 << w) - 1).cast("long") for _, w in parts for _ in range(w)])
-    word = F.element_at(F.array(*words), F.floor(F.col("bit") / 64).cast("int") + 1)
-    begin = F.element_at(first, F.col("bit") + 1)
-    wildcard = F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit") % 64 - begin))
-    value = F.call_function("shiftrightunsigned", word, begin).bitwiseAND(F.element_at(mask, F.col("bit") + 1)).bitwiseAND(wildcard)
-    # Each distinct fingerprint makes ``bits`` rows, so they are spread before that.
-    spread = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    variants = (fps.select(*words).distinct().repartition(spread, F.xxhash64(*words)).withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
-                .select((F.call_function("shiftleft", F.col("bit").cast("long"), F.lit(32)) + value).alias("key"), *words))
-    large = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket).select("key", F.ceil(F.col("n") / bucket).cast("long").alias("blocks"))
-    large = materialize(large, "large-variants")
-    n, deal = large.limit(10_001).count(), ["key"]
+    words, buckets = [f"f{k}" for k in range(bits // 64)], _Buckets(bits, distance, segments)
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = materialize(fps.select(*words).distinct(), "distinct-fingerprints")
+    chunks = buckets.dealt_by(distinct.count(), bucket)
+    shape = ", ".join(f"{n} long" for n in buckets.names())
+    # A fingerprint makes a row for each chunk of bits; its variants, one for each bit, are made within the task.
+    groups = _keyed(distinct.repartition(tasks, F.xxhash64(*words)).withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(len(chunks) - 1)))), chunks, words)
+    large = materialize(groups.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket).select("key"), "large-groups")
+    n = large.limit(10_001).count()
+    rest = groups.join(F.broadcast(large) if n <= 10_000 else large, "key", "left_anti") if n else groups
+    found = rest.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: buckets.run_groups(batches, chunks), shape)
     if n:
-        rows = variants.join(F.broadcast(large) if n <= 10_000 else large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        rows = rows.withColumn("own", F.pmod(F.xxhash64(*words), F.col("blocks")))
-        rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        pair = F.call_function("shiftleft", F.least("own", "with"), F.lit(31)) + F.greatest("own", "with")
-        variants = rows.select("key", (2 * pair + (F.col("own") > F.col("with")).cast("long")).alias("block"), *words)
-        deal = ["key", F.call_function("shiftright", F.col("block"), F.lit(1))]
-    dealt = variants.repartition(*deal).sortWithinPartitions("key", *(["block"] if n else []))
-    buckets = _Buckets(bits, distance, segments)
-    found = dealt.mapInArrow(buckets.run, ", ".join(f"{n} long" for n in buckets.names()))
+        found = found.union(_large_groups(groups.join(F.broadcast(large) if n <= 10_000 else large, "key", "left_semi"), chunks, buckets, words, bucket).mapInArrow(buckets.run, shape))
     return found.select(hex_of(*buckets.names()[: len(words)]).alias("a"), hex_of(*buckets.names()[len(words) :]).alias("b"))
 
 
+def _keyed(rows: DataFrame, chunks: list[tuple[int, int, int, int]], words: list[str]) -> DataFrame:
+    """(key, words) of rows (bit, words): key is the number ``bit`` of one of ``chunks`` and the value of its segment
+    with the chunk wiped out."""
+    at = lambda values: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col("bit") + 1)
+    word = F.element_at(F.array(*words), at([first // 64 for first, *_ in chunks]).cast("int") + 1)
+    mask = at([((1 << width) - 1) & ~(((1 << size) - 1) << bit - first) for first, width, bit, size in chunks])
+    value = F.call_function("shiftrightunsigned", word, at([first % 64 for first, *_ in chunks]).cast("int")).bitwiseAND(mask)
+    return rows.select((F.call_function("shiftleft", F.col("bit").cast("long"), F.lit(32)) + value).alias("key"), *words)
+
+
+def _large_groups(groups: DataFrame, chunks: list[tuple[int, int, int, int]], buckets: _Buckets, words: list[str], bucket: int) -> DataFrame:
+    """The rows of ``groups`` (key, words) dealt and sorted by variant, (key, block, words), for ``_Buckets.run``: those of a
+    variant that more than ``bucket`` of them share by every two of its blocks."""
+    single = [(first, width, bit, 1) for first, width in buckets.parts for bit in range(first, first + width)]
+    number = F.call_function("shiftright", F.col("key"), F.lit(32)).cast("int") + 1
+    at = lambda k: F.element_at(F.array(*[F.lit(c[k]) for c in chunks]), number)
+    variants = _keyed(groups.select(F.explode(F.sequence(at(2), at(2) + at(3) - 1)).alias("bit"), *words), single, words)
+    large = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket).select("key", F.ceil(F.col("n") / bucket).cast("long").alias("blocks"))
+    large = materialize(large, "large-variants")
+    n = large.limit(10_001).count()
+    if not n:
+        return variants.repartition("key").sortWithinPartitions("key")
+    rows = variants.join(F.broadcast(large) if n <= 10_000 else large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(*words), F.col("blocks")))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pair = F.call_function("shiftleft", F.least("own", "with"), F.lit(31)) + F.greatest("own", "with")
+    variants = rows.select("key", (2 * pair + (F.col("own") > F.col("with")).cast("long")).alias("block"), *words)
+    return variants.repartition("key", F.call_function("shiftright", F.col("block"), F.lit(1))).sortWithinPartitions("key", "block")
+
+
 def similar(sets: list[np.ndarray], split: int, similarity: float) -> list[tuple[int, int]]:
     """Pairs of places in ``sets`` (distinct sorted numbers each) that connect all pairs with at
     least this share of equal numbers; with ``split`` < len(sets) of those across it only. Two
@@ -587,5 +652,7 @@ def keep_representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     id stay, unless one of them is dropped for another text.
     """
     groups = near_duplicates(docs, doc_id, text, **how)
-    dropped = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, F.col(quoted(doc_id)) == F.col("__dropped"), "left_anti")
+    dropped = materialize(groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__dropped")).distinct(), "dropped")
+    # The texts themselves are only shuffled where the ids are too many for a task.
+    few = dropped.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(dropped) if few else dropped.hint("merge"), F.col(quoted(doc_id)) == F.col("__dropped"), "left_anti")

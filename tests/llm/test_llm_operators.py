@@ -697,6 +697,37 @@ def test_markov_finds_a_bare_random_string(spark):
     assert out == {0: ["markov"], 1: []}
 
 
+@pytest.mark.parametrize(("bits", "segments", "n", "most"), [(192, 12, 2_000_000, 24), (192, 12, 10**8, 96), (64, 3, 10**8, 12)])
+def test_fingerprints_are_dealt_by_few_rows(bits, segments, n, most):
+    """A fingerprint makes far fewer rows than it has bits; each bit is the wildcard of one of them."""
+    buckets = simhash._Buckets(bits, 4, segments)
+    chunks = buckets.dealt_by(n, simhash.BUCKET)
+    assert len(chunks) <= most
+    assert sorted(b for _, _, at, size in chunks for b in range(at, at + size)) == list(range(bits))
+    assert all(first <= at and at + size <= first + width and n >> width - size <= simhash.BUCKET for first, width, at, size in chunks)
+    rng = np.random.default_rng(5)
+    fps = np.unique(rng.integers(0, 1 << 62, (40, bits // 64)).astype(np.uint64).repeat(5, 0) ^ (np.uint64(1) << rng.integers(0, 60, (200, bits // 64)).astype(np.uint64)), axis=0)
+    keys = [(c << 32 | (int(f[a // 64]) >> a % 64 & (1 << w) - 1 & ~(((1 << z) - 1) << b - a)), *f.view(np.int64).tolist()) for f in fps for c, (a, w, b, z) in enumerate(chunks)]
+    rows = pa.table(list(zip(*sorted(keys), strict=True)), names=["key", *[f"f{k}" for k in range(bits // 64)]])
+    found = [tuple(r.values()) for b in buckets.run_groups(iter(rows.to_batches(max_chunksize=64)), chunks) for r in b.to_pylist()]
+    root = {x: x for x in map(tuple, fps.view(np.int64).tolist())}
+    find = lambda x: x if root[x] == x else find(root[x])
+    for r in found:
+        root[find(r[: bits // 64])] = find(r[bits // 64 :])
+    near = [(a, b) for a in root for b in root if a < b and sum((x ^ y & (1 << 64) - 1).bit_count() for x, y in zip(a, b, strict=True)) <= 4]
+    assert near and all(find(a) == find(b) for a, b in near)
+
+
+def test_keeping_representatives_shuffles_no_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"{i // 2} " * 30) for i in range(8)], "doc_id long, text string")
+    monkeypatch.setattr(simhash, "near_duplicates", lambda docs, *_: docs.select("doc_id", F.expr("doc_id - doc_id % 2").alias("component_id")))
+    for ids in (simhash.BROADCAST_IDS, 2):
+        monkeypatch.setattr(simhash, "BROADCAST_IDS", ids)
+        kept = simhash.keep_representatives(docs)
+        assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 4, 6]
+        assert ("SortMergeJoin" in kept._jdf.queryExecution().executedPlan().toString()) == (ids == 2)
+
+
 @pytest.mark.parametrize("paired", [64, 3])
 def test_prefix_candidates_write_no_row_a_shingle(spark, monkeypatch, paired):
     """All pairs of 0.8 or more are found, with pairs alone and with stars, and what is written does not grow
