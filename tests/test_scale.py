@@ -335,6 +335,32 @@ def test_fits_of_longer_episodes_are_the_same(spark, monkeypatch):
         assert a[:2] == b[:2] and a["inliers"] == b["inliers"] > 60 and np.allclose(a[2:8], b[2:8])
 
 
+def test_all_lines_of_longer_episodes_are_tried(spark, monkeypatch):
+    """Without a cap no length makes a sample of the lines, and ties go to the first line."""
+    points = {e: noisy_points(e, 90 + 110 * e) for e in range(3)}
+    few = (np.arange(100) * 2.0, np.where(np.arange(100) % 10 == 0, 5.0, np.arange(100) % 7 * 100.0))  # a tenth on a line
+    points[3] = few
+    rows = [("s", e, k, *map(float, p)) for e, xy in points.items() for k, p in enumerate(zip(*xy, strict=True))]
+    pairs = spark.createDataFrame(rows, "show string, episode long, x_order long, x double, y double")
+    whole = sorted(timing.ransac_fit(pairs, cap=None).collect())
+    for name, value in (("WHOLE", 80), ("BLOCK", 16), ("ENDS", (32, 64))):
+        monkeypatch.setattr(timing, name, value)
+    for a, b in zip(whole, sorted(timing.ransac_fit(pairs, cap=None).collect()), strict=True):
+        x, y = points[a["episode"]]
+        n, i, j = all_lines(x, y, 0.3 + 1e-9)
+        slope = (y[j] - y[i]) / (x[j] - x[i])
+        assert a["inliers"] == b["inliers"] == (np.abs(y - (y[i] - slope * x[i] + slope * x)) <= 0.3 + 1e-9).sum()
+        assert a[:2] == b[:2] and np.allclose([v or 0 for v in a[2:8]], [v or 0 for v in b[2:8]])
+
+
+def test_no_episode_of_ransac_fit_long_is_sampled(spark, monkeypatch):
+    asked = []
+    fit = timing.ransac_fit
+    monkeypatch.setattr(timing, "ransac_fit", lambda *a, **k: asked.append(k["cap"]) or fit(*a, **k))
+    caption_queries.ransac_fit_long(spark, "/root/testdata/sf0.001")
+    assert asked == [None]
+
+
 def test_bins_of_slopes_skip_most_sweeps(monkeypatch):
     x, y = noisy_points(3, 600)
     sweeps, sort = [], np.searchsorted
