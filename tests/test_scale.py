@@ -387,6 +387,19 @@ def test_reflow_shuffles_documents_and_cards_alone(spark):
     assert sum(x.startswith("doc_id") for x in dealt) == 2 and len(dealt) == 3 and "SortMergeJoin" not in plan
 
 
+def test_timing_report_writes_no_words(spark, monkeypatch):
+    written, write = {}, caption_queries.materialize
+
+    def materialize(df, name):
+        written[name] = df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+        return write(df, name)
+
+    monkeypatch.setattr(caption_queries, "materialize", materialize)
+    monkeypatch.setattr(timing, "timing_report", lambda cards, cues, **_: cards.limit(0).select(*[F.lit(0).alias(c) for c in ("show", "episode", "status", "cards", "on_cue", "cue_count", "cues_covered", "inliers", "offset_a")]))
+    caption_queries.timing_report(spark, "/root/testdata/sf0.001")
+    assert written == {"long-cards": 1}
+
+
 def test_bins_of_slopes_skip_most_sweeps(monkeypatch):
     x, y = noisy_points(3, 600)
     sweeps, sort = [], np.searchsorted
