@@ -400,6 +400,16 @@ def test_timing_report_writes_no_words(spark, monkeypatch):
     assert written == {"long-cards": 1}
 
 
+def test_semi_interval_join_shuffles_cells_and_hits_alone(spark):
+    """Rows go to their cells and come together again, copies with them; they are not joined back."""
+    left = spark.createDataFrame([("s", 1, 5), ("s", 1, 5), ("s", 0, 400), ("s", 900, 905), ("s", 7, 7)], "show string, a0 long, a1 long")
+    right = spark.createDataFrame([("s", 3, 4), ("s", 2, 300), ("s", 905, 910)], "show string, b0 long, b1 long")
+    out = joins.range_join(left, right, ("a0", "a1"), ("b0", "b1"), ["show"], "semi")
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert "Join" not in plan and len(re.findall(r"Exchange hashpartitioning", plan)) <= 2
+    assert sorted(map(tuple, out.collect())) == [("s", 0, 400), ("s", 1, 5), ("s", 1, 5)]
+
+
 def test_bins_of_slopes_skip_most_sweeps(monkeypatch):
     x, y = noisy_points(3, 600)
     sweeps, sort = [], np.searchsorted
